@@ -1,0 +1,6 @@
+"""The registered queries for the engine's own operators, with the SQL that each must match."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
