@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, langid, mixing, neighbours, pii, quality
+from . import chunks, decontaminate, langid, mixing, neighbours, pii, quality, similar
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -40,6 +44,6 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_pii, op5_chunk_dedup, op6_language, op8_mix, op9_quality, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_pii, op5_chunk_dedup, op6_language, op7_similar, op8_mix, op9_quality, op10_neighbours)}
 
 ORACLES: dict[str, str] = {}
