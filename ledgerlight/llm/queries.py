@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, langid, mixing, neighbours, ngrams, pii, quality, similar
+from . import chunks, decontaminate, langid, mixing, neighbours, ngrams, pii, quality, repeats, similar
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.suffix_dedup(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_lm_score, op4_pii, op5_chunk_dedup, op6_language, op7_similar, op8_mix, op9_quality, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_lm_score, op4_pii, op5_chunk_dedup, op6_language, op7_similar, op8_mix, op9_quality, op10_neighbours)}
 
 ORACLES: dict[str, str] = {}
