@@ -178,7 +178,10 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, tr
     classes = durable(signed.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("anon", "key")).alias("rep"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes")), "classes")
     filed = classes.select("cls", F.explode("prefixes").alias("prefix"))
     shared = filed.groupBy("prefix").agg(F.min("cls").alias("root"), F.count("*").alias("n")).filter("n > 1").select("prefix", "root")
-    edges = filed.join(shared, "prefix").filter("cls <> root").select(F.col("cls").alias("node"), "root").distinct()
+    # a class shares at most one root in each trie: it keeps the edge to the least of them, and the others' edges to
+    # that one, which are few, as roots are
+    hubs = filed.join(shared, "prefix").groupBy("cls").agg(F.array_distinct(F.collect_list("root")).alias("roots"), F.min("root").alias("hub"))
+    edges = hubs.select(F.explode(F.array_union("roots", F.array("cls"))).alias("node"), F.col("hub").alias("root")).filter("node <> root").distinct()
     comps = components(edges)
     sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
     wanted = durable(comps.join(sizes, "root").join(classes.select(F.col("cls").alias("node"), "rep", "copies"), "node").select("node", F.col("root").alias("comp"), "size", "copies", F.col("rep.anon").alias("anon"), F.col("rep.key").alias("key")), "wanted")
