@@ -1 +1,86 @@
-"""Queries."""
+"""Queries over uploaded documents and scraped records, written from the supplier and part tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import extract as X
+from ..operators import records as R
+from .registry import query, table
+
+#: An uploaded document for each supplier.
+UPLOADED = """case s_suppkey % 5 when 0 then 'Salary Slip. Net pay Rs ' || (1000 + s_suppkey * 37 % 90000) || ' PAN ABCDE' || (1000 + s_suppkey % 9000) || 'F' when 1 then 'Credit Information Report cibil score ' || (250 + s_suppkey * 7 % 700) || ' DOB: 0' || (1 + s_suppkey % 9) || '/0' || (1 + s_suppkey % 9) || '/' || (1940 + s_suppkey % 70)
+ when 2 then 'Bank statement. Monthly income: ' || (2000 + s_suppkey * 91 % 80000) when 3 then 'ITR. Annual income ' || (100000 + s_suppkey * 613 % 900000) || ' self employed' else 'letter' end"""
+_U = f"with q as (select s_suppkey as id, {UPLOADED} as s, lower({UPLOADED}) as t from supplier) "
+
+
+def _uploaded(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.expr(UPLOADED).alias("s"))
+
+
+def _amount(head: str, by: str = "") -> str:
+    x = f"try_cast(replace(regexp_extract(t, '{head}[^0-9]{{0,15}}([0-9][0-9,]*(?:[.][0-9]+)?)', 1), ',', '') as double){by}"
+    return f"case when {x} between 3e3 and 1e7 then round({x}, 2) end"
+
+
+_TYPE = "case " + " ".join(f"when regexp_matches(t, '{p}') then '{v}'" for p, v in X.DOCUMENT_TYPES) + " else 'unknown' end"
+_INC = f"coalesce({_amount('net (?:pay|salary)')}, {_amount('gross (?:pay|salary)')}, {_amount('monthly income')}, {_amount('annual income', ' / 12')})"
+_PAN = r"nullif(regexp_extract(s, '\b([A-Z]{5}[0-9]{4}[A-Z])\b', 1), '')"
+_DOB = "regexp_extract(s, '(?i)(?:dob|date of birth)[^0-9]{0,5}([0-9]{2})[/-]([0-9]{2})[/-]([0-9]{4})', %d)"
+_AGE = f"cast(floor(date_diff('day', try_cast({_DOB % 3} || '-' || {_DOB % 2} || '-' || {_DOB % 1} as date), date '2026-01-01') / 365) as int)"
+
+
+@query(_U + f"select id, {_TYPE} as kind, {_INC} as income, substr({_PAN}, 1, 5) || '****' || substr({_PAN}, 10, 1) as pan, case when {_AGE} between 18 and 80 then {_AGE} end as age from q")
+def q55_document_fields(spark, sf_dir):
+    s = F.col("s")
+    return _uploaded(spark, sf_dir).select("id", X.first_pattern(s, X.DOCUMENT_TYPES, "unknown").alias("kind"), X.document_income(s).alias("income"), X.pan_masked(s).alias("pan"), X.born(s, "2026-01-01").alias("age"))
+
+
+@query(_U + f"select {_TYPE} as kind, count(*) as n, round(avg((case when {_INC} is not null then 1 else 0 end + case when {_AGE} between 18 and 80 then 1 else 0 end) / 2e0), 6) as confidence from q group by 1")
+def q56_document_confidence(spark, sf_dir):
+    s = F.col("s")
+    d = _uploaded(spark, sf_dir).select(X.first_pattern(s, X.DOCUMENT_TYPES, "unknown").alias("kind"), X.extraction_confidence(X.document_income(s), X.born(s, "2026-01-01")).alias("c"))
+    return d.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("confidence"))
+
+
+#: A scraped record for each part.
+_REC = """with r as (select p_partkey as id, 'bank' || (p_partkey % 7) as bank, 'personal' as loan_type, 'https://h' || (p_partkey % 5) || '.example/p' || (p_partkey % 400) as source_url, case when p_partkey % 4 = 0 then null else floor(p_retailprice) / 100 end as rate_low, case when p_partkey % 4 = 0 then null else floor(p_retailprice / 1.5) / 100 end as rate_high, case when p_partkey % 3 = 0 then null else p_retailprice * 20 end as min_income, case when p_partkey % 5 = 0 then null else cast(250 + p_partkey % 700 as int) end as min_cibil, case when p_partkey % 6 = 0 then '' else repeat(p_name || ' ', 4) end as content from {part}) select * from r"""
+
+
+def _records(spark, sf_dir):
+    return spark.sql(_REC, part=table(spark, sf_dir, "part"))
+
+
+_R = "with rec as (" + _REC.format(part="part") + ")"
+
+
+@query(_R + " select id, length(trim(content)) < 50 as rejected, least(rate_low, rate_high) as rate_low, greatest(rate_low, rate_high) as rate_high, case when min_cibil between 300 and 900 then min_cibil end as min_cibil, array_to_string(list_filter([case when rate_low > 40 or rate_high > 40 then 'rate' end, case when min_income < 1000 or min_income > 1e7 then 'income' end, case when min_cibil not between 300 and 900 then 'cibil' end], lambda x: x is not null), ',') as issues from rec")
+def q57_record_validation(spark, sf_dir):
+    return R.validated(_records(spark, sf_dir)).select("id", "rejected", "rate_low", "rate_high", "min_cibil", F.array_join("issues", ",").alias("issues"))
+
+
+_FILLED = "(case when rate_low is not null then 1 else 0 end + case when min_income is not null then 1 else 0 end + case when min_cibil is not null then 1 else 0 end + case when length(content) > 0 then 1 else 0 end) / 4e0"
+
+
+@query(_R + f" select bank, count(*) as n, count(rate_low) as has_rate, count(min_income) as has_income, count(min_cibil) as has_cibil, round(avg({_FILLED}), 6) as avg_confidence, count(distinct source_url) as urls from rec group by bank")
+def q58_scrape_summary(spark, sf_dir):
+    return R.summary(_records(spark, sf_dir))
+
+
+@query(_R + ", h as (select *, substr(sha256(content), 1, 16) as hash from rec) select id from (select id, row_number() over (partition by hash order by id) as a, row_number() over (partition by source_url order by id) as b from h where length(content) > 0) where a = 1 and b = 1")
+def q59_record_distinct(spark, sf_dir):
+    return R.distinct_records(_records(spark, sf_dir).filter("length(content) > 0")).select("id")
+
+
+@query(_R + r" select id, bank || '_' || loan_type || '_' || substr(md5(source_url), 1, 8) as slug, concat_ws(' ', bank || ' offers a ' || loan_type || ' loan.', 'Interest from ' || printf('%.2f', least(rate_low, rate_high)) || '% to ' || printf('%.2f', greatest(rate_low, rate_high)) || '%.', 'Minimum score ' || min_cibil || '.', case when length(trim(content)) > 100 then substr(trim(content), 1, 800) end) as rag from rec")
+def q60_record_text(spark, sf_dir):
+    return R.validated(_records(spark, sf_dir), bounds=False).select("id", R.slug().alias("slug"), R.rag_text().alias("rag"))
+
+
+@query("""with t as (select p_brand as brand, p_partkey as id, p_name as name, p_size as size from part), two as (select brand, string_agg(name || ': ' || size || '.', ' ' order by id) as sentences from t group by 1), many as (select brand, string_agg('For this entry: name is ' || name || ', size is ' || size || ', key is ' || id || '.', ' ' order by id) as entries from t group by 1) select brand, sentences, entries from two join many using (brand)""")
+def q61_table_sentences(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    cells = lambda *c: F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))), lambda r: F.array(*[r[x].cast("string") for x in c]))
+    g = p.groupBy(F.col("p_brand").alias("brand")).agg(cells("p_name", "p_size").alias("two"), cells("p_name", "p_size", "p_partkey").alias("many"))
+    head = lambda *x: F.array(*map(F.lit, x))
+    return g.select("brand", F.array_join(X.key_value_sentences(head("name", "size"), F.col("two")), " ").alias("sentences"), F.array_join(X.key_value_sentences(head("name", "size", "key"), F.col("many")), " ").alias("entries"))

@@ -1 +1,161 @@
-"""Queries."""
+"""Queries over the extraction of signals from applicants' sentences and of normalised values."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import extract as X
+from .registry import query, table
+
+#: A sentence for each customer, with every way to say a thing; portable between SQL engines.
+SENTENCE = """case c_custkey % 6
+ when 0 then 'kya meri salary hai ' || (20 + c_custkey % 60) || 'k, age ' || (16 + c_custkey % 62) || ', cibil score ' || (250 + c_custkey % 700) || ' home loan hdfc'
+ when 1 then 'I am ' || (18 + c_custkey % 50) || ' with income ' || (4000 + c_custkey * 17 % 90000) || ' compare axis and sbi better rate'
+ when 2 then (3 + c_custkey % 30) || ' lpa freelancer, ' || (c_custkey % 60) || ' years of experience, dti of ' || (c_custkey % 90) || '%'
+ when 3 then 'am I eligible? salaried, ' || (20 + c_custkey % 60) || ' years old, need a personal loan jaldi'
+ when 4 then 'which documents does state bank want, score ' || (400 + c_custkey % 550)
+ else 'processing fee of icici for government employee earning 45,500' end"""
+
+_Q = f"with q as (select c_custkey as id, {SENTENCE} as s, lower({SENTENCE}) as t from customer) "
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(SENTENCE).alias("s"))
+
+
+def _num(t: str, pattern: str, group: int = 1) -> str:
+    return f"try_cast(replace(regexp_extract({t}, '{pattern}', {group}), ',', '') as double)"
+
+
+def _case(t: str, table_, default: str = "null") -> str:
+    return "case " + " ".join(f"when regexp_matches({t}, '{p}') then '{v}'" for p, v in table_) + f" else {default} end"
+
+
+_INCOME = "coalesce(" + ", ".join(
+    f"case when {x} > 5e3 and {x} < 1e8 then round({x}, 2) end"
+    for x in (_num("t", r"([0-9]+(?:\.[0-9]+)?) *(?:lpa|lakhs? per annum|lakhs? p\.a)") + " * 100000 / 12", _num("t", r"([0-9]+(?:\.[0-9]+)?) *k\b") + " * 1000", _num("t", "(?:income|salary|earn(?:ing)?)[^0-9]{0,20}([0-9][0-9,]*)"), _num("t", "([0-9][0-9,]*) */? *(?:per month|a month|monthly|month)"))
+) + ")"
+_S1, _S2 = _num("t", "(?:cibil|credit) *score[^0-9]{0,12}([0-9]{3})"), _num("t", r"\b([4-9][0-9]{2})\b")
+_SCORE = f"cast(coalesce(case when {_S1} between 300 and 900 then {_S1} end, case when regexp_matches(t, 'cibil|score') and {_S2} between 300 and 900 then {_S2} end) as int)"
+_AGEP = r"\bage *(?:is|:)? *([0-9]{1,2})\b|\b([0-9]{1,2}) *(?:years?|yrs?) *old|\bi am ([0-9]{1,2})\b"
+_AGE0 = "coalesce(" + ", ".join(f"try_cast(nullif(regexp_extract(t, '{_AGEP}', {g}), '') as int)" for g in (1, 2, 3)) + ")"
+_EXP = _num("t", "([0-9]+) *(?:years?|yrs?) *(?:of *)?(?:experience|service|work)")
+_D = _num("t", r"dti *(?:of|is|=|:)? *([0-9]+(?:\.[0-9]+)?) *%?")
+_D2 = f"case when {_D} > 1.5 then {_D} / 100 else {_D} end"
+_BANKS = "list_filter([" + ", ".join(f"case when contains(t, '{k}') then '{v}' end" for k, v in X.LENDERS) + "], lambda x: x is not null)"
+_BANKS = f"list_filter({_BANKS}, lambda x, i: list_position({_BANKS}, x) = i)"
+
+
+@query(_Q + f"select id, {_INCOME} as income, {_SCORE} as score, case when {_AGE0} between 18 and 75 then {_AGE0} end as age, case when {_EXP} > 0 and {_EXP} < 50 then cast({_EXP} * 12 as int) end as experience, case when {_D2} > 0 and {_D2} < 1 then round({_D2}, 3) end as dti from q")
+def q40_query_numbers(spark, sf_dir):
+    s = F.col("s")
+    return _asked(spark, sf_dir).select("id", X.income(s).alias("income"), X.credit_score(s).alias("score"), X.age(s).alias("age"), X.experience_months(s).alias("experience"), X.dti(s).alias("dti"))
+
+
+_LOAN = "case " + " ".join(f"when contains(t, '{k}') then '{v}'" for k, v in X.LOANS) + " else 'personal' end"
+
+
+@query(_Q + f"select id, array_to_string({_BANKS}, ',') as lenders, {_LOAN} as loan, {_case('t', X.EMPLOYMENT)} as employment from q")
+def q41_query_entities(spark, sf_dir):
+    s = F.col("s")
+    return _asked(spark, sf_dir).select("id", F.array_join(X.lenders(s), ",").alias("lenders"), X.first_phrase(s, X.LOANS, "personal").alias("loan"), X.first_pattern(s, X.EMPLOYMENT).alias("employment"))
+
+
+_P = {n: f"case when regexp_matches(t, '{p}') then 2 else 0 end" for n, p in X.INTENTS}
+_P["eligibility"] += r" + case when regexp_matches(t, 'salary|income|cibil|score|\bage\b') then 1 else 0 end + case when regexp_matches(t, '\b(?:need|want|get)\b.*loan') then 2 else 0 end"
+_P["comparison"] += f" + case when len({_BANKS}) > 1 then 2 else 0 end"
+_INTENT = _Q + ", i as (select id, s, t, " + ", ".join(f"{v} as p_{k}" for k, v in _P.items()) + " from q), j as (select *, greatest(" + ", ".join(f"p_{k}" for k in _P) + ") as best from i) "
+_PICK = "case when best = 0 then 'general' " + " ".join(f"when p_{k} = best then '{k}'" for k in _P) + " end"
+
+
+@query(_INTENT + f"select id, {_PICK} as intent from j")
+def q42_query_intent(spark, sf_dir):
+    return _asked(spark, sf_dir).select("id", X.intent(F.col("s")).alias("intent"))
+
+
+_NORM = "s"
+for _p, _w in X.SLANG:
+    _NORM = f"regexp_replace({_NORM}, '(?i){_p}', '{_w}', 'g')"
+
+
+@query(_Q + f"select id, trim(regexp_replace({_NORM}, '[ \t\n\r]{{2,}}', ' ', 'g')) as normal from q")
+def q43_query_normalised(spark, sf_dir):
+    return _asked(spark, sf_dir).select("id", X.normalise(F.col("s")).alias("normal"))
+
+
+@query(_Q + "select id, array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(t, '{p}') then '{n}' end" for n, p in X.HINTS) + "], lambda x: x is not null), ',') as hints from q")
+def q44_query_hints(spark, sf_dir):
+    return _asked(spark, sf_dir).select("id", F.array_join(X.hints(F.col("s")), ",").alias("hints"))
+
+
+_PARTS = f"concat_ws(' ', s, case when {_PICK} = 'eligibility' then 'eligibility criteria minimum income credit score' when {_PICK} = 'comparison' then 'compare interest rate fees' end, {_LOAN} || ' loan', array_to_string({_BANKS}, ' '), 'income ' || cast(trunc({_INCOME}) as bigint), 'score ' || {_SCORE}, {_case('t', X.EMPLOYMENT)})"
+
+
+@query(_INTENT + f", k as (select id, list_filter(regexp_split_to_array({_PARTS}, ' +'), lambda x: x <> '') as w from j) select id, array_to_string(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i), ' ') as query from k")
+def q45_query_reformulated(spark, sf_dir):
+    return _asked(spark, sf_dir).select("id", X.reformulate(F.col("s")).alias("query"))
+
+
+@query(_INTENT + f"select id, len(regexp_extract_all(s, '[^ ]+')) <= 3 and {_PICK} = 'eligibility' as direct, {_PICK} in ('eligibility', 'comparison') and coalesce({_INCOME}, {_SCORE}) is not null as by_rules from j")
+def q46_query_route(spark, sf_dir):
+    s = F.col("s")
+    return _asked(spark, sf_dir).select("id", ((F.regexp_count(s, F.lit("[^ ]+")) <= 3) & (X.intent(s) == "eligibility")).alias("direct"), (X.intent(s).isin("eligibility", "comparison") & F.coalesce(X.income(s), X.credit_score(s)).isNotNull()).alias("by_rules"))
+
+
+#: Values as pages write them, for each part.
+WRITTEN = """case p_partkey % 8 when 0 then 'Rs ' || (1 + p_partkey % 90) || ' lakh' when 1 then (10 + p_partkey % 9) || '.5% to ' || (p_partkey % 30) || '%' when 2 then (12 + p_partkey % 50) || ' - ' || (24 + p_partkey % 60) || ' months'
+ when 3 then '2' || (p_partkey % 10) || ' to 6' || (p_partkey % 10) || ' years' when 4 then (p_partkey % 40) || ' LPA for salaried or self employed' when 5 then 'minimum ' || (15 + p_partkey % 30) || ' years' when 6 then (p_partkey % 5) || '.25 crore, doctors and business' else (p_partkey * 131 % 900000) || ' per month' end"""
+_N = f"with q as (select p_partkey as id, {WRITTEN} as s, lower({WRITTEN}) as t from part), n as (select *, {_num('t', '([0-9][0-9,]*(?:[.][0-9]+)?)')} as n from q) "
+_MONEY = r"case when regexp_matches(t, 'crore|\bcr\b') then n * 1e7 when regexp_matches(t, 'lakh|\blac\b') then n * 1e5 when regexp_matches(t, 'thousand|[0-9] *k\b') then n * 1e3 else n end"
+
+
+def _written(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(WRITTEN).alias("s"))
+
+
+@query(_N + f"select id, {_MONEY} as money, case when regexp_matches(t, 'lpa|per annum|p\\.a|annual') then round(case when regexp_matches(t, 'lakh|lpa') then n * 1e5 else {_MONEY} end / 12, 2) when {_MONEY} > 5e5 then round({_MONEY} / 12, 2) when {_MONEY} >= 5e3 then round({_MONEY}, 2) end as monthly from n")
+def q47_money(spark, sf_dir):
+    s = F.col("s")
+    return _written(spark, sf_dir).select("id", X.money(s).alias("money"), X.monthly_income(s).alias("monthly"))
+
+
+_R = [_num("s", r"([0-9]+(?:\.[0-9]+)?) *%? *(?:-|–|—|to) *([0-9]+(?:\.[0-9]+)?) *%", g) for g in (1, 2)]
+_ALL = r"list_filter(list_transform(regexp_extract_all(s, '([0-9]+(?:\.[0-9]+)?) *%', 1), lambda x: cast(x as double)), lambda x: x > 0 and x < 100)"
+
+
+@query(_N + f"select id, case when {_R[0]} is not null and {_R[1]} is not null then least({_R[0]}, {_R[1]}) else list_min({_ALL}) end as low, case when {_R[0]} is not null and {_R[1]} is not null then greatest({_R[0]}, {_R[1]}) else list_max({_ALL}) end as high, case when {_num('s', r'([0-9]+(?:[.][0-9]+)?) *%')} between 0.000001 and 99.999999 then {_num('s', r'([0-9]+(?:[.][0-9]+)?) *%')} end as first from n")
+def q48_rates(spark, sf_dir):
+    r = X.rate_range(F.col("s"))
+    return _written(spark, sf_dir).select("id", F.get(r, 0).alias("low"), F.get(r, 1).alias("high"), X.percent(F.col("s")).alias("first"))
+
+
+_A = [f"cast({_num('s', '([0-9]{2}) *(?:years?)? *(?:-|–|to) *([0-9]{2})', g)} as int)" for g in (1, 2)]
+_AM = f"cast({_num('t', 'min[a-z]*[^0-9]{0,10}([0-9]{2})')} as int)"
+_AOK = f"{_A[0]} >= 18 and {_A[0]} <= {_A[1]} and {_A[1]} <= 80"
+
+
+@query(_N + f"select id, case when {_AOK} then {_A[0]} when {_AM} between 18 and 40 then {_AM} end as low, case when {_AOK} then {_A[1]} when {_AM} between 18 and 40 then 65 end as high from n")
+def q49_ages(spark, sf_dir):
+    r = X.age_range(F.col("s"))
+    return _written(spark, sf_dir).select("id", F.get(r, 0).alias("low"), F.get(r, 1).alias("high"))
+
+
+def _tenure(x: str) -> str:
+    n = f"try_cast(regexp_extract({x}, '([0-9][0-9.]*)', 1) as double)"
+    return f"case when regexp_matches({x}, '[0-9] *(?:years?|yrs?)') then cast(trunc({n} * 12) as int) when regexp_matches({x}, '[0-9] *months?') then cast(trunc({n}) as int) when {n} <= 30 then cast(trunc({n} * 12) as int) else cast(trunc({n}) as int) end"
+
+
+@query("with q as (select p_partkey as id, case p_partkey % 3 when 0 then (1 + p_partkey % 5) || ' to ' || (3 + p_partkey % 9) || ' years' when 1 then (12 + p_partkey % 20) || ' - ' || (10 + p_partkey % 60) || ' months' else (p_partkey % 70) || ' months' end as t from part), p as (select *, regexp_split_to_array(t, ' *(?:–|—|-|\\bto\\b) *') as w from q), u as (select *, case when len(w) = 2 then case when regexp_matches(w[1], '^[^a-z]*$') then w[1] || ' ' || regexp_extract(w[2], '(years?|yrs?|months?)', 1) else w[1] end end as l from p)"
+       + f" select id, case when len(w) = 2 then least({_tenure('l')}, {_tenure('w[2]')}) else {_tenure('t')} end as low, case when len(w) = 2 then greatest({_tenure('l')}, {_tenure('w[2]')}) else {_tenure('t')} end as high from u")
+def q50_tenures(spark, sf_dir):
+    t = F.expr("case p_partkey % 3 when 0 then (1 + p_partkey % 5) || ' to ' || (3 + p_partkey % 9) || ' years' when 1 then (12 + p_partkey % 20) || ' - ' || (10 + p_partkey % 60) || ' months' else (p_partkey % 70) || ' months' end")
+    r = X.tenure_range(F.col("t"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), t.alias("t")).select("id", F.get(r, 0).alias("low"), F.get(r, 1).alias("high"))
+
+
+_KINDS = "list_filter([" + ", ".join(f"case when regexp_matches(t, '{p}') then '{v}' end" for p, v in X.EMPLOYMENT_KINDS) + "], lambda x: x is not null)"
+
+
+@query(_N + f"select id, array_to_string(list_filter({_KINDS}, lambda x, i: list_position({_KINDS}, x) = i), ',') as kinds from n")
+def q51_employment_kinds(spark, sf_dir):
+    return _written(spark, sf_dir).select("id", F.array_join(X.employment_kinds(F.col("s")), ",").alias("kinds"))

@@ -1 +1,56 @@
-"""Queries."""
+"""Queries over pages: noise, text, links, routing and the crawl."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import html as H
+from .registry import query, table
+
+_CLEAN = "html"
+for _t in H.NOISE:
+    _CLEAN = f"regexp_replace({_CLEAN}, '(?is)<{_t}[^>]*>.*?</{_t}>', ' ', 'g')"
+_PLAIN = "trim(regexp_replace(regexp_replace({}, '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'))"
+_HOST = "lower(regexp_extract({}, '^[a-zA-Z]+://([^/:?#]+)', 1))"
+_HREFS = "list_filter(regexp_extract_all(html, '(?i)<a[^>]*href=[\"'']([^\"'']*)[\"'']', 1), lambda h: not regexp_matches(h, '^(#|mailto:|tel:|javascript:)|^$'))"
+_ROOT = "regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)"
+_DIR = "regexp_extract(url, '^([a-zA-Z]+://[^?#]*/)[^/?#]*', 1)"
+_ABS = f"case when regexp_matches(h, '^[a-zA-Z]+://') then h when starts_with(h, '/') then {_ROOT} || h else case when length({_DIR}) > length({_ROOT}) + 1 then {_DIR} else {_ROOT} || '/' end || h end"
+_LINKS = f"""with h as (select page_id, url, {_HREFS} as hs from pages), d as (select page_id, url, list_filter(hs, lambda x, i: list_position(hs, x) = i) as hs from h), a as (select page_id, url, unnest(hs) as h, unnest(range(len(hs))) as i from d), b as (select page_id, url, i, {_ABS} as link from a), l as (select page_id, url, link, cast(row_number() over (partition by page_id, url order by i) - 1 as int) as pos from b where {_HOST.format("link")} = {_HOST.format("url")}) """
+
+
+@query("select page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') as title, nullif(regexp_extract(html, '(?is)<meta[^>]*(?:name|property)=[\"'']description[\"''][^>]*content=[\"'']([^\"'']*)', 1), '') as description from pages")
+def q65_html_head(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", H.title(F.col("html")).alias("title"), H.meta(F.col("html"), "description").alias("description"))
+
+
+_BODY = "coalesce(" + ", ".join(f"nullif(regexp_extract(c, '(?is)<{t}[^>]*>(.*)</{t}>', 1), '')" for t in ("main", "article", "body")) + ", c)"
+
+
+@query(f"with k as (select page_id, {_CLEAN} as c from pages) select page_id, substr({_PLAIN.format(_BODY)}, 1, 3000) as body from k")
+def q66_html_body(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", H.body(F.col("html")).alias("body"))
+
+
+@query(_LINKS + "select page_id, pos, link from l where pos < 15")
+def q67_html_links(spark, sf_dir):
+    return H.links(table(spark, sf_dir, "pages"))
+
+
+@query("select page_id, h as host, case " + " ".join(f"when contains(h, '{p}') then '{n}'" for p, n in H.HOSTS) + f" else 'generic' end as reader from (select page_id, {_HOST.format('url')} as h from pages)")
+def q68_html_route(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", H.host(F.col("url")).alias("host"), H.lender(F.col("url")).alias("reader"))
+
+
+@query(_LINKS + ", s as (select distinct url from pages where page_id % 10 = 0), e as (select url, link from l where pos < 5), one as (select distinct link as url from e join s using (url) where link not in (select url from s)), two as (select distinct link as url from e join one using (url) where link not in (select url from s) and link not in (select url from one)) select url, 0 as depth from s union all select url, 1 from one union all select url, 2 from two")
+def q69_crawl(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    edges = H.links(p).join(p.select("page_id", "url"), "page_id").select("url", "pos", "link")
+    return H.crawl(p.filter("page_id % 10 = 0").select("url"), edges, depth=2)
+
+
+@query()
+def q70_html_sections(spark, sf_dir):
+    s = table(spark, sf_dir, "pages").select("page_id", F.posexplode(H.sections("html")).alias("pos", "s"))
+    return s.select("page_id", "pos", "s.heading", "s.text", F.size("s.items").alias("n_items"))
