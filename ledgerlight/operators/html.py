@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NOISE = ("script", "style", "nav", "footer", "header", "iframe", "noscript", "aside")
 #: Hosts with their lender, in order; the first that the host contains.
@@ -130,7 +131,10 @@ def _sections(html: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<heading:string,text:string,items:array<string>>>")
+SECTIONS = T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("text", T.StringType()), T.StructField("items", T.ArrayType(T.StringType()))]))
+
+
+@F.pandas_udf(SECTIONS)
 def sections(html: pd.Series) -> pd.Series:
     """Sections of a page by its headings. The walk needs a parser, so it runs in Arrow batches."""
     return html.map(_sections)
