@@ -25,6 +25,8 @@ from .suffixes import permuted_lcp, suffix_array
 from .tokens import U64, find, mix, uniques
 
 LENGTH, GRAM = 50, 20
+#: Bytes of strings in one suffix array, about; sorting takes some hundred times as much memory.
+SHARD_BYTES = 2 << 20
 #: Bytes whose windows are hashed at once, so that the arrays stay in the processor's cache.
 AT_ONCE = 1 << 17
 _MUL = U64(0xA24BAED4963EE407)
@@ -142,6 +144,7 @@ class _Wanted:
         self.text, self.id = text[order][new], ids[order][new]
         bucket_of = (anchor >> U64(32)) * U64(buckets) >> U64(32)
         self.bucket = bucket_of[order][new].astype(np.int64)
+        self.part = (anchor & U64(255)).astype(np.uint8)[order][new]
 
 
 def _deal(s: Seg, answers: list[dict], buckets: int):
@@ -155,7 +158,7 @@ def _deal(s: Seg, answers: list[dict], buckets: int):
             new = np.ones(len(q), bool)
             new[1:] = text[1:] != text[:-1]
             own = [w.texts[k] for k in text[new].tolist()]
-            yield {"bucket": b, "seg": s.seg, "texts": squeeze(b"".join(own)), "lens": enc(np.array([len(x) for x in own], np.int32)), "per": enc(np.diff(np.flatnonzero(new), append=len(q)).astype(np.int32)), "ids": enc(w.id[q])}
+            yield {"bucket": b, "seg": s.seg, "texts": squeeze(b"".join(own)), "lens": enc(np.array([len(x) for x in own], np.int32)), "parts": enc(w.part[q][new]), "per": enc(np.diff(np.flatnonzero(new), append=len(q)).astype(np.int32)), "ids": enc(w.id[q])}
 
 
 def _least_ids(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]:
@@ -178,19 +181,28 @@ def _least_ids(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]:
 
 
 def _answer(rows: list[dict]):
-    """One suffix array for a shard's distinct strings."""
+    """Sorts a bucket's distinct strings in shards of bounded size; strings with one anchor are in one shard."""
     seen: dict[bytes, int] = {}
+    part: list[int] = []
     asked = []
     for r in rows:
         raw, at, k = expand(r["texts"]), 0, []
-        for n in dec(r["lens"], np.int32).tolist():
+        for n, p in zip(dec(r["lens"], np.int32).tolist(), dec(r["parts"], np.uint8).tolist(), strict=True):
             k.append(seen.setdefault(raw[at : at + n], len(seen)))
             at += n
+            if len(part) < len(seen):
+                part.append(p)
         asked.append((np.repeat(np.array(k, np.int64), dec(r["per"], np.int32)), dec(r["ids"], np.int64)))
     text, ids = np.concatenate([a for a, _ in asked]), np.concatenate([b for _, b in asked])
     least = np.full(len(seen), np.iinfo(np.int64).max)
     np.minimum.at(least, text, ids)
-    low = _least_ids(list(seen), least)
+    strings, shards = list(seen), min(256, -(-sum(map(len, seen)) // SHARD_BYTES))
+    low: list = [None] * len(strings)
+    for shard in range(shards):
+        own = np.flatnonzero(np.array(part) % shards == shard)
+        if len(own):
+            for i, x in zip(own.tolist(), _least_ids([strings[i] for i in own.tolist()], least[own]), strict=True):
+                low[i] = x
     count = np.array([len(x) for x in low])
     offset = np.cumsum(count) - count
     flat = np.concatenate(low)
@@ -244,6 +256,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row for each document with the byte spans that are covered by repeats: SPANS holds the columns."""
     segs = Segments(docs, id_col, text_col)
     shared = by_bucket(segs.emit(_emit, "bucket int, seg long, keys binary, many binary"), _shared, ANSWER, "anchors")
-    dealt = segs.with_answers(shared, _deal, "bucket int, seg long, texts binary, lens binary, per binary, ids binary")
+    dealt = segs.with_answers(shared, _deal, "bucket int, seg long, texts binary, lens binary, parts binary, per binary, ids binary")
     masks = by_bucket(dealt, _answer, ANSWER, "masks")
     return segs.with_answers(shared.unionByName(masks), _apply, SPANS)
