@@ -2,7 +2,7 @@
 
 Each source is cut into blocks by a hash of its documents. Its target, in words, is drawn as whole passes over its
 blocks in permuted order and a last pass that ends inside one block, where documents are taken in permuted order as
-long as they fit. The numbers of blocks drawn from each source are the colours of an urn; a binary tree over the
+long as they fit; what then is missing is taken from the first one that did not fit, so that the target is met. The numbers of blocks drawn from each source are the colours of an urn; a binary tree over the
 output shards halves the urn again and again, each split a multivariate-hypergeometric draw, so that each shard has
 an exact quota of blocks of each source. Shards then take disjoint runs of each source's permuted blocks and order
 their documents by hash.
@@ -121,8 +121,8 @@ def quotas(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def _ending(placed: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The documents of the block in which the last pass ends: those before its end, then of the next LOOK_AHEAD
-    each that still fits."""
+    """The documents of the block in which the last pass ends, with the words taken of them: those before its end, then
+    of the next LOOK_AHEAD each that still fits, then a part of the first that did not."""
     cut = blocks.filter("part > 0").select(F.col("source").alias("_mix_source"), F.col("block").alias("_mix_block"), "part")
     edge = placed.join(cut, placed["source"].eqNullSafe(F.col("_mix_source")) & (placed["block"] == F.col("_mix_block"))).filter("size > 0")
     order = W.Window.partitionBy("_mix_source", "_mix_block").orderBy("_mix_key", "doc_id", "size")
@@ -132,14 +132,19 @@ def _ending(placed: DataFrame, blocks: DataFrame) -> DataFrame:
     late = edge.filter("not _in and _late <= %d" % LOOK_AHEAD).groupBy("_mix_source", "_mix_block").agg(F.sort_array(F.collect_list(F.struct("_mix_key", *cols[:-1]))).alias("d"), F.first("part").alias("part"))
     done = edge.filter("_in").groupBy("_mix_source", "_mix_block").agg(F.sum("size").alias("done")).toDF("_s", "_b", "done")
     late = late.join(done, late["_mix_source"].eqNullSafe(F.col("_s")) & (late["_mix_block"] == F.col("_b")), "left")
-    fit = lambda acc, x: F.when(acc["left"] >= x["size"], F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["took"], F.array(x)).alias("took"))).otherwise(acc)
-    took = F.aggregate("d", F.struct((F.col("part") - F.coalesce("done", F.lit(0))).alias("left"), F.slice("d", 1, 0).alias("took")), fit)["took"]
-    return edge.filter("_in").select(cols).unionByName(late.select(F.explode(took).alias("x")).select(*[F.col("x")[c].alias(c) for c in cols]))
+    take = lambda acc, x: F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["took"], F.array(x.withField("words", x["size"]))).alias("took"), acc["spare"].alias("spare"))
+    skip = lambda acc, x: F.struct(acc["left"].alias("left"), acc["took"].alias("took"), F.coalesce(acc["spare"], x).alias("spare"))
+    end = lambda acc: F.when((acc["left"] > 0) & acc["spare"].isNotNull(), F.concat(acc["took"], F.array(acc["spare"].withField("words", acc["left"])))).otherwise(acc["took"])
+    none = F.get("d", F.lit(-1))
+    start = F.struct((F.col("part") - F.coalesce("done", F.lit(0))).cast("bigint").alias("left"), F.slice(F.transform("d", lambda x: x.withField("words", x["size"])), 1, 0).alias("took"), none.alias("spare"))
+    took = F.aggregate("d", start, lambda acc, x: F.when(acc["left"] >= x["size"], take(acc, x)).otherwise(skip(acc, x)), end)
+    last = late.select(F.explode(took).alias("x")).select(*[F.col("x")[c].alias(c) for c in [*cols, "words"]])
+    return edge.filter("_in").select(*cols, F.col("size").alias("words")).unionByName(last)
 
 
 def draws(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """A row for each document that a shard gets: doc_id, source, size, source_size, target, epoch, shard, and place,
-    which orders each shard."""
+    """A row for each document that a shard gets: doc_id, source, size, words (taken of it, mostly all), source_size,
+    target, epoch, shard, and place, which orders each shard."""
     return _draws(durable(sized(docs), "sized"), depth)[0]
 
 
@@ -158,9 +163,9 @@ def _draws(rows: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     drawn = drawn.join(share, drawn["source"].eqNullSafe(F.col("_mix_source")) & (F.col("number") >= F.col("lo")) & (F.col("number") < F.col("hi")))
     drawn = durable(drawn.select(F.col("source").alias("_mix_source"), F.col("block").alias("_mix_block"), "epoch", "shard", (F.col("epoch") < F.col("whole")).alias("all")), "drawn")
     on = F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("block") == F.col("_mix_block"))
-    out = placed.drop("source_docs").filter("size > 0").join(drawn.filter("all"), on).unionByName(_ending(placed, blocks).join(drawn.filter("not all"), on))
+    out = placed.drop("source_docs").filter("size > 0").withColumn("words", F.col("size")).join(drawn.filter("all"), on).unionByName(_ending(placed, blocks).join(drawn.filter("not all"), on))
     place = F.xxhash64(F.lit(SEED), "shard", "epoch", "doc_id")
-    return out.select("doc_id", "source", "size", "source_size", "target", "epoch", "shard", place.alias("place")), placed
+    return out.select("doc_id", "source", "size", "words", "source_size", "target", "epoch", "shard", place.alias("place")), placed
 
 
 def taken(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -168,19 +173,20 @@ def taken(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     Rows that agree in doc_id, source and size have equal draws; each gets an equal share of them."""
     got, every = _draws(durable(sized(docs), "sized"), depth)
     empty = F.lit(0).cast("bigint")
-    both = got.select("doc_id", "source", "size", "source_size", "target", F.col("size").alias("took"), empty.alias("row")).unionByName(every.select("doc_id", "source", "size", "source_size", "target", empty.alias("took"), F.lit(1).cast("bigint").alias("row")))
+    both = got.select("doc_id", "source", "size", "source_size", "target", F.col("words").alias("took"), empty.alias("row")).unionByName(every.select("doc_id", "source", "size", "source_size", "target", empty.alias("took"), F.lit(1).cast("bigint").alias("row")))
     sums = both.groupBy("doc_id", "source", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("took").alias("took"), F.sum("row").alias("rows"))
     # rows that agree: the first rows get one draw more if the draws do not divide
     each = sums.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1))).withColumn("n", F.when(F.col("size") > 0, F.floor(F.col("took") / F.col("size"))).otherwise(0))
     share = F.floor(F.col("n") / F.col("rows")) + (F.col("i") < F.col("n") % F.col("rows")).cast("bigint")
-    return each.select("doc_id", "source", "size", "source_size", "target", (share * F.col("size")).cast("bigint").alias("taken"))
+    part = F.when(F.col("i") == F.col("n") % F.col("rows"), F.col("took") - F.col("n") * F.col("size")).otherwise(0)
+    return each.select("doc_id", "source", "size", "source_size", "target", (share * F.col("size") + part).cast("bigint").alias("taken"))
 
 
 def mix(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """docs in the mix: a row for each document that is drawn, its own columns, then mix_words (words the mix takes)
     and mix_shards (the shards that got it, with repeats). The text is joined once, not for each draw."""
     ids = docs.withColumn("_mix_words", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint"))
-    got = draws(docs, depth).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("shard")).alias("mix_shards"))
-    got = got.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), (F.col("n") * F.col("size")).alias("mix_words"), "mix_shards")
+    got = draws(docs, depth).groupBy("doc_id", "source", "size").agg(F.sum("words").alias("mix_words"), F.sort_array(F.collect_list("shard")).alias("mix_shards"))
+    got = got.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "mix_words", "mix_shards")
     on = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_words") == F.col("_mix_size"))
     return ids.join(got, on).drop("_mix_id", "_mix_source", "_mix_size", "_mix_words")
