@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -252,8 +253,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 
 def _digests(words: int):
-    import pandas as pd
-
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([digest(s) for s in shingle_sets([(t or "").encode() for t in texts], words)])
 
