@@ -28,6 +28,11 @@ CATEGORY = {"monthly_income": "low_income", "credit_score": "low_cibil", "age":
 _COMPARE = {">=": Column.__ge__, "<=": Column.__le__, ">": Column.__gt__, "<": Column.__lt__, "==": Column.__eq__, "!=": Column.__ne__}
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """Half to even on the binary value, as scripts round; bround() would round the shortest decimal form."""
+    return F.rint(x * 10**digits) / 10**digits
+
+
 def actual(field: str) -> Column:
     value = F.col(field)
     return F.coalesce(value, F.lit(DEFAULTS[field])) if field in DEFAULTS else value
@@ -83,12 +88,12 @@ def evaluate(profiles: DataFrame, rules: list[Rule]) -> DataFrame:
 
     def scored(b: Column) -> Column:
         eligible = F.when(b["logic"] == "all", (b["n_fail"] == 0) & ~b["critical_missing"]).otherwise(b["n_pass"] > 0)
-        score = F.bround(b["n_pass"] / F.greatest(b["n_pass"] + b["n_fail"], F.lit(1)), 3)
+        score = _rounded(b["n_pass"] / F.greatest(b["n_pass"] + b["n_fail"], F.lit(1)), 3)
         return F.struct(*[b[c].alias(c) for c in ("bank", "bank_ord", "loan_type", "logic", "evals", "n_pass", "n_fail", "n_missing", "critical_missing")], eligible.alias("eligible"), score.alias("rule_score"))
 
     def final(b: Column) -> Column:
         raw = b["rule_score"] - b["n_fail"] * 0.15 - b["n_missing"] * 0.05
-        return b.withField("final_score", F.bround(F.greatest(F.when(b["eligible"], raw).otherwise(F.least(raw, F.lit(0.60))), F.lit(0.05)), 2))
+        return b.withField("final_score", _rounded(F.greatest(F.when(b["eligible"], raw).otherwise(F.least(raw, F.lit(0.60))), F.lit(0.05)), 2))
 
     banks = F.array(*lenders)
     for step in (counted, scored, final):
@@ -148,15 +153,15 @@ def reason(evaluated: DataFrame) -> DataFrame:
     d = d.withColumn("critical_fail", critical).withColumn("avg_rule_score", average)
     raw = F.least(0.85 + F.col("avg_rule_score") * 0.14, F.lit(0.99))
     raw = F.when(F.col("critical_fail"), F.least(raw, F.lit(0.60))).otherwise(raw) - F.greatest(F.col("n_rejected") - 1, F.lit(0)) * 0.04
-    d = d.withColumn("confidence", F.bround(F.greatest(F.lit(0.05), F.least(raw, F.lit(0.99))), 2))
+    d = d.withColumn("confidence", _rounded(F.greatest(F.lit(0.05), F.least(raw, F.lit(0.99))), 2))
     core = sum((F.col(f).isNotNull().cast("int") for f in CRITICAL), F.lit(0))
     return d.withColumn("floored_confidence", F.greatest("confidence", F.when(core == 3, 0.80).when(core == 2, 0.65).otherwise(0.0)))
 
 
 def retrieval_confidence(scores: Column, count: Column) -> Column:
     """Confidence of an answer from retrieval alone."""
-    mean = F.when(F.size(scores) > 0, F.bround(F.least(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores), F.lit(1.0)), 3)).otherwise(F.least(count / 8, F.lit(1.0)))
-    return F.when(count == 0, 0.10).otherwise(F.bround(F.least(0.60 + mean * 0.20, F.lit(0.84)), 2))
+    mean = F.when(F.size(scores) > 0, _rounded(F.least(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores), F.lit(1.0)), 3)).otherwise(F.least(count / 8, F.lit(1.0)))
+    return F.when(count == 0, 0.10).otherwise(_rounded(F.least(0.60 + mean * 0.20, F.lit(0.84)), 2))
 
 
 def failure_summary(reasoned: DataFrame) -> DataFrame:
@@ -203,7 +208,7 @@ def ranked(evaluated: DataFrame) -> DataFrame:
 def partial_report(reasoned: DataFrame) -> DataFrame:
     """The alternative report: lenders with any missing field are partial; a simpler confidence."""
     partial = _count(lambda b: ~b["eligible"] & (b["n_missing"] > 0))
-    conf = F.bround(F.least(0.5 * F.col("avg_rule_score") + 0.3 * F.col("completeness") + 0.2, F.lit(0.99)), 2)
+    conf = _rounded(F.least(0.5 * F.col("avg_rule_score") + 0.3 * F.col("completeness") + 0.2, F.lit(0.99)), 2)
     return reasoned.select("profile_id", "n_eligible", partial.alias("n_partial"), (F.col("n_total") - F.col("n_eligible") - partial).alias("n_rejected"), conf.alias("report_confidence"))
 
 
@@ -218,7 +223,7 @@ def clean_profile(p: DataFrame) -> DataFrame:
         keep("credit_score", F.col("credit_score").between(300, 900)).alias("credit_score"),
         F.lower("employment_type").alias("employment_type"),
         keep("work_experience_months", (F.col("work_experience_months") > 0) & (F.col("work_experience_months") < 600)).alias("work_experience_months"),
-        F.when((dti > 0) & (dti < 1), F.bround(dti, 4)).alias("dti_ratio"),
+        F.when((dti > 0) & (dti < 1), _rounded(dti, 4)).alias("dti_ratio"),
     )
 
 
