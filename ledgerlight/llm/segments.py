@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from .codec import expand, squeeze
 from .store import bucketed, durable, partitions
 
-#: Bytes of text in a segment (a longer document is a segment of its own).
-SEGMENT_BYTES = 4 << 20
-#: Bytes of text whose keys one bucket answers for, on average.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text in a segment (a longer document is a segment of its own), and bytes of text whose keys one bucket
+#: answers for, on average. An exchange has at most (bytes / segment) * (bytes / bucket) rows, so both grow with the
+#: executors' memory and the input: spark.ledgerlight.segmentBytes and spark.ledgerlight.bucketBytes set them. These
+#: values suit workers of half a gigabyte.
+SEGMENT_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: Stands for a null id: larger than every id that compares.
 NO_ID = np.iinfo(np.int64).max
 
@@ -50,9 +51,9 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
-def _pack(batches):
+def _pack(batches, cap):
     base = TaskContext.get().partitionId() << 32
-    for k, (ids, lens, blob) in enumerate(packs(batches)):
+    for k, (ids, lens, blob) in enumerate(packs(batches, cap)):
         yield pa.RecordBatch.from_pydict({"seg": [base + k], "ids": pa.array([ids], pa.list_(pa.int64())), "lens": pa.array([lens], pa.list_(pa.int32())), "raw": [len(blob)], "blob": pa.array([squeeze(blob)], pa.binary())})
 
 
@@ -61,9 +62,10 @@ class Segments:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         spark = docs.sparkSession
-        self.df = bucketed(texts_of(docs, id_col, text_col).mapInArrow(_pack, SCHEMA), "segments", "seg", partitions(spark))
+        cap, each = (int(spark.conf.get(f"spark.ledgerlight.{k}Bytes", str(v))) for k, v in (("segment", SEGMENT_BYTES), ("bucket", BUCKET_BYTES)))
+        self.df = bucketed(texts_of(docs, id_col, text_col).mapInArrow(lambda b: _pack(b, cap), SCHEMA), "segments", "seg", partitions(spark))
         total = self.df.agg(F.sum("raw")).first()[0] or 0
-        self.buckets = max(partitions(spark), -(-total // BUCKET_BYTES))
+        self.buckets = max(partitions(spark), -(-total // each))
 
     def emit(self, fn: Callable[[Seg, int], Iterator[dict]], schema: str) -> DataFrame:
         """Rows that fn makes of each segment by itself."""

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[str] = []
+_TABLES: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where the session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -21,6 +25,7 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back. Later stages never recompute it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -29,9 +34,24 @@ def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
     """Like durable(), but bucketed by key, so that later joins and co-groups on key do not shuffle this side."""
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}")
+    _TABLES.append(name)
     df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Removes what this process has written to the shared folder. Results that still read it are gone with it, so
+    call this when they have been saved."""
+    jvm = spark.sparkContext._jvm
+    for name in _TABLES:
+        spark.sql(f"drop table if exists {name}")
+    for path in _WRITTEN:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _TABLES.clear()
+    _WRITTEN.clear()

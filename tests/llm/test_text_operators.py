@@ -299,3 +299,14 @@ def test_added_spans_and_redaction(spark):
     assert [got[k].text for k in range(3)] == ["call me at [PHONE] please", "write [EMAIL] now", "card [CARD] ok"]
     assert [got[k + 3].text for k in range(3)] == no and got[9].text is None
     assert all(got[k].n_chars == len(got[k].text) for k in range(6))
+
+
+def test_released_tables_are_gone(spark, docs):
+    import glob
+
+    from ledgerlight.llm import store
+
+    base = store.shared_dir(spark).removeprefix("file://")
+    assert chunks.chunk_dedup(docs).count() and glob.glob(f"{base}/segments_*")
+    store.release(spark)
+    assert not glob.glob(f"{base}/segments_*") and not [t for t in spark.catalog.listTables() if t.name.startswith("segments_")]
