@@ -21,7 +21,7 @@ from .segments import Seg, Segments, by_bucket, split
 from .tokens import U64
 
 #: Shortest and longest chunk in bytes; a cut stands at one of 2**BITS places on average.
-LEAST, MOST, BITS = 16, 256, 5
+LEAST, MOST, BITS = 16, 256, 4
 #: Shortest run of repeats that is removed, in bytes.
 MIN_RUN = 64
 _GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256).astype(np.uint16)
