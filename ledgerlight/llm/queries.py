@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chunks, decontaminate, langid, mixing, neighbours, ngrams, pii, quality, repeats, similar
+from .oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,4 +55,4 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_lm_score, op4_pii, op5_chunk_dedup, op6_language, op7_similar, op8_mix, op9_quality, op10_neighbours)}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

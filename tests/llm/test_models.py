@@ -200,3 +200,19 @@ def test_pipeline_on_nothing(spark, empty, tmp_path):
         stage(spark, docs, "/root/testdata/sf0.001").write.parquet(out)
         docs = spark.read.parquet(out)
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op2_suffix_dedup", "op7_similar", "op8_mix"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from ledgerlight.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.execute(ORACLES[name]).fetchall()
+    columns = [c[0] for c in con.description]
+    got = QUERIES[name](spark, "/root/testdata/sf0.001").select(*columns).collect()
+    tidy = lambda rows: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+    assert tidy(got) == tidy(want)
