@@ -84,3 +84,9 @@ def q61_table_sentences(spark, sf_dir):
     g = p.groupBy(F.col("p_brand").alias("brand")).agg(cells("p_name", "p_size").alias("two"), cells("p_name", "p_size", "p_partkey").alias("many"))
     head = lambda *x: F.array(*map(F.lit, x))
     return g.select("brand", F.array_join(X.key_value_sentences(head("name", "size"), F.col("two")), " ").alias("sentences"), F.array_join(X.key_value_sentences(head("name", "size", "key"), F.col("many")), " ").alias("entries"))
+
+
+@query(_R + f""", o as (select bank, {_FILLED} as c, row_number() over (partition by bank order by id) as k from rec)
+, fold as (select * from (with recursive w as (select bank, cast(0 as bigint) as k, 0e0 as m from (select distinct bank from o) union all select w.bank, w.k + 1, rint((w.m * w.k + o.c) / (w.k + 1) * 100) / 100 from w join o on o.bank = w.bank and o.k = w.k + 1) select bank, arg_max(m, k) as running from w group by bank)) select * from fold""".replace("rint(", "round_even(").replace("* 100) / 100 from w", ", 2) from w"))
+def q62_running_confidence(spark, sf_dir):
+    return R.running_confidence(_records(spark, sf_dir), "id")

@@ -135,3 +135,14 @@ def q12_profile_merge(spark, sf_dir):
 def q13_rule_catalogue(spark, sf_dir):
     assert banks(RULES)
     return rules_table(spark, RULES).groupBy("bank").agg(F.count("*").alias("n_rules"), F.count("num_value").alias("n_numeric"))
+
+
+@query(_BASE + """, x as (select f.profile_id, f.bank, n_pass, n_rules from f) select h.profile_id, case when best_bank is not null then best_bank || ' fits best: ' || a.n_pass || ' of ' || a.n_rules || ' rules passed' when closest_bank is not null then 'no lender fits; ' || closest_bank || ' comes closest: ' || c.n_pass || ' of ' || c.n_rules || ' rules passed' else 'no lender fits' end as sentence
+from h left join x a on a.profile_id = h.profile_id and a.bank = best_bank left join x c on c.profile_id = h.profile_id and c.bank = closest_bank""")
+def q14_best_sentence(spark, sf_dir):
+    return R.best_sentence(_evaluated(spark, sf_dir))
+
+
+@query(_BASE + """select h.profile_id, 'decision: ' || decision || chr(10) || string_agg(bank || ': ' || case when eligible then 'eligible' when critical_missing then 'needs ' || missing else 'fails ' || failed end, chr(10) order by bank_ord) as prompt from h join f using (profile_id) group by h.profile_id, decision""")
+def q15_prompt(spark, sf_dir):
+    return R.prompt(_evaluated(spark, sf_dir))

@@ -54,3 +54,8 @@ def q69_crawl(spark, sf_dir):
 def q70_html_sections(spark, sf_dir):
     s = table(spark, sf_dir, "pages").select("page_id", F.posexplode(H.sections("html")).alias("pos", "s"))
     return s.select("page_id", "pos", "s.heading", "s.text", F.size("s.items").alias("n_items"))
+
+
+@query()
+def q71_page_records(spark, sf_dir):
+    return H.page_records(table(spark, sf_dir, "pages")).select("page_id", "bank", "title", F.size("features").alias("n_features"), F.size("key_facts").alias("n_facts"), F.length("content").alias("n_content"), "confidence")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import extract as X
+
 NOISE = ("script", "style", "nav", "footer", "header", "iframe", "noscript", "aside")
 #: Hosts with their lender, in order; the first that the host contains.
 HOSTS = (("icici", "ICICI"), ("axis", "Axis"), ("hdfc", "HDFC"), ("sbi", "SBI"), ("paisa", "Aggregator"), ("bazaar", "Aggregator"))
@@ -140,13 +142,57 @@ def sections(html: pd.Series) -> pd.Series:
     return html.map(_sections)
 
 
-#: Readers of single sites: host part -> function from sections to a dict of fields. Others are read generically.
-READERS: dict = {}
-
-
-def reader(part: str):
-    def register(f):
-        READERS[part] = f
-        return f
-
-    return register
+# Headings worth reading, and per site where it keeps things (words of a heading; how long list items are).
+FINANCE = "(?i)interest|rate|eligib|fee|charge|document|feature|benefit|tenure|income|cibil|emi"
+SITES = {
+    "ICICI": {"eligibility": "eligib", "charges": "fee|charge", "features": "feature|benefit|highlight|advantage", "item": (15, 250)},
+    "Axis": {"eligibility": "eligib", "charges": "fee|charge|rate", "features": ".", "item": (15, 250)},
+    "SBI": {"eligibility": "eligib", "charges": "rate|interest", "features": "feature|benefit", "item": (30, 500)},
+    "Aggregator": {"eligibility": "eligib", "charges": "rate|fee", "features": "rate|eligib|faq|question", "item": (20, 300)},
+    "generic": {"eligibility": "eligib", "charges": "fee|charge", "features": FINANCE, "item": (10, 300)},
+}
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    """A record for each page, by the rules of its site: rates, income, ages, employment, processing fee, features, key
+    facts, content, and the share of fields that were found."""
+    p = pages.select("page_id", "url", F.coalesce(title(F.col("html")), F.lit("")).alias("title"), body(F.col("html")).alias("content"), sections("html").alias("s"), lender(F.col("url")).alias("bank"))
+
+    def by_site(key: str) -> Column:
+        out = F.lit(SITES["generic"][key])
+        for name, spec in SITES.items():
+            out = F.when(F.col("bank") == name, F.lit(spec[key])).otherwise(out)
+        return out
+
+    def bound(k: int) -> Column:
+        out = F.lit(SITES["generic"]["item"][k])
+        for name, spec in SITES.items():
+            out = F.when(F.col("bank") == name, F.lit(spec["item"][k])).otherwise(out)
+        return out
+
+    def under(pattern: Column) -> Column:
+        hit = F.filter("s", lambda x: F.regexp_like(F.lower(x["heading"]), pattern))
+        return F.array_join(F.transform(hit, lambda x: F.concat_ws(" ", x["heading"], x["text"], F.array_join(x["items"], " "))), " ")
+
+    p = p.withColumns({"eligibility": under(by_site("eligibility")), "charges": under(by_site("charges"))})
+    items = F.flatten(F.transform(F.filter("s", lambda x: F.regexp_like(F.lower(x["heading"]), by_site("features"))), lambda x: x["items"]))
+    facts = F.filter(F.transform(F.filter("s", lambda x: F.regexp_like(x["heading"], F.lit(FINANCE))), lambda x: F.substring(x["text"], 1, 400)), lambda t: F.length(t) > 50)
+    first = lambda f: F.coalesce(f(F.col("charges")), f(F.col("eligibility")), f(F.col("content")))
+    r = p.select(
+        "page_id", "url", "bank", "title",
+        first(X.rate_range).alias("rates"),
+        F.coalesce(X.monthly_income(F.nullif(F.regexp_extract("eligibility", "(?i)(?:income|salary)(.{0,40})", 1), F.lit("")))).alias("income"),
+        X.age_range(F.col("eligibility")).alias("ages"),
+        X.employment_kinds(F.col("eligibility")).alias("employment"),
+        X.percent(F.nullif(F.regexp_extract("charges", "(?i)processing fee(.{0,40})", 1), F.lit(""))).alias("fee_pct"),
+        F.slice(F.array_distinct(F.filter(items, lambda x: (F.length(x) > bound(0)) & (F.length(x) < bound(1)))), 1, 20).alias("features"),
+        F.slice(facts, 1, 10).alias("key_facts"),
+        "content",
+    )
+    found = [F.col(c).isNotNull() for c in ("rates", "income", "ages", "fee_pct")] + [F.size(c) > 0 for c in ("employment", "features", "key_facts")] + [F.length("content") > 0]
+    return r.withColumn("confidence", sum((f.cast("int") for f in found), F.lit(0)) / len(found))
+
+
+def table_facts(headers: Column, rows: Column) -> Column:
+    """Comparison tables as `header: cell` facts, a string for each row."""
+    return F.transform(rows, lambda r: F.array_join(F.filter(F.zip_with(headers, r, lambda h, c: F.when(F.trim(c) != "", F.concat(h, F.lit(": "), c))), lambda x: x.isNotNull()), ", "))

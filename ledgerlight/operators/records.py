@@ -56,3 +56,11 @@ def rag_text() -> Column:
         F.concat(F.lit("Minimum score "), F.col("min_cibil").cast("string"), F.lit(".")),
         F.when(F.length(F.trim("content")) > 100, F.substring(F.trim("content"), 1, 800)),
     )
+
+
+def running_confidence(records: DataFrame, order: str) -> DataFrame:
+    """The mean confidence of each lender as a running mean that is rounded to two places after every record, in
+    order; it depends on the order, so the records of a lender (a few scalars) are folded in one row."""
+    c = records.groupBy("bank").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), confidence().alias("c")))).alias("cs"))
+    step = lambda a, x: F.struct((a["n"] + 1).alias("n"), (F.rint((a["m"] * a["n"] + x["c"]) / (a["n"] + 1) * 100) / 100).alias("m"))
+    return c.select("bank", F.aggregate("cs", F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("m")), step)["m"].alias("running"))

@@ -230,3 +230,18 @@ def clean_profile(p: DataFrame) -> DataFrame:
 def merge_profiles(first: DataFrame, second: DataFrame) -> DataFrame:
     """Field by field, first wins over second."""
     return first.alias("a").join(second.alias("b"), "profile_id", "left").select("profile_id", *[F.coalesce(F.col(f"a.{f}"), F.col(f"b.{f}")).alias(f) for f in FIELDS])
+
+
+def best_sentence(evaluated: DataFrame) -> DataFrame:
+    """Why the best lender is the best one, or which came closest."""
+    r = reason(evaluated)
+    of = lambda name: F.get(F.filter("banks", lambda b: b["bank"] == F.col(name)), 0)
+    yes = F.format_string("%s fits best: %d of %d rules passed", F.col("best_bank"), of("best_bank")["n_pass"], F.size(of("best_bank")["evals"]))
+    near = F.format_string("no lender fits; %s comes closest: %d of %d rules passed", F.col("closest_bank"), of("closest_bank")["n_pass"], F.size(of("closest_bank")["evals"]))
+    return r.select("profile_id", F.when(F.col("best_bank").isNotNull(), yes).when(F.col("closest_bank").isNotNull(), near).otherwise(F.lit("no lender fits")).alias("sentence"))
+
+
+def prompt(evaluated: DataFrame) -> DataFrame:
+    """What a writer is told: the decision and a line for each lender, in which missing is not failed."""
+    line = lambda b: F.concat(b["bank"], F.lit(": "), F.when(b["eligible"], F.lit("eligible")).when(b["critical_missing"], F.concat(F.lit("needs "), messages(b["evals"], "missing"))).otherwise(F.concat(F.lit("fails "), messages(b["evals"], "fail"))))
+    return reason(evaluated).select("profile_id", F.concat_ws("\n", F.concat(F.lit("decision: "), "decision"), F.array_join(F.transform("banks", line), "\n")).alias("prompt"))
