@@ -90,3 +90,15 @@ def q61_table_sentences(spark, sf_dir):
 , fold as (select * from (with recursive w as (select bank, cast(0 as bigint) as k, 0e0 as m from (select distinct bank from o) union all select w.bank, w.k + 1, rint((w.m * w.k + o.c) / (w.k + 1) * 100) / 100 from w join o on o.bank = w.bank and o.k = w.k + 1) select bank, arg_max(m, k) as running from w group by bank)) select * from fold""".replace("rint(", "round_even(").replace("* 100) / 100 from w", ", 2) from w"))
 def q62_running_confidence(spark, sf_dir):
     return R.running_confidence(_records(spark, sf_dir), "id")
+
+
+@query(_R + """, h as (select *, substr(sha256(content), 1, 16) as hash from rec), s as (select hash, source_url from h where id < 8) select id from h where id >= 8 and hash not in (select hash from s) and source_url not in (select source_url from s)""")
+def q63_record_unseen(spark, sf_dir):
+    h = _records(spark, sf_dir).withColumn("content_hash", F.substring(F.sha2("content", 256), 1, 16))
+    return R.unseen(h.filter("id >= 8"), h.filter("id < 8").select("content_hash", "source_url")).select("id")
+
+
+@query("select source, cast(sum(length(text)) as bigint) as total_chars, count(distinct substr(md5(text), 1, 12)) as chunk_hashes, count(distinct substr(sha256(text), 1, 16)) as file_hashes from documents group by source")
+def q64_sizes_and_hashes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("source").agg(F.sum(F.length("text")).alias("total_chars"), F.countDistinct(F.substring(F.md5("text"), 1, 12)).alias("chunk_hashes"), F.countDistinct(F.substring(F.sha2("text", 256), 1, 16)).alias("file_hashes"))

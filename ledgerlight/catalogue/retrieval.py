@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking as C
 from ..operators import numbering as N
 from ..operators import retrieval as R
+from ..operators.rules import retrieval_confidence
 from .registry import query, table
 
 _WORDS = "len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+'))".replace("\\t", "\t").replace("\\n", "\n").replace("\\r", "\r").replace("\\f", "\f")
@@ -170,3 +171,10 @@ def q38_union_renumber(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     both = d.filter("lang = 'en'").select("doc_id", F.lit("a").alias("part")).unionByName(d.filter("lang <> 'en'").select("doc_id", F.lit("b").alias("part")))
     return N.number(both, "part", "doc_id").select("doc_id", F.col("idx").cast("int").alias("idx"))
+
+
+@query(_BM25 + "select query_id, round_even(case when count(*) = 0 then 0.1e0 else least(0.60e0 + round_even(least(sum(score order by rank) / count(*), 1e0), 3) * 0.20e0, 0.84e0) end, 2) as confidence from k where rank <= 5 group by 1")
+def q39_retrieval_confidence(spark, sf_dir):
+    index, asked = _bm25(spark, sf_dir)
+    best = R.top(index.scores(asked, "item_id", "text"), 5).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("scores"))
+    return best.select("query_id", retrieval_confidence(F.col("scores"), F.size("scores")).alias("confidence"))
