@@ -44,19 +44,23 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> list[list[np.n
             to[s[part[0]]].append(part)
 
     push(np.array([len(s)], np.int32), False, larger)
+    def drain(c: int, want: bool, to: list[list[np.ndarray]]) -> None:
+        """Pushes what the bucket holds, then what that put into the same bucket, and so on."""
+        k, done = 0, []
+        while k < len(to[c]):
+            wave = np.concatenate(to[c][k:])
+            k = len(to[c])
+            done.append(wave)
+            push(wave, want, to)
+        to[c] = done
+
     for c in range(256):
-        k = 0
-        while k < len(larger[c]):
-            push(larger[c][k], False, larger)
-            k += 1
+        drain(c, False, larger)
         push(lms[bounds[c] : bounds[c + 1]], False, larger)
     for c in range(255, -1, -1):
-        k = 0
-        while k < len(smaller[c]):
-            push(smaller[c][k], True, smaller)
-            k += 1
-        for run in reversed(larger[c]):
-            push(run[::-1], True, smaller)
+        drain(c, True, smaller)
+        if larger[c]:
+            push(np.concatenate(larger[c])[::-1], True, smaller)
     return [larger, smaller]
 
 
