@@ -134,5 +134,5 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """A row for each document with what of it repeats: SPANS holds the columns; spans are byte offsets."""
     segs = Segments(docs, id_col, text_col)
     asked = segs.emit(_emit, "bucket int, seg long, hi binary, lo binary, least binary")
-    answers = by_bucket(asked, _settle, "seg long, bucket int, least binary", "chunks")
+    answers = by_bucket(asked, _settle, "seg long, bucket int, least binary", "chunks", segs.buckets)
     return segs.with_answers(answers, _apply, SPANS)

@@ -203,7 +203,7 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCORED: for each document the log10 probability under the model, and under its bottom alone."""
     segs = Segments(docs, id_col, text_col)
-    words = by_bucket(segs.emit(_emit_words, "bucket int, seg long, keys binary, counts binary"), _count_words, WORDS, "words")
+    words = by_bucket(segs.emit(_emit_words, "bucket int, seg long, keys binary, counts binary"), _count_words, WORDS, "words", segs.buckets)
     v = _Vocabulary(words)
     v.strength = strength
     answers = words.select("seg", "bucket", F.lit(1).alias("level"), "ranks", "counts")
@@ -220,7 +220,7 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, id_co
                     yield {"bucket": b, "seg": s.seg, "contexts": enc_sorted(e[0][i]), "words": enc(e[1][i].astype(np.uint32)), "counts": enc(e[2][i]), "totals": enc(e[3][i])}
 
         asked = segs.with_answers(answers, ask, "bucket int, seg long, contexts binary, words binary, counts binary, totals binary")
-        found = by_bucket(asked, lambda rows: _build(rows, strength), "seg long, bucket int, ranks binary, counts binary", "trie")
+        found = by_bucket(asked, lambda rows: _build(rows, strength), "seg long, bucket int, ranks binary, counts binary", "trie", segs.buckets)
         answers = answers.unionByName(found.select("seg", "bucket", F.lit(level).alias("level"), "ranks", "counts"))
 
     def finish(s: Seg, got: list[dict], buckets: int):

@@ -255,7 +255,7 @@ ANSWER = "seg long, bucket int, shared binary, masks binary"
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document with the byte spans that are covered by repeats: SPANS holds the columns."""
     segs = Segments(docs, id_col, text_col)
-    shared = by_bucket(segs.emit(_emit, "bucket int, seg long, keys binary, many binary"), _shared, ANSWER, "anchors")
+    shared = by_bucket(segs.emit(_emit, "bucket int, seg long, keys binary, many binary"), _shared, ANSWER, "anchors", segs.buckets)
     dealt = segs.with_answers(shared, _deal, "bucket int, seg long, texts binary, lens binary, parts binary, per binary, ids binary")
-    masks = by_bucket(dealt, _answer, ANSWER, "masks")
+    masks = by_bucket(dealt, _answer, ANSWER, "masks", segs.buckets)
     return segs.with_answers(shared.unionByName(masks), _apply, SPANS)

@@ -121,14 +121,15 @@ def _out(rows: Iterator[dict], schema: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in to], schema=to)
 
 
-def by_bucket(emitted: DataFrame, fn: Callable[[list[dict]], Iterator[dict]], schema: str, tag: str) -> DataFrame:
-    """What fn makes of all rows of each bucket, in the shared folder. Rows come in the order of seg."""
+def by_bucket(emitted: DataFrame, fn: Callable[[list[dict]], Iterator[dict]], schema: str, tag: str, buckets: int) -> DataFrame:
+    """What fn makes of all rows of each bucket, in the shared folder. Rows come in the order of seg. The number of
+    partitions is stated, as compressed buckets look small to AQE, which would put many into one task."""
 
     def run(table):
         rows = sorted(table.to_pylist(), key=lambda r: r["seg"])
         return pa.Table.from_batches(_out(fn(rows), schema), schema=_arrow(schema))
 
-    return durable(emitted.groupBy("bucket").applyInArrow(run, schema), tag)
+    return durable(emitted.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, schema), tag)
 
 
 def split(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
