@@ -15,7 +15,7 @@ from ledgerlight.operators import chunking as C
 from ledgerlight.operators import html as H
 from ledgerlight.operators import records as R
 from ledgerlight.operators import retrieval
-from ledgerlight.operators import rules as rules
+from ledgerlight.operators import rules
 from ledgerlight.sources import files, sinks
 from ledgerlight.sources.rules import default_rules, read_rules
 
@@ -32,10 +32,8 @@ def known(spark):
 
 def test_known_profiles(known):
     got = {(r.profile_id, r.bank): r for r in rules.by_bank(known).collect()}
-    passed = {"strong": (7, 7, 7, 7), "borderline": (6, 6, 7, 6), "below": (4, 4, 4, 4), "missing": (6, 6, 5, 6)}
     # lenders in order: axis, hdfc, icici, sbi; borderline: score fails at axis and sbi, income and experience at icici
     want = {"strong": (7, 7, 7, 7), "borderline": (6, 7, 5, 6), "below": (4, 4, 4, 4), "missing": (6, 6, 5, 6)}
-    assert passed.keys() == want.keys()
     for name, counts in want.items():
         assert tuple(got[name, b].n_pass for b in ("axis", "hdfc", "icici", "sbi")) == counts
     decisions = {r.profile_id: r for r in rules.reason(known).collect()}
@@ -79,7 +77,7 @@ def test_tables_and_chunks(spark):
     assert spark.range(1).select(X.key_value_sentences(F.array(F.lit("Feature"), F.lit("Value")), rows)).first()[0] == ["Interest Rate: 10.49% per annum."]
     text = " ".join(f"w{i} w w w w w w w w end." for i in range(100))
     c = [r.text.split() for r in C.chunks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("chunk_id").collect()]
-    assert [len(x) for x in c] == [400, 395, 395, 60 + 0] or all(len(x) <= 400 for x in c)
+    assert len(c) > 2 and all(len(x) <= 400 for x in c)
     assert all(b[:75] == a[-75:] for a, b in zip(c, c[1:]))
 
 
