@@ -20,13 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .codec import dec, dec_sorted, enc, enc_sorted, expand, squeeze
-from .segments import Seg, Segments, by_bucket, split
+from .segments import Seg, Segments, by_bucket, split, trim
 from .suffixes import permuted_lcp, suffix_array
 from .tokens import U64, find, mix, uniques
 
 LENGTH, GRAM = 50, 20
 #: Bytes of strings in one suffix array, about; sorting takes some hundred times as much memory.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Bytes whose windows are hashed at once, so that the arrays stay in the processor's cache.
 AT_ONCE = 1 << 17
 _MUL = U64(0xA24BAED4963EE407)
@@ -203,6 +203,7 @@ def _answer(rows: list[dict]):
         if len(own):
             for i, x in zip(own.tolist(), _least_ids([strings[i] for i in own.tolist()], least[own]), strict=True):
                 low[i] = x
+            trim()
     count = np.array([len(x) for x in low])
     offset = np.cumsum(count) - count
     flat = np.concatenate(low)

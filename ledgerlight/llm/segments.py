@@ -8,6 +8,7 @@ one entry per segment, however often it occurs, so no key can fill a task.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,15 @@ SEGMENT_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: Stands for a null id: larger than every id that compares.
 NO_ID = np.iinfo(np.int64).max
 
+
+def trim() -> None:
+    """Hands freed memory back to the system: a worker lives on after a task, and what its allocator keeps counts
+    against the executor."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
 SCHEMA = "seg long, ids array<bigint>, lens array<int>, raw long, blob binary"
 
 
@@ -65,7 +75,7 @@ class Segments:
         cap, each = (int(spark.conf.get(f"spark.ledgerlight.{k}Bytes", str(v))) for k, v in (("segment", SEGMENT_BYTES), ("bucket", BUCKET_BYTES)))
         self.df = bucketed(texts_of(docs, id_col, text_col).mapInArrow(lambda b: _pack(b, cap), SCHEMA), "segments", "seg", partitions(spark))
         total = self.df.agg(F.sum("raw")).first()[0] or 0
-        self.buckets = max(partitions(spark), -(-total // each))
+        self.buckets = max(2 * partitions(spark), -(-total // each))
 
     def emit(self, fn: Callable[[Seg, int], Iterator[dict]], schema: str) -> DataFrame:
         """Rows that fn makes of each segment by itself."""
@@ -75,6 +85,7 @@ class Segments:
             for b in batches:
                 for row in b.to_pylist():
                     yield from _out(fn(Seg(row), buckets), schema)
+                    trim()
 
         return self.df.mapInArrow(run, schema)
 
@@ -88,7 +99,9 @@ class Segments:
                 yield from _out(fn(Seg(row), rows, buckets), schema)
 
         def table(key, left, right):
-            return pa.Table.from_batches(run(key, left, right), schema=_arrow(schema))
+            out = pa.Table.from_batches(run(key, left, right), schema=_arrow(schema))
+            trim()
+            return out
 
         return self.df.groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(table, schema)
 
@@ -127,7 +140,10 @@ def by_bucket(emitted: DataFrame, fn: Callable[[list[dict]], Iterator[dict]], sc
 
     def run(table):
         rows = sorted(table.to_pylist(), key=lambda r: r["seg"])
-        return pa.Table.from_batches(_out(fn(rows), schema), schema=_arrow(schema))
+        del table
+        out = pa.Table.from_batches(_out(fn(rows), schema), schema=_arrow(schema))
+        trim()
+        return out
 
     return durable(emitted.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, schema), tag)
 
