@@ -196,21 +196,25 @@ def _answer(rows: list[dict]):
     text, ids = np.concatenate([a for a, _ in asked]), np.concatenate([b for _, b in asked])
     least = np.full(len(seen), np.iinfo(np.int64).max)
     np.minimum.at(least, text, ids)
-    strings, shards = list(seen), min(256, -(-sum(map(len, seen)) // SHARD_BYTES))
-    low: list = [None] * len(strings)
-    for shard in range(shards):
-        own = np.flatnonzero(np.array(part) % shards == shard)
-        if len(own):
-            for i, x in zip(own.tolist(), _least_ids([strings[i] for i in own.tolist()], least[own]), strict=True):
-                low[i] = x
-            trim()
-    count = np.array([len(x) for x in low])
-    offset = np.cumsum(count) - count
-    flat = np.concatenate(low)
+    shards = min(256, -(-sum(map(len, seen)) // SHARD_BYTES))
+    shard_of = np.array(part) % shards
+    strings = list(seen)
+    del seen, part
     masks = np.zeros(len(text), U64)
-    for bit in range(int(count.max())):
-        has = np.flatnonzero(count[text] > bit)
-        masks[has] |= (flat[offset[text[has]] + bit] < ids[has]).astype(U64) << U64(bit)
+    for shard in range(shards):
+        own = np.flatnonzero(shard_of == shard)
+        if not len(own):
+            continue
+        low = _least_ids([strings[i] for i in own.tolist()], least[own])
+        count = np.array([len(x) for x in low])
+        offset, flat = np.cumsum(count) - count, np.concatenate(low)
+        asks = np.flatnonzero(shard_of[text] == shard)
+        mine, mark = np.searchsorted(own, text[asks]), np.zeros(len(asks), U64)
+        for bit in range(int(count.max())):
+            has = np.flatnonzero(count[mine] > bit)
+            mark[has] |= (flat[offset[mine[has]] + bit] < ids[asks[has]]).astype(U64) << U64(bit)
+        masks[asks] = mark
+        trim()
     at = 0
     for r, (k, _) in zip(rows, asked, strict=True):
         yield {"seg": r["seg"], "bucket": r["bucket"], "shared": None, "masks": enc(masks[at : at + len(k)])}
@@ -255,7 +259,7 @@ ANSWER = "seg long, bucket int, shared binary, masks binary"
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document with the byte spans that are covered by repeats: SPANS holds the columns."""
-    segs = Segments(docs, id_col, text_col)
+    segs = Segments(docs, id_col, text_col, spread=4)
     shared = by_bucket(segs.emit(_emit, "bucket int, seg long, keys binary, many binary"), _shared, ANSWER, "anchors", segs.buckets)
     dealt = segs.with_answers(shared, _deal, "bucket int, seg long, texts binary, lens binary, parts binary, per binary, ids binary")
     masks = by_bucket(dealt, _answer, ANSWER, "masks", segs.buckets)

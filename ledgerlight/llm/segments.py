@@ -70,12 +70,13 @@ def _pack(batches, cap):
 class Segments:
     """Packed documents in the shared folder, bucketed by segment, with the number of key buckets that suits them."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = 2):
+        """spread: least buckets for each partition of a shuffle; more of them are smaller."""
         spark = docs.sparkSession
         cap, each = (int(spark.conf.get(f"spark.ledgerlight.{k}Bytes", str(v))) for k, v in (("segment", SEGMENT_BYTES), ("bucket", BUCKET_BYTES)))
         self.df = bucketed(texts_of(docs, id_col, text_col).mapInArrow(lambda b: _pack(b, cap), SCHEMA), "segments", "seg", partitions(spark))
         total = self.df.agg(F.sum("raw")).first()[0] or 0
-        self.buckets = max(2 * partitions(spark), -(-total // each))
+        self.buckets = max(spread * partitions(spark), -(-total * spread // (2 * each)))
 
     def emit(self, fn: Callable[[Seg, int], Iterator[dict]], schema: str) -> DataFrame:
         """Rows that fn makes of each segment by itself."""
