@@ -3,7 +3,8 @@
 A text is the mean of the embeddings of its hashed byte n-grams; embeddings and softmax are trained together by
 stochastic gradient descent in numpy on a bounded sample of labelled rows. A temperature fitted on rows left out of
 the descent calibrates the scores, and the lowest score at which kept rows reach TRUST accuracy is the threshold
-below which a prediction counts as rejected.
+below which a prediction counts as rejected. Every language that a row not held out names is learned, however many
+there are and however rare: with many, the larger ones give fewer rows each; rows of the small ones are repeated.
 
 A null text, or one without a letter, is `und` with score 0 and rejected; so is every row if there is nothing to
 learn from. A null id is held out. Repeated rows are predicted each for itself. Extra columns are not read.
@@ -18,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import per_class, remainder
+from .sampling import every_class, remainder
 
-#: Rows learned from per language, and languages learned at most (the most frequent ones).
-PER_LANGUAGE, LANGUAGES = 400, 64
+#: Rows learned from per language, and of all languages together (one row a language at least).
+PER_LANGUAGE, ROWS = 400, 25600
 BUCKET_BITS, DIMS, SIZES, EPOCHS, BATCH, RATE = 15, 8, (2, 3, 4), 6, 32, 4.0
 #: Accuracy that accepted predictions shall have.
 TRUST = 0.99
-#: Bytes of text that are scored at once.
-AT_ONCE = 1 << 20
+#: Bytes of text, and scores of a text in a language, that are computed at once.
+AT_ONCE, SCORES = 1 << 20, 1 << 20
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _CLEAN = np.arange(256, dtype=np.uint64)
@@ -48,7 +49,8 @@ def subwords(blob: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # (buckets, languages): embeddings times softmax weights
+    table: np.ndarray  # (buckets, languages): embeddings times softmax weights; (buckets, DIMS) embeddings if languages are more
+    weights: np.ndarray | None  # (DIMS, languages) if the table holds embeddings
     bias: np.ndarray
     temperature: float
     threshold: float
@@ -58,14 +60,15 @@ class Model:
         lens = np.array([len(t) + 2 for t in texts])
         starts = np.cumsum(lens) - lens
         grams = subwords(blob)
-        total = np.zeros((len(texts), len(self.langs)))
-        for c in range(len(self.langs)):
+        total = np.zeros((len(texts), self.table.shape[1]))
+        for c in range(self.table.shape[1]):
             col = np.ascontiguousarray(self.table[:, c])
             each = col[grams[0]]
             for g in grams[1:]:
                 each += col[g]
             total[:, c] = np.add.reduceat(each, starts, dtype=np.float64)
-        return total / (lens * len(grams))[:, None] + self.bias
+        mean = total / (lens * len(grams))[:, None]
+        return (mean if self.weights is None else mean @ self.weights) + self.bias
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         p = _softmax(self.logits(texts) / self.temperature)
@@ -82,7 +85,8 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 7) -> Model | None:
     if not texts:
         return None
     langs = sorted(set(labels))
-    y = np.array([langs.index(x) for x in labels])
+    number = {x: k for k, x in enumerate(langs)}
+    y = np.array([number[x] for x in labels])
     rng = np.random.default_rng(seed)
     bags = []
     for t in texts:
@@ -94,6 +98,12 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 7) -> Model | None:
     order = rng.permutation(len(texts))
     aside = order[: len(order) // 5]
     train = order[len(aside) :]
+    unseen = ~np.isin(y[aside], y[train])
+    train, aside = np.concatenate([train, aside[unseen]]), aside[~unseen]
+    own = np.bincount(y[train], minlength=len(langs))
+    times = np.maximum(1, min(own.max(), ROWS // len(langs)) // own)  # a small language's rows come as often as a large one's
+    if times.max() > 1:
+        train = rng.permutation(np.repeat(train, times[y[train]]))
 
     def hidden(some):
         idx = np.concatenate([bags[i][0] for i in some])
@@ -116,7 +126,7 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 7) -> Model | None:
             for c in range(DIMS):
                 emb[:, c] -= np.bincount(idx, step[:, c], len(emb))
         train = rng.permutation(train)
-    model = Model(langs, emb @ w, b, 1.0, 0.0)
+    model = Model(langs, emb @ w, None, b, 1.0, 0.0) if len(langs) <= DIMS else Model(langs, emb, w, b, 1.0, 0.0)
     if len(aside):
         z = np.concatenate([hidden(aside[k : k + 256])[3] @ w + b for k in range(0, len(aside), 256)])
         truth = y[aside]
@@ -130,10 +140,10 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 7) -> Model | None:
     return model
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = ROWS) -> Model | None:
     """Fits the model to a sample of the labelled rows that are not held out."""
     rows = docs.select("doc_id", "text", "lang").filter((remainder("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    got = per_class(rows, "lang", "doc_id", per_language, languages).orderBy("doc_id").collect()
+    got = every_class(rows, "lang", "doc_id", per_language, total).orderBy("doc_id").collect()
     return fit([r.text.encode() for r in got], [r.lang for r in got])
 
 
@@ -153,7 +163,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 if t is not None and model:
                     some.append(at)
                     size += len(t)
-                if some and (size >= AT_ONCE or at == len(texts) - 1):
+                if some and (size >= AT_ONCE or len(some) * len(model.langs) >= SCORES or at == len(texts) - 1):
                     best, p = model.scores([texts[i] for i in some])
                     for i, k, s in zip(some, best.tolist(), p.tolist(), strict=True):
                         lang[i], score[i] = model.langs[k], s

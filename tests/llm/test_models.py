@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from ledgerlight.llm import langid, mixing, neighbours, quality
+from ledgerlight.llm import langid, mixing, neighbours, quality, sampling
 
 LETTERS = {"en": "the and of with house shall river", "de": "der und nicht straße größe wird", "fr": "le les où été dans avec être"}
 
@@ -39,6 +39,39 @@ def test_language(tongues, empty):
     assert {r.lang_pred for r in langid.identify(frame.filter("lang is null")).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{k:02}" for k in range(70)]
+    lexicon = {n: ["".join(rng.choices(alphabet, k=rng.randrange(4, 9))) for _ in range(8)] for n in names}
+    free = [i for i in range(20000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    held = [i for i in range(20000) if zlib.crc32(str(i).encode()) % 3 == 1]
+    rows = []
+    for k, n in enumerate(names):
+        say = lambda: " ".join(rng.choices(lexicon[n], k=20))  # noqa: B023, E731
+        rows += [(free.pop(), say(), n) for _ in range(60 if k < 66 else 20)]
+        rows += [(held.pop(), say(), n) for _ in range(4)]
+    rows.append((free.pop(), "zzyzx qqqq xyxyx " * 9, "once"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.learn(frame).langs) == {*names, "once"}
+    truth = {r[0]: r[2] for r in rows}
+    got = [r for r in langid.identify(frame).collect() if r.held_out]
+    assert {r.lang_pred for r in got} >= set(names)
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in got]) > 0.95
+    few = langid.every_class(frame, "lang", "doc_id", 400, 355).groupBy("lang").count().collect()  # five rows each
+    assert len(few) == 71 and sum(r["count"] for r in few) < 500
+    least = langid.every_class(frame, "lang", "doc_id", 400, 10).groupBy("lang").count().collect()
+    assert len(least) == 71
+
+
+def test_fair_share():
+    for counts, each, total in (([5], 400, 10), ([5, 5, 90], 400, 40), ([1000] * 64, 400, 25600), ([1000] * 65, 400, 25600), ([1, 1, 1], 400, 2), ([3, 9, 9], 4, 100)):
+        k = sampling.fair_share(counts, each, total)
+        assert 1 <= k <= each
+        assert k == 1 or sum(min(c, k) for c in counts) <= total
+        assert k == each or sum(min(c, k + 1) for c in counts) > total
+
+
 @pytest.fixture(scope="module")
 def graded(spark):
     rng = random.Random(5)
