@@ -1,7 +1,9 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over the last 16 bytes cuts each text where its five top bits are zero, so a cut depends on
-nearby bytes alone and an insertion moves no cut beyond the chunks around it. Chunks are compared by a 128-bit
+A gear rolling hash over the last 16 bytes cuts each text where its top bits are zero, so a cut depends on nearby bytes
+alone and an insertion moves no cut beyond the chunks around it. Where no such place comes for CALM bytes, as in words
+repeated without end, the places whose hash is the lowest of the last CALM cut; a period has the same ones at any phase.
+Chunks are compared by a 128-bit
 digest over all documents. A chunk is a repeat if its digest also occurs in a document with a smaller doc_id;
 runs of neighbouring repeats are removed if they span MIN_RUN bytes or the whole text.
 
@@ -22,17 +24,28 @@ from .tokens import U64
 
 #: Shortest and longest chunk in bytes; a cut stands at one of 2**BITS places on average.
 LEAST, MOST, BITS = 16, 256, 4
+#: Bytes without a cut among which the lowest hash cuts; a power of two.
+CALM = 64
 #: Shortest run of repeats that is removed, in bytes.
 MIN_RUN = 64
 _GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256).astype(np.uint16)
 
 
-def cuts(blob: np.ndarray) -> np.ndarray:
-    """Places behind which the gear hash of the last 16 bytes cuts."""
+def cuts(blob: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Places behind which the gear hash of the last 16 bytes cuts: those with zeros on top, and those with the lowest
+    hash of the last CALM bytes. Texts begin at starts; by default the blob is one text."""
     h = _GEAR[blob]
     for k in (1, 2, 4, 8):
         h[k:] += h[:-k] << np.uint16(k)
-    return np.flatnonzero(h >> np.uint16(16 - BITS) == 0) + 1
+    low, k = h.copy(), 1
+    while k < CALM:
+        low[k:] = np.minimum(low[k:], low[:-k])
+        k *= 2
+    zero = h >> np.uint16(16 - BITS) == 0
+    at = np.flatnonzero(zero | (h == low)) + 1
+    starts = np.zeros(1, np.int64) if starts is None else starts
+    inside = at - starts[np.searchsorted(starts, at - 1, "right") - 1]
+    return at[zero[at - 1] | (inside >= CALM + 16 - 1)]  # as many bytes as the lowest of CALM hashes looks at
 
 
 def chunk_ends(n: int, cut: list[int]) -> list[int]:
@@ -54,7 +67,7 @@ def chunk_ends(n: int, cut: list[int]) -> list[int]:
 
 class _Chunks:
     def __init__(self, s: Seg):
-        at = cuts(s.blob)
+        at = cuts(s.blob, s.starts)
         doc = np.searchsorted(s.starts, at - 1, "right") - 1
         bounds = np.searchsorted(doc, np.arange(len(s.ids) + 1))
         local = (at - s.starts[doc]).tolist() if len(at) else []

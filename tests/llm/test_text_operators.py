@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -208,6 +209,35 @@ def test_chunks_resist_shifts(spark):
     assert got[1].n_removed == 0 and got[2].n_removed > 3500
 
 
+def test_words_without_end_are_chunked_alike_at_any_phase(spark):
+    rng = random.Random(3)
+    words = ["charges apply ", *("".join(rng.choices("abcdefghij klmnop", k=rng.randrange(8, 40))) for _ in range(200))]
+    uncut = [w for w in words if not _zeros((w * 20).encode())][:4]
+    assert len(uncut) == 4
+    for w in uncut:
+        long = w * 200
+        d = spark.createDataFrame([(1, long[:3000]), (2, "ZZ" + long[1:1500]), (3, "other words in front " + long[len(w) // 2 :][:1200])], "doc_id long, text string")
+        got = {r.doc_id: r for r in chunks.chunk_dedup(d).collect()}
+        assert got[1].n_removed == 0
+        assert all(got[k].n_removed > 0.75 * got[k].n_bytes for k in (2, 3)), w
+
+
+def _zeros(b):
+    h = chunks._GEAR[np.frombuffer(b, np.uint8)]
+    for k in (1, 2, 4, 8):
+        h[k:] += h[:-k] << np.uint16(k)
+    return (h[15:] >> np.uint16(16 - chunks.BITS) == 0).any()
+
+
+def test_cuts_of_a_text_do_not_depend_on_its_neighbours():
+    texts = [b"abc" * 100, b"x" * 70, b"the rate is fixed. " * 30, b"", b"y" * 200]
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    at = chunks.cuts(np.frombuffer(b"".join(texts), np.uint8), starts)
+    for a, t in zip(starts.tolist(), texts):
+        if t:
+            assert [c - a for c in at.tolist() if a + 16 <= c < a + len(t)] == [c for c in chunks.cuts(np.frombuffer(t, np.uint8)).tolist() if 16 <= c < len(t)]
+
+
 # ---- similar documents
 
 
