@@ -206,6 +206,18 @@ def test_neighbours(vectors, spark):
     assert neighbours.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_neighbours_with_production_parameters(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = frame.orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    want = {int(q): {int(j) for j in ids[np.lexsort((ids, -np.where(ids == q, -2, np.round(x @ x[i], 12))))[:5]]} for i, q in enumerate(ids) if q % 50 == 0}
+    got = defaultdict(set)
+    for r in neighbours.nearest(frame, frame.filter("vec_id % 50 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    assert set(got) == set(want) and np.mean([len(got[q] & want[q]) / 5 for q in want]) >= 0.97
+
+
 # ---- pipeline
 
 
