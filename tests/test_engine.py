@@ -128,6 +128,20 @@ def test_html(spark):
     assert p.select(H.sections("html")).first()[0][0].asDict() == {"heading": "Eligibility", "text": "age 21", "items": ["one"]}
 
 
+def test_tables_become_facts(spark):
+    lenders = "<table><thead><tr><th>Bank</th><th>Interest Rate</th><th>Fee</th></tr></thead>" + "".join(f"<tr><td>B{k}<td>{10 + k}.5% - {20 + k}%<td>{'2%' if k else ''}</tr>" for k in range(12)) + "</table>"
+    named = "<table><tr><th>Tenure</th><td>5 <b>years</b></td></tr><tr><th>Fee</th><td>1%</td></tr></table>"
+    spans = "<table><tr><th colspan='2'>Rate</th><th>Age</th></tr><tr><td>9%</td><td>8%</td><td rowspan=2>21</td></tr><tr><td>7%</td><td>6%</td></tr></table>"
+    page = lambda body: f"<html><body><nav><table><tr><td>no</td></tr><tr><td>no</td></tr></table></nav>{body}</body></html>"
+    rows = [(1, "https://www.paisabazaar.com/p", page("<p>" + "x " * 2000 + "</p>" + lenders)), (2, "https://h.org/p", page(named)), (3, "https://h.org/q", page(spans)), (4, "https://h.org/r", page("<p>none</p><table><tr><td>alone</td></tr></table>")), (5, "https://h.org/s", None)]
+    got = {r.page_id: r for r in H.page_records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].key_facts == [f"Bank: B{k}, Interest Rate: {10 + k}.5% - {20 + k}%" + (", Fee: 2%" if k else "") for k in range(12)]
+    assert got[1].rates is not None
+    assert got[2].key_facts == ["Tenure: 5 years, Fee: 1%"]
+    assert got[3].key_facts == ["Rate: 9%, Rate: 8%, Age: 21", "Rate: 7%, Rate: 6%, Age: 21"]
+    assert got[4].key_facts == [] and not got[5].key_facts
+
+
 def test_pack_stops_at_the_first_overflow(spark):
     d = spark.createDataFrame([(1, "a " * 5), (2, "a " * 9), (3, "a")], "id long, text string").withColumn("k", F.lit(1))
     assert [r.id for r in retrieval.pack(d, ["k"], ["id"], 6).collect()] == [1]
