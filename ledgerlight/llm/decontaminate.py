@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import dec, dec_sorted, enc, enc_sorted
-from .segments import _out, packs, texts_of
+from .segments import _out, packs, texts_of, trim
 from .store import durable
 from .tokens import ALNUM, U64, Words, find, uniques
 
@@ -46,6 +46,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             position = np.arange(len(place)) + w.doc
             postings = np.sort((place.astype(U64) << S32) | position.astype(U64))
             yield from _out([{"seg": base + k, "ids": [ids], "words": enc(w.counts), "terms": enc_sorted(terms), "postings": enc_sorted(postings)}], INDEX)
+            trim()
 
     return durable(texts_of(docs, id_col, text_col).mapInArrow(run, INDEX), "postings")
 

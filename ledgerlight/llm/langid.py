@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import every_class, remainder
+from .segments import slices, trim
+from .store import by_bytes
 
 #: Rows learned from per language, and of all languages together (one row a language at least).
 PER_LANGUAGE, ROWS = 400, 25600
@@ -152,22 +154,20 @@ PREDICTED = "doc_id bigint, held_out boolean, lang_pred string, score double, ac
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, and accepted: whether the score reaches the calibrated threshold."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(remainder("doc_id", 3) == 1, F.lit(True)).alias("held_out"), F.when(F.col("text").rlike("\\p{L}"), F.col("text").cast("binary")).alias("text"))
+    rows = by_bytes(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(remainder("doc_id", 3) == 1, F.lit(True)).alias("held_out"), F.when(F.col("text").rlike("\\p{L}"), F.col("text").cast("binary")).alias("text"))
 
     def run(batches):
         for b in batches:
-            texts = b.column(2).to_pylist()
-            lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            at, size, some = 0, 0, []
-            for at, t in enumerate(texts):
-                if t is not None and model:
-                    some.append(at)
-                    size += len(t)
-                if some and (size >= AT_ONCE or len(some) * len(model.langs) >= SCORES or at == len(texts) - 1):
-                    best, p = model.scores([texts[i] for i in some])
-                    for i, k, s in zip(some, best.tolist(), p.tolist(), strict=True):
-                        lang[i], score[i] = model.langs[k], s
-                    size, some = 0, []
+            lang, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
+            for a, z in slices(b.column(2), AT_ONCE) if model else ():
+                texts = b.column(2).slice(a, z - a).to_pylist()
+                some = [i for i, t in enumerate(texts) if t is not None]
+                most = max(1, SCORES // len(model.langs))
+                for part in (some[k : k + most] for k in range(0, len(some), most)):
+                    best, p = model.scores([texts[i] for i in part])
+                    for i, k, s in zip(part, best.tolist(), p.tolist(), strict=True):
+                        lang[a + i], score[a + i] = model.langs[k], s
+            trim()
             ok = [x != "und" and s >= model.threshold for x, s in zip(lang, score.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang), pa.array(score), pa.array(ok, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "accepted"])
 

@@ -27,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boost import Trees, platt
+from .segments import slices, trim
+from .store import by_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 #: Precision that each kind's added spans shall have on examples left out of the training.
 PRECISION = 0.99
 #: Code points of context on each side of a candidate that features see.
 CONTEXT = 32
+#: Bytes of text that are searched at once.
+AT_ONCE = 1 << 20
 
 # The fixed formats. Possessive digits and the look-behinds change no match, but keep long runs of digits linear.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -232,13 +236,18 @@ def find(docs: DataFrame) -> DataFrame:
     trained = model()
 
     def run(batches):
-        for b in batches:
-            base, every = zip(*map(trained.spans, b.column(1).to_pylist()), strict=True) if b.num_rows else ((), ())
-            counts = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in KINDS]
-            digest = [hashlib.sha256(listed(x).encode()).hexdigest() for x in base]
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(digest, pa.string()), pa.array(map(listed, every), pa.string())], names=[x.split()[0] for x in FOUND.split(", ")])
+        for whole in batches:
+            for a, z in slices(whole.column(1), AT_ONCE):
+                yield found(whole.slice(a, z - a))
+            trim()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
+    def found(b):
+        base, every = zip(*map(trained.spans, b.column(1).to_pylist()), strict=True) if b.num_rows else ((), ())
+        counts = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in KINDS]
+        digest = [hashlib.sha256(listed(x).encode()).hexdigest() for x in base]
+        return pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(digest, pa.string()), pa.array(map(listed, every), pa.string())], names=[x.split()[0] for x in FOUND.split(", ")])
+
+    return by_bytes(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -252,20 +261,23 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with personal data replaced; n_chars, if there is such a column, follows. Other columns pass through."""
-    trained, schema = model(), docs.schema
-    names = [f.name for f in schema]
-    at = names.index("text")
+    """docs with personal data replaced; n_chars, if there is such a column, follows. No column but text leaves the
+    JVM; the others pass through."""
+    trained = model()
 
-    def run(batches):
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            new = [t if not (s := trained.spans(t)[1]) else redacted(t, s) for t in texts]
-            b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
-            if "n_chars" in names:
-                k = names.index("n_chars")
-                n = [m if u == t else len(u) for m, t, u in zip(b.column(k).to_pylist(), texts, new, strict=True)]
-                b = b.set_column(k, b.schema.field(k), pa.array(n, b.schema.field(k).type))
-            yield b
-
-    return docs.mapInArrow(run, schema)
+    def replaced(texts: pa.Array) -> pa.Array:
+        # null where nothing is replaced, so that no text is sent back as it came
+        out: list[str | None] = []
+        for a, z in slices(texts, AT_ONCE):
+            out += [redacted(t, s) if (s := trained.spans(t)[1]) else None for t in texts.slice(a, z - a).to_pylist()]
+        trim()
+        return pa.array(out, pa.string())
+
+    new = F.arrow_udf(replaced, "string")(F.col("text").cast("string"))
+    name = "_redacted"
+    while name in docs.columns:
+        name += "_"
+    marked = by_bytes(docs).withColumn(name, new)
+    n_chars = lambda kind: F.when(F.col(name).isNotNull(), F.length(name).cast(kind)).otherwise(F.col("n_chars"))
+    cols = {"text": F.coalesce(F.col(name), F.col("text"))} | {c: n_chars(t) for c, t in docs.dtypes if c == "n_chars"}
+    return marked.select(*[cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in docs.columns])

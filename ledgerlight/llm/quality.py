@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import per_class, remainder
+from .segments import slices, trim
+from .store import by_bytes
 from .tokens import SOLID, U64, Words, mix
 
 PASSAGE = 64
@@ -185,17 +187,13 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = PER_CLASS) -> Model |
     return fit([t for _, _, t in got], [y for _, y, _ in got], shares[1] / (shares[0] + shares[1]))
 
 
-def scores_of(texts: list[bytes | None], model: Model | None) -> np.ndarray:
-    """The score of each text; bounded bytes at once."""
-    out, some, size = np.ones(len(texts)), [], 0
-    if model is None:
-        return out
-    for i, t in enumerate(texts):
-        some.append(i)
-        size += len(t or b"")
-        if size >= AT_ONCE or i == len(texts) - 1:
-            out[some] = model.scores([texts[k] or b"" for k in some])
-            some, size = [], 0
+def scores_of(texts: pa.Array, model: Model | None) -> np.ndarray:
+    """The score of each text (binary or null); bounded bytes at once."""
+    out = np.ones(len(texts))
+    if model is not None:
+        for a, z in slices(texts, AT_ONCE):
+            out[a:z] = model.scores([t or b"" for t in texts.slice(a, z - a).to_pylist()])
+        trim()
     return out
 
 
@@ -203,27 +201,23 @@ SCORED = "doc_id bigint, held_out boolean, score double, predicted int"
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    rows = by_bytes(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"), F.col("text").cast("binary").alias("text"))
 
     def run(batches):
         for b in batches:
-            s = scores_of(b.column(2).to_pylist(), model)
+            s = scores_of(b.column(2), model)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, SCORED)
 
 
 def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs without those that the model rejects. No column is read but text; all pass through."""
-    schema = docs.schema
-    at = [f.name for f in schema].index("text")
+    """docs without those that the model rejects. No column but text leaves the JVM; all pass through."""
 
-    def run(batches):
-        for b in batches:
-            texts = [None if t is None else t.encode() if isinstance(t, str) else t for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array(scores_of(texts, model) >= THRESHOLD))
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(scores_of(texts, model) >= THRESHOLD)
 
-    return docs.mapInArrow(run, schema)
+    return by_bytes(docs).filter(F.arrow_udf(good, "boolean")(F.col("text").cast("binary")))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -13,12 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import expand, squeeze
-from .store import bucketed, durable, partitions
+from .store import bucketed, by_bytes, durable, partitions
 
 #: Bytes of text in a segment (a longer document is a segment of its own), and bytes of text whose keys one bucket
 #: answers for, on average. An exchange has at most (bytes / segment) * (bytes / bucket) rows, so both grow with the
@@ -30,13 +31,26 @@ NO_ID = np.iinfo(np.int64).max
 
 
 def trim() -> None:
-    """Hands freed memory back to the system: a worker lives on after a task, and what its allocator keeps counts
+    """Hands freed memory back to the system: a worker lives on after a task, and what its allocators keep counts
     against the executor."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library
 
+
+
+def slices(texts: pa.Array, cap: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts (strings or binaries) of cap bytes, about; a longer text is a run of its own."""
+    size = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
+    a = 0
+    while a < len(texts):
+        z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + cap)))
+        yield a, z
+        a = z
+
+
 SCHEMA = "seg long, ids array<bigint>, lens array<int>, raw long, blob binary"
 
 
@@ -44,21 +58,22 @@ def packs(batches: Iterator[pa.RecordBatch], cap: int = SEGMENT_BYTES) -> Iterat
     """(ids, byte lengths or None for null texts, texts each followed by a line feed) of bounded size."""
     ids, lens, parts, size = [], [], [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            lens.append(None if t is None else len(t))
-            parts.append(t or b"")
-            size += len(parts[-1]) + 1
-            if size >= cap:
-                yield ids, lens, b"\n".join([*parts, b""])
-                ids, lens, parts, size = [], [], [], 0
+        for a, z in slices(b.column(1), cap):
+            for i, t in zip(b.column(0).slice(a, z - a).to_pylist(), b.column(1).slice(a, z - a).to_pylist(), strict=True):
+                ids.append(i)
+                lens.append(None if t is None else len(t))
+                parts.append(t or b"")
+                size += len(parts[-1]) + 1
+                if size >= cap:
+                    yield ids, lens, b"\n".join([*parts, b""])
+                    ids, lens, parts, size = [], [], [], 0
     if ids:
         yield ids, lens, b"\n".join([*parts, b""])
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that packs() reads, whatever else docs holds."""
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return by_bytes(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
 def _pack(batches, cap):

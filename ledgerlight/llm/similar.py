@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .segments import _out, packs
-from .store import durable
+from .segments import _out, slices, trim
+from .store import by_bytes, durable
 from .tokens import ALNUM, U64, Words, mix
 
 WORDS, SIMILARITY = 5, 0.8
@@ -93,7 +93,7 @@ def prefixes(sets: list[np.ndarray], trees: int, depth: int, seed: int = 17) ->
 def _keyed(docs: DataFrame) -> DataFrame:
     """anon, key: the id, or for a null id a hash of the text in its place."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").isNull().alias("anon"), F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(text)).alias("key"), text.cast("binary").alias("text"))
+    return by_bytes(docs).select(F.col("doc_id").isNull().alias("anon"), F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(text)).alias("key"), text.cast("binary").alias("text"))
 
 
 def _signed(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
@@ -101,16 +101,17 @@ def _signed(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for ids, _, blob in packs(iter([pa.record_batch([pa.array(range(b.num_rows)), b.column(2)], names=["i", "t"])]), AT_ONCE):
-                texts = [t or b"" for t in b.column(2).take(pa.array(ids)).to_pylist()]
+            for a, z in slices(b.column(2), AT_ONCE):
+                rows = b.slice(a, z - a)
+                texts = [t or b"" for t in rows.column(2).to_pylist()]
                 sets = shingle_sets(texts, words)
                 full = [k for k, s in enumerate(sets) if len(s)]
                 found: list = [None] * len(sets)
                 if full:
                     for k, p in zip(full, prefixes([sets[k] for k in full], trees, depth).view(np.int64), strict=True):
                         found[k] = p
-                rows = b.take(pa.array(ids))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([digest(s) for s in sets], pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["anon", "key", "cls", "prefixes"])
+            trim()
 
     return durable(_keyed(docs).mapInArrow(run, schema), "signed")
 

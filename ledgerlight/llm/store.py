@@ -8,14 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+_LIMIT, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: list[str] = []
 _TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder named by spark.checkpoint.dir. Where the session names none, one of our own if all of Spark runs on
+    this machine; on a cluster a folder of our own would be another one on each machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="ledgerlight-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -26,7 +33,12 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")  # what the query shuffled is in the table now
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,6 +52,14 @@ def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def by_bytes(df: DataFrame) -> DataFrame:
+    """df, whose rows shall go to Python in batches of BATCH_BYTES. Spark's own limit is far above what a worker
+    should hold; a limit that the session sets is kept."""
+    if df.sparkSession.conf.get(_LIMIT) == _UNSET:
+        df.sparkSession.conf.set(_LIMIT, f"{BATCH_BYTES}b")
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,6 +9,8 @@ import numpy as np
 
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
+#: Bytes of words that are hashed at once.
+AT_ONCE = 1 << 18
 
 
 def _fold(word: np.ndarray) -> np.ndarray:
@@ -55,16 +57,23 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31)) ^ (x >> U64(62))
 
 
-_POW = np.ones(1, U64)
+_WEIGHTS = np.zeros(0, U64)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POW
-    if len(_POW) < n:
-        base = np.full(max(n, 256), U64(0xA24BAED4963EE407))
-        base[0] = 1
-        _POW = np.cumprod(base, dtype=U64)
-    return _POW
+def _weights(n: int) -> np.ndarray:
+    """An odd weight for each place in a word. They are unrelated: with powers of one number, words of a regular
+    build (the Thue-Morse word and its complement, say) have equal hashes."""
+    global _WEIGHTS
+    if len(_WEIGHTS) < n:
+        _WEIGHTS = mix(np.arange(max(n, 256), dtype=U64) * _ODD + U64(0xA24BAED4963EE407)) | U64(1)
+    return _WEIGHTS
+
+
+def _hashes(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The hash of each word of x; what stands between words is 0 and adds nothing."""
+    run = np.diff(starts, append=len(x))
+    at = np.arange(len(x)) - np.repeat(starts, run)
+    return mix(np.add.reduceat(x * _weights(int(run.max()))[at], starts))
 
 
 class Words:
@@ -74,26 +83,63 @@ class Words:
 
     def __init__(self, blob: np.ndarray, lens: np.ndarray, table: np.ndarray):
         """lens: bytes of each text; text i stands at sum(lens[:i] + 1)."""
-        x = table[blob]
-        inside = np.zeros(len(x) + 2, np.int8)
-        inside[1:-1] = x > 0
+        inside = np.zeros(len(blob) + 2, np.int8)
+        inside[1:-1] = (table > 0)[blob]
         edge = np.flatnonzero(np.diff(inside))
+        del inside
         self.starts, self.ends = edge[::2], edge[1::2]
-        if len(self.starts):
-            first = self.starts[0]
-            run = np.diff(self.starts, append=len(x))
-            at = np.arange(first, len(x)) - np.repeat(self.starts, run)
-            self.hash = mix(np.add.reduceat(x[first:] * _powers(int(run.max()))[at], self.starts - first))
-        else:
-            self.hash = np.zeros(0, U64)
+        self.hash = np.empty(len(self.starts), U64)
+        a = 0
+        while a < len(self.starts):  # some bytes at once, as a byte takes many while it is hashed
+            z = max(a + 1, int(np.searchsorted(self.starts, self.starts[a] + AT_ONCE)))
+            self.hash[a:z] = _hashes(table[blob[self.starts[a] : self.ends[z - 1]]], self.starts[a:z] - self.starts[a])
+            a = z
         bounds = np.cumsum(lens + 1)
         self.doc = np.searchsorted(bounds, self.starts, "right")
         self.counts = np.bincount(self.doc, minlength=len(lens))
 
 
+def order_by(*keys: np.ndarray) -> np.ndarray:
+    """The stable order by arrays of numbers from 0 on, the first one first. Numbers are packed with their places into
+    one word, which sorts many times faster than places do; what does not fit is sorted the long way."""
+    n = len(keys[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    place = U64(max(n - 1, 1).bit_length())
+    spot = np.arange(n, dtype=U64)
+    head, bits = keys[0].astype(U64), int(keys[0].max()).bit_length()
+
+    def ranked():
+        packed = np.sort((head << place) | spot)
+        order = (packed & ((U64(1) << place) - U64(1))).astype(np.int64)
+        packed >>= place
+        out = np.empty(n, U64)
+        out[order] = np.cumsum(np.append(False, packed[1:] != packed[:-1]))
+        return out, int(out.max()).bit_length()
+
+    for k in keys[1:]:
+        more = int(k.max()).bit_length()
+        if bits + more + int(place) > 64 >= bits + int(place):
+            head, bits = ranked()
+        if bits + more + int(place) > 64:
+            return np.lexsort(keys[::-1])
+        head, bits = (head << U64(more)) | k.astype(U64), bits + more
+    if bits + int(place) > 64:
+        return np.argsort(head, kind="stable")
+    return (np.sort((head << place) | spot) & ((U64(1) << place) - U64(1))).astype(np.int64)
+
+
+def _hash_order(keys: np.ndarray) -> np.ndarray:
+    """The order of hashes: by their upper bits, with places in the lower ones, unless those decide."""
+    mask = (U64(1) << U64(max(len(keys) - 1, 1).bit_length())) - U64(1)
+    order = (np.sort((keys & ~mask) | np.arange(len(keys), dtype=U64)) & mask).astype(np.int64)
+    s = keys[order]
+    return np.argsort(keys) if (s[1:] < s[:-1]).any() else order
+
+
 def uniques(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, their counts, and for each key the place of its value."""
-    order = np.argsort(keys)
+    """Sorted distinct hashes, their counts, and for each key the place of its value."""
+    order = _hash_order(keys)
     s = keys[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
