@@ -1,15 +1,18 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree, in DataFrame operations.
 
-Each source is cut into blocks by a hash of its documents. Its target, in words, is drawn as whole passes over its
-blocks in permuted order and a last pass that ends inside one block, where documents are taken in permuted order as
-long as they fit; what then is missing is taken from the first one that did not fit, so that the target is met. The numbers of blocks drawn from each source are the colours of an urn; a binary tree over the
+Each source is cut into BLOCKS blocks by a hash of its documents; where it has fewer documents, fewer are in use. Its
+target, in words, is drawn as whole passes over its blocks in permuted order and a last pass that ends inside one
+block, where documents are taken in permuted order, the last one in part, so that the target is met to the word. The
+numbers of blocks drawn from each source are the colours of an urn; a binary tree over the
 output shards halves the urn again and again, each split a multivariate-hypergeometric draw, so that each shard has
 an exact quota of blocks of each source. Shards then take disjoint runs of each source's permuted blocks and order
 their documents by hash.
 
 A null source is a source of its own, the last. A null or empty text has size 0 and is never taken. Repeated rows
-take part each for itself (rows equal in id and text share their order keys). Empty tables give no rows. Columns
-besides those named pass through draws() untouched, under any name that does not begin with "_mix".
+take part each for itself (rows equal in id and text share their order keys). Of a text only its number of words goes
+further, so very long ones cost no more. Empty tables give no rows. mix() passes all columns through, under any names;
+if mix_words or mix_shards are among them, its own get underscores behind. Sources shall be few enough for one row to
+hold a number for each; documents may be any number.
 """
 
 from __future__ import annotations
@@ -22,13 +25,13 @@ from .store import durable
 
 #: No source is drawn more often than this.
 MAX_EPOCHS = 3
-#: Documents that a block has on average, and the most blocks of a source (blocks grow beyond that).
-BLOCK_DOCS, MAX_BLOCKS = 64, 4096
+#: Blocks that each source's documents are dealt to.
+BLOCKS = 4096
 #: Output shards are 2 ** DEPTH.
 DEPTH = 4
 SEED = "mix-1"
-#: Documents past the end of the last pass that are tried for the words still missing.
-LOOK_AHEAD = 256
+#: Deviations off the mode within which a hypergeometric number is drawn; all others together weigh less than 1e-14.
+REACH = 8
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -64,8 +67,7 @@ def targets(rows: DataFrame) -> DataFrame:
 
 def blocked(rows: DataFrame, goal: DataFrame) -> DataFrame:
     """rows with their block and their source's columns."""
-    blocks = F.least(F.lit(MAX_BLOCKS), F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.col("source_docs") / BLOCK_DOCS, F.lit(1)))))).cast("bigint")
-    return rows.join(goal.withColumnRenamed("source", "_mix_source"), rows["source"].eqNullSafe(F.col("_mix_source"))).drop("_mix_source").withColumn("block", F.col("_mix_key") % blocks)
+    return rows.join(goal.withColumnRenamed("source", "_mix_source"), rows["source"].eqNullSafe(F.col("_mix_source"))).drop("_mix_source").withColumn("block", F.col("_mix_key") % BLOCKS)
 
 
 def plan(rows: DataFrame, goal: DataFrame) -> DataFrame:
@@ -81,28 +83,47 @@ def plan(rows: DataFrame, goal: DataFrame) -> DataFrame:
     return b.withColumn("draws", F.col("whole") + (F.col("part") > 0).cast("int")).select("source", "block", "turn", "whole", "part", "draws")
 
 
-def _unit(*parts: Column) -> Column:
-    """A number in [0, 1) that follows from the parts."""
-    return F.pmod(F.xxhash64(F.lit(SEED), *parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
+def _let(values: dict[str, Column], fn) -> Column:
+    """fn of a struct of values, each of which is computed once, however often fn names it."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), fn), F.lit(0))
+
+
+def _drawn(balls: Column, n: Column, rest: Column, unit: Column) -> Column:
+    """A hypergeometric draw by the inverse of its distribution: how many of balls are among n drawn from rest. The
+    weights of neighbouring numbers have a simple ratio; more than REACH deviations off the mode they are nil."""
+    one, zero = F.lit(1.0), F.lit(0.0)
+
+    def bounds(p):
+        n, balls, rest = p["n"], p["balls"], p["rest"]
+        sd = F.sqrt(F.greatest(zero, n * balls / rest * (1 - balls / rest) * (rest - n) / F.greatest(rest - 1, one)))
+        mode, reach = F.floor((n + 1) * (balls + 1) / (rest + 2)), F.ceil(sd * REACH) + REACH
+        least, most = F.greatest(zero, n - (rest - balls), mode - reach), F.least(n, balls, mode + reach)
+        values = {c: p[c] for c in ("n", "balls", "rest", "unit")} | {"least": least.cast("bigint"), "every": F.sequence(least.cast("bigint"), most.cast("bigint"))}
+        return F.when(rest > 0, _let(values, weighed)).otherwise(F.lit(0).cast("bigint"))
+
+    def weighed(p):
+        following = lambda a, k: a["w"] * (p["balls"] - k) * (p["n"] - k) / ((k + 1) * (p["rest"] - p["balls"] - p["n"] + k + 1))
+        total = F.aggregate(p["every"], F.struct(one.alias("w"), zero.alias("sum")), lambda a, k: F.struct(following(a, k).alias("w"), (a["sum"] + a["w"]).alias("sum")), lambda a: a["sum"])
+        start = F.struct(one.alias("w"), zero.alias("sum"), p["least"].alias("x"), (total * p["unit"]).alias("goal"))
+        step = lambda a, k: F.struct(following(a, k).alias("w"), (a["sum"] + a["w"]).alias("sum"), (a["x"] + (a["sum"] + a["w"] <= a["goal"]).cast("bigint")).alias("x"), a["goal"].alias("goal"))
+        return F.least(F.array_max(p["every"]), F.aggregate(p["every"], start, step, lambda a: a["x"]))
+
+    return _let({"n": n.cast("double"), "balls": balls.cast("double"), "rest": rest.cast("double"), "unit": unit}, bounds)
 
 
 def _split(counts: Column, node: Column) -> Column:
     """How many of each colour go left: a multivariate-hypergeometric draw of half the urn, one colour after the
-    other, each a hypergeometric draw from what is left, ball by ball."""
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    other, each a hypergeometric draw from what is left."""
+    add = lambda a, x: a + x
+    total = F.aggregate(counts, F.lit(0).cast("bigint"), add)
+    none = F.expr("array()").cast("array<bigint>")
 
     def colour(acc, c):
-        k = F.size(acc["x"])
-        # of acc.n balls still to be drawn from acc.rest, how many are among this colour's c
-        ball = lambda a, i: F.struct(
-            (a["c"] - (_unit(node, k, i) * a["rest"] < a["c"]).cast("bigint")).alias("c"),
-            (a["rest"] - 1).alias("rest"),
-        )
-        left = F.aggregate(F.when(acc["n"] > 0, F.sequence(F.lit(1).cast("bigint"), acc["n"])).otherwise(F.expr("array()").cast("array<bigint>")), F.struct(c.alias("c"), acc["rest"].alias("rest")), ball)["c"]
-        took = c - left
-        return F.struct((acc["n"] - took).alias("n"), (acc["rest"] - c).alias("rest"), F.concat(acc["x"], F.array(took)).alias("x"))
-
-    start = F.struct(F.floor(total / 2).cast("bigint").alias("n"), total.alias("rest"), F.expr("array()").cast("array<bigint>").alias("x"))
+        n = acc["n"] - F.aggregate(acc["x"], F.lit(0).cast("bigint"), add)
+        unit = _key(F.lit("urn"), node.cast("string"), F.size(acc["x"]).cast("string")) / F.lit(float(1 << 52))
+        return F.struct(acc["n"].alias("n"), (acc["rest"] - c).alias("rest"), F.concat(acc["x"], F.array(_drawn(c, n, acc["rest"], unit))).alias("x"))
+
+    start = F.struct(F.floor(total / 2).cast("bigint").alias("n"), total.alias("rest"), none.alias("x"))
     return F.aggregate(counts, start, colour)["x"]
 
 
@@ -121,25 +142,13 @@ def quotas(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def _ending(placed: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The documents of the block in which the last pass ends, with the words taken of them: those before its end, then
-    of the next LOOK_AHEAD each that still fits, then a part of the first that did not."""
+    """The documents of the block in which the last pass ends, with the words taken of them: whole documents in
+    permuted order, and of the one at which the pass ends as many words as are still missing."""
     cut = blocks.filter("part > 0").select(F.col("source").alias("_mix_source"), F.col("block").alias("_mix_block"), "part")
     edge = placed.join(cut, placed["source"].eqNullSafe(F.col("_mix_source")) & (placed["block"] == F.col("_mix_block"))).filter("size > 0")
-    order = W.Window.partitionBy("_mix_source", "_mix_block").orderBy("_mix_key", "doc_id", "size")
-    edge = edge.withColumn("_sum", F.sum("size").over(order.rowsBetween(W.Window.unboundedPreceding, 0))).withColumn("_in", F.col("_sum") <= F.col("part"))
-    edge = edge.withColumn("_late", F.row_number().over(order) - F.sum(F.col("_in").cast("int")).over(W.Window.partitionBy("_mix_source", "_mix_block")))
-    cols = ["doc_id", "source", "size", "source_size", "target", "block", "_mix_key"]
-    late = edge.filter("not _in and _late <= %d" % LOOK_AHEAD).groupBy("_mix_source", "_mix_block").agg(F.sort_array(F.collect_list(F.struct("_mix_key", *cols[:-1]))).alias("d"), F.first("part").alias("part"))
-    done = edge.filter("_in").groupBy("_mix_source", "_mix_block").agg(F.sum("size").alias("done")).toDF("_s", "_b", "done")
-    late = late.join(done, late["_mix_source"].eqNullSafe(F.col("_s")) & (late["_mix_block"] == F.col("_b")), "left")
-    take = lambda acc, x: F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["took"], F.array(x.withField("words", x["size"]))).alias("took"), acc["spare"].alias("spare"))
-    skip = lambda acc, x: F.struct(acc["left"].alias("left"), acc["took"].alias("took"), F.coalesce(acc["spare"], x).alias("spare"))
-    end = lambda acc: F.when((acc["left"] > 0) & acc["spare"].isNotNull(), F.concat(acc["took"], F.array(acc["spare"].withField("words", acc["left"])))).otherwise(acc["took"])
-    none = F.get("d", F.lit(-1))
-    start = F.struct((F.col("part") - F.coalesce("done", F.lit(0))).cast("bigint").alias("left"), F.slice(F.transform("d", lambda x: x.withField("words", x["size"])), 1, 0).alias("took"), none.alias("spare"))
-    took = F.aggregate("d", start, lambda acc, x: F.when(acc["left"] >= x["size"], take(acc, x)).otherwise(skip(acc, x)), end)
-    last = late.select(F.explode(took).alias("x")).select(*[F.col("x")[c].alias(c) for c in [*cols, "words"]])
-    return edge.filter("_in").select(*cols, F.col("size").alias("words")).unionByName(last)
+    order = W.Window.partitionBy("_mix_source", "_mix_block").orderBy("_mix_key", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, 0)
+    left = F.col("part") - F.sum("size").over(order) + F.col("size")
+    return edge.withColumn("words", F.least("size", left)).filter("words > 0").select("doc_id", "source", "size", "source_size", "target", "block", "_mix_key", "words")
 
 
 def draws(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -169,24 +178,34 @@ def _draws(rows: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
 
 
 def taken(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """A row for each document: doc_id, size, source, source_size, target, and taken, the words that its draws take.
-    Rows that agree in doc_id, source and size have equal draws; each gets an equal share of them."""
+    """A row for each document: doc_id, size, source, source_size, target, taken (the words that its draws take), and
+    shards, a number whose bit k is set if shard k holds the document (depth up to 5). Rows that agree in doc_id, source
+    and size have equal draws; each gets an equal share of them, and all have their shards."""
     got, every = _draws(durable(sized(docs), "sized"), depth)
     empty = F.lit(0).cast("bigint")
-    both = got.select("doc_id", "source", "size", "source_size", "target", F.col("words").alias("took"), empty.alias("row")).unionByName(every.select("doc_id", "source", "size", "source_size", "target", empty.alias("took"), F.lit(1).cast("bigint").alias("row")))
-    sums = both.groupBy("doc_id", "source", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("took").alias("took"), F.sum("row").alias("rows"))
+    both = got.select("doc_id", "source", "size", "source_size", "target", F.col("words").alias("took"), F.pow(F.lit(2), F.col("shard")).cast("bigint").alias("bit"), empty.alias("row")).unionByName(every.select("doc_id", "source", "size", "source_size", "target", empty.alias("took"), empty.alias("bit"), F.lit(1).cast("bigint").alias("row")))
+    sums = both.groupBy("doc_id", "source", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("took").alias("took"), F.bit_or("bit").alias("shards"), F.sum("row").alias("rows"))
     # rows that agree: the first rows get one draw more if the draws do not divide
     each = sums.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1))).withColumn("n", F.when(F.col("size") > 0, F.floor(F.col("took") / F.col("size"))).otherwise(0))
     share = F.floor(F.col("n") / F.col("rows")) + (F.col("i") < F.col("n") % F.col("rows")).cast("bigint")
     part = F.when(F.col("i") == F.col("n") % F.col("rows"), F.col("took") - F.col("n") * F.col("size")).otherwise(0)
-    return each.select("doc_id", "source", "size", "source_size", "target", (share * F.col("size") + part).cast("bigint").alias("taken"))
+    return each.select("doc_id", "source", "size", "source_size", "target", (share * F.col("size") + part).cast("bigint").alias("taken"), "shards")
 
 
 def mix(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """docs in the mix: a row for each document that is drawn, its own columns, then mix_words (words the mix takes)
     and mix_shards (the shards that got it, with repeats). The text is joined once, not for each draw."""
-    ids = docs.withColumn("_mix_words", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint"))
-    got = draws(docs, depth).groupBy("doc_id", "source", "size").agg(F.sum("words").alias("mix_words"), F.sort_array(F.collect_list("shard")).alias("mix_shards"))
-    got = got.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "mix_words", "mix_shards")
-    on = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_words") == F.col("_mix_size"))
-    return ids.join(got, on).drop("_mix_id", "_mix_source", "_mix_size", "_mix_words")
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
+
+    words, shards, size = free("mix_words"), free("mix_shards"), free("_mix_words")
+    on_id, on_source, on_size = free("_mix_id"), free("_mix_source"), free("_mix_size")
+    ids = docs.withColumn(size, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint"))
+    got = draws(docs, depth).groupBy("doc_id", "source", "size").agg(F.sum("words").alias(words), F.sort_array(F.collect_list("shard")).alias(shards))
+    got = got.select(F.col("doc_id").alias(on_id), F.col("source").alias(on_source), F.col("size").alias(on_size), words, shards)
+    on = F.col("doc_id").eqNullSafe(F.col(on_id)) & F.col("source").eqNullSafe(F.col(on_source)) & (F.col(size) == F.col(on_size))
+    return ids.join(got, on).drop(on_id, on_source, on_size, size)

@@ -48,24 +48,46 @@ select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(n_links, 0) as n
 
 _KEY = "cast('0x' || substr(md5(concat_ws('|', 'mix-1', {})), 1, 13) as bigint)"
 
+
+
+def _halved(level: int) -> str:
+    """The urns of a level, halved: one colour after the other, each a hypergeometric number by the inverse of its
+    distribution (weights by lgamma)."""
+    weight = "lgamma(k + 1) + lgamma(c - k + 1) + lgamma(n - k + 1) + lgamma(rest - c - n + k + 1)"
+    sd = "sqrt(greatest(0.0, n * c / greatest(rest, 1.0) * (1 - c / greatest(rest, 1.0)) * (rest - n) / greatest(rest - 1, 1.0)))"
+    at = f"""select *, cast(greatest(0, n - (rest - c), mode - reach) as bigint) as lo, cast(least(n, c, mode + reach) as bigint) as hi from (
+      select *, floor((n + 1) * (c + 1) / (rest + 2)) as mode, ceil({sd} * 8) + 8 as reach from (select *, cast(counts[i + 1] as double) as c, {_KEY.format(f"'urn', cast(node + {1 << level} as varchar), cast(i as varchar)")} / 4503599627370496.0 as unit from h{level} where i < len(counts)))"""
+    weights = f"select *, list_transform(range(lo, hi + 1), lambda k: exp(top - ({weight}))) as ws from (select *, {weight.replace('k', 'cast(least(greatest(mode, lo), hi) as bigint)')} as top from ({at}))"
+    sums = f"select *, list_transform(range(1, len(ws) + 1), lambda m: list_sum(ws[1:m])) as sums from ({weights})"
+    drawn = f"select *, case when rest > 0 then least(hi, lo + len(list_filter(sums, lambda s: s <= unit * sums[len(sums)]))) else 0 end as x from ({sums})"
+    return f"""h{level} as (select node, counts, 0 as i, cast(floor(list_sum(counts) / 2) as double) as n, cast(list_sum(counts) as double) as rest, cast([] as bigint[]) as drawn from n{level}
+  union all select node, counts, i + 1, n - x, rest - c, list_append(drawn, cast(x as bigint)) from ({drawn})),
+n{level + 1} as (select 2 * node + side as node, list_transform(range(1, len(counts) + 1), lambda k: cast(case when side = 0 then drawn[k] else counts[k] - drawn[k] end as bigint)) as counts from h{level}, (values (0), (1)) as t(side) where i = len(counts))"""
+
+
 op8_mix = f"""
 with recursive r as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size, {_KEY.format("coalesce(cast(doc_id as varchar), '-')")} as mixed from documents),
 s as (select source, count(*) as docs, cast(sum(size) as bigint) as source_size from r group by 1),
 t as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight, source_size * 3 as cap, sum(source_size) over () as total from s),
 u as (select *, (total - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level from t),
 v as (select *, least(cap, weight * (select arg_min(level, cap / weight) from u where level <= cap / weight)) as target from u),
-p as (select r.*, source_size, target, mixed % least(4096, cast(pow(2, floor(log2(greatest(docs / 64, 1)))) as bigint)) as block from r join v on r.source is not distinct from v.source),
+p as (select r.*, source_size, target, mixed % 4096 as block from r join v on r.source is not distinct from v.source),
 b as (select source, block, sum(size) as block_size, any_value(source_size) as source_size, cast(round(any_value(target)) as bigint) as goal from p group by 1, 2),
-c as (select *, case when source_size > 0 then goal // source_size else 0 end as epochs, row_number() over (partition by source order by {_KEY.format("coalesce(source, '-'), cast(block as varchar)")}, block) as turn from b),
+c as (select *, case when source_size > 0 then goal // source_size else 0 end as epochs, row_number() over (partition by source order by {_KEY.format("coalesce(source, '-'), cast(block as varchar)")}, block) as turn, count(*) over (partition by source) as blocks from b),
 e as (select *, goal - epochs * source_size as rest, sum(block_size) over (partition by source order by turn) as upto from c),
-f as (select source, block, epochs + case when upto <= rest then 1 else 0 end as whole, case when upto > rest and upto - block_size < rest then rest - upto + block_size else 0 end as part from e),
-g as (select p.*, part, sum(size) over (partition by p.source order by mixed, doc_id, size rows unbounded preceding) as upto from p join f on p.source is not distinct from f.source and p.block = f.block where part > 0 and size > 0),
-h as (select *, row_number() over (partition by source order by mixed, doc_id, size) as i, part - coalesce((select max(upto) from g x where x.source is not distinct from g.source and x.upto <= g.part), 0) as left_over from g where upto > part),
-w as (select source, 0 as i, any_value(left_over) as left_over, cast(null as bigint) as doc_id, cast(0 as bigint) as words, cast(null as bigint) as spare from h group by source
-  union all select w.source, w.i + 1, case when h.size <= w.left_over then w.left_over - h.size else w.left_over end, h.doc_id, case when h.size <= w.left_over then h.size else 0 end, coalesce(w.spare, case when h.size > w.left_over then h.doc_id end) from w join h on h.source is not distinct from w.source and h.i = w.i + 1 where w.i < 256),
-z as (select doc_id, words from w where words > 0 union all select spare, left_over from (select source, arg_max(spare, i) as spare, arg_max(left_over, i) as left_over from w group by source) where left_over > 0 and spare is not null union all select doc_id, size from g where upto <= part),
-k as (select doc_id, sum(words) as words from z group by 1)
-select p.doc_id, size, source_size, cast(target as double) as target, cast(whole * size + coalesce(words, 0) as bigint) as taken from p join f on p.source is not distinct from f.source and p.block = f.block left join k on k.doc_id = p.doc_id
+f as (select source, block, turn, blocks, epochs + case when upto <= rest then 1 else 0 end as whole, case when upto > rest and upto - block_size < rest then rest - upto + block_size else 0 end as part from e),
+g as (select p.*, part, least(size, part + size - sum(size) over (partition by p.source order by mixed, doc_id, size rows unbounded preceding)) as words from p join f on p.source is not distinct from f.source and p.block = f.block where part > 0 and size > 0),
+k as (select source, block, doc_id, size, words from g where words > 0),
+n0 as (select 0 as node, list(cast(draws as bigint) order by source nulls last) as counts from (select source, sum(whole + case when part > 0 then 1 else 0 end) as draws from f group by 1)),
+{", ".join(_halved(level) for level in range(4))},
+o as (select source, row_number() over (order by source nulls last) as i from s),
+q as (select source, node as shard, sum(counts[i]) over (partition by source order by node) as upto, counts[i] as quota from n4, o),
+d as (select source, block, epoch, epoch < whole as entire, row_number() over (partition by source order by epoch * blocks + turn) - 1 as number from (select *, unnest(range(0, cast(whole + case when part > 0 then 1 else 0 end as bigint))) as epoch from f)),
+w as (select d.*, cast(1 as bigint) << cast(shard as integer) as bit from d join q on d.source is not distinct from q.source and number < upto and number >= upto - quota),
+x as (select doc_id, p.source, size, bit, size as words from p join w on p.source is not distinct from w.source and p.block = w.block where entire and size > 0
+  union all select doc_id, k.source, size, bit, words from k join w on k.source is not distinct from w.source and k.block = w.block where not entire),
+y as (select doc_id, source, sum(words) as taken, bit_or(bit) as shards from x group by 1, 2)
+select p.doc_id, size, source_size, cast(target as double) as target, cast(coalesce(taken, 0) as bigint) as taken, coalesce(shards, 0) as shards from p left join y on p.doc_id = y.doc_id and p.source is not distinct from y.source
 """
 
 ORACLES = {"op1_decontaminate": op1_decontaminate, "op2_suffix_dedup": op2_suffix_dedup, "op7_similar": op7_similar, "op8_mix": op8_mix}
