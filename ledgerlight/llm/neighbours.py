@@ -1,14 +1,17 @@
 """Approximate nearest neighbours: a forest of random-projection trees and one priority queue for all of them.
 
-Each tree halves a bounded sample again and again by the plane between two of its vectors. Every row is filed under
-its leaf in every tree. A query walks all trees at once through a queue ordered by how near it stands to the planes
+Each tree halves a bounded sample again and again by the plane between two of its vectors; vectors of different
+lengths have forests of their own. Every row is filed under its leaf in every tree. A query walks all trees at once through a queue ordered by how near it stands to the planes
 that it would have to cross, until it has opened leaves enough; the rows filed there are ranked by exact cosine in
 double precision. Leaves with many rows (a vector that repeats, say) are dealt out by a hash over several groups, each
 of which ranks its own rows.
 
-Vectors that are null, empty, zero or hold null or non-finite components, or whose length is not the commonest one,
-take no part. A null id takes no part. Rows with equal ids and equal vectors count once; ties go to the smaller id.
-Empty tables give no rows; extra columns are not read.
+Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids. Vectors are
+first divided by a power of two near their largest component, so that the squares of very large and very small ones
+stay finite; a cosine does not change by that. A query finds only vectors of its own length. Repeated rows are
+candidates each for itself, but those with the query's own id; a repeated query is answered as often as it occurs.
+Ties go to the smaller id. Empty tables give no rows; extra columns, under any name, are not read. A vector is short,
+whatever a table holds: long ones mean fewer rows a group.
 """
 
 from __future__ import annotations
@@ -18,10 +21,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import durable
+from .sampling import every_class
+from .segments import trim
+from .store import by_bytes, durable
 
 #: Vectors that the planes are drawn from, at most (up to the chance of a hash).
 SAMPLE = 16384
@@ -29,8 +36,18 @@ TREES, LEAF_ROWS, NEAREST = 4, 256, 5
 #: Share of the sample's own nearest neighbours that its queries must meet in the leaves they open, and how many
 #: sampled queries measure it. The queue then opens as many leaves as that took.
 RECALL, MEASURED = 0.97, 128
-#: Fewest sampled vectors of a leaf, and most rows that one group ranks.
-LEAF_SAMPLE, GROUP_ROWS = 4, 4096
+#: Fewest sampled vectors of a leaf, and most rows that one group ranks; their vectors take GROUP_BYTES at most.
+LEAF_SAMPLE, GROUP_ROWS, GROUP_BYTES = 4, 4096, 32 << 20
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors divided by the power of two that brings their largest component into [0.5, 1); exact."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) if len(x) else x
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 @dataclass
@@ -81,7 +98,7 @@ class Forest:
     def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed: int = 3):
         rng = np.random.default_rng(seed)
         least = max(LEAF_SAMPLE, leaf_rows * len(sample) // max(rows, 1))
-        unit = sample / np.sqrt((sample**2).sum(1))[:, None]
+        unit = units(sample)
         self.trees = [Tree() for _ in range(trees)]
         self.roots = [t.grow(unit, least, rng) for t in self.trees]
         for t in self.trees:
@@ -106,7 +123,7 @@ class Forest:
     def calibrate(self, sample: np.ndarray, k: int, recall: float) -> int:
         """How many leaves a query must open. Neighbours in the sample stand farther off than those in all rows, so
         the share met among all rows is the higher one."""
-        x = sample / np.sqrt((sample**2).sum(1))[:, None]
+        x = units(sample)
         leaves, met = self.leaves_of(x), []
         for i in range(0, len(x), max(1, len(x) // MEASURED)):
             order = np.empty(self.first[-1], np.int64)
@@ -145,76 +162,117 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
+#: A found row: how far (minus the cosine), its id, its number.
+_HIT = np.dtype([("far", "<f8"), ("vec_id", "<i8"), ("row", "<i8")])
+_FILED = "row bigint, vec_id bigint, v array<double>, leaves array<bigint>"
+_DEALT = "cell bigint, row bigint, vec_id bigint, v array<double>"
+FOUND = "query_id bigint, rank int, vec_id bigint, score double"
+
+
+class Forests:
+    """A forest for each length of vectors; leaves are numbered through all of them."""
+
+    def __init__(self, drawn: list[np.ndarray], counts: dict[int, int], k: int, trees: int, recall: float, leaf_rows: int):
+        self.of: dict[int, tuple[Forest, int, int]] = {}
+        self.leaves = 0
+        for planes in drawn:
+            forest = Forest(planes, counts[planes.shape[1]], trees, leaf_rows)
+            self.of[planes.shape[1]] = forest, self.leaves, forest.calibrate(planes, k, recall)
+            self.leaves += int(forest.first[-1])
+
+    def by_length(self, b: pa.RecordBatch, at: int):
+        """(places, vectors, forest, number of its first leaf, probes) for each length in column at."""
+        lens = pc.list_value_length(b.column(at)).to_numpy()
+        for d in np.unique(lens).tolist():
+            if d in self.of:
+                some = np.flatnonzero(lens == d)
+                yield some, _matrix(b.column(at).take(pa.array(some))), *self.of[d]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, trees: int = TREES, recall: float = RECALL, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each query but the one with its id."""
-    rows, asks = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    out = "query_id bigint, rank int, vec_id bigint, score double"
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], out)
-    d, n = sizes[0]
-    rows, asks = rows.filter(F.size("v") == d), asks.filter(F.size("v") == d)
-    share = int(min(1.0, sample / n) * (1 << 30))
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit("planes"), "vec_id"), F.lit(1 << 30)) < share).orderBy("vec_id").toArrow()
-    if not drawn.num_rows:
-        drawn = rows.limit(1).toArrow()
-    planes = np.unique(_matrix(drawn["v"]), axis=0)
-    forest = Forest(planes, n, trees, leaf_rows)
-    probes = forest.calibrate(planes, k, recall)
+    """query_id, rank, vec_id, score: the k nearest rows found for each query but those with its id."""
+    rows, asks = by_bytes(usable(vectors, id_col, vector_col)), usable(queries, id_col, vector_col)
+    counts = {r.d: r["count"] for r in rows.groupBy(F.size("v").alias("d")).count().collect()}
+    if not counts:
+        return vectors.sparkSession.createDataFrame([], FOUND)
+    drawn = every_class(rows.withColumn("d", F.size("v")), "d", "vec_id", sample, sample).orderBy("d", "vec_id").toArrow()
+    lens = drawn["d"].to_numpy()
+    planes = [np.unique(_matrix(drawn["v"].take(pa.array(np.flatnonzero(lens == d)))), axis=0) for d in np.unique(lens).tolist()]
+    forests = Forests(planes, counts, k, trees, recall, leaf_rows)
 
     def file(batches):
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            x = _matrix(b.column(1))
-            x = x / np.sqrt((x**2).sum(1))[:, None]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(forest.leaves_of(x)), pa.list_(pa.int64()))], names=["vec_id", "v", "leaves"])
+            leaves = np.empty((b.num_rows, trees), np.int64)
+            for some, x, forest, first, _ in forests.by_length(b, 1):
+                leaves[some] = forest.leaves_of(units(x)) + first
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), b.column(0), b.column(1), pa.array(list(leaves), pa.list_(pa.int64()))], names=["row", "vec_id", "v", "leaves"])
+            row += b.num_rows
 
-    filed = durable(rows.mapInArrow(file, "vec_id bigint, v array<double>, leaves array<bigint>"), "filed")
-    # at most as many rows as the forest has leaves, which the sample bounds
+    filed = durable(rows.mapInArrow(file, _FILED), "filed")
+    # at most as many rows as the forests have leaves, which the sample bounds
     held = {r.leaf: r["count"] for r in filed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
-    groups = np.array([-(-held.get(x, 0) // GROUP_ROWS) for x in range(int(forest.first[-1]))], np.int64)
+    most = np.full(forests.leaves, GROUP_ROWS)
+    for d, (forest, first, _) in forests.of.items():
+        most[first : first + int(forest.first[-1])] = max(1, min(GROUP_ROWS, GROUP_BYTES // (8 * d)))
+    groups = np.array([-(-held.get(x, 0) // int(m)) for x, m in enumerate(most)], np.int64)
     cell = np.cumsum(groups) - groups
 
     def deal(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
-            leaves = _matrix(b.column(2))
-            salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)[:, None] % groups[leaves]
-            at = np.repeat(np.arange(len(ids)), leaves.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array((cell[leaves] + salt).ravel()), pa.array(ids[at]), b.column(1).take(pa.array(at))], names=["cell", "vec_id", "v"])
+            row = b.column(0).to_numpy()
+            leaves = _matrix(b.column(3))
+            salt = (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)[:, None] % groups[leaves]
+            at = pa.array(np.repeat(np.arange(len(row)), leaves.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array((cell[leaves] + salt).ravel()), *(b.column(c).take(at) for c in range(3))], names=["cell", "row", "vec_id", "v"])
 
     def ask(batches):
+        number = TaskContext.get().partitionId() << 40
         for b in batches:
-            x = _matrix(b.column(1))
             cells, at = [], []
-            for i, q in enumerate(x / np.sqrt((x**2).sum(1))[:, None]):
-                for leaf in forest.probe(q, probes):
-                    cells += range(cell[leaf], cell[leaf] + groups[leaf])
-                    at += [i] * int(groups[leaf])
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64()))], names=["cell", "vec_id", "v"])
+            for some, x, forest, first, probes in forests.by_length(b, 1):
+                for i, q in zip(some.tolist(), units(x), strict=True):
+                    for leaf in forest.probe(q, probes):
+                        leaf += first
+                        cells += range(cell[leaf], cell[leaf] + groups[leaf])
+                        at += [i] * int(groups[leaf])
+            at = np.array(at, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(at + number), *(b.column(c).take(pa.array(at)) for c in range(2))], names=["cell", "row", "vec_id", "v"])
+            number += b.num_rows
 
     def rank(left, right):
-        r, q = _matrix(left["v"]), _matrix(right["v"])
-        if not len(q) or not len(r):
-            return pa.table({"query_id": pa.array([], pa.int64()), "best": pa.array([], pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))})
-        ids, asked = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        norm, norm_q = np.sqrt((r * r).sum(1)), np.sqrt((q * q).sum(1))
-        rough = (q / norm_q[:, None]) @ (r / norm[:, None]).T
-        best = []
-        for i, own in enumerate(asked):
-            row = np.where(ids == own, -2.0, rough[i])
-            m = min(k, len(row))
-            at = np.flatnonzero((row >= np.partition(row, len(row) - m)[len(row) - m] - 1e-9) & (row > -2))
-            exact = (r[at] * q[i]).sum(1) / (norm[at] * norm_q[i])  # one order of summation for all, so that copies tie
-            far, near = -exact, ids[at]
-            order = np.lexsort((near, far))
-            pairs = list(dict.fromkeys((far[j], near[j]) for j in order))[:k] if len(order) else []
-            best.append([{"far": float(a), "vec_id": int(b)} for a, b in pairs])
-        return pa.table({"query_id": pa.array(asked, pa.int64()), "best": pa.array(best, pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))})
-
-    dealt = filed.mapInArrow(deal, "cell bigint, vec_id bigint, v array<double>")
-    asking = durable(asks.mapInArrow(ask, "cell bigint, vec_id bigint, v array<double>"), "probes")
-    found = dealt.groupBy("cell").cogroup(asking.groupBy("cell")).applyInArrow(rank, "query_id bigint, best array<struct<far:double,vec_id:bigint>>")
+        out = {"query": [], "query_id": [], "best": []}
+        if left.num_rows and right.num_rows:
+            r, q = scaled(_matrix(left["v"])), scaled(_matrix(right["v"]))
+            ids, row = left["vec_id"].to_numpy(), left["row"].to_numpy()
+            norm, norm_q = np.sqrt((r * r).sum(1)), np.sqrt((q * q).sum(1))
+            unit = r / norm[:, None]
+            for i, (number, own) in enumerate(zip(right["row"].to_pylist(), right["vec_id"].to_pylist(), strict=True)):
+                near = unit @ (q[i] / norm_q[i])
+                near[ids == own] = -2
+                m = min(k, len(near))
+                at = np.flatnonzero((near >= np.partition(near, len(near) - m)[len(near) - m] - 1e-9) & (near > -2))
+                hits = np.empty(len(at), _HIT)
+                hits["far"] = -((r[at] * q[i]).sum(1) / (norm[at] * norm_q[i]))  # one order of summation for all, so that copies tie
+                hits["vec_id"], hits["row"] = ids[at], row[at]
+                out["query"].append(number)
+                out["query_id"].append(own)
+                out["best"].append(np.sort(hits, order=("far", "vec_id", "row"))[:k].tobytes())
+        trim()
+        return pa.table({"query": pa.array(out["query"], pa.int64()), "query_id": pa.array(out["query_id"], pa.int64()), "best": pa.array(out["best"], pa.binary())})
+
+    def merge(batches):
+        """The k best of the lists of each query; a row that stands in several trees counts once."""
+        for b in batches:
+            for own, lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                hits = np.frombuffer(b"".join(lists), _HIT)
+                hits = hits[np.unique(hits["row"], return_index=True)[1]]
+                hits = np.sort(hits, order=("far", "vec_id", "row"))[:k]
+                n = len(hits)
+                yield pa.RecordBatch.from_arrays([pa.array([own] * n, pa.int64()), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(hits["vec_id"]), pa.array(-hits["far"])], names=["query_id", "rank", "vec_id", "score"])
+
+    dealt = filed.mapInArrow(deal, _DEALT)
+    asking = durable(asks.mapInArrow(ask, _DEALT), "probes")
+    found = dealt.groupBy("cell").cogroup(asking.groupBy("cell")).applyInArrow(rank, "query bigint, query_id bigint, best binary")
     # each list has k entries at most, and a query as many lists as cells that it opens
-    top = found.filter("size(best) > 0").groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
-    one = top.select("query_id", F.posexplode("best").alias("i", "b"))
-    return one.select("query_id", (F.col("i") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"))
+    return found.groupBy("query").agg(F.first("query_id").alias("query_id"), F.collect_list("best").alias("best")).select("query_id", "best").mapInArrow(merge, FOUND)
