@@ -1,63 +1,91 @@
-"""Elias-Fano sequences and n-gram trie levels in memory-mapped files, read by whole arrays of queries."""
+"""Elias-Fano sequences and n-gram trie levels in one mapped block of memory, read in place by arrays of queries."""
 
 from __future__ import annotations
 
-import os
+import mmap
 
 import numpy as np
 
 from .tokens import U64
 
+#: 64-bit words of unary bits for which one running count is kept.
+BLOCK = 8
+
 
 class Sequence:
-    """An ascending sequence of uint64: low bits packed, high bits in unary, about 2 + log2(universe / n) bits each."""
+    """An ascending sequence of uint64: low bits packed, high bits in unary, about 2 + log2(universe / n) bits each.
+    Nothing is unpacked; besides the bits there is a count of ones for each BLOCK words."""
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.width, self._low = n, width, low
-        self._words = np.ndarray(max(len(low) - 7, 0), "<u8", low, strides=(1,)) if len(low) >= 8 else np.zeros(0, U64)
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little"))[:n]
-        tops = ones - np.arange(n)
-        #: where the values with each high part begin
-        self.bucket = np.searchsorted(tops, np.arange(int(tops[-1]) + 2)) if n else np.zeros(1, np.int64)
+        """low: bytes, with eight to spare; high: whole blocks of 64-bit words."""
+        self.n, self.width, self._high = n, width, high
+        self._low = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
+        ones = np.bitwise_count(high).reshape(-1, BLOCK).sum(1, dtype=np.int64)
+        self._ones = np.cumsum(ones) - ones
+        self._zeros = np.arange(len(ones)) * (64 * BLOCK) - self._ones
 
     @staticmethod
     def parts(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
-        """n, width, packed low bits, high bits."""
+        """n, width, packed low bits, words of high bits: bit i + (high part of value i) is set."""
         n = len(values)
         width = max(0, int(int(values[-1]) // n).bit_length() - 1) if n else 0
         width = min(width, 56)  # a value is read from one unaligned word
-        mask = U64((1 << width) - 1)
-        bits = ((values & mask)[:, None] >> np.arange(width, dtype=U64) & U64(1)).astype(np.uint8) if width else np.zeros((n, 0), np.uint8)
+        bits = ((values & U64((1 << width) - 1))[:, None] >> np.arange(width, dtype=U64) & U64(1)).astype(np.uint8)
         low = np.concatenate([np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, np.uint8)])
         at = (values >> U64(width)).astype(np.int64) + np.arange(n)
-        high = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
+        size = int(at[-1]) + 2 if n else 1  # a zero ends the last high part
+        high = np.zeros(-(-size // (64 * BLOCK)) * 64 * BLOCK, np.uint8)
         high[at] = 1
-        return n, width, low, np.packbits(high, bitorder="little")
+        return n, width, low, np.packbits(high, bitorder="little").view("<u8")
 
     def low(self, i: np.ndarray) -> np.ndarray:
         bit = i.astype(np.int64) * self.width
-        return (self._words[bit >> 3] >> (bit & 7).astype(U64)) & U64((1 << self.width) - 1)
+        return (self._low[bit >> 3] >> (bit & 7).astype(U64)) & U64((1 << self.width) - 1)
+
+    def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
+        """The place of the k-th one, or zero, of the high bits."""
+        before = self._ones if ones else self._zeros
+        block = np.searchsorted(before, k, "right") - 1
+        left, word = k - before[block], block * BLOCK
+        flip = U64(0) if ones else ~U64(0)
+        for _ in range(BLOCK - 1):
+            n = np.bitwise_count(self._high[word] ^ flip)
+            go = left >= n
+            left = left - n * go
+            word = word + go
+        x, at = self._high[word] ^ flip, word * 64
+        for half in (32, 16, 8, 4, 2, 1):
+            n = np.bitwise_count(x & U64((1 << half) - 1))
+            go = left >= n
+            left = left - n * go
+            x = x >> (go * U64(half))
+            at = at + go * half
+        return at
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        top = np.searchsorted(self.bucket, i, "right") - 1
-        return (top.astype(U64) << U64(self.width)) | self.low(i)
+        i = i.astype(np.int64)
+        return ((self._select(i, True) - i).astype(U64) << U64(self.width)) | self.low(i)
+
+    def _upto(self, top: np.ndarray) -> np.ndarray:
+        """How many values have high parts of top at most."""
+        most = len(self._high) * 64 - self.n  # zeros
+        return np.where(top < 0, 0, np.where(top >= most, self.n, self._select(np.clip(top, 0, most - 1), False) - top))
 
     def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """The first place in [lo, hi) whose value is x at least; hi if there is none. Defaults: the whole sequence."""
-        top = np.minimum(x >> U64(self.width), U64(len(self.bucket) - 1)).astype(np.int64)
-        a = self.bucket[top]
-        z = self.bucket[np.minimum(top + 1, len(self.bucket) - 1)]
+        top = np.minimum(x >> U64(self.width), U64(1 << 62)).astype(np.int64)
+        a, z = self._upto(top - 1), self._upto(top)
         if lo is not None:
             a, z = np.clip(a, lo, hi), np.clip(z, lo, hi)
         target = x & U64((1 << self.width) - 1)
-        while True:
-            live = np.flatnonzero(a < z)
-            if not len(live):
-                return a
+        live = np.flatnonzero(a < z)
+        while len(live):
             mid = (a[live] + z[live]) >> 1
             less = self.low(mid) < target[live]
             a[live] = np.where(less, mid + 1, a[live])
             z[live] = np.where(less, z[live], mid)
+            live = live[a[live] < z[live]]
+        return a
 
     def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """The place of x in [lo, hi), -1 where it isn't."""
@@ -70,27 +98,30 @@ class Sequence:
 
 
 class Level:
-    """One level of the trie: contexts, monotone pointers to their children, the children, and a quantised log10
-    probability of each child. Children stand relative to their context: each context's are raised above those of the
-    one before, which makes them one ascending sequence."""
+    """One level of the trie: parents (places of the level above), monotone pointers to their children, the children,
+    and a quantised log10 probability of each child. Children stand relative to their parent: each parent's are raised
+    above those of the one before, which makes them one ascending sequence. A child's place is what the level below
+    has as its parent."""
 
     #: Quantisation of log10 probabilities: 16 bits over 16 decades.
     STEP, NONE = 16 / 65534, 65535
 
-    def __init__(self, path: str):
-        self._map = np.memmap(path, np.uint8, "r")
-        head = self._map[: 8 * 11].view(np.int64)
+    def __init__(self, raw):
+        """raw: what pack() made, in any buffer (bytes, a mapped file)."""
+        self._raw = np.frombuffer(raw, np.uint8)
+        head = self._raw[: 8 * 11].view(np.int64)
         at, parts = 88, []
         for n, width, low, high in head[:9].reshape(3, 3)[:, [0, 1, 2, 2]].tolist():
             size = (n * width + 7) // 8 + 8
-            parts.append(Sequence(n, width, self._map[at : at + size], self._map[at + size : at + size + high]))
+            size += -size % 8
+            parts.append(Sequence(n, width, self._raw[at : at + size], self._raw[at + size : at + size + high].view("<u8")))
             at += size + high
         self.contexts, self.pointers, self.children = parts
         self.span = int(head[9])
-        self.codes = self._map[at + (-at) % 2 :].view(np.uint16)
+        self.codes = self._raw[at:].view(np.uint16)
 
     @classmethod
-    def build(cls, path: str, context: np.ndarray, child: np.ndarray, log10: np.ndarray) -> Level:
+    def pack(cls, context: np.ndarray, child: np.ndarray, log10: np.ndarray) -> bytes:
         """From entries ordered by context and child."""
         new = np.ones(len(context), bool)
         new[1:] = context[1:] != context[:-1]
@@ -100,29 +131,38 @@ class Level:
         head, body = [], []
         for values in (context[new], first, rank.astype(U64) * U64(span) + child.astype(U64)):
             n, width, low, high = Sequence.parts(values)
-            low = low[: (n * width + 7) // 8 + 8]
-            head += [n, width, len(high)]
-            body += [low.tobytes(), high.tobytes()]
-        blob = np.array([*head, span, 0], np.int64).tobytes() + b"".join(body)
-        codes = np.clip(np.rint(-log10 / cls.STEP), 0, cls.NONE - 1).astype(np.uint16)
-        with open(path, "wb") as f:
-            f.write(blob + b"\0" * (len(blob) % 2) + codes.tobytes())
-        return cls(path)
+            low = low[: (n * width + 7) // 8 + 8].tobytes()
+            head += [n, width, high.nbytes]
+            body += [low + b"\0" * (-len(low) % 8), high.tobytes()]
+        return np.array([*head, span, 0], np.int64).tobytes() + b"".join(body) + cls.coded(log10).tobytes()
 
-    def lookup(self, context: np.ndarray, child: np.ndarray) -> np.ndarray:
-        """The code of each (context, child); NONE where the trie has it not."""
-        out = np.full(len(context), self.NONE, np.uint16)
-        if not self.contexts.n:
+    @classmethod
+    def coded(cls, log10: np.ndarray) -> np.ndarray:
+        return np.clip(np.rint(-log10 / cls.STEP), 0, cls.NONE - 1).astype(np.uint16)
+
+    @classmethod
+    def mapped(cls, raw: bytes) -> Level:
+        """The level in memory of its own, which goes back to the system as soon as the level is dropped."""
+        block = mmap.mmap(-1, len(raw))
+        block.write(raw)
+        return cls(block)
+
+    def find(self, context: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """The place of each (context, child); -1 where the trie has it not."""
+        out = np.full(len(context), -1)
+        if not self.contexts.n or not len(context):
             return out
-        r = self.contexts.find(context)
-        known = np.flatnonzero((r >= 0) & (child < self.span))
-        r = r[known]
-        lo, hi = self.pointers.get(r).astype(np.int64), self.pointers.get(r + 1).astype(np.int64)
-        at = self.children.find(r.astype(U64) * U64(self.span) + child[known].astype(U64), lo, hi)
-        hit = at >= 0
-        out[known[hit]] = self.codes[at[hit]]
+        new = np.append(True, context[1:] != context[:-1])  # runs of one context are looked up once
+        run = np.cumsum(new) - 1
+        rank = self.contexts.find(context[new])
+        there = np.maximum(rank, 0)
+        lo, hi = (self.pointers.get(x).astype(np.int64) for x in (there, there + 1))
+        known = np.flatnonzero((rank[run] >= 0) & (child < self.span))
+        run = run[known]
+        out[known] = self.children.find(rank[run].astype(U64) * U64(self.span) + child[known].astype(U64), lo[run], hi[run])
         return out
 
-    def close(self, path: str) -> None:
-        del self._map, self.codes
-        os.remove(path)
+    def lookup(self, context: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """The code of each (context, child); NONE where the trie has it not."""
+        at = self.find(context, child)
+        return np.where(at >= 0, self.codes[np.maximum(at, 0)], np.uint16(self.NONE)) if len(self.codes) else np.full(len(at), self.NONE, np.uint16)

@@ -3,13 +3,15 @@
 The model is counted over all documents that are not held out. Words get ids from a first exchange, which also
 brings their counts; each further level of the trie is cut into shards by a hash of (context, word), so that a
 context with very many words spreads over all shards. A shard sums the counts of its entries, stores smoothed
-probabilities in a memory-mapped trie level, and answers the segments that asked. Smoothing is Dirichlet's: the
-probability of w after a context h is
+probabilities in a memory-mapped trie level, and answers the segments that asked; the place of an entry in its level
+is the id that the level below has as its children's parent. A context that occurs in one segment alone needs no
+shard: the segment holds all its children. Smoothing is Dirichlet's: the probability of w after a context h is
 
     count(h w) / (count(h) + strength)  +  strength / (count(h) + strength) * probability of w after the shorter context
 
 with (count(w) + 1) / (N + V + 1) at the bottom, which leaves one share for unknown words. The first term is what
-the trie holds, quantised; the second follows from counts that the asking segment has.
+the trie holds, quantised; the second follows from counts that the asking segment has. Segments and shards are of
+bounded size, so long texts and large corpora mean more of them.
 
 Tokens are words without white space, A-Z lower-cased, and one end for each text. A null text counts as empty: one
 token. A null id is held out. Without anything to learn from every probability is 1. Repeated rows are scored and
@@ -18,20 +20,19 @@ counted each for itself; extra columns are not read.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codec import dec, dec_sorted, enc, enc_sorted
+from .codec import dec, dec_sorted, enc, enc_sorted, expand, squeeze
 from .eliasfano import Level
 from .segments import Seg, Segments, by_bucket, split
-from .tokens import SOLID, U64, Words, mix, uniques
+from .tokens import SOLID, U64, Words, mix, order_by, uniques
 
-ORDER = 2
+#: Words of an n-gram.
+ORDER = 3
 #: Weight of the shorter context's distribution, in counts.
 STRENGTH = 500.0
 END = mix(np.array([1], U64))[0]
@@ -73,6 +74,26 @@ def _emit_words(s: Seg, buckets: int):
             yield {"bucket": b, "seg": s.seg, "keys": enc_sorted(t.keys[x]), "counts": enc(t.counts[x])}
 
 
+def _gaps(places: np.ndarray) -> bytes:
+    """The ascending places among some that may be -1."""
+    return enc(np.diff(places[places >= 0], prepend=0))
+
+
+def _placed(raw: bytes, there: np.ndarray, first: int, none: int) -> np.ndarray:
+    """What _gaps() packed, from first on, where something is there; none elsewhere."""
+    out = np.full(len(there), none)
+    out[there] = np.cumsum(dec(raw, np.int64)) + first
+    return out
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return squeeze(np.packbits(x).tobytes())
+
+
+def _unbits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(expand(raw), np.uint8), count=n).astype(bool)
+
+
 def _count_words(rows: list[dict]):
     keys = [dec_sorted(r["keys"]) for r in rows]
     size = np.cumsum([0, *map(len, keys)])
@@ -80,123 +101,170 @@ def _count_words(rows: list[dict]):
     total = np.bincount(place, np.concatenate([dec(r["counts"], np.int64) for r in rows])).astype(np.int64)
     known = total > 0
     rank = np.where(known, np.cumsum(known) - 1, -1)
+    shared = (np.bincount(place) > 1)[place]
     for r, a, z in zip(rows, size[:-1], size[1:], strict=True):
-        yield {"seg": r["seg"], "bucket": r["bucket"], "counts": enc(total[place[a:z]]), "ranks": enc(rank[place[a:z]]), "known": int(known.sum()), "tokens": int(total.sum())}
+        yield {"seg": r["seg"], "bucket": r["bucket"], "counts": enc(total[place[a:z]]), "ranks": _gaps(rank[place[a:z]]), "shared": _bits(shared[a:z]), "known": int(known.sum()), "tokens": int(total.sum())}
+
 
+WORDS = "seg long, bucket int, counts binary, ranks binary, shared binary, known long, tokens long"
 
-WORDS = "seg long, bucket int, counts binary, ranks binary, known long, tokens long"
 
+#: The probability of each code.
+_POWERS = 10 ** (-np.arange(Level.NONE + 1) * Level.STEP)
+_POWERS[Level.NONE] = 0
 
-class _Vocabulary:
-    """Ids from 1 in the order of (bucket, rank); 0 is every unknown word, and the beginning comes after the last."""
 
-    def __init__(self, answers: DataFrame):
-        sizes = answers.groupBy("bucket").agg(F.first("known").alias("known"), F.first("tokens").alias("tokens")).collect()
-        self.offset, at = {}, 1
+class _Ids:
+    """Ids of the entries of a level: those of one bucket after those of the one before, in the bucket's order."""
+
+    def __init__(self, answers: DataFrame, start: int):
+        sizes = answers.groupBy("bucket").agg(F.first("known").alias("known")).collect()
+        self.offset, at = {}, start
         for r in sorted(sizes, key=lambda r: r.bucket):
             self.offset[r.bucket] = at
             at += r.known
-        self.types, self.begin, self.tokens = at - 1, at, sum(r.tokens for r in sizes)
+        self.end = at
+
+
+class _Vocabulary(_Ids):
+    """Ids from 1 in the order of the words' hashes; 0 is every unknown word, and the beginning comes after the last."""
+
+    def __init__(self, answers: DataFrame, strength: float):
+        super().__init__(answers, 1)
+        self.types, self.begin, self.strength = self.end - 1, self.end, strength
+        self.tokens = sum(r.tokens for r in answers.groupBy("bucket").agg(F.first("tokens").alias("tokens")).collect())
+        self.levels: dict[int, _Ids] = {}
+
 
+class _Walk:
+    """The tokens of a segment on their way down the trie.
 
-class _Context:
-    """The tokens of a segment with ids, counts and bottom probabilities."""
+    At each level a token has a context: the entry of the level above that ends in the token before it. Of contexts
+    the segment knows the id, the count (as a context, in all training texts), and whether other segments have them
+    too. Those that none has are settled here; words and contexts that no training text holds have count 0. Only the
+    other entries are asked for, by the ids of context and word."""
 
-    def __init__(self, s: Seg, answers: list[dict], v: _Vocabulary):
+    def __init__(self, s: Seg, answers: list[dict], v: _Vocabulary, scoring: bool):
+        """scoring: whether probabilities are wanted, or only what leads to the next level."""
         t = self.t = _Tokens(s)
-        counts = np.concatenate([dec(r["counts"], np.int64) for r in answers])
-        ids = np.concatenate([np.where((k := dec(r["ranks"], np.int64)) >= 0, k + v.offset[r["bucket"]], 0) for r in answers])
-        self.count, self.id = counts[t.word], ids[t.word]
+        self.v, self.scoring = v, scoring
+        each = [dec(r["counts"], np.int64) for r in answers]
+        counts = np.concatenate(each)
+        shared = np.concatenate([_unbits(r["shared"], len(x)) for r, x in zip(answers, each, strict=True)])
+        ids = np.concatenate([_placed(r["ranks"], x > 0, v.offset[r["bucket"]], 0) for r, x in zip(answers, each, strict=True)])
+        self.word_id = ids
+        self.count = counts[t.word]
         self.known = self.count > 0
-        self.bottom = (self.count + 1.0) / (v.tokens + v.types + 1.0)
-        ends = int(counts[np.searchsorted(t.keys, END)])
+        self.p = self.bottom = (self.count + 1.0) / (v.tokens + v.types + 1.0) if scoring else None
         self.depth = np.arange(len(t.word)) - t.first[t.doc]
-        # the context of each token at level 2: the word before it, or the beginning, which occurs once a text
-        self.context = np.roll(self.id, 1).astype(U64)
-        self.context[t.first] = v.begin
-        self.total = np.roll(self.count, 1)
-        self.total[t.first] = ends
-
-    def entries(self):
-        """Distinct (context, id) in order, counts in training texts, totals of contexts, and each token's place."""
-        known = self.id.astype(U64)
-        if len(self.context) and int(self.context.max()) >> 32:
-            order = np.lexsort((known, self.context))
-        else:
-            order = np.argsort((self.context << U64(32)) | known)
-        c, w = self.context[order], known[order]
+        # level 2: the context is the word before, or the beginning, which occurs once a text
+        ends = int(counts[np.searchsorted(t.keys, END)])
+        self.context = np.roll(t.word, 1)
+        self.context[t.first] = len(t.keys)
+        self.context_id = np.append(np.where(ids > 0, ids, -1), v.begin)
+        self.total, self.shared = np.append(counts, ends), np.append(shared, True)
+
+    def entries(self) -> None:
+        """The distinct (context, word), by ids ascending, and which of them are asked for."""
+        t = self.t
+        order = order_by(self.context, t.word)
+        c, w = self.context[order], t.word[order]
         new = np.ones(len(c), bool)
         new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        place = np.empty(len(c), np.int64)
-        place[order] = np.cumsum(new) - 1
-        counts = np.bincount(place[self.t.train], minlength=int(new.sum()))
-        return c[new], w[new], counts, self.total[order][new], place
-
-    def deeper(self, place: np.ndarray, counts: np.ndarray, v: _Vocabulary) -> None:
-        """Moves to the next level: the context of a token becomes the entry of the token before it."""
-        key = mix(self.context * _ODD + self.id.astype(U64))
-        self.context, self.total = np.roll(key, 1), np.roll(counts[place], 1)
-        self.context[self.t.first] = U64(v.begin)
-        self.total[self.t.first] = 0
-
-
-def _shard(c: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
-    return ((mix(c * _ODD + w) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-
-
-def _by_shard(e, buckets: int):
-    """Order of the entries by shard, and its bounds."""
-    shard = _shard(e[0], e[1], buckets)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(buckets + 1))
-
-
-def _climb(s: Seg, answers: list[dict], v: _Vocabulary, buckets: int, upto: int):
-    """The context of a segment at level upto, with the log-free terms of the levels below it, from their answers."""
+        self.place = np.empty(len(c), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.c, self.w = c[new], w[new]
+        self.sums = np.bincount(self.place[t.train], minlength=len(self.c))
+        self.asked = np.flatnonzero((self.context_id[self.c] >= 0) & (self.word_id[self.w] > 0) & self.shared[self.c])
+
+    def by_shard(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The asked entries, shard by shard, and the bounds of the shards."""
+        x = self.context_id[self.c[self.asked]].astype(U64) * _ODD + self.word_id[self.w[self.asked]].astype(U64)
+        shard = ((mix(x) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+        order = order_by(shard)
+        return self.asked[order], np.searchsorted(shard[order], np.arange(buckets + 1))
+
+    def settle(self, answers: list[dict], level: int, buckets: int, last: bool) -> None:
+        """Takes what the shards answered for this level; unless it is the last, moves to the next one."""
+        asked, at = self.by_shard(buckets)
+        total, strength = self.total[self.c], self.v.strength
+        count = self.sums  # not asked: no other segment has any
+        code = np.full(len(count), Level.NONE, np.uint16)
+        codes = [dec(r["codes"], np.uint16) for r in answers]
+        if self.scoring:
+            some = count > 0
+            code[some] = Level.coded(np.log10(count[some] / (total[some] + strength)))
+        ids, shared = np.full(len(count), -1), np.zeros(len(count), bool)
+        if len(asked):
+            code[asked] = np.concatenate(codes)
+            if not last:
+                count = count.copy()
+                each = [dec(r["counts"], np.int64) for r in answers]
+                count[asked] = np.concatenate(each)
+                shared[asked] = np.concatenate([_unbits(r["shared"], len(x)) for r, x in zip(answers, each, strict=True)])
+                ids[asked] = np.concatenate([_placed(r["ranks"], x < Level.NONE, self.v.levels[level].offset[r["bucket"]], -1) for r, x in zip(answers, codes, strict=True)])
+        if self.scoring:
+            direct, rest = _POWERS[code], strength / (total + strength)
+            longer = direct[self.place] + rest[self.place] * self.p
+            self.p = np.where(self.depth >= level - 2, longer, self.p)  # near the beginning the shorter context is all there is
+        if last:
+            return
+        # the context of a token is the entry of the token before it, numbered by id; the first of a text has none
+        order = order_by(ids + 1)
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        self.context = np.roll(rank[self.place], 1)
+        self.context[self.t.first] = len(ids)
+        self.context_id = np.append(np.where(count[order] > 0, ids[order], -1), -1)
+        self.total, self.shared = np.append(count[order], 0), np.append(shared[order], False)
+
+
+def _descend(s: Seg, answers: list[dict], v: _Vocabulary, buckets: int, level: int, last: bool) -> _Walk:
+    """The walk at a level: at its entries, or behind its answers if it is the last one."""
     by_level: dict[int, list[dict]] = {}
     for r in answers:
         by_level.setdefault(r["level"], []).append(r)
-    x = _Context(s, by_level[1], v)
-    p = x.bottom
-    for level in range(2, upto):
-        e = x.entries()
-        order, _ = _by_shard(e, buckets)
-        codes, counts = np.empty(len(order), np.uint16), np.empty(len(order), np.int64)
-        codes[order] = np.concatenate([dec(r["ranks"], np.uint16) for r in by_level[level]])
-        counts[order] = np.concatenate([dec(r["counts"], np.int64) for r in by_level[level]])
-        place = e[4]
-        code = codes[place].astype(np.float64)
-        direct = np.where(code < Level.NONE, 10 ** (-code * Level.STEP), 0.0)
-        longer = direct + v.strength / (x.total + v.strength) * p
-        p = np.where(x.depth >= level - 2, longer, p)  # near the beginning the shorter context is all there is
-        x.deeper(place, counts, v)
-    return x, p
-
-
-def _build(rows: list[dict], strength: float):
-    """Counts a shard's entries, stores them as a trie level, and looks up what each segment asked for."""
+    x = _Walk(s, by_level[1], v, last)
+    for k in range(2, level + 1):
+        x.entries()
+        if k < level or last:
+            x.settle(by_level.get(k, []), k, buckets, last and k == level)
+    return x
+
+
+def _build(rows: list[dict], strength: float, last: bool):
+    """Counts a shard's entries, stores them as a level of the trie, and looks up in it what each segment asked for."""
     c, w = [dec_sorted(r["contexts"]) for r in rows], [dec(r["words"], np.uint32) for r in rows]
     size = np.cumsum([0, *map(len, c)])
-    context, word = np.concatenate(c), np.concatenate(w).astype(U64)
-    count, total = (np.concatenate([dec(r[k], np.int64) for r in rows]) for k in ("counts", "totals"))
-    order = np.lexsort((word, context))
+    context, word = np.concatenate(c), np.concatenate(w)
+    count = np.concatenate([dec(r["counts"], np.int64) for r in rows])
+    total = np.concatenate([dec(r["totals"], np.int64)[np.cumsum(np.append(True, x[1:] != x[:-1])) - 1] for r, x in zip(rows, c, strict=True)])
+    order = order_by(context, word)
     a, b = context[order], word[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
     at = np.flatnonzero(new)
-    sums = np.add.reduceat(count[order], at)
+    shared = np.empty(len(a), bool)
+    shared[order] = (np.diff(at, append=len(a)) > 1)[np.cumsum(new) - 1]
     place = np.empty(len(a), np.int64)
     place[order] = np.cumsum(new) - 1
-    seen = sums > 0
-    handle, path = tempfile.mkstemp(suffix=".trie")
-    os.close(handle)
-    level = Level.build(path, a[at][seen], b[at][seen], np.log10(sums[seen] / (total[order][at][seen] + strength)))
+    asked, words = a[at], b[at].astype(U64)
+    sums = np.add.reduceat(count[order], at)
+    at, sums = at[sums > 0], sums[sums > 0]
+    level = Level.mapped(Level.pack(a[at], b[at], np.log10(sums / (total[order][at] + strength))))
+    del count, total, order, a, b, context, word
+    looked_up = level.find(asked, words)  # each entry once, in order
     for r, i, j in zip(rows, size[:-1], size[1:], strict=True):
-        yield {"seg": r["seg"], "bucket": r["bucket"], "ranks": enc(level.lookup(context[i:j], word[i:j])), "counts": enc(sums[place[i:j]])}
-    level.close(path)
+        found = looked_up[place[i:j]]
+        hit, safe = found >= 0, np.maximum(found, 0)
+        pick = lambda x, none: np.where(hit, x[safe], none) if len(x) else np.full(len(hit), none, x.dtype)  # noqa: B023, E731
+        row = {"seg": r["seg"], "bucket": r["bucket"], "codes": enc(pick(level.codes, np.uint16(Level.NONE))), "known": len(sums), "ranks": None, "counts": None, "shared": None}
+        if not last:
+            row |= {"ranks": _gaps(found), "counts": enc(pick(sums, 0)), "shared": _bits(shared[i:j])}
+        yield row
 
 
-ANSWER = "seg long, bucket int, level int, ranks binary, counts binary"
+ASKED = "bucket int, seg long, contexts binary, words binary, counts binary, totals binary"
+ANSWER = "seg long, bucket int, codes binary, known long, ranks binary, counts binary, shared binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -204,29 +272,32 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, id_co
     """SCORED: for each document the log10 probability under the model, and under its bottom alone."""
     segs = Segments(docs, id_col, text_col)
     words = by_bucket(segs.emit(_emit_words, "bucket int, seg long, keys binary, counts binary"), _count_words, WORDS, "words", segs.buckets)
-    v = _Vocabulary(words)
-    v.strength = strength
-    answers = words.select("seg", "bucket", F.lit(1).alias("level"), "ranks", "counts")
+    v = _Vocabulary(words, strength)
+    answers = words.select("seg", "bucket", F.lit(1).alias("level"), F.lit(None).cast("binary").alias("codes"), "ranks", "counts", "shared")
 
     for level in range(2, order + 1):
 
         def ask(s: Seg, got: list[dict], buckets: int, level=level):
-            x, _ = _climb(s, got, v, buckets, level)
-            e = x.entries()
-            by, at = _by_shard(e, buckets)
+            x = _descend(s, got, v, buckets, level, False)
+            asked, at = x.by_shard(buckets)
             for b in range(buckets):
-                i = by[at[b] : at[b + 1]]
+                i = asked[at[b] : at[b + 1]]
                 if len(i):
-                    yield {"bucket": b, "seg": s.seg, "contexts": enc_sorted(e[0][i]), "words": enc(e[1][i].astype(np.uint32)), "counts": enc(e[2][i]), "totals": enc(e[3][i])}
+                    c = x.c[i]
+                    each = c[np.append(True, c[1:] != c[:-1])]
+                    yield {"bucket": b, "seg": s.seg, "contexts": enc_sorted(x.context_id[c].astype(U64)), "words": enc(x.word_id[x.w[i]].astype(np.uint32)), "counts": enc(x.sums[i]), "totals": enc(x.total[each])}
 
-        asked = segs.with_answers(answers, ask, "bucket int, seg long, contexts binary, words binary, counts binary, totals binary")
-        found = by_bucket(asked, lambda rows: _build(rows, strength), "seg long, bucket int, ranks binary, counts binary", "trie", segs.buckets)
-        answers = answers.unionByName(found.select("seg", "bucket", F.lit(level).alias("level"), "ranks", "counts"))
+        last = level == order
+        asked = segs.with_answers(answers, ask, ASKED)
+        found = by_bucket(asked, lambda rows, last=last: _build(rows, strength, last), ANSWER, "trie", segs.buckets)
+        if not last:
+            v.levels[level] = _Ids(found, 0)
+        answers = answers.unionByName(found.select("seg", "bucket", F.lit(level).alias("level"), "codes", "ranks", "counts", "shared"))
 
     def finish(s: Seg, got: list[dict], buckets: int):
-        x, p = _climb(s, got, v, buckets, order + 1)
+        x = _descend(s, got, v, buckets, order, True)
         t, n = x.t, len(s.ids)
         sums = lambda a: np.bincount(t.doc, a, n)
-        yield {"doc_id": s.ids, "held_out": t.held, "n_tokens": t.n, "n_known": sums(x.known).astype(np.int64), "train_tokens": np.full(n, v.tokens), "base_score": sums(np.log10(x.bottom)), "score": sums(np.log10(p))}
+        yield {"doc_id": s.ids, "held_out": t.held, "n_tokens": t.n, "n_known": sums(x.known).astype(np.int64), "train_tokens": np.full(n, v.tokens), "base_score": sums(np.log10(x.bottom)), "score": sums(np.log10(x.p))}
 
     return segs.with_answers(answers, finish, SCORED)

@@ -161,12 +161,35 @@ def test_language_model(docs, rows, empty, order):
     assert ngrams.score(empty, order=order).count() == 0
 
 
-def test_trie_level_round_trip(tmp_path):
+def test_orders_by_packed_numbers():
+    rng = np.random.default_rng(9)
+    for top in (3, 1000, 1 << 30, 1 << 62):
+        keys = [rng.integers(0, max(2, int(top ** (k / 3))), 3000) for k in (3, 2, 1)]
+        for some in (keys[:1], keys[:2], keys, [keys[1] * 0, keys[2]]):
+            assert (tokens.order_by(*some) == np.lexsort(some[::-1])).all()
+    assert len(tokens.order_by(np.zeros(0, np.int64))) == 0 and tokens.order_by(np.array([7])).tolist() == [0]
+    h = rng.integers(0, 1 << 63, 5000).astype(np.uint64) >> np.uint64(50)
+    for keys in (h, tokens.mix(h)):
+        values, counts, place = tokens.uniques(keys)
+        want = np.unique(keys, return_counts=True)
+        assert (values == want[0]).all() and (counts == want[1]).all() and (values[place] == keys).all()
+
+
+def test_words_of_a_regular_build_have_hashes_of_their_own():
+    one = np.array([bin(i).count("1") & 1 for i in range(4096)], np.uint8) + 97
+    blob = np.concatenate([one, [10], 195 - one, [10]]).astype(np.uint8)  # the Thue-Morse word and its complement
+    w = tokens.Words(blob, np.array([4096, 4096]), tokens.ALNUM)
+    assert len(set(w.hash.tolist())) == 2
+
+
+def test_trie_level_round_trip():
     rng = np.random.default_rng(1)
     pairs = np.unique(rng.integers(0, 1 << 20, (5000, 2)) // np.array([1 << 10, 1]), axis=0).astype(np.uint64)
     log10 = -rng.random(len(pairs)) * 15
-    path = str(tmp_path / "level")
-    level = eliasfano.Level.build(path, pairs[:, 0], pairs[:, 1], log10)
+    raw = eliasfano.Level.pack(pairs[:, 0], pairs[:, 1], log10)
+    level = eliasfano.Level.mapped(raw)
+    assert (level.find(pairs[:, 0], pairs[:, 1]) == np.arange(len(pairs))).all()
+    assert len(raw) < 10 * len(pairs)
     assert np.abs(-level.lookup(pairs[:, 0], pairs[:, 1]).astype(float) * level.STEP - log10).max() <= level.STEP
     have = set(map(tuple, pairs.tolist()))
     for c, w in rng.integers(0, 1 << 20, (500, 2)).tolist():
