@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import every_class, remainder
+from .sampling import bounded, every_class, remainder
 from .segments import slices, trim
 from .store import by_bytes
 
@@ -145,7 +145,7 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 7) -> Model | None:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = ROWS) -> Model | None:
     """Fits the model to a sample of the labelled rows that are not held out."""
     rows = docs.select("doc_id", "text", "lang").filter((remainder("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    got = every_class(rows, "lang", "doc_id", per_language, total).orderBy("doc_id").collect()
+    got = bounded(every_class(rows, "lang", "doc_id", per_language, total), "doc_id", "text", 2 * total).orderBy("doc_id", "text", "lang").collect()
     return fit([r.text.encode() for r in got], [r.lang for r in got])
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import per_class, remainder
+from .sampling import bounded, per_class, remainder
 from .segments import slices, trim
 from .store import by_bytes
 from .tokens import SOLID, U64, Words, mix
@@ -182,7 +182,8 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = PER_CLASS) -> Model |
     if len(shares) < 2:
         return None
     chosen = F.broadcast(per_class(marks, "mark", "mark_id", each, 2))  # at most about 2 * each rows
-    got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(chosen, F.col("doc_id") == F.col("mark_id")).collect()
+    got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(chosen, F.col("doc_id") == F.col("mark_id"))
+    got = bounded(got, "doc_id", "text", 4 * each).collect()
     got = sorted({(r.doc_id, r.mark, bytes(r.text or b"")) for r in got})
     return fit([t for _, _, t in got], [y for _, y, _ in got], shares[1] / (shares[0] + shares[1]))
 

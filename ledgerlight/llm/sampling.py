@@ -6,8 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
 _SPACE = 1 << 30
+#: Bytes of text that a sample brings to the driver, at most.
+BYTES = 128 << 20
 
 
 def _hashed(key: str) -> Column:
@@ -32,6 +35,14 @@ def per_class(rows: DataFrame, label: str, key: str, each: int, classes: int) ->
     return rows.filter(_hashed(key) < limit)
 
 
+def bounded(rows: DataFrame, key: str, text: str, most: int, most_bytes: int = BYTES) -> DataFrame:
+    """Of a sample the most rows whose key and text hash lowest, as far as their texts take most_bytes together (one row
+    at least): whatever repeats or is long, no more comes to the driver."""
+    few = rows.withColumn("_hash", F.xxhash64(F.lit("sample"), key, text)).orderBy("_hash", key, text).limit(most)
+    upto = W.Window.orderBy("_hash", key, text).rowsBetween(W.Window.unboundedPreceding, 0)  # at most so many rows
+    return few.withColumn("_upto", F.sum(F.coalesce(F.octet_length(text), F.lit(0))).over(upto)).withColumn("_nth", F.row_number().over(upto)).filter((F.col("_upto") <= most_bytes) | (F.col("_nth") == 1)).drop("_hash", "_upto", "_nth")
+
+
 def fair_share(counts: list[int], each: int, total: int) -> int:
     """The most rows a class, each at most and one at least, at which all classes together give total at most."""
     n = np.sort(np.array(counts, np.int64))
