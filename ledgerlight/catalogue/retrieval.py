@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import extract as X
 from ..operators import chunking as C
 from ..operators import numbering as N
 from ..operators import retrieval as R
 from ..operators.rules import retrieval_confidence
+from . import cases
 from .registry import query, table
+from .texts import _HINTS, _first, _listed, _says
 
+_HINTED = {
+    "monthly_income": "income|salary|earning|ctc|lpa", "credit_score": r"cibil|credit\s*score|credit\s*rating", "age": r"\bage\b|years\s*old|minimum\s*age|maximum\s*age", "dti_ratio": "dti|debt.to.income|emi.*income|obligations", "employment_type": "employment|salaried|self.employed|professional",
+    "work_experience_months": "experience|work.*month|tenure|service", "interest_rate": r"interest\s*rate|roi|rate\s*of\s*interest", "loan_amount": r"loan\s*amount|principal|disburs", "fees": r"processing\s*fee|charges|fees", "tenure": "repayment|tenure|emi|instalment",
+}
 _WORDS = "len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+'))".replace("\\t", "\t").replace("\\n", "\n").replace("\\r", "\r").replace("\\f", "\f")
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9₹%.,\\-]+')"
 
@@ -20,7 +27,7 @@ s as (select query_id, id, round(sum(times * idf * tf * 2.5e0 / (tf + 1.5e0 * (0
 k as (select *, cast(row_number() over (partition by query_id order by score desc, id) as int) as rank from s where score > 0)
 """
 
-_DENSE = """with q as (select vec_id as query_id, embedding as q from embeddings where vec_id < 20),
+_DENSE = """with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 100 = 0),
 s as (select query_id, vec_id as id, label, round(list_inner_product(cast(embedding as double[]), cast(q as double[])), 6) as score from embeddings cross join q)
 """
 
@@ -31,7 +38,7 @@ def _bm25(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v")), e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v")), e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 @query(_BM25 + "select term, df, round(idf, 6) as idf from d")
@@ -63,33 +70,42 @@ def q24_dense_filter_after(spark, sf_dir):
     return R.dense_top(v, q, 5, F.col("label").isin(1, 2, 3), after=True).select("query_id", "id", "score", "rank")
 
 
-_RRF = _BM25.replace("with w as", _DENSE.replace("with q as", "with q as", 1).rstrip().replace("s as (", "ds as (") + ", w as", 1) + """, dr as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank from ds where score > 0),
+# the dense queries stand for the benchmark's items: every 100th vector, numbered
+_NUMBERED = _DENSE.replace("select vec_id as query_id", "select vec_id // 100 as query_id")
+_RRF = _BM25.replace("with w as", _NUMBERED.rstrip().replace("s as (", "ds as (") + ", w as", 1) + """, dr as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from ds where score > 0),
 u as (select query_id, id, 1.2e0/(60+rank) as s from dr where rank <= 20 union all select query_id, id, 1.0e0/(60+rank) from k where rank <= 20), f as (select query_id, id, round(sum(s), 6) as score from u group by 1, 2)
 """
 
 
-def _fused(spark, sf_dir):
+def _rankings(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
     index, asked = _bm25(spark, sf_dir)
-    return R.fuse(R.dense_top(v, q, 20), R.top(index.scores(asked, "item_id", "text"), 20))
+    return R.dense_top(v, q.withColumn("query_id", F.expr("query_id div 100")), 20), R.top(index.scores(asked, "item_id", "text"), 20)
 
 
 @query(_RRF + "select query_id, id, score from f")
 def q25_rrf(spark, sf_dir):
-    return _fused(spark, sf_dir)
+    return R.fuse(*_rankings(spark, sf_dir))
 
 
-@query(_RRF + ", h as (select query_id, id, case when doc_id is not null then round(least(score + 0.15e0, 1e0), 6) else score end as score from f left join (select doc_id from documents where regexp_matches(lower(text), '[0-9]+')) d on d.doc_id = f.id) select query_id, id, score, cast(row_number() over (partition by query_id order by score desc, id) as int) as rank from h qualify rank <= 10")
+_WISH = cases.pick(cases.ASKED, "item_id")
+
+
+@query(_RRF + f""", tt as (select *, row_number() over (partition by query_id order by score desc, id) as r from f), aa as (select item_id as query_id, {_listed([(n, _says('s', p)) for n, p in _HINTS])} as hints from (select item_id, {_WISH} as s from benchmark)),
+h as (select tt.query_id, tt.id, r, field, dr.score as cosine, case when coalesce(list_contains(hints, field), false) then round(least(tt.score + 0.15e0, 1e0), 6) else tt.score end as score from tt join (select doc_id, {_first('text', _HINTED, chr(39) * 2)} as field from documents) d on d.doc_id = tt.id left join aa on aa.query_id = tt.query_id left join dr on dr.query_id = tt.query_id and dr.id = tt.id and dr.rank <= 20 where r <= 20)
+select query_id, id, field, cosine, score, cast(row_number() over (partition by query_id order by score desc, r) as int) as rank from h qualify rank <= 10""")
 def q26_hint_boost(spark, sf_dir):
-    hinted = table(spark, sf_dir, "documents").filter(F.lower("text").rlike("[0-9]+")).select(F.col("doc_id").alias("hinted"))
-    f = _fused(spark, sf_dir)
-    return R.top(R.boost(f.join(hinted, f["id"] == hinted["hinted"], "left"), F.col("hinted").isNotNull()), 10).select("query_id", "id", "score", "rank")
+    dense, sparse = _rankings(spark, sf_dir)
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.hints(F.expr(_WISH)).alias("hints"))
+    best = R.retrieve(dense, sparse, X.computed(chunks, "field_hint", C.field_hint(F.col("text"))).drop("text"), asked, 10)
+    return best.select("query_id", "id", F.col("field_hint").alias("field"), "cosine", F.col("rank_score").alias("score"), "rank")
 
 
-@query(_DENSE + "select query_id, id, case when max(score) over w = min(score) over w then 1e0 else round((score - min(score) over w) / (max(score) over w - min(score) over w), 6) end as scaled from s window w as (partition by query_id)")
+@query(_DENSE + ", k as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s where score > 0 qualify rank <= 20) select query_id, id, case when max(score) over w = min(score) over w then 1e0 else round((score - min(score) over w) / (max(score) over w - min(score) over w), 6) end as scaled from k window w as (partition by query_id)")
 def q27_minmax(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return R.minmax(v.crossJoin(F.broadcast(q)).withColumn("score", F.round(R.inner(F.col("v"), F.col("q")), 6))).select("query_id", "id", "scaled")
+    return R.minmax(R.dense_top(v, q, 20)).select("query_id", "id", "scaled")
 
 
 @query("select * from (select *, row_number() over (partition by lower(trim(substr(text, 1, 80), ' ')) order by doc_id) as k from (select doc_id, source, text from documents)) where k = 1".replace("select * from (", "select doc_id, source from (", 1))
@@ -103,18 +119,30 @@ def q29_context_pack(spark, sf_dir):
     return R.pack(d, ["lang"], ["pri", "doc_id"]).select("lang", "doc_id", "words_so_far")
 
 
-@query(_DENSE + "select query_id, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as r from s where score > 0 and id >= 20) where r = 1 and score >= 0.4")
+_OWN = "(case doc_id % 9 when 0 then 'Axis' when 1 then 'RBI' when 2 then 'Paisabazaar' when 3 then 'BankBazaar' when 4 then 'SBI' else 'Other' end)"
+_NO_PREFIX = "lower(trim(substr(text, 1, 80), ' '))"
+
+
+@query(f"""with d as (select doc_id % 40 as topic, doc_id, {_OWN} as bank, text from documents where text is not null), p as (select *, case bank when 'Axis' then 1 when 'SBI' then 1 when 'RBI' then 2 when 'Paisabazaar' then 3 when 'BankBazaar' then 3 else 10 end as pri from d), u as (select *, '[Source: ' || bank || ' | pdf]' || chr(10) || text as block from p qualify row_number() over (partition by topic, {_NO_PREFIX} order by pri, doc_id) = 1),
+s as (select *, sum({_WORDS.replace('text', 'block')}) over (partition by topic order by pri, doc_id rows unbounded preceding) as so_far from u) select topic, md5(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pri, doc_id)) as context, count(*) as n from s where so_far <= 3000 group by 1""")
+def q2a_context(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter("text is not null").select((F.col("doc_id") % 40).alias("topic"), "doc_id", F.expr(_OWN).alias("bank"), F.lit("pdf").alias("doc_type"), "text")
+    c = R.context(d, ["topic"], ["doc_id"])
+    return c.select("topic", F.md5("context").alias("context"), (F.size(F.split("context", "\n\n---\n\n"))).cast("bigint").alias("n"))
+
+
+@query(_DENSE + "select query_id, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as r from s where score > 0 and id % 100 <> 0) where r = 1 and score >= 0.3")
 def q30_cache_probe(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return R.probe_cache(v.filter("id >= 20"), q, 0.4).select("query_id", "id", "score")
+    return R.probe_cache(v.filter("id % 100 <> 0"), q, 0.3).select("query_id", "id", "score")
 
 
-@query("with e as (select cast(user_id as varchar) as key, max(ts) as first_ts from events group by 1), m as (select max(ts) as now from events) select key, first_ts from e cross join m where first_ts > now - interval 20 day order by first_ts desc, key limit 50")
+@query("with e as (select cast(user_id as varchar) as key, min(ts) as first_ts from events group by 1), m as (select max(ts) as now from events) select key, first_ts from e cross join m where first_ts > now - interval 60 day order by first_ts desc, key limit 50")
 def q31_cache_evict(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    entries = e.groupBy(F.col("user_id").cast("string").alias("key")).agg(F.max("ts").alias("first_ts"))
+    entries = e.groupBy(F.col("user_id").cast("string").alias("key")).agg(F.min("ts").alias("first_ts"))
     now = e.agg(F.max("ts").alias("now"))
-    return R.evict(entries.crossJoin(F.broadcast(now)), 50, "20 days", F.col("now")).select("key", "first_ts")  # now: one row
+    return R.evict(entries.crossJoin(F.broadcast(now)), 50, "60 days", F.col("now")).select("key", "first_ts")  # now: one row
 
 
 _SENT = "string_split(regexp_replace(text, '([.!?])[ \t\n\r\f]+', '\\1' || chr(1), 'g'), chr(1))"
@@ -144,14 +172,25 @@ def q34_chunk_distinct(spark, sf_dir):
     return C.distinct_chunks(C.chunks(table(spark, sf_dir, "documents"))).select("doc", "chunk_id", "hash")
 
 
-_HINT_CASE = "case " + " ".join("when regexp_matches(lower(text), '{}') then '{}'".format(p, n) for n, p in C.HINTS) + " end"
+_KINDS = {
+    "eligibility": "eligib|criteria|qualify|minimum|required|age|income|salary", "interest_rate": r"interest\s*rate|roi|% p\.?a|per\s*annum|bps", "table": r"\|", "regulatory": r"rbi|reserve\s*bank|circular|guideline|regulation|compliance",
+    "comparison": r"vs\.?\s|compared?\s*to|better\s*than|paisabazaar|bankbazaar", "fees": r"processing\s*fee|charge|penalty|foreclosure|prepayment",
+}
+_HEADING = r"^(eligibility|criteria|features?|benefits?|fees?|charges?|interest rate|documentation|documents\s*required|terms?\s*and\s*conditions?|who\s*can\s*apply|about|overview|summary)\b"
+_NOTES = (
+    "Eligibility\nminimum age {a}", "CIBIL {n} and more", "Processing fee {a}%", "tenure {n} months", "Fees and charges of all kinds\npenalty", "salaried only", "years old", "debt to income", "the emi and the income", "interest rate of {a}% p.a.", "roi bps", "loan amount, principal", "repayment by instalment", "a | b",
+    "RBI circular {n}", "better than others vs. them", "prepayment", "Overview of a very long title that goes on and on and on until it is no longer a title at all, {n}", "summary", "nothing", "credit rating of service", "foreclosure",
+)
+_PATHS = ("/data/paisabazaar/x.txt", "/data/arbiter/y.txt", "/data/z.pdf", "/data/z.pdf", "/data/z.pdf")
+_NOTE = cases.pick(_NOTES, "p_partkey").replace("\n", "' || chr(10) || '")
+_PATH = cases.pick(_PATHS, "p_partkey")
+_LINE = "trim(string_split(trim(text), chr(10))[1])"
 
 
-@query(f"with t as (select p_partkey as id, p_name || case p_partkey % 6 when 0 then ' minimum age 21' when 1 then ' CIBIL 750' when 2 then ' Processing fee 2%' when 3 then ' tenure 60 months' when 4 then ' salaried' else '' end as text from part) select id, {_HINT_CASE} as hint, case when regexp_matches(lower(text), 'eligib') then 'eligibility' when regexp_matches(lower(text), 'charge|fee') then 'charges' else 'pdf' end as kind from t")
+@query(f"with t as (select p_partkey as id, {_NOTE} as text, {_PATH} as source from part) select id, {_first('text', _HINTED, chr(39) * 2)} as hint, case when contains(source, 'paisabazaar') or contains(source, 'bankbazaar') then 'comparison' when contains(source, 'rbi') then 'regulatory' else {_first('text', _KINDS, chr(39) + 'pdf' + chr(39))} end as kind, case when length({_LINE}) < 80 and regexp_matches({_LINE}, '(?i){_HEADING}') then {_LINE} end as title from t")
 def q35_field_hint(spark, sf_dir):
-    tail = F.expr("case p_partkey % 6 when 0 then ' minimum age 21' when 1 then ' CIBIL 750' when 2 then ' Processing fee 2%' when 3 then ' tenure 60 months' when 4 then ' salaried' else '' end")
-    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", tail).alias("text"))
-    return t.select("id", C.first_of(F.col("text"), C.HINTS).alias("hint"), C.first_of(F.col("text"), C.TYPES, "pdf").alias("kind"))
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(F.array(F.expr(_NOTE))).alias("text"), F.expr(_PATH).alias("source"))
+    return t.select("id", C.field_hint(F.col("text")).alias("hint"), C.chunk_type(F.col("text"), F.col("source")).alias("kind"), C.section_title(F.col("text")).alias("title"))
 
 
 @query("with t as (select conv_id, turn, case when role = 'system' then 'S' || conv_id || '-' || turn end as title from conversations) select conv_id, turn, last_value(title ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as section from t")

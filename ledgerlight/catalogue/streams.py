@@ -42,3 +42,15 @@ def q99_stream_distinct(spark, sf_dir):
 @query("select user_id, count(*) as n, max(event_id) as last_id from events group by user_id")
 def q9a_stream_memory(spark, sf_dir):
     return S.stream_memory(spark, f"{sf_dir}/events.parquet")
+
+
+@query("select bucket - to_hours(cast(6 * k as int)) as start, event_type, count(*) as n, round(sum(value), 4) as total from (select *, time_bucket(interval 6 hours, ts) as bucket, unnest(range(0, 4)) as k from events) group by 1, 2")
+def q9b_sliding(spark, sf_dir):
+    return S.windows(_events(spark, sf_dir), "1 day", slide="6 hours").select("window.start", "event_type", "n", "total")
+
+
+@query("""with recursive e as (select 'v3.4:' || event_type || ':' || user_id % 40 as key, cast(floor(epoch(ts)) as bigint) as sec, row_number() over (partition by event_type, user_id % 40 order by floor(epoch(ts))) as k from events),
+w as (select key, k, sec as since, 0 as hit from e where k = 1 union all select e.key, e.k, case when e.sec - w.since < 21600 then w.since else e.sec end, case when e.sec - w.since < 21600 then 1 else 0 end from w join e on e.key = w.key and e.k = w.k + 1)
+select key, cast(sum(hit) as bigint) as hits, cast(sum(1 - hit) as bigint) as misses from w group by 1""")
+def q9c_stream_cache(spark, sf_dir):
+    return S.stream_cache(spark, f"{sf_dir}/events.parquet")

@@ -1,221 +1,457 @@
-"""Typed signals from free text, as columns: queries, documents and normalised values.
+"""Typed signals from free text, as columns: applicants' queries and the values that pages write.
 
-Patterns use ASCII classes, so that every SQL engine reads them alike. Every function takes and returns columns; null
-in, null out. The fixed values are the phrase tables and bounds.
+Every function takes and returns columns; null in, null out. Patterns are searched without regard to case, and where one
+is searched for a value the first match decides: if that is out of bounds, a later match is not tried. The fixed values
+are the pattern tables and bounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _low(q: Column) -> Column:
-    return F.lower(q)
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row, however many others are made of it. A plain projection would be
+    folded into each of them."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def number(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match as a number; commas are ignored."""
-    got = F.regexp_extract(text, pattern, group)
-    return F.regexp_replace(got, ",", "").try_cast("double")
+def bound(value: Column, fn) -> Column:
+    """fn of value, which is computed once, however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
-def between(x: Column, low: float, high: float) -> Column:
-    return F.when((x >= low) & (x <= high), x)
+def whole(x: Column) -> Column:
+    """A number without decimals, as text; halves to even."""
+    return F.when(x.isNotNull(), F.format_string("%.0f", F.rint(x)))
 
 
-# Slang and abbreviations in the order in which they are replaced.
-SLANG = (("\\bkya\\b", "what"), ("\\bkitna\\b", "how much"), ("\\bchahiye\\b", "need"), ("\\bmilega\\b", "can get"), ("\\bsalary hai\\b", "salary is"), ("\\bmeri\\b|\\bmera\\b", "my"), ("\\bhai\\b", "is"), ("\\bhoon\\b", "am"), ("\\bpaisa\\b|\\brupaye\\b", "rupees"), ("\\bjaldi\\b", "urgent"), ("\\bloan lena\\b", "get loan"), ("\\bnaukri\\b", "job"))
-# Phrases that name a lender, in order.
-LENDERS = (("axis", "Axis"), ("hdfc", "HDFC"), ("icici", "ICICI"), ("sbi", "SBI"), ("state bank", "SBI"))
-LOANS = (("home loan", "home"), ("car loan", "car"), ("education loan", "education"), ("gold loan", "gold"), ("business loan", "business"), ("two wheeler", "vehicle"), ("personal loan", "personal"))
-EMPLOYMENT = (("self.employed|freelanc|business owner|own business", "self_employed"), ("unemployed|no job|jobless", "unemployed"), ("government|govt|public sector|psu", "government"), ("doctor|lawyer|architect|chartered accountant|professional", "professional"), ("salaried|salary|job|employee", "salaried"))
-INTENTS = (("comparison", "compar|versus|\\bvs\\b|better|best"), ("eligibility", "eligib|qualify|can i get|apply"), ("interest_rate", "interest|\\brate\\b|roi|apr"), ("documents", "document|paperwork|kyc"), ("fees", "\\bfee|charge|foreclos"))
-HINTS = (("interest_rate", "interest|rate|roi"), ("credit_score", "cibil|credit score|score"), ("monthly_income", "income|salary|lpa|earn"), ("age", "\\bage\\b|years old"), ("employment_type", "salaried|employ|profession"), ("fees", "fee|charge|foreclos"), ("tenure", "tenure|emi|months"), ("documents", "document|kyc"))
+def found(text: Column, pattern: str, group: int = 1) -> Column:
+    """The group of the first match; null without one."""
+    return F.nullif(F.regexp_extract(text, "(?i)" + pattern, group), F.lit(""))
 
 
-def normalise(q: Column) -> Column:
-    for pattern, word in SLANG:
-        q = F.regexp_replace(q, "(?i)" + pattern, word)
-    return F.trim(F.regexp_replace(q, "[ \\t\\n\\r]{2,}", " "))
+def number(text: Column, pattern: str, group: int = 1) -> Column:
+    """The group of the first match as a number; commas are ignored."""
+    return F.regexp_replace(found(text, pattern, group), ",", "").try_cast("double")
 
 
-def lenders(q: Column) -> Column:
-    return F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(_low(q), F.lit(k)), F.lit(v)) for k, v in LENDERS])))
+def between(x: Column, low: float, high: float) -> Column:
+    return F.when((x >= low) & (x <= high), x)
+
 
+def says(text: Column, pattern: str) -> Column:
+    return text.rlike("(?i)" + pattern)
 
-def first_phrase(q: Column, table, default: str | None) -> Column:
+
+def first_pattern(text: Column, table, default: str | None = None) -> Column:
+    """The name of the first pattern of (name, pattern) that text holds."""
     out = F.lit(default)
-    for k, v in reversed(table):
-        out = F.when(F.contains(_low(q), F.lit(k)), F.lit(v)).otherwise(out)
+    for name, pattern in reversed(table):
+        out = F.when(says(text, pattern), F.lit(name)).otherwise(out)
     return out
 
 
-def first_pattern(q: Column, table, default: str | None = None) -> Column:
+def first_phrase(text: Column, table, default: str | None = None) -> Column:
+    """The name of the first phrase of (phrase, name) that lower-cased text contains."""
     out = F.lit(default)
-    for pattern, v in reversed(table):
-        out = F.when(_low(q).rlike(pattern), F.lit(v)).otherwise(out)
+    for phrase, name in reversed(table):
+        out = F.when(F.contains(F.lower(text), F.lit(phrase)), F.lit(name)).otherwise(out)
     return out
 
 
+def distinct_words(text: Column) -> Column:
+    """Words in order, each once up to case, in its first spelling."""
+    words = F.filter(F.split(text, "\\s+"), lambda x: x != "")
+    both = F.struct(words.alias("w"), F.transform(words, F.lower).alias("l"))
+    return bound(both, lambda b: F.array_join(F.filter(b["w"], lambda x, i: F.array_position(b["l"], F.lower(x)) == i + 1), " "))
+
+
+# Informal words and what stands in for them, in the order in which they are replaced.
+SLANG = (
+    ("\\bmil\\s+jayega\\b", "will i get"),
+    ("\\bmil\\s+sakta\\s+hai\\b", "can i get"),
+    ("\\bmil\\s+sakta\\b", "can i get"),
+    ("\\bkya\\s+loan\\b", "can i get loan"),
+    ("\\bloan\\s+milega\\b", "will i get loan"),
+    ("\\bkya\\b", ""),
+    ("\\bpe\\b", "for"),
+    ("\\bke\\s+liye\\b", "for"),
+    ("\\bjaldi\\b", "fast urgent"),
+    ("\\bkaun\\s*sa\\b", "which"),
+    ("\\bkitna\\b", "how much"),
+    ("\\bsaal\\b", "years"),
+    ("\\brupaye\\b", "rupees"),
+    ("\\bnahi\\b", "no"),
+    ("\\bhoga\\b", "will be"),
+    ("\\bbro\\b", ""),
+    ("\\byaar\\b", ""),
+    ("\\bdude\\b", ""),
+)
+# The wording for a language model differs from SLANG in these; None is left alone.
+SLANG_FOR_MODELS = {"\\bjaldi\\b": "fast", "\\brupaye\\b": None}
+# Phrases that name a lender, and loans, in order.
+LENDERS = (("axis", "Axis"), ("hdfc", "HDFC"), ("icici", "ICICI"), ("sbi", "SBI"), ("state bank", "SBI"))
+LOANS = (("personal loan", "personal"), ("home loan", "home"), ("housing loan", "home"), ("car loan", "car"), ("auto loan", "car"), ("business loan", "business"), ("education loan", "education"), ("gold loan", "gold"))
+# What an intent sounds like, in the order that decides ties.
+INTENTS = (
+    ("eligibility", "\\beligib|\\bqualif|\\bcan i\\b|\\bam i\\b|\\bwill i\\b|\\bdo i qualify|\\bapply\\b|\\bget a loan\\b|\\bget approved\\b|\\bapproved\\b|\\bneed.*loan\\b|\\bwant.*loan\\b|\\bget.*loan\\b|\\bwhat to do\\b|\\burgent.*loan\\b|\\bloan.*urgent\\b"),
+    ("interest_rate", "\\binterest rate|\\broi\\b|\\brate of interest|\\b% p\\.?a|\\bemi\\b|\\binstalment\\b|\\bminimum (?:salary|income|cibil|age|score)\\b|\\bwhat (?:is|are) (?:the )?(?:minimum|maximum|requirement)"),
+    ("comparison", "\\bcompare|\\bvs\\.?\\b|\\bbetter\\b|\\bbest\\b|\\bwhich bank|\\bhighest|\\blowest\\b|\\bfastest\\b|\\bsafest\\b|\\bcheapest\\b|\\beasiest\\b|\\bquickest\\b"),
+    ("fees", "\\bfee|\\bcharge|\\bpenalty|\\bprocessing fee|\\bforeclos|\\bprepay"),
+    ("document", "\\bdocument|\\bkyc\\b|\\bpapers?\\b|\\bsubmit\\b|\\brequired.*doc|\\bdoc.*required|\\bpan(?:\\s*card)?\\b|\\baadhaar\\b|\\bproof\\b|\\bsalary\\s*slip\\b|\\bitr\\b|\\bbank\\s*statement\\b|\\bpassport\\b|\\bform\\s*16\\b"),
+)
+# Questions for facts, words of an applicant's profile, and wishes.
+FACTUAL = "\\bwhat\\s+(?:is|are|documents?)\\b|\\bhow\\s+much\\b|\\bminimum\\b|\\bmaximum\\b|\\brequired\\b|\\bwhat\\s+do\\s+i\\s+need\\b"
+PROFILE_WORDS = "salary|cibil|income|age|score|earn"
+WISH = "\\bneed.*loan\\b|\\bwant.*loan\\b|\\bget.*loan\\b"
+# Income patterns and their factors, in order; the third is lakhs a year.
+INCOMES = (
+    ("₹?\\s*(\\d[\\d,]*)\\s*(?:per\\s*month|/month|pm\\b|monthly)", 1.0),
+    ("₹?\\s*(\\d+)\\s*k\\b", 1000.0),
+    ("(\\d+(?:\\.\\d+)?)\\s*lpa\\b", None),
+    ("salary\\s+(?:of\\s+)?₹?\\s*(\\d[\\d,]*)", 1.0),
+    ("earn(?:ing|s)?\\s+₹?\\s*(\\d[\\d,]*)", 1.0),
+    ("income\\s+(?:of\\s+)?₹?\\s*(\\d[\\d,]*)", 1.0),
+)
+SCORE = "\\b(cibil|credit\\s*score)\\s*(?:of|is|:|=)?\\s*(\\d{3})\\b"
+AGE = "\\b(\\d{2})\\s*years?\\s*(?:old|of\\s*age)?\\b|(?:age|aged?)\\s*(?:of\\s*|is\\s*|:)?\\s*(\\d{2})\\b|(?:\\bam|is)\\s+(\\d{2})\\b"
+EXPERIENCE = "(\\d+)\\s*years?\\s*(?:of\\s*)?(?:experience|service|work)"
+EMPLOYMENT = (
+    ("self_employed", "\\bself.?emp|\\bfreelance[rd]?\\b|\\bfreelancing\\b|\\bgig\\s*worker\\b|\\bconsultant\\b|\\bown\\s+business\\b|\\bproprietor\\b|\\bbusiness\\s+owner\\b"),
+    ("unemployed", "\\bno\\s+job\\b|\\bunemployed\\b|\\bjobless\\b|\\bno\\s+(?:fixed\\s+)?income\\b"),
+    ("government", "\\bgovernment\\b|\\bpsu\\b|\\bpublic\\s+sector\\b|\\bdefence\\b|\\bdefense\\b"),
+    ("professional", "\\bprofessional\\b|\\bdoctor\\b|\\bca\\b|\\bchartered\\b|\\blawyer\\b|\\barchitect\\b"),
+    ("salaried", "\\bsalaried\\b|\\bemployed\\b|\\bservice\\b|\\bworking\\b"),
+)
+# Fields that a query asks about.
+HINTS = (
+    ("credit_score", "\\bcibil\\b|credit.?score"),
+    ("monthly_income", "\\bincome\\b|\\bsalary\\b|\\bearning"),
+    ("age", "\\bage\\b|\\byears.old\\b"),
+    ("dti_ratio", "\\bdti\\b|debt.to.income"),
+    ("employment_type", "\\bemployment\\b|\\bsalaried\\b"),
+    ("work_experience_months", "\\bexperience\\b|\\btenure\\b"),
+    ("interest_rate", "\\binterest\\s*rate\\b|\\broi\\b"),
+    ("fees", "\\bfee\\b|\\bcharge\\b|\\bpenalty\\b|\\bprocessing\\b|\\bforeclos\\b"),
+)
+# What is appended to a query for retrieval.
+APPENDED = {"eligibility": "eligibility criteria requirements", "urgent": "instant disbursal pre-approved fast approval", "comparison": "compare difference vs lowest interest rate"}
+URGENT = "\\burgent\\b|\\bfast\\b|\\bquick\\b|\\binstant\\b|\\bjaldi\\b"
+SUPERLATIVE = "\\bbest\\b|\\bsafest\\b|\\bcheapest\\b|\\blowest\\b"
+
+
+def normalise(q: Column, for_models: bool = False) -> Column:
+    """Informal words in plain ones, blanks collapsed; everything below reads the normalised query."""
+    q = F.trim(q)
+    for pattern, word in SLANG:
+        word = SLANG_FOR_MODELS.get(pattern, word) if for_models else word
+        q = q if word is None else F.regexp_replace(q, "(?i)" + pattern, word)
+    return F.trim(F.regexp_replace(q, "\\s{2,}", " "))
+
+
+def lenders(q: Column) -> Column:
+    return F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(F.lower(q), F.lit(k)), F.lit(v)) for k, v in LENDERS])))
+
+
 def income(q: Column) -> Column:
-    """Monthly income: yearly lakhs, thousands, then plain amounts after a word for income."""
-    t = _low(q)
-    lpa = number(t, "([0-9]+(?:\\.[0-9]+)?) *(?:lpa|lakhs? per annum|lakhs? p\\.a)") * 100000 / 12
-    thousands = number(t, "([0-9]+(?:\\.[0-9]+)?) *k\\b") * 1000
-    plain = number(t, "(?:income|salary|earn(?:ing)?)[^0-9]{0,20}([0-9][0-9,]*)")
-    monthly = number(t, "([0-9][0-9,]*) */? *(?:per month|a month|monthly|month)")
-    ok = lambda x: F.when((x > 5e3) & (x < 1e8), F.round(x, 2))
-    return F.coalesce(*map(ok, (lpa, thousands, plain, monthly)))
+    """Monthly income: the first pattern whose first match is a plausible amount."""
+
+    def read(pattern: str, by: float | None) -> Column:
+        x = number(q, pattern)
+        return bound(x * 100000 / 12 if by is None else x * by, lambda v: F.when((v > 5e3) & (v < 1e8), F.round(v, 2)))
+
+    return F.coalesce(*[read(*p) for p in INCOMES])
 
 
 def credit_score(q: Column) -> Column:
-    t = _low(q)
-    named = between(number(t, "(?:cibil|credit) *score[^0-9]{0,12}([0-9]{3})"), 300, 900)
-    loose = F.when(t.rlike("cibil|score"), between(number(t, "\\b([4-9][0-9]{2})\\b"), 300, 900))
-    return F.coalesce(named, loose).cast("int")
+    """A named score; only where none is named, the first number that looks like one, if scores are spoken of."""
+    named = found(q, SCORE, 2).try_cast("int")
+    loose = F.when(says(q, "cibil|score"), found(q, "\\b([4-9]\\d{2})\\b").try_cast("int"))
+    return between(F.when(says(q, SCORE), named).otherwise(loose), 300, 900)
 
 
 def age(q: Column) -> Column:
-    t = _low(q)
-    pattern = "\\bage *(?:is|:)? *([0-9]{1,2})\\b|\\b([0-9]{1,2}) *(?:years?|yrs?) *old|\\bi am ([0-9]{1,2})\\b"
-    any_of = F.coalesce(*[F.nullif(F.regexp_extract(t, pattern, g), F.lit("")) for g in (1, 2, 3)])
-    return between(any_of.try_cast("int"), 18, 75)
+    return between(F.coalesce(*[found(q, AGE, g) for g in (1, 2, 3)]).try_cast("int"), 18, 75)
 
 
 def experience_months(q: Column) -> Column:
-    y = number(_low(q), "([0-9]+) *(?:years?|yrs?) *(?:of *)?(?:experience|service|work)")
-    return F.when((y > 0) & (y < 50), (y * 12).cast("int"))
+    y = found(q, EXPERIENCE).try_cast("int")
+    return F.when((y > 0) & (y < 50), y * 12)
 
 
 def dti(q: Column) -> Column:
-    x = number(_low(q), "dti *(?:of|is|=|:)? *([0-9]+(?:\\.[0-9]+)?) *%?")
+    x = number(q, "\\bdti\\s*(?:of|is|=)?\\s*(\\d+)%?")
     x = F.when(x > 1.5, x / 100).otherwise(x)
     return F.when((x > 0) & (x < 1), F.round(x, 3))
 
 
-def intent(q: Column) -> Column:
-    """The intent of the most points: two for its pattern, one for eligibility where an applicant speaks of themselves,
-    two for comparison where several lenders are named; the first on a tie."""
-    t = _low(q)
-    points = {name: F.when(t.rlike(p), 2).otherwise(0) for name, p in INTENTS}
-    points["eligibility"] = points["eligibility"] + F.when(t.rlike("salary|income|cibil|score|\\bage\\b"), 1).otherwise(0) + F.when(t.rlike("\\b(?:need|want|get)\\b.*loan"), 2).otherwise(0)
+def employment(q: Column) -> Column:
+    return first_pattern(q, EMPLOYMENT)
+
+
+def intent_points(q: Column) -> dict[str, Column]:
+    """Two for an intent's pattern; one for eligibility where applicants speak of themselves and ask for no fact, two
+    where they wish for a loan; two for comparison where several lenders are named."""
+    points = {name: F.when(says(q, p), 2).otherwise(0) for name, p in INTENTS}
+    own = F.when(says(q, PROFILE_WORDS) & ~says(q, FACTUAL), 1).otherwise(0) + F.when(says(q, WISH), 2).otherwise(0)
+    points["eligibility"] = points["eligibility"] + own
     points["comparison"] = points["comparison"] + F.when(F.size(lenders(q)) > 1, 2).otherwise(0)
-    best = F.greatest(*points.values())
-    out = F.lit("general")
-    for name, p in reversed(points.items()):
-        out = F.when((p == best) & (best > 0), F.lit(name)).otherwise(out)
-    return out
+    return points
 
 
-def hints(q: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(_low(q).rlike(p), F.lit(n)) for n, p in HINTS]))
+def intent(q: Column) -> Column:
+    """The intent of the most points; on a tie the first, where comparison by lenders alone comes last."""
+    points = intent_points(q)
+    first = {k: F.when(says(q, dict(INTENTS)["comparison"]), p) if k == "comparison" else p for k, p in points.items()}
+    ranked = F.array(*first.values(), points["comparison"])
+    names = F.array(*[F.lit(k) for k in (*first, "comparison")])
+    return bound(ranked, lambda r: F.when(F.array_max(r) > 0, F.get(names, F.array_position(r, F.array_max(r)).cast("int") - 1)).otherwise(F.lit("general")))
 
 
-def distinct_words(text: Column) -> Column:
-    """Words in order, each once up to case, in its first spelling."""
-    w = F.filter(F.split(text, " +"), lambda x: x != "")
-    return F.array_join(F.filter(w, lambda x, i: F.array_position(F.transform(w, F.lower), F.lower(x)) == i + 1), " ")
+def intent_confidence(q: Column) -> Column:
+    total = lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x)
+    return bound(F.array(*intent_points(q).values()), lambda r: F.when(total(r) == 0, F.lit(0.5)).otherwise(F.round(F.array_max(r) / total(r), 2)))
+
+
+def hints(q: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(says(q, p), F.lit(n)) for n, p in HINTS]))
 
 
 def reformulate(q: Column) -> Column:
     """The query with what was understood of it appended, without repeats."""
-    parts = [q, F.when(intent(q) == "eligibility", F.lit("eligibility criteria minimum income credit score")).when(intent(q) == "comparison", F.lit("compare interest rate fees")), F.concat(first_phrase(q, LOANS, "personal"), F.lit(" loan")), F.array_join(lenders(q), " "), F.concat(F.lit("income "), income(q).cast("bigint").cast("string")), F.concat(F.lit("score "), credit_score(q).cast("string")), first_pattern(q, EMPLOYMENT)]
-    return distinct_words(F.concat_ws(" ", *parts))
+    read = F.struct(intent(q).alias("kind"), first_phrase(q, LOANS, "personal").alias("loan"))
+    return bound(read, lambda r: distinct_words(F.concat_ws(" ", *_reformulated(q, r["kind"], r["loan"]))))
+
+
+def _reformulated(q: Column, kind: Column, loan: Column) -> list[Column]:
+    return [
+        q,
+        F.when(kind == "eligibility", F.lit(APPENDED["eligibility"])),
+        F.when(says(q, URGENT), F.lit(APPENDED["urgent"])),
+        F.when((kind == "comparison") | says(q, SUPERLATIVE), F.lit(APPENDED["comparison"])),
+        F.when(loan != "personal", F.concat(loan, F.lit(" loan"))),
+        F.array_join(lenders(q), " "),
+        F.concat(F.lit("salary income "), whole(income(q))),
+        F.concat(F.lit("CIBIL credit score "), credit_score(q).cast("string")),
+        employment(q),
+    ]
+
+
+# The plainer reading of a query, where the one above can't be had.
+PLAIN_INCOME = "(?:earn|salary|income|pay)\\s*(?:of|is|=|:)?\\s*₹?\\s*(\\d[\\d,]*)\\s*(k|thousand|lakh|lpa)?"
+PLAIN_AMOUNT = "₹?\\s*(\\d[\\d,]+)\\s*(k\\b|thousand\\b)?"
+PLAIN_SCORE = "(?:cibil|credit|score)\\s*(?:of|is|=|:)?\\s*(\\d{3})"
+PLAIN_AGE = "(\\d{2})\\s*years?\\s*(?:old|of\\s*age)?\\b|(?:age|aged?)\\s*(?:of\\s*|is\\s*|:)?\\s*(\\d{2})\\b|(?:\\bam|is)\\s+(\\d{2})\\b"
+PLAIN_EMPLOYMENT = (
+    ("unemployed", "\\bno\\s+job\\b|\\bunemployed\\b|\\bjobless\\b"),
+    ("self_employed", "\\bfreelance[rd]?\\b|\\bfreelancing\\b|\\bself.?emp\\b|\\bconsultant\\b|\\bown\\s+business\\b|\\bproprietor\\b|\\bgig\\b"),
+    ("government", "\\bgovernment\\b|\\bpsu\\b|\\bdefence\\b|\\bdefense\\b"),
+    ("salaried", "\\bsalaried\\b|\\bworking\\b|\\bemployed\\b|\\bservice\\b"),
+)
+
+
+def plain_profile(q: Column) -> dict[str, Column]:
+    """monthly_income, credit_score, age, employment_type by the plainer reading."""
+    x, unit = number(q, PLAIN_INCOME), F.lower(found(q, PLAIN_INCOME, 2))
+    x = F.when(unit.isin("k", "thousand"), x * 1e3).when(unit == "lakh", x * 1e5).when(unit == "lpa", x * 1e5 / 12).otherwise(x)
+    named = F.when((x > 3e3) & (x < 1e8), F.round(x, 2))
+    y = number(q, PLAIN_AMOUNT)
+    bare = F.when(found(q, PLAIN_AMOUNT, 2).isNotNull(), y * 1e3).otherwise(y)
+    score = F.when(says(q, PLAIN_SCORE), found(q, PLAIN_SCORE)).otherwise(found(q, "\\b([4-9]\\d{2})\\b"))
+    years = F.coalesce(*[found(q, PLAIN_AGE, g) for g in (1, 2, 3)]).try_cast("int")
+    return {
+        "monthly_income": F.coalesce(named, F.round(between(bare, 5e3, 5e5), 2)),
+        "credit_score": between(score.try_cast("int"), 300, 900),
+        "age": between(years, 18, 80),
+        "employment_type": first_pattern(q, PLAIN_EMPLOYMENT),
+    }
 
 
 # ---- normalised values of scraped pages
 
 
-def money(t: Column) -> Column:
-    """Rupees: crores, lakhs, thousands, plain."""
-    x = _low(t)
-    n = number(x, "([0-9][0-9,]*(?:\\.[0-9]+)?)")
-    return F.when(x.rlike("crore|\\bcr\\b"), n * 1e7).when(x.rlike("lakh|\\blac\\b"), n * 1e5).when(x.rlike("thousand|[0-9] *k\\b"), n * 1e3).otherwise(n)
+def money(t: Column, as_coded: bool = False) -> Column:
+    """Rupees: crores, lakhs, thousands, plain. As coded, the letters of "/month/year" are blanked first, so that most
+    words for factors are never read."""
+    x = F.lower(F.trim(t))
+    x = F.trim(F.regexp_replace(x, "[₹,\\s/month/year]", " ")) if as_coded else F.regexp_replace(x, "[₹,]", "")
+    plain = number(F.replace(x, F.lit(" "), F.lit("")), "([\\d,]+(?:\\.\\d+)?)")
+    scaled = [number(x, p) * by for p, by in (("([\\d.]+)\\s*cr(?:ore)?", 1e7), ("([\\d.]+)\\s*la(?:kh|c|cs)?", 1e5), ("([\\d.]+)\\s*(?:thousand|k)\\b", 1e3))]
+    return F.coalesce(*scaled, plain)
 
 
 def percent(t: Column) -> Column:
-    x = number(t, "([0-9]+(?:\\.[0-9]+)?) *%")
+    x = number(t, "(\\d+(?:\\.\\d+)?)\\s*%")
     return F.when((x > 0) & (x < 100), x)
 
 
 def rate_range(t: Column) -> Column:
     """[low, high]: an explicit range, else least and greatest of all percentages."""
-    a, b = (number(t, "([0-9]+(?:\\.[0-9]+)?) *%? *(?:-|–|—|to) *([0-9]+(?:\\.[0-9]+)?) *%", g) for g in (1, 2))
-    every = F.filter(F.transform(F.regexp_extract_all(t, F.lit("([0-9]+(?:\\.[0-9]+)?) *%"), F.lit(1)), lambda s: s.cast("double")), lambda x: (x > 0) & (x < 100))
-    return F.when(a.isNotNull() & b.isNotNull(), F.array(F.least(a, b), F.greatest(a, b))).when(F.size(every) > 0, F.array(F.array_min(every), F.array_max(every)))
+    pattern = "(\\d+(?:\\.\\d+)?)\\s*%?\\s*(?:to|–|—|-|upto|up\\s*to)\\s*(\\d+(?:\\.\\d+)?)\\s*%"
+    a, b = (number(t, pattern, g) for g in (1, 2))
+    every = F.filter(F.transform(F.regexp_extract_all(t, F.lit("(\\d+(?:\\.\\d+)?)\\s*%"), F.lit(1)), lambda s: s.cast("double")), lambda x: (x > 0) & (x < 100))
+    return F.when((F.least(a, b) > 0) & (F.greatest(a, b) < 100), F.array(F.least(a, b), F.greatest(a, b))).when(F.size(every) > 0, F.array(F.array_min(every), F.array_max(every)))
 
 
 def tenure_months(t: Column) -> Column:
-    x = _low(t)
-    n = number(x, "([0-9]+(?:\\.[0-9]+)?)")
-    return F.when(x.rlike("[0-9] *(?:years?|yrs?)"), (n * 12).cast("int")).when(x.rlike("[0-9] *months?"), n.cast("int")).when(n <= 30, (n * 12).cast("int")).otherwise(n.cast("int"))
+    x = F.lower(F.trim(t))
+    years, months, bare = number(x, "(\\d+(?:\\.\\d+)?)\\s*(?:year|yr)"), number(x, "(\\d+)\\s*(?:month|mo\\b)"), number(x, "^\\s*(\\d+)\\s*$")
+    return F.coalesce(years * 12, months, F.when(bare <= 30, bare * 12).otherwise(bare)).cast("int")
 
 
 def tenure_range(t: Column, as_coded: bool = False) -> Column:
     """[low, high] months. Documented reading: a bare number takes the unit of the part on its right; as coded it is
-    read by itself, small numbers as years."""
-    parts = F.split(_low(t), " *(?:–|—|-|\\bto\\b) *")
+    read by itself, small numbers as years. Zero months are none."""
+    parts = F.split(F.lower(t), "\\s*(?:to|–|—|-)\\s*")
     left, right = F.get(parts, 0), F.get(parts, 1)
     if not as_coded:
-        unit = F.regexp_extract(right, "(years?|yrs?|months?)", 1)
-        left = F.when(left.rlike("^[^a-z]*$") & (unit != ""), F.concat(left, F.lit(" "), unit)).otherwise(left)
-    lo, hi = tenure_months(left), tenure_months(right)
-    one = tenure_months(t)
-    return F.when((F.size(parts) == 2) & lo.isNotNull() & hi.isNotNull(), F.array(F.least(lo, hi), F.greatest(lo, hi))).when(one.isNotNull(), F.array(one, one))
+        unit = F.regexp_extract(right, "(year|yr|month|mo\\b)", 1)
+        left = F.when(left.rlike("^\\s*\\d+\\s*$") & (unit != ""), F.concat(F.trim(left), F.lit(" "), unit)).otherwise(left)
+    read = F.struct((F.size(parts) == 2).alias("two"), tenure_months(left).alias("lo"), tenure_months(right).alias("hi"), tenure_months(t).alias("one"))
+    ordered = lambda r: F.array(F.least(r["lo"], r["hi"]), F.greatest(r["lo"], r["hi"]))
+    return bound(read, lambda r: F.when(r["two"] & (r["lo"] != 0) & (r["hi"] != 0), ordered(r)).when(r["one"] != 0, F.array(r["one"], r["one"])))
 
 
 def age_range(t: Column) -> Column:
-    lo, hi = (number(t, "([0-9]{2}) *(?:years?)? *(?:-|–|to) *([0-9]{2})", g).cast("int") for g in (1, 2))
-    least = number(_low(t), "min[a-z]*[^0-9]{0,10}([0-9]{2})").cast("int")
-    return F.when((lo >= 18) & (lo <= hi) & (hi <= 80), F.array(lo, hi)).when((least >= 18) & (least <= 40), F.array(least, F.lit(65)))
-
+    """[low, high]: a range, a least age (up to 65), else least and greatest of several two-digit ages."""
+    lo, hi = (found(t, "(\\d+)\\s*(?:to|–|—|-)\\s*(\\d+)", g).try_cast("int") for g in (1, 2))
+    least = found(t, "(?:min(?:imum)?|at\\s*least)\\s*(\\d+)").try_cast("int")
+    ages = F.filter(F.transform(F.regexp_extract_all(t, F.lit("\\b(\\d{2})\\b"), F.lit(1)), lambda x: x.cast("int")), lambda x: (x >= 18) & (x <= 80))
+    return (
+        F.when((lo >= 18) & (lo <= hi) & (hi <= 80), F.array(lo, hi))
+        .when((least >= 18) & (least <= 40), F.array(least, F.lit(65)))
+        .when(F.size(ages) > 1, F.array(F.array_min(ages), F.array_max(ages)))
+    )
 
-def monthly_income(t: Column) -> Column:
-    x = _low(t)
-    year = F.when(x.rlike("lpa|per annum|p\\.a|annual"), F.when(x.rlike("lakh|lpa"), number(x, "([0-9]+(?:\\.[0-9]+)?)") * 1e5).otherwise(money(t)) / 12)
-    plain = money(t)
-    return F.round(F.coalesce(year, F.when(plain > 5e5, plain / 12).when(plain >= 5e3, plain)), 2)
 
+def monthly_income(t: Column, as_coded: bool = False) -> Column:
+    """Lakhs a year, an amount a month, else a bare amount: yearly if large, none if small."""
+    x = F.lower(t)
+    lakhs = F.coalesce(number(x, "([\\d.]+)\\s*lpa\\b"), number(x, "([\\d.]+)\\s*lakh.*?(?:per\\s*annum|pa\\b|annually)"))
+    pattern = "(?:₹|rs\\.?)?\\s*([\\d,]+(?:\\.\\d+)?)\\s*(k\\b|thousand)?\\s*(?:per\\s*month|monthly|pm\\b|/month)"
+    named = number(x, pattern) * F.when(found(x, pattern, 2).isNotNull(), 1e3).otherwise(1.0)
+    bare = bound(money(t, as_coded), lambda v: F.when(v > 5e5, F.round(v / 12, 2)).when(v >= 5e3, v))
+    return F.coalesce(F.round(lakhs * 1e5 / 12, 2), named, bare)
 
-EMPLOYMENT_KINDS = (("salaried", "salaried"), ("self.employed", "self_employed"), ("business", "self_employed"), ("doctor", "professional"), ("\\bca\\b|chartered", "professional"), ("professional", "professional"), ("govt|government", "government"), ("pension", "pensioner"), ("defence|army|navy", "defence"))
 
+def least_score(t: Column) -> Column:
+    return between(found(t, "\\b([4-9]\\d{2})\\b").try_cast("int"), 300, 900)
 
-def employment_kinds(t: Column) -> Column:
-    return F.array_distinct(F.array_compact(F.array(*[F.when(_low(t).rlike(p), F.lit(v)) for p, v in EMPLOYMENT_KINDS])))
-
-
-# ---- uploaded documents
-
-DOCUMENT_TYPES = (("cibil report|credit information report|credit report", "cibil_report"), ("salary slip|payslip|pay slip", "salary_slip"), ("bank statement|account statement", "bank_statement"), ("income tax return|itr", "itr"), ("form 26as", "form_26as"))
-
-
-def document_income(t: Column) -> Column:
-    """The most trusted of several patterns: net pay, gross pay, monthly income, yearly income by twelve."""
-    x = _low(t)
-    ok = lambda v: F.when((v >= 3e3) & (v <= 1e7), F.round(v, 2))
-    amount = "[^0-9]{0,15}([0-9][0-9,]*(?:\\.[0-9]+)?)"
-    return F.coalesce(ok(number(x, "net (?:pay|salary)" + amount)), ok(number(x, "gross (?:pay|salary)" + amount)), ok(number(x, "monthly income" + amount)), ok(number(x, "annual income" + amount) / 12))
 
+# Words for kinds of employment, in order.
+EMPLOYMENT_KINDS = (
+    ("salaried", "salaried"), ("salary", "salaried"), ("employed", "salaried"),
+    ("self.employ", "self_employed"), ("self employ", "self_employed"), ("business", "self_employed"),
+    ("professional", "professional"), ("doctor", "professional"), ("ca\\b", "professional"),
+    ("government", "government"), ("govt", "government"), ("psu", "government"), ("public sector", "government"),
+    ("nri", "nri"),
+)
 
-def pan_masked(t: Column) -> Column:
-    pan = F.nullif(F.regexp_extract(t, "\\b([A-Z]{5}[0-9]{4}[A-Z])\\b", 1), F.lit(""))
-    return F.concat(F.substring(pan, 1, 5), F.lit("****"), F.substring(pan, 10, 1))
 
-
-def born(t: Column, as_of: str) -> Column:
-    """Age in whole years (days by 365) from a date of birth dd/mm/yyyy, at a stated day."""
-    got = [F.regexp_extract(t, "(?i)(?:dob|date of birth)[^0-9]{0,5}([0-9]{2})[/-]([0-9]{2})[/-]([0-9]{4})", g).try_cast("int") for g in (3, 2, 1)]
-    day = F.try_to_date(F.concat_ws("-", *[g.cast("string") for g in got]), "y-M-d")
-    return between(F.floor(F.date_diff(F.lit(as_of).cast("date"), day) / 365).cast("int"), 18, 80)
-
-
-def extraction_confidence(*core: Column) -> Column:
-    return sum((c.isNotNull().cast("int") for c in core), F.lit(0)) / len(core)
-
-
-def key_value_sentences(headers: Column, rows: Column) -> Column:
-    """Table rows as sentences: two columns as `key: value.`, more as `h is c, ...`. Empty cells and rows go."""
-    two = F.transform(F.filter(rows, lambda r: F.trim(r[0]) != ""), lambda r: F.concat(r[0], F.lit(": "), r[1], F.lit(".")))
-    many = F.transform(rows, lambda r: F.concat(F.lit("For this entry: "), F.array_join(F.filter(F.zip_with(headers, r, lambda h, c: F.when(F.trim(c) != "", F.concat(h, F.lit(" is "), c))), lambda x: x.isNotNull()), ", "), F.lit(".")))
-    return F.when(F.size(headers) == 2, two).otherwise(many)
+def employment_kinds(t: Column) -> Column:
+    return F.array_distinct(F.array_compact(F.array(*[F.when(F.lower(t).rlike(p), F.lit(v)) for p, v in EMPLOYMENT_KINDS])))
+
+
+# Names of lenders in records, and in addresses, in order.
+BANK_NAMES = (
+    ("axis bank", "Axis"), ("axisbank", "Axis"), ("hdfc bank", "HDFC"), ("hdfcbank", "HDFC"), ("icici bank", "ICICI"), ("icicidirect", "ICICI"),
+    ("state bank of india", "SBI"), ("sbi", "SBI"), ("paisabazaar", "Paisabazaar"), ("bankbazaar", "BankBazaar"), ("rbi", "RBI"), ("reserve bank", "RBI"),
+)
+BANK_ADDRESSES = (("icici", "ICICI"), ("axis", "Axis"), ("sbi", "SBI"), ("hdfc", "HDFC"), ("paisabazaar", "Paisabazaar"), ("bankbazaar", "BankBazaar"), ("rbi", "RBI"))
+
+
+def bank_name(t: Column) -> Column:
+    """A lender's name as records have it; other names stay."""
+    return F.coalesce(first_phrase(t, BANK_NAMES), t)
+
+
+def bank_of_address(url: Column) -> Column:
+    return first_phrase(url, BANK_ADDRESSES)
+
+
+# What pages say of a loan, in order.
+PAGE_INCOMES = (
+    "(?:min(?:imum)?\\s*(?:monthly)?\\s*(?:income|salary|earning))\\s*(?:of|:)?\\s*([\\d,₹.\\s]+(?:lakh|lpa|k|thousand)?(?:\\s*per\\s*month|\\s*pm)?)",
+    "(?:income|salary)\\s+(?:should\\s+be|must\\s+be|required|atleast)\\s*([\\d,₹.\\s]+(?:lakh|lpa|k)?)",
+    "monthly\\s+(?:income|salary)\\s+(?:above|more\\s+than|greater\\s+than|at\\s+least)\\s*([\\d,₹.\\s]+)",
+)
+PAGE_AGES = ("(age\\s*(?:between|from|:)?\\s*\\d+\\s*(?:to|–|-|and)\\s*\\d+\\s*years)", "((?:minimum|min)?\\s*age\\s*(?:of|:)?\\s*\\d+\\s*years?)")
+PAGE_AMOUNT = "(?:loan|borrow)\\s*(?:up\\s*to|upto|maximum|of|ranging\\s*from)?\\s*₹?\\s*([\\d.,]+\\s*(?:lakh|crore|k|thousand)?)\\s*(?:to|–)?\\s*₹?\\s*([\\d.,]+\\s*(?:lakh|crore|k|thousand)?)?"
+PAGE_TENURE = "(tenure\\s*(?:of|:)?\\s*(?:up\\s*to\\s*)?\\d+\\s*(?:to\\s*\\d+)?\\s*(?:year|month))"
+PAGE_SCORE = "(?:cibil|credit\\s*score)\\s*(?:of|above|minimum|min|:)?\\s*(\\d{3})\\+?"
+PAGE_FEE = "processing\\s*(?:fee|charge)\\s*(?:of|:)?\\s*([\\d.]+)\\s*%"
+
+
+def loan_terms(t: Column, as_coded: bool = False) -> dict[str, Column]:
+    """The eight fields that a page's text may tell: each by the first pattern that gives a value, else null."""
+    low, high = (money(found(t, PAGE_AMOUNT, g), as_coded) for g in (1, 2))
+    high = F.when(found(t, PAGE_AMOUNT, 2).isNull(), low).otherwise(high)
+    fee = number(t, PAGE_FEE)
+    kinds = employment_kinds(t)
+    some = lambda x: F.when(x != 0, x)
+    return {
+        "interest_rate": rate_range(t),
+        "min_income": F.coalesce(*[some(monthly_income(found(t, p), as_coded)) for p in PAGE_INCOMES]),
+        "age_range": F.coalesce(*[age_range(found(t, p)) for p in PAGE_AGES]),
+        "loan_amount": F.when((low > 0) & (high > 0) & (low <= high), F.array(low, high)),
+        "tenure": tenure_range(found(t, PAGE_TENURE), as_coded),
+        "min_cibil": least_score(found(t, PAGE_SCORE)),
+        "processing_fee_pct": F.when((fee > 0) & (fee < 10), fee),
+        "employment_type": F.when(F.size(kinds) > 0, kinds),
+    }
+
+
+def layered(terms: list[dict[str, Column]]) -> dict[str, Column]:
+    """Terms of several texts, each field from the first text that tells it."""
+    return {k: F.coalesce(*[t[k] for t in terms]) for k in terms[0]}
+
+
+# ---- what language models and searches return
+
+
+def fenced_json(raw: Column) -> Column:
+    """A model's answer without code fences."""
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(raw, "```(?:json)?", "")), "^`+|`+$", ""))
+
+
+def model_profile(json: Column) -> dict[str, Column]:
+    """A profile from the entities that a model parsed (a JSON object): alternative keys, amounts with signs, small
+    incomes as lakhs a year. The first key that is there decides."""
+    get = lambda *keys: F.coalesce(*[F.get_json_object(json, f"$.{k}") for k in keys])
+    x = F.regexp_replace(get("monthly_income", "salary", "income"), "[₹,\\s]", "").try_cast("double")
+    value = lambda *keys: F.coalesce(*[F.get_json_object(json, f"$.{k}").try_cast("double") for k in keys])
+    return {
+        "monthly_income": F.round(F.when(x < 500, x * 100000 / 12).otherwise(x), 2),
+        "age": value("age"),
+        "credit_score": value("credit_score", "cibil", "cibil_score"),
+        "employment_type": F.lower(F.nullif(get("employment_type"), F.lit(""))),
+        "work_experience_months": value("work_experience_months", "work_experience", "experience_months"),
+        "dti_ratio": value("dti_ratio"),
+    }
+
+
+def bounded_profile(json: Column) -> dict[str, Column]:
+    """A profile from a model's answer to the plain question for five fields: only plausible numbers."""
+    value = lambda k: F.get_json_object(json, f"$.{k}").try_cast("double")
+    return {
+        "monthly_income": F.when(value("monthly_income") > 0, value("monthly_income")),
+        "credit_score": between(value("credit_score").cast("int"), 300, 900),
+        "age": between(value("age").cast("int"), 18, 80),
+        "employment_type": F.lower(F.nullif(F.get_json_object(json, "$.employment_type"), F.lit(""))),
+        "work_experience_months": value("work_experience_months"),
+    }
+
+
+def search_context(results: Column) -> Column:
+    """Search results (title, snippet, url) as numbered lines for a prompt; empty without results."""
+    line = lambda r, i: F.concat(F.lit("\n"), (i + 1).cast("string"), F.lit(". "), r["title"], F.lit("\n   "), r["snippet"], F.lit("\n   Source: "), r["url"])
+    return F.when(F.size(results) > 0, F.concat_ws("\n", F.lit("[Web Search Results]"), F.transform(results, line))).otherwise(F.lit(""))
+
+
+def json_strings(json: Column, longer: int = 20) -> Column:
+    """The strings of a JSON document, in order, that are longer than that: what its keys hold, at any depth."""
+    strings = F.regexp_extract_all(json, F.lit(r'"((?:[^"\\]|\\.)*)"\s*(:?)'), F.lit(0))
+    values = F.transform(F.filter(strings, lambda s: ~s.rlike(":$")), lambda s: F.regexp_replace(F.regexp_extract(s, r'^"(.*)"\s*$', 1), r"\\(.)", "$1"))
+    return F.filter(values, lambda s: F.length(s) > longer)

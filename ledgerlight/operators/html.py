@@ -1,19 +1,11 @@
-"""Pages as columns: noise, title, links, text; and an event-based walk for what columns can't express."""
+"""Pages as columns: noise, title, links, text, and the crawl."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..functions import extract as X
 
-NOISE = ("script", "style", "nav", "footer", "header", "iframe", "noscript", "aside")
-#: Hosts with their lender, in order; the first that the host contains.
-HOSTS = (("icici", "ICICI"), ("axis", "Axis"), ("hdfc", "HDFC"), ("sbi", "SBI"), ("paisa", "Aggregator"), ("bazaar", "Aggregator"))
+from .dom import NOISE, SITES
 
 
 def without_noise(html: Column) -> Column:
@@ -65,16 +57,17 @@ def links(pages: DataFrame, most: int = 15) -> DataFrame:
     return p.select("page_id", F.posexplode(same).alias("pos", "link"))
 
 
-def lender(url: Column) -> Column:
+def reader(url: Column) -> Column:
+    """The site whose rules read a page: the first whose domain the host contains."""
     out = F.lit("generic")
-    for part, name in reversed(HOSTS):
-        out = F.when(F.contains(host(url), F.lit(part)), F.lit(name)).otherwise(out)
+    for part, site in reversed(SITES.items()):
+        out = F.when(F.contains(host(url), F.lit(part)), F.lit(site.name)).otherwise(out)
     return out
 
 
 def crawl(seeds: DataFrame, edges: DataFrame, depth: int = 1, per_page: int = 5) -> DataFrame:
-    """Breadth-first rounds: url, depth of every page reached from seeds (url) along edges (url, pos, link), the first
-    per_page unvisited links of each page a round."""
+    """Breadth-first rounds: url, depth of every page reached from seeds (url) along edges (url, pos, link), of which
+    the first per_page links of each page count, visited or not. edges should be a stored table: each round reads it."""
     frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     visited = frontier
     first = edges.filter(F.col("pos") < per_page)
@@ -83,200 +76,3 @@ def crawl(seeds: DataFrame, edges: DataFrame, depth: int = 1, per_page: int = 5)
         frontier = nxt.withColumn("depth", F.lit(d))
         visited = visited.unionByName(frontier)
     return visited
-
-
-class _Walk(HTMLParser):
-    """Headings with the text up to the next one, list items, and table cells, in document order; and the rows of each
-    table, whose cells are (th or td, columns, rows, text)."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, str]] = []
-        self.skip = 0
-        self.open: list[tuple[str, list[str]]] = []
-        self.tables: list[list[list[tuple[str, int, int, list[str]]]]] = []
-        self.within: list[tuple[list, list]] = []  # the rows and the open cell, if any, of each open table
-
-    def _table_tag(self, tag, attrs):
-        if tag == "table":
-            self.tables.append([])
-            self.within.append((self.tables[-1], []))
-        elif self.within and tag in ("tr", "td", "th"):
-            rows, cell = self.within[-1]
-            cell.clear()  # a cell ends where the next begins
-            if tag == "tr" or not rows:
-                rows.append([])
-            if tag != "tr":
-                has = dict(attrs)
-                rows[-1].append((tag, _span(has.get("colspan")), _span(has.get("rowspan")), []))
-                cell.append(rows[-1][-1][3])
-
-    def handle_starttag(self, tag, attrs):
-        if not self.skip:
-            self._table_tag(tag, attrs)
-        if tag in NOISE:
-            self.skip += 1
-        elif tag in ("h1", "h2", "h3", "h4", "li", "td", "th", "p"):
-            self.open.append((tag, []))
-
-    def handle_endtag(self, tag):
-        if tag in NOISE:
-            self.skip = max(0, self.skip - 1)
-        if self.within and not self.skip:
-            if tag in ("td", "th", "tr"):
-                self.within[-1][1].clear()
-            elif tag == "table":
-                self.within.pop()
-        while any(t == tag for t, _ in self.open):
-            t, parts = self.open.pop()
-            text = " ".join(" ".join(parts).split())
-            if text:
-                self.out.append((t, text))
-            if t == tag:
-                break
-
-    def handle_data(self, data):
-        if not self.skip:
-            for _, parts in self.open[-1:]:
-                parts.append(data)
-            for _, cell in self.within:
-                for parts in cell:
-                    parts.append(data)
-
-
-def _span(value: str | None) -> int:
-    return min(max(int(value), 1), 1000) if value and value.strip().isdecimal() else 1
-
-
-def _grid(rows: list) -> dict | None:
-    """headers and rows of a table, cells that span several repeated in each; None without both. A table that names
-    each row, not each column, is turned."""
-    out: list[list[tuple[str, str]]] = []
-    hanging: dict[int, tuple[int, tuple[str, str]]] = {}  # by column: rows left, cell
-    for row in rows:
-        line: list[tuple[str, str]] = []
-
-        def hang():
-            while len(line) in hanging:  # noqa: B023
-                left, cell = hanging.pop(len(line))  # noqa: B023
-                if left > 1:
-                    after[len(line)] = left - 1, cell  # noqa: B023
-                line.append(cell)  # noqa: B023
-
-        after: dict[int, tuple[int, tuple[str, str]]] = {}
-        for tag, across, down, parts in row:
-            hang()
-            cell = tag, " ".join(" ".join(parts).split())
-            for _ in range(across):
-                if down > 1:
-                    after[len(line)] = down - 1, cell
-                line.append(cell)
-        hang()
-        hanging = after
-        if any(text for _, text in line):
-            out.append(line)
-    if out and all(len(x) > 1 and x[0][0] == "th" and all(tag == "td" for tag, _ in x[1:]) for x in out):
-        width = max(map(len, out))
-        out = [[x[k] if k < len(x) else ("td", "") for x in out] for k in range(width)]
-    texts = [[text for _, text in x] for x in out]
-    return {"headers": texts[0], "rows": texts[1:]} if len(texts) > 1 else None
-
-
-def _walked(html: str | None) -> _Walk:
-    w = _Walk()
-    w.feed(html or "")
-    w.close()
-    return w
-
-
-def _tables(w: _Walk) -> list[dict]:
-    return [g for g in map(_grid, w.tables) if g]
-
-
-def _sections(w: _Walk) -> list[dict]:
-    out: list[dict] = []
-    for tag, text in w.out:
-        if tag[0] == "h":
-            out.append({"heading": text, "text": "", "items": []})
-        elif out:
-            if tag == "li":
-                out[-1]["items"].append(text)
-            else:
-                out[-1]["text"] = f"{out[-1]['text']} {text}".strip()
-    return out
-
-
-SECTIONS = T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("text", T.StringType()), T.StructField("items", T.ArrayType(T.StringType()))]))
-
-
-@F.pandas_udf(SECTIONS)
-def sections(html: pd.Series) -> pd.Series:
-    """Sections of a page by its headings. The walk needs a parser, so it runs in Arrow batches."""
-    return html.map(lambda x: _sections(_walked(x)))
-
-
-TABLES = T.ArrayType(T.StructType([T.StructField("headers", T.ArrayType(T.StringType())), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType())))]))
-
-
-@F.pandas_udf(T.StructType([T.StructField("sections", SECTIONS), T.StructField("tables", TABLES)]))
-def sections_and_tables(html: pd.Series) -> pd.DataFrame:
-    """Sections of a page, and the headers and rows of its tables, from one walk."""
-    walks = [_walked(x) for x in html]
-    return pd.DataFrame({"sections": [_sections(w) for w in walks], "tables": [_tables(w) for w in walks]})
-
-
-# Headings worth reading, and per site where it keeps things (words of a heading; how long list items are).
-FINANCE = "(?i)interest|rate|eligib|fee|charge|document|feature|benefit|tenure|income|cibil|emi"
-SITES = {
-    "ICICI": {"eligibility": "eligib", "charges": "fee|charge", "features": "feature|benefit|highlight|advantage", "item": (15, 250)},
-    "Axis": {"eligibility": "eligib", "charges": "fee|charge|rate", "features": ".", "item": (15, 250)},
-    "SBI": {"eligibility": "eligib", "charges": "rate|interest", "features": "feature|benefit", "item": (30, 500)},
-    "Aggregator": {"eligibility": "eligib", "charges": "rate|fee", "features": "rate|eligib|faq|question", "item": (20, 300)},
-    "generic": {"eligibility": "eligib", "charges": "fee|charge", "features": FINANCE, "item": (10, 300)},
-}
-
-
-def page_records(pages: DataFrame) -> DataFrame:
-    """A record for each page, by the rules of its site: rates, income, ages, employment, processing fee, features, key
-    facts (of sections, then every row of its tables), content, and the share of fields that were found."""
-    p = pages.select("page_id", "url", F.coalesce(title(F.col("html")), F.lit("")).alias("title"), body(F.col("html")).alias("content"), sections_and_tables("html").alias("w"), lender(F.col("url")).alias("bank"))
-    p = p.withColumns({"s": F.col("w.sections"), "told": F.flatten(F.transform("w.tables", lambda t: table_facts(t["headers"], t["rows"])))})
-
-    def by_site(key: str) -> Column:
-        out = F.lit(SITES["generic"][key])
-        for name, spec in SITES.items():
-            out = F.when(F.col("bank") == name, F.lit(spec[key])).otherwise(out)
-        return out
-
-    def bound(k: int) -> Column:
-        out = F.lit(SITES["generic"]["item"][k])
-        for name, spec in SITES.items():
-            out = F.when(F.col("bank") == name, F.lit(spec["item"][k])).otherwise(out)
-        return out
-
-    def under(pattern: Column) -> Column:
-        hit = F.filter("s", lambda x: F.regexp_like(F.lower(x["heading"]), pattern))
-        return F.array_join(F.transform(hit, lambda x: F.concat_ws(" ", x["heading"], x["text"], F.array_join(x["items"], " "))), " ")
-
-    p = p.withColumns({"eligibility": under(by_site("eligibility")), "charges": under(by_site("charges"))})
-    items = F.flatten(F.transform(F.filter("s", lambda x: F.regexp_like(F.lower(x["heading"]), by_site("features"))), lambda x: x["items"]))
-    facts = F.filter(F.transform(F.filter("s", lambda x: F.regexp_like(x["heading"], F.lit(FINANCE))), lambda x: F.substring(x["text"], 1, 400)), lambda t: F.length(t) > 50)
-    first = lambda f: F.coalesce(f(F.col("charges")), f(F.col("eligibility")), f(F.col("content")))
-    r = p.select(
-        "page_id", "url", "bank", "title",
-        F.coalesce(first(X.rate_range), X.rate_range(F.array_join("told", " "))).alias("rates"),
-        F.coalesce(X.monthly_income(F.nullif(F.regexp_extract("eligibility", "(?i)(?:income|salary)(.{0,40})", 1), F.lit("")))).alias("income"),
-        X.age_range(F.col("eligibility")).alias("ages"),
-        X.employment_kinds(F.col("eligibility")).alias("employment"),
-        X.percent(F.nullif(F.regexp_extract("charges", "(?i)processing fee(.{0,40})", 1), F.lit(""))).alias("fee_pct"),
-        F.slice(F.array_distinct(F.filter(items, lambda x: (F.length(x) > bound(0)) & (F.length(x) < bound(1)))), 1, 20).alias("features"),
-        F.concat(F.slice(facts, 1, 10), F.array_distinct(F.filter("told", lambda t: t != ""))).alias("key_facts"),
-        "content",
-    )
-    found = [F.col(c).isNotNull() for c in ("rates", "income", "ages", "fee_pct")] + [F.size(c) > 0 for c in ("employment", "features", "key_facts")] + [F.length("content") > 0]
-    return r.withColumn("confidence", sum((f.cast("int") for f in found), F.lit(0)) / len(found))
-
-
-def table_facts(headers: Column, rows: Column) -> Column:
-    """Comparison tables as `header: cell` facts, a string for each row."""
-    return F.transform(rows, lambda r: F.array_join(F.filter(F.zip_with(headers, r, lambda h, c: F.when(F.trim(c) != "", F.concat(h, F.lit(": "), c))), lambda x: x.isNotNull()), ", "))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..plans.spread import small, spread
+
 K1, B, RRF_K = 1.5, 0.75, 60
 TOKEN = "([a-z0-9₹%.,\\-]+)"
 
@@ -15,25 +17,44 @@ def tokens(text: Column) -> Column:
 
 
 class Bm25:
-    """BM25 statistics of a corpus (id, text): postings with lengths, document frequencies, and totals.
+    """BM25 over a corpus (id, text).
 
-    Postings carry their document's length, so scoring joins one table by term; totals are one row.
+    Statistics are aggregates that are reduced where the corpus is read: totals are one row, document frequencies come
+    from each document's distinct terms. Postings are made of asked terms alone: the asked terms, a checked-size side, go
+    to the corpus before anything is shuffled. Postings carry their document's length, so scoring joins one table by term.
     """
 
     def __init__(self, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        words = corpus.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-        self.lengths = words.select("id", F.size("w").alias("dl"))
-        self.totals = self.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-        self.postings = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        self.idf = df.crossJoin(F.broadcast(self.totals)).withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))  # totals: one row
+        self.words = spread(corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))).select("id", tokens(F.col("_text")).alias("w")).withColumn("dl", F.size("w"))
+        self.totals = self.words.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+
+    @staticmethod
+    def _weight(n: Column, df: Column) -> Column:
+        return F.log((n - df + 0.5) / (df + 0.5) + 1)
+
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """term, id, dl, tf; of the terms given alone."""
+        found = self.words.select("id", "dl", F.explode("w").alias("term"))
+        found = found if terms is None else found.join(terms, "term", "left_semi")
+        return found.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+
+    @property
+    def idf(self) -> DataFrame:
+        """term, df, idf of every term."""
+        df = self.words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        return df.crossJoin(F.broadcast(self.totals)).withColumn("idf", self._weight(F.col("n_docs"), F.col("df")))  # totals: one row
 
     def scores(self, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
         """query_id, id, score for every document that holds a query term; repeated query terms count repeatedly."""
         asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        hit = self.postings.join(self.idf.select("term", "idf", "avg_dl").join(asked, "term"), "term")
-        part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-        return hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+        postings = self.postings(small(asked.select("term").distinct()))
+        # reads the same columns as the postings themselves, so that Spark makes and shuffles them once
+        df = postings.groupBy("term").agg(F.sum(F.when((F.col("tf") > 0) & (F.col("dl") > 0), 1)).alias("df"))
+        totals = F.broadcast(self.totals)  # one row
+        weight = self._weight(F.col("n_docs"), F.col("df"))
+        asking = asked.join(df, "term").crossJoin(totals).select("query_id", "term", (F.col("times") * weight * (K1 + 1)).alias("weight"), "avg_dl")
+        part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+        return postings.join(asking, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -47,10 +68,10 @@ def inner(a: Column, b: Column) -> Column:
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, after: bool = False) -> DataFrame:
-    """query_id, id, score, rank by inner product. Queries are few and stated, so they go to the vectors. keep filters
-    before the ranking, or, with after, the best 10 * k."""
+    """query_id, id, score, rank by inner product. Queries are stated; a checked-size table of them goes to the vectors.
+    keep filters before the ranking, or, with after, the best 10 * k."""
     rows = vectors if keep is None or after else vectors.filter(keep)
-    s = rows.crossJoin(queries).withColumn("score", F.round(inner(F.col("v"), F.col("q")), 6))
+    s = rows.crossJoin(small(queries)).withColumn("score", F.round(inner(F.col("v"), F.col("q")), 6)).drop("v", "q")
     if not after:
         return top(s, k)
     order = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -68,11 +89,23 @@ def boost(fused: DataFrame, hinted: Column, by: float = 0.15) -> DataFrame:
     return fused.withColumn("score", F.when(hinted, F.round(F.least(F.col("score") + by, F.lit(1.0)), 6)).otherwise(F.col("score")))
 
 
+def retrieve(dense: DataFrame, sparse: DataFrame, chunks: DataFrame, asked: DataFrame, k: int = 5, fetch: int = 20) -> DataFrame:
+    """The k best chunks of each query: two rankings fused, the best fetch of them joined to their chunks (id,
+    field_hint, more), those whose field the query asks about (query_id, hints) raised, and ranked anew; on a tie the
+    order of the fusion holds. rank_score is what ranks, cosine the dense score where there is one."""
+    fused = top(fuse(dense, sparse), fetch).withColumnRenamed("rank", "_fused")
+    near = dense.select("query_id", "id", F.col("score").alias("cosine"))
+    rows = fused.join(near, ["query_id", "id"], "left").join(chunks, "id").join(small(asked), "query_id", "left")
+    raised = boost(rows, F.coalesce(F.array_contains("hints", F.col("field_hint")), F.lit(False)))
+    order = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "_fused")
+    return raised.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("score", "rank_score").drop("_fused", "hints")
+
+
 def minmax(scores: DataFrame) -> DataFrame:
-    """Scores of each query scaled to [0, 1]; all 1 where they are equal."""
-    w = W.Window.partitionBy("query_id")
-    low, high = F.min("score").over(w), F.max("score").over(w)
-    return scores.withColumn("scaled", F.when(high == low, F.lit(1.0)).otherwise(F.round((F.col("score") - low) / (high - low), 6)))
+    """Scores of each query scaled to [0, 1]; all 1 where they are equal. Bounds are aggregates, joined back."""
+    bounds = scores.groupBy("query_id").agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
+    return scores.join(bounds, "query_id").withColumn("scaled", F.when(high == low, F.lit(1.0)).otherwise(F.round((F.col("score") - low) / (high - low), 6))).drop("_low", "_high")
 
 
 def distinct_prefixes(rows: DataFrame, keys: list[str], order: list, text: str = "text", n: int = 80) -> DataFrame:
@@ -91,10 +124,39 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[^ \\t\\n\\r\\f]+"))
 
 
-def pack(rows: DataFrame, keys: list[str], order: list, budget: int = 3000, text: str = "text") -> DataFrame:
-    """Rows of each key in order up to the first that overflows the budget of words."""
-    w = W.Window.partitionBy(*keys).orderBy(*order).rowsBetween(W.Window.unboundedPreceding, 0)
-    return rows.withColumn("words_so_far", F.sum(words(F.col(text))).over(w)).filter(F.col("words_so_far") <= budget)
+def pack(rows: DataFrame, keys: list[str], order: list, budget: int = 3000, text: str = "text", salts: int = 64) -> DataFrame:
+    """Rows of each key in order up to the first that overflows the budget of words, without their texts.
+
+    Only counts travel. A key with very many rows is cut in parts first: what comes behind the first row that overflows
+    its part comes behind an overflow of the whole too, so that the last step sees few rows of each."""
+    counted = rows.withColumn("_words", words(F.col(text))).drop(text).withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    upto = lambda *by: F.sum("_words").over(W.Window.partitionBy(*by).orderBy(*order).rowsBetween(W.Window.unboundedPreceding, 0))
+    few = counted.withColumn("_so_far", upto(*keys, "_part")).filter(F.col("_so_far") - F.col("_words") <= budget)
+    return few.withColumn("words_so_far", upto(*keys)).filter(F.col("words_so_far") <= budget).drop("_words", "_part", "_so_far")
+
+
+# Whom a context believes first; others come last. What an empty context says.
+AUTHORITY = {"Axis": 1, "HDFC": 1, "ICICI": 1, "SBI": 1, "RBI": 2, "Paisabazaar": 3, "BankBazaar": 3}
+LAST, NOTHING = 10, "No relevant context retrieved."
+
+
+def priority(bank: Column) -> Column:
+    out = F.lit(LAST)
+    for name, p in AUTHORITY.items():
+        out = F.when(bank == name, p).otherwise(out)
+    return out
+
+
+def context(chunks: DataFrame, keys: list[str], order: list, budget: int = 3000) -> DataFrame:
+    """keys, context: chunks (bank, doc_type, text) by authority, then order, those with a text seen before left out,
+    each under its source, up to the first that overflows the budget of words. What one row holds is bounded by it."""
+    ranked = chunks.withColumn("_priority", priority(F.col("bank")))
+    kept = distinct_prefixes(ranked, keys, ["_priority", *order])
+    kept = kept.withColumn("_block", F.concat(F.lit("[Source: "), F.col("bank"), F.lit(" | "), F.col("doc_type"), F.lit("]\n"), F.col("text"))).drop("text")
+    by = W.Window.partitionBy(*keys).orderBy("_priority", *order).rowsBetween(W.Window.unboundedPreceding, 0)
+    within = kept.withColumn("_so_far", F.sum(words(F.col("_block"))).over(by)).filter(F.col("_so_far") <= budget)
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("_so_far", "_block"))), lambda x: x["_block"])
+    return within.groupBy(*keys).agg(F.array_join(blocks, "\n\n---\n\n").alias("context"))
 
 
 def probe_cache(entries: DataFrame, queries: DataFrame, threshold: float = 0.92) -> DataFrame:

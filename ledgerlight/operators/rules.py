@@ -1,8 +1,9 @@
 """The rule engine as columns.
 
-Rules are configuration, so they are compiled into one array expression: every profile carries its evaluations by
-lender, and everything that follows (counts, scores, decisions, confidence, checks) is computed inside the row. No
-step of the engine shuffles; explode() gives the long forms.
+Rules are configuration, so they are compiled into columns: a state for each rule, then plain sums of states for each
+lender, which Spark compiles to code. What follows (scores, decisions, confidence, checks) is computed inside the row
+from a few numbers by lender; evaluations and messages stand in columns of their own, which plans drop where nothing
+asks for them. No step of the engine shuffles; explode() gives the long forms.
 
 Missing, failed and erroneous are three things: a missing critical field blocks, a failed rule rejects, an error
 neither counts nor blocks.
@@ -25,7 +26,7 @@ DEFAULTS = {"work_experience_months": 12, "dti_ratio": 0.35, "employment_type":
 PRIORITY = {"credit_score": 1, "monthly_income": 2, "dti_ratio": 3, "work_experience_months": 4, "employment_type": 5, "age": 6}
 CATEGORY = {"monthly_income": "low_income", "credit_score": "low_cibil", "age": "age_out_of_range", "dti_ratio": "high_dti", "work_experience_months": "insufficient_experience", "employment_type": "ineligible_employment_type"}
 
-_COMPARE = {">=": Column.__ge__, "<=": Column.__le__, ">": Column.__gt__, "<": Column.__lt__, "==": Column.__eq__, "!=": Column.__ne__}
+_COMPARE = {">=": ">=", "<=": "<=", ">": ">", "<": "<", "==": "=", "!=": "<>"}
 
 
 def _rounded(x: Column, digits: int) -> Column:
@@ -33,91 +34,127 @@ def _rounded(x: Column, digits: int) -> Column:
     return F.rint(x * 10**digits) / 10**digits
 
 
-def actual(field: str) -> Column:
-    value = F.col(field)
-    return F.coalesce(value, F.lit(DEFAULTS[field])) if field in DEFAULTS else value
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def status(rule: Rule) -> Column:
-    """pass, fail, missing or error."""
-    value = actual(rule.field)
-    text = value.cast("string")
+def _actual(field: str, kind: str) -> str:
+    """The field, or what stands in for an optional one. Rules are compiled to SQL text, which builds much faster than
+    columns do."""
+    default = DEFAULTS.get(field)
+    if default is None:
+        return f"`{field}`"
+    return f"coalesce(`{field}`, {_quoted(str(default)) if kind == 'string' or isinstance(default, str) else f'{float(default)}D'})"
+
+
+def _status(rule: Rule, kind: str) -> str:
+    """pass, fail, missing or error; kind is the type of the rule's column."""
+    value = _actual(rule.field, kind)
+    text = f"cast({value} as string)"
     if rule.operator in ("in", "not_in") and rule.list_value is not None:
-        found = text.isin(list(rule.list_value))
-        ok = found if rule.operator == "in" else ~found
+        ok = f"{text} {'not ' * (rule.operator == 'not_in')}in ({', '.join(map(_quoted, rule.list_value))})"
     elif rule.operator in _COMPARE and rule.num_value is not None:
-        number = text.try_cast("double")
-        ok = _COMPARE[rule.operator](number, F.lit(rule.num_value))
+        number = f"try_cast({text} as double)" if kind == "string" else f"cast({value} as double)"
+        ok = f"{number} {_COMPARE[rule.operator]} {rule.num_value}D"
     elif rule.operator in ("==", "!=") and rule.list_value is not None:
-        ok = _COMPARE[rule.operator](text, F.lit(rule.list_value[0]))
+        ok = f"{text} {_COMPARE[rule.operator]} {_quoted(rule.list_value[0])}"
     else:
-        ok = F.lit(None).cast("boolean")
-    return F.when(value.isNull(), "missing").when(ok.isNull(), "error").when(ok, "pass").otherwise("fail")
+        ok = "cast(null as boolean)"
+    return f"case when {value} is null then 'missing' when ({ok}) is null then 'error' when {ok} then 'pass' else 'fail' end"
 
 
-def _expected(rule: Rule) -> str:
-    return ", ".join(rule.list_value) if rule.list_value is not None else f"{rule.num_value:g}"
+def expected(rule: Rule) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in rule.list_value) + "]" if rule.list_value is not None else f"{rule.num_value:g}"
 
 
-def _evaluation(rule: Rule) -> Column:
-    return F.struct(
-        F.lit(rule.ord).alias("ord"), F.lit(rule.id).alias("rule_id"), F.lit(rule.field).alias("field"), F.lit(rule.operator).alias("operator"),
-        F.lit(_expected(rule)).alias("expected"), actual(rule.field).cast("string").alias("actual"), F.lit(rule.message).alias("message"), status(rule).alias("status"),
-        F.lit(PRIORITY.get(rule.field, 99)).alias("priority"), F.lit(CATEGORY.get(rule.field, rule.field)).alias("category"),
-    )
+def _failed(rule: Rule, kind: str, plain: bool) -> str:
+    """Why a rule failed; plain is the wording of the alternative report."""
+    value, want = f"cast({_actual(rule.field, kind)} as string)", expected(rule)
+    if plain:
+        return f"concat('Applicant has ', {value}, {_quoted(f', requirement is {rule.operator} {want}')})"
+    return f"concat({value}, {_quoted(f' {rule.operator} {want} ✗ — requires {want}, got ')}, {value})"
 
 
-def _n(evals: Column, want: str) -> Column:
-    return F.size(F.filter(evals, lambda e: e["status"] == want))
+def _reason(rule: Rule, kind: str, state: str) -> str:
+    value, want = f"cast({_actual(rule.field, kind)} as string)", expected(rule)
+    known = rule.operator in (*_COMPARE, "in", "not_in")
+    error = f"concat('Cannot compare \\'', {value}, {_quoted(f"' with threshold '{want}'.")})" if known else _quoted(f"Unknown operator '{rule.operator}'.")
+    return f"case {state} when 'missing' then {_quoted(f"Field '{rule.field}' not provided.")} when 'pass' then concat({value}, {_quoted(f' {rule.operator} {want} ✓')}) when 'fail' then {_failed(rule, kind, False)} else {error} end"
 
 
-def _critical_missing(evals: Column) -> Column:
-    return F.exists(evals, lambda e: (e["status"] == "missing") & e["field"].isin(*CRITICAL))
+def _evaluation(rule: Rule, kind: str, state: str) -> str:
+    fixed = {"bank": _quoted(rule.bank), "bank_ord": rule.bank_ord, "ord": rule.ord, "rule_id": _quoted(rule.id), "field": _quoted(rule.field), "operator": _quoted(rule.operator), "expected": _quoted(expected(rule))}
+    found = {"actual": f"cast({_actual(rule.field, kind)} as string)", "message": _quoted(rule.message), "status": state, "reason": _reason(rule, kind, state), "priority": PRIORITY.get(rule.field, 99), "category": _quoted(CATEGORY.get(rule.field, rule.field))}
+    return _struct(fixed | found)
 
 
-def evaluate(profiles: DataFrame, rules: list[Rule]) -> DataFrame:
-    """profiles with banks: for each lender its evaluations, counts, rule_score, eligible, final score and messages."""
-    lenders = []
-    for bank, own in groupby(sorted(rules, key=lambda r: (r.bank_ord, r.ord)), key=lambda r: r.bank):
-        own = list(own)
-        lenders.append(F.struct(F.lit(bank).alias("bank"), F.lit(own[0].bank_ord).alias("bank_ord"), F.lit(own[0].loan_type).alias("loan_type"), F.lit(own[0].logic).alias("logic"), F.array(*map(_evaluation, own)).alias("evals")))
+def _struct(values: dict) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in values.items()) + ")"
 
-    def counted(b: Column) -> Column:
-        e = b["evals"]
-        return F.struct(*[b[c].alias(c) for c in ("bank", "bank_ord", "loan_type", "logic", "evals")], _n(e, "pass").alias("n_pass"), _n(e, "fail").alias("n_fail"), _n(e, "missing").alias("n_missing"), _critical_missing(e).alias("critical_missing"))
 
-    def scored(b: Column) -> Column:
-        eligible = F.when(b["logic"] == "all", (b["n_fail"] == 0) & ~b["critical_missing"]).otherwise(b["n_pass"] > 0)
-        score = _rounded(b["n_pass"] / F.greatest(b["n_pass"] + b["n_fail"], F.lit(1)), 3)
-        return F.struct(*[b[c].alias(c) for c in ("bank", "bank_ord", "loan_type", "logic", "evals", "n_pass", "n_fail", "n_missing", "critical_missing")], eligible.alias("eligible"), score.alias("rule_score"))
+# What is said of a lender, by the engine and by the alternative report.
+ELIGIBLE, NEEDS, REJECTED = "✅ Eligible — all %d rules passed.", ("⚠️ Need more info — please provide: ", "⚠️ Cannot evaluate — missing: "), "❌ Not eligible — %d rule(s) failed: "
 
-    def final(b: Column) -> Column:
-        raw = b["rule_score"] - b["n_fail"] * 0.15 - b["n_missing"] * 0.05
-        return b.withField("final_score", _rounded(F.greatest(F.when(b["eligible"], raw).otherwise(F.least(raw, F.lit(0.60))), F.lit(0.05)), 2))
 
-    banks = F.array(*lenders)
-    for step in (counted, scored, final):
-        banks = F.transform(banks, step)
-    return profiles.withColumn("banks", banks)
+def evaluate(profiles: DataFrame, rules: list[Rule]) -> DataFrame:
+    """profiles with banks (for each lender its counts, rule_score, eligible, final_score), evals (all evaluations) and
+    texts (for each lender its messages and summaries), arrays in the order of lenders."""
+    types = dict(profiles.dtypes)
+    ordered = sorted(rules, key=lambda r: (r.bank_ord, r.ord))
+    by_bank = [list(own) for _, own in groupby(ordered, key=lambda r: r.bank)]
+    state = {id(r): f"_state{k}" for k, r in enumerate(ordered)}
+    kind = lambda r: types.get(r.field, "string")
+
+    def total(own: list[Rule], want: str, critical: bool = False) -> str:
+        return " + ".join(["0", *(f"int({state[id(r)]} = '{want}')" for r in own if not critical or r.field in CRITICAL)])
+
+    def bank(own: list[Rule], k: int) -> str:
+        eligible = f"(_fail{k} = 0 and _without{k} = 0)" if own[0].logic == "all" else f"(_pass{k} > 0)"
+        score = f"rint(_pass{k} / greatest(_pass{k} + _fail{k}, 1) * 1000) / 1000"
+        raw = f"({score} - _fail{k} * 0.15D - _missing{k} * 0.05D)"
+        final = f"rint(greatest(if({eligible}, {raw}, least({raw}, 0.60D)), 0.05D) * 100) / 100"
+        dti = f"coalesce(try_cast({_actual('dti_ratio', types.get('dti_ratio', 'string'))} as double) > 1.5D, false)" if any(r.field == "dti_ratio" for r in own) else "false"
+        return _struct({
+            "bank": _quoted(own[0].bank), "bank_ord": own[0].bank_ord, "loan_type": _quoted(own[0].loan_type), "n_rules": len(own), "n_pass": f"_pass{k}", "n_fail": f"_fail{k}", "n_missing": f"_missing{k}",
+            "critical_missing": f"_without{k} > 0", "critical_fail": f"_barred{k} > 0", "eligible": eligible, "rule_score": score, "final_score": final, "dti_high": dti,
+        })
+
+    def said(own: list[Rule], k: int) -> str:
+        each = lambda want, text: "array_compact(array(" + ", ".join(f"if({state[id(r)]} = '{want}', {text(r)}, null)" for r in own) + "))"
+        message = lambda r: _quoted(r.message)
+        needs = "concat_ws(', ', " + ", ".join([f"if({state[id(r)]} = 'missing', {_quoted(r.field)}, null)" for r in own if r.field in CRITICAL] or ["null"]) + ")"
+        eligible = f"_fail{k} = 0 and _without{k} = 0" if own[0].logic == "all" else f"_pass{k} > 0"
+
+        def summary(plain: bool) -> str:
+            fails = f"array_join(slice({each('fail', lambda r: _failed(r, kind(r), plain))}, 1, 2), '; ')"
+            return f"case when {eligible} then format_string({_quoted(ELIGIBLE)}, _pass{k}) when _without{k} > 0 then concat({_quoted(NEEDS[plain])}, {needs}) else concat(format_string({_quoted(REJECTED)}, _fail{k}), {fails}) end"
+
+        return _struct({"passed": each("pass", message), "failed": each("fail", message), "missing": each("missing", message), "summary": summary(False), "plain_summary": summary(True)})
+
+    counts = {"pass": ("pass", False), "fail": ("fail", False), "missing": ("missing", False), "without": ("missing", True), "barred": ("fail", True)}
+    array = lambda of, empty: f"array({', '.join(of)})" if of else f"cast(array() as {empty})"
+    banks, texts = ([f(own, k) for k, own in enumerate(by_bank)] for f in (bank, said))
+    columns = [f"`{c}`" for c in profiles.columns]
+    states = profiles.selectExpr(*columns, *[f"{_status(r, kind(r))} as {state[id(r)]}" for r in ordered])
+    summed = states.selectExpr(*states.columns, *[f"{total(own, *how)} as _{c}{k}" for k, own in enumerate(by_bank) for c, how in counts.items()])
+    return summed.selectExpr(*columns, f"{array(banks, _BANKS)} as banks", f"{array([_evaluation(r, kind(r), state[id(r)]) for r in ordered], _EVALS)} as evals", f"{array(texts, _TEXTS)} as texts")
+
+
+_BANKS = "array<struct<bank:string,bank_ord:int,loan_type:string,n_rules:int,n_pass:int,n_fail:int,n_missing:int,critical_missing:boolean,critical_fail:boolean,eligible:boolean,rule_score:double,final_score:double,dti_high:boolean>>"
+_EVALS = "array<struct<bank:string,bank_ord:int,ord:int,rule_id:string,field:string,operator:string,expected:string,actual:string,message:string,status:string,reason:string,priority:int,category:string>>"
+_TEXTS = "array<struct<passed:array<string>,failed:array<string>,missing:array<string>,summary:string,plain_summary:string>>"
 
 
 def long(evaluated: DataFrame) -> DataFrame:
     """A row for each profile, lender and rule."""
-    b = evaluated.select("profile_id", F.explode("banks").alias("b"))
-    return b.select("profile_id", F.col("b.bank").alias("bank"), F.col("b.bank_ord").alias("bank_ord"), F.explode("b.evals").alias("e")).select("profile_id", "bank", "bank_ord", "e.*")
-
-
-def messages(evals: Column, want: str, most: int | None = None) -> Column:
-    found = F.transform(F.filter(evals, lambda e: e["status"] == want), lambda e: e["message"])
-    return F.array_join(F.slice(found, 1, most) if most else found, "; ")
+    return evaluated.select("profile_id", F.explode("evals").alias("e")).select("profile_id", "e.*")
 
 
 def by_bank(evaluated: DataFrame) -> DataFrame:
-    """A row for each profile and lender: counts, scores, eligibility, and a summary sentence."""
-    b = evaluated.select("profile_id", F.explode("banks").alias("b")).select("profile_id", "b.*")
-    needs = F.array_join(F.transform(F.filter("evals", lambda e: (e["status"] == "missing") & e["field"].isin(*CRITICAL)), lambda e: e["field"]), ", ")
-    summary = F.when(F.col("eligible"), F.concat(F.lit("eligible: all "), F.size("evals").cast("string"), F.lit(" rules passed"))).when(F.col("critical_missing"), F.concat(F.lit("needs: "), needs)).otherwise(F.concat(F.lit("not eligible: "), messages(F.col("evals"), "fail", 2)))
-    return b.select("profile_id", "bank", "bank_ord", "n_pass", "n_fail", "n_missing", "critical_missing", "eligible", "rule_score", "final_score", messages(F.col("evals"), "pass").alias("passed"), messages(F.col("evals"), "fail").alias("failed"), messages(F.col("evals"), "missing").alias("missing"), summary.alias("summary"))
+    """A row for each profile and lender: counts, scores, eligibility, messages and a summary sentence."""
+    b = evaluated.select("profile_id", F.explode(F.arrays_zip("banks", "texts")).alias("x")).select("profile_id", "x.banks.*", "x.texts.*")
+    joined = {c: F.array_join(c, "; ") for c in ("passed", "failed", "missing")}
+    return b.withColumns(joined).select("profile_id", "bank", "bank_ord", "n_pass", "n_fail", "n_missing", "critical_missing", "eligible", "rule_score", "final_score", "passed", "failed", "missing", "summary", "plain_summary")
 
 
 def _count(keep) -> Column:
@@ -130,25 +167,29 @@ def _first_best(keep) -> Column:
     return F.get(ranked, 0)["bank"]
 
 
-def _all_evals() -> Column:
-    return F.flatten(F.transform("banks", lambda b: F.transform(b["evals"], lambda e: e.withField("bank", b["bank"]).withField("bank_ord", b["bank_ord"]))))
-
-
 def completeness() -> Column:
     return sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0)) / len(FIELDS)
 
 
+def _names(fields: tuple[str, ...], known: bool) -> Column:
+    return F.concat_ws(",", *[F.when(F.col(f).isNotNull() if known else F.col(f).isNull(), F.lit(f)) for f in fields])
+
+
 def reason(evaluated: DataFrame) -> DataFrame:
-    """A row for each profile: lenders by state, best and closest lender, failures, decision, confidence."""
-    fails = F.filter(_all_evals(), lambda e: e["status"] == "fail")
+    """A row for each profile: lenders by state, best and closest lender, failures (all, and of critical fields, by
+    priority), which fields are known, decision, confidence."""
+    fails = F.filter("evals", lambda e: e["status"] == "fail")
     d = evaluated.withColumn("fails", fails).withColumn("completeness", completeness())
+    order = lambda e: F.struct(e["priority"].alias("p"), e["bank_ord"].alias("b"), e["ord"].alias("o"), e.alias("e"))
+    critical = F.array_sort(F.transform(F.filter("fails", lambda e: e["field"].isin(*CRITICAL)), order))
+    d = d.withColumns({"critical_failures": F.transform(critical, lambda x: x["e"]), "provided": _names(FIELDS, True), "not_provided": _names(FIELDS, False)})
     d = d.withColumn("n_total", F.size("banks")).withColumn("n_eligible", _count(lambda b: b["eligible"])).withColumn("n_critical", _count(lambda b: b["critical_missing"]))
     d = d.withColumn("n_hard", _count(lambda b: ~b["eligible"] & (b["n_fail"] > 0))).withColumn("n_rejected", _count(lambda b: ~b["eligible"] & ~b["critical_missing"]))
     names = lambda keep: F.array_join(F.transform(F.filter("banks", keep), lambda b: b["bank"]), ",")
     d = d.withColumn("eligible_banks", names(lambda b: b["eligible"])).withColumn("missing_banks", names(lambda b: ~b["eligible"] & b["critical_missing"])).withColumn("rejected_banks", names(lambda b: ~b["eligible"] & ~b["critical_missing"]))
     d = d.withColumn("best_bank", _first_best(lambda b: b["eligible"])).withColumn("closest_bank", _first_best(lambda b: ~b["eligible"] & (b["rule_score"] > 0)))
     d = d.withColumn("decision", F.when((F.col("completeness") == 0) | (F.col("n_total") == 0), "Insufficient Data").when(F.col("n_eligible") == F.col("n_total"), "Eligible").when(F.col("n_eligible") > 0, "Partially Eligible").when((F.col("n_critical") > 0) & (F.col("n_hard") == 0), "Partial Profile").otherwise("Not Eligible"))
-    critical = F.exists("fails", lambda e: e["field"].isin(*CRITICAL))
+    critical = F.exists("banks", lambda b: b["critical_fail"])
     average = F.aggregate("banks", F.lit(0.0), lambda a, b: a + b["rule_score"]) / F.greatest(F.col("n_total"), F.lit(1))
     d = d.withColumn("critical_fail", critical).withColumn("avg_rule_score", average)
     raw = F.least(0.85 + F.col("avg_rule_score") * 0.14, F.lit(0.99))
@@ -185,7 +226,7 @@ def validate(reasoned: DataFrame) -> DataFrame:
     each = F.flatten(F.transform("banks", lambda b: F.array(
         issue(b["eligible"] & (b["n_fail"] > 0), "error", "eligible with failed rules", b["bank"]),
         issue(~b["eligible"] & (b["n_fail"] == 0) & ~b["critical_missing"], "warning", "not eligible without cause", b["bank"]),
-        issue(F.exists(b["evals"], lambda e: (e["field"] == "dti_ratio") & (e["actual"].try_cast("double") > 1.5)), "warning", "dti looks like a percentage", b["bank"]),
+        issue(b["dti_high"], "warning", "dti looks like a percentage", b["bank"]),
     )))
     whole = F.array(
         issue((F.col("decision") == "Eligible") & (F.col("n_eligible") < F.col("n_total")), "error", "decision eligible, lenders differ"),
@@ -206,10 +247,13 @@ def ranked(evaluated: DataFrame) -> DataFrame:
 
 
 def partial_report(reasoned: DataFrame) -> DataFrame:
-    """The alternative report: lenders with any missing field are partial; a simpler confidence."""
-    partial = _count(lambda b: ~b["eligible"] & (b["n_missing"] > 0))
+    """The alternative report: lenders with any missing field are partial, the closest lender may have no score at all,
+    the decision is more careful, and confidence is simpler."""
+    partial = lambda b: ~b["eligible"] & (b["n_missing"] > 0)
     conf = _rounded(F.least(0.5 * F.col("avg_rule_score") + 0.3 * F.col("completeness") + 0.2, F.lit(0.99)), 2)
-    return reasoned.select("profile_id", "n_eligible", partial.alias("n_partial"), (F.col("n_total") - F.col("n_eligible") - partial).alias("n_rejected"), conf.alias("report_confidence"))
+    unsure = (F.col("completeness") == 0) | ((_count(partial) > 0) & (F.col("n_eligible") == 0))
+    decision = F.when(unsure, "Insufficient Data").when(F.col("n_eligible") == F.col("n_total"), "Eligible").when(F.col("n_eligible") > 0, "Partially Eligible").otherwise("Not Eligible")
+    return reasoned.select("profile_id", "n_eligible", _count(partial).alias("n_partial"), (F.col("n_total") - F.col("n_eligible") - _count(partial)).alias("n_rejected"), _first_best(lambda b: ~b["eligible"]).alias("closest_bank"), decision.alias("decision"), conf.alias("report_confidence"))
 
 
 def clean_profile(p: DataFrame) -> DataFrame:
@@ -232,16 +276,58 @@ def merge_profiles(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.alias("a").join(second.alias("b"), "profile_id", "left").select("profile_id", *[F.coalesce(F.col(f"a.{f}"), F.col(f"b.{f}")).alias(f) for f in FIELDS])
 
 
+# Why the best lender is the best one; by the engine, and by the alternative report.
+BEST = (
+    "%s is the recommended bank — it passed all %d eligibility rules with a score of %s%% and has the lowest entry requirements among eligible options.",
+    "%s has the highest eligibility score (%s%%) among evaluated banks, passing %d rules with %d condition(s) to address.",
+)
+BEST_PLAIN = (
+    "%s is recommended — passed all %d eligibility rules (%s%% score) and has the most favourable terms.",
+    "%s has the highest eligibility score (%s%%) among evaluated banks, with %d rules passed and %d to address.",
+)
+
+
 def best_sentence(evaluated: DataFrame) -> DataFrame:
-    """Why the best lender is the best one, or which came closest."""
-    r = reason(evaluated)
-    of = lambda name: F.get(F.filter("banks", lambda b: b["bank"] == F.col(name)), 0)
-    yes = F.format_string("%s fits best: %d of %d rules passed", F.col("best_bank"), of("best_bank")["n_pass"], F.size(of("best_bank")["evals"]))
-    near = F.format_string("no lender fits; %s comes closest: %d of %d rules passed", F.col("closest_bank"), of("closest_bank")["n_pass"], F.size(of("closest_bank")["evals"]))
-    return r.select("profile_id", F.when(F.col("best_bank").isNotNull(), yes).when(F.col("closest_bank").isNotNull(), near).otherwise(F.lit("no lender fits")).alias("sentence"))
+    """Why the best lender is the best one: from its final score, and in the alternative report from its rule score.
+    Null without an eligible lender."""
+    best = F.get(F.filter("banks", lambda b: b["bank"] == F.col("best_bank")), F.lit(0))
+
+    def said(words: tuple[str, str], score: str) -> Column:
+        share = F.rint(F.col("b")[score] * 100).cast("int").cast("string")
+        bank, n_pass, n_fail = F.col("b.bank"), F.col("b.n_pass"), F.col("b.n_fail")
+        return F.when(n_fail == 0, F.format_string(words[0], bank, n_pass, share)).when(n_fail > 0, F.format_string(words[1], bank, share, n_pass, n_fail))
+
+    r = reason(evaluated).select("profile_id", best.alias("b"))
+    return r.select("profile_id", said(BEST, "final_score").alias("sentence"), said(BEST_PLAIN, "rule_score").alias("plain_sentence"))
+
+
+# What a writer is told of a lender.
+LABELS = ("ELIGIBLE", "NOT ELIGIBLE", "PARTIAL PROFILE (missing fields — cannot fully evaluate)")
+LINES = {"failed": "    ✗ FAILED: ", "missing": "    ? MISSING (NOT a failure — just not provided): ", "passed": "    ✓ PASSED: "}
 
 
 def prompt(evaluated: DataFrame) -> DataFrame:
-    """What a writer is told: the decision and a line for each lender, in which missing is not failed."""
-    line = lambda b: F.concat(b["bank"], F.lit(": "), F.when(b["eligible"], F.lit("eligible")).when(b["critical_missing"], F.concat(F.lit("needs "), messages(b["evals"], "missing"))).otherwise(F.concat(F.lit("fails "), messages(b["evals"], "fail"))))
-    return reason(evaluated).select("profile_id", F.concat_ws("\n", F.concat(F.lit("decision: "), "decision"), F.array_join(F.transform("banks", line), "\n")).alias("prompt"))
+    """What a writer is told: the decision, and for each lender its label and score, its failed and missing rules, and
+    three passed ones at most."""
+
+    def lender(x: Column) -> Column:
+        b, t = x["banks"], x["texts"]
+        some = lambda c: F.size(t[c]) > 0
+        label = F.when(some("missing") & ~some("failed"), F.lit(LABELS[2])).when(b["eligible"], F.lit(LABELS[0])).otherwise(F.lit(LABELS[1]))
+        head = F.concat(F.lit("  "), b["bank"], F.lit(": "), label, F.lit(" (score="), F.rint(b["rule_score"] * 100).cast("int").cast("string"), F.lit("%)"))
+        marked = lambda c: F.transform(F.slice(t[c], 1, 3) if c == "passed" else t[c], lambda m: F.concat(F.lit(LINES[c]), m))
+        return F.array_join(F.concat(F.array(head), *map(marked, LINES)), "\n")
+
+    lenders = F.array_join(F.transform(F.arrays_zip("banks", "texts"), lender), "\n")
+    return reason(evaluated).select("profile_id", F.concat(F.lit("FINAL DECISION (must appear verbatim in summary): "), F.col("decision"), F.lit("\n\nPER-BANK RULE RESULTS:\n"), lenders).alias("prompt"))
+
+
+# Intents that are answered without a profile, and what is said where nothing is known.
+FACTUAL_INTENTS = ("interest_rate", "fees", "document", "comparison")
+NO_DATA = "Please provide your profile details to check eligibility."
+
+
+def answer_without_data(intent: Column, n_lenders: Column, n_chunks: Column) -> Column:
+    """How a query is answered: explained from what was found, from general knowledge if it asks for a fact, else with
+    the request for a profile."""
+    return F.when((n_lenders > 0) | (n_chunks > 0), F.lit("explain")).when(intent.isin(*FACTUAL_INTENTS), F.lit("explain without context")).otherwise(F.lit(NO_DATA))

@@ -11,9 +11,11 @@ from ..operators.retrieval import Bm25
 
 def save_index(chunks: DataFrame, vectors: DataFrame, folder: str) -> None:
     """Chunks, vectors, postings and document frequencies; postings are clustered by term, so that a query's terms
-    prune row groups."""
+    prune row groups. Vectors must agree in length, which one aggregate checks before anything is written."""
+    if vectors.agg(F.count_distinct(F.size("v"))).first()[0] > 1:
+        raise ValueError("vectors of several lengths")
     index = Bm25(chunks, "chunk_id")
-    for name, frame in (("chunks", chunks), ("vectors", vectors), ("postings", index.postings.repartitionByRange("term").sortWithinPartitions("term", "id")), ("idf", index.idf)):
+    for name, frame in (("chunks", chunks), ("vectors", vectors), ("postings", index.postings().repartitionByRange("term").sortWithinPartitions("term", "id")), ("idf", index.idf)):
         frame.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
@@ -39,7 +41,7 @@ def save_chunks(chunks: DataFrame, folder: str) -> None:
 def remember(seen: DataFrame, folder: str) -> None:
     """Appends `h:` and `u:` lines for (content_hash, source_url)."""
     lines = F.explode(F.array(F.concat(F.lit("h:"), "content_hash"), F.concat(F.lit("u:"), "source_url")))
-    seen.select(lines.alias("value")).filter("value is not null").write.mode("append").text(folder)
+    seen.select(lines.alias("value")).filter("value is not null").distinct().write.mode("append").text(folder)
 
 
 def memoised(uploads: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ledgerlight.catalogue import ORACLES, QUERIES
 from ledgerlight.functions import extract as X
-from ledgerlight.functions import plug
+from ledgerlight.functions import plug, tables
+from ledgerlight.functions import uploads as U
 from ledgerlight.operators import chunking as C
 from ledgerlight.operators import html as H
+from ledgerlight.operators import pages as P
 from ledgerlight.operators import records as R
 from ledgerlight.operators import retrieval
 from ledgerlight.operators import rules
@@ -63,7 +65,7 @@ def test_queries(spark, text, want):
     assert tuple(r) == want
 
 
-@pytest.mark.parametrize(("f", "text", "want"), [(X.rate_range, "10.49% – 24%", [10.49, 24.0]), (X.rate_range, "10.5 to 21%", [10.5, 21.0]), (X.rate_range, "Starting 10.5%", [10.5, 10.5]), (X.tenure_months, "5 years", 60), (X.tenure_months, "84 months", 84), (X.tenure_range, "12–84 months", [12, 84]), (X.tenure_range, "1 to 5 years", [12, 60]), (X.age_range, "21 to 60 years", [21, 60]), (X.age_range, "Minimum 21 years", [21, 65]), (X.money, "₹10 lakh", 1000000.0), (X.pan_masked, "PAN ABCDE1234F", "ABCDE****F")])
+@pytest.mark.parametrize(("f", "text", "want"), [(X.rate_range, "10.49% – 24%", [10.49, 24.0]), (X.rate_range, "10.5 to 21%", [10.5, 21.0]), (X.rate_range, "Starting 10.5%", [10.5, 10.5]), (X.tenure_months, "5 years", 60), (X.tenure_months, "84 months", 84), (X.tenure_range, "12–84 months", [12, 84]), (X.tenure_range, "1 to 5 years", [12, 60]), (X.age_range, "21 to 60 years", [21, 60]), (X.age_range, "Minimum 21 years", [21, 65]), (X.money, "₹10 lakh", 1000000.0), (U.pan_masked, "PAN ABCDE1234F", "ABCDE****F")])
 def test_values(spark, f, text, want):
     assert spark.createDataFrame([(text,)], "s string").select(f(F.col("s"))).first()[0] == want
 
@@ -74,7 +76,7 @@ def test_tenure_as_coded(spark):
 
 def test_tables_and_chunks(spark):
     rows = F.array(F.array(F.lit("Interest Rate"), F.lit("10.49% per annum")))
-    assert spark.range(1).select(X.key_value_sentences(F.array(F.lit("Feature"), F.lit("Value")), rows)).first()[0] == ["Interest Rate: 10.49% per annum."]
+    assert spark.range(1).select(tables.sentences(F.array(F.lit("Feature"), F.lit("Value")), rows)).first()[0] == ["Interest Rate: 10.49% per annum."]
     text = " ".join(f"w{i} w w w w w w w w end." for i in range(100))
     c = [r.text.split() for r in C.chunks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("chunk_id").collect()]
     assert len(c) > 2 and all(len(x) <= 400 for x in c)
@@ -99,7 +101,7 @@ def test_files_and_sinks(spark, tmp_path):
     pages = files.pages_of(up, lambda raw: [raw.decode(), ""], lambda raw, k: "x" * 60)
     assert {(r.page_number, r.method) for r in pages.collect()} == {(1, "text"), (1, "recognised"), (2, "recognised")}
     assert not any(r.is_scanned for r in files.is_scanned(pages).collect())
-    rec = spark.createDataFrame([(1, "b", "personal", "https://x", 1.0, 2.0, 3.0, 700, "c" * 120)], "id long, bank string, loan_type string, source_url string, rate_low double, rate_high double, min_income double, min_cibil int, content string")
+    rec = spark.createDataFrame([(1, "b", "personal", "https://x", [1.0, 2.0], [], [], [], [], [], 3.0, 700, None, None, None, "c" * 120)], "id long, bank string, loan_type string, source_url string, interest_rate array<double>, loan_amount array<double>, age_range array<int>, tenure array<int>, features array<string>, employment_type array<string>, min_income double, min_cibil int, processing_fee double, processing_fee_pct double, min_experience int, content string")
     sinks.save_records(rec, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/records")).count() == 1
     sinks.save_summary(rec, str(tmp_path / "summary"))
@@ -125,21 +127,32 @@ def test_html(spark):
     p = spark.createDataFrame([(1, "https://h.org/dir/p", page)], "page_id long, url string, html string")
     assert p.select(H.title(F.col("html"))).first()[0] == "T" and "no" not in p.select(H.body(F.col("html"))).first()[0].split()
     assert [r.link for r in H.links(p).orderBy("pos").collect()] == ["https://h.org/a", "https://h.org/dir/b.html"]
-    assert p.select(H.sections("html")).first()[0][0].asDict() == {"heading": "Eligibility", "text": "age 21", "items": ["one"]}
-
-
-def test_tables_become_facts(spark):
-    lenders = "<table><thead><tr><th>Bank</th><th>Interest Rate</th><th>Fee</th></tr></thead>" + "".join(f"<tr><td>B{k}<td>{10 + k}.5% - {20 + k}%<td>{'2%' if k else ''}</tr>" for k in range(12)) + "</table>"
-    named = "<table><tr><th>Tenure</th><td>5 <b>years</b></td></tr><tr><th>Fee</th><td>1%</td></tr></table>"
-    spans = "<table><tr><th colspan='2'>Rate</th><th>Age</th></tr><tr><td>9%</td><td>8%</td><td rowspan=2>21</td></tr><tr><td>7%</td><td>6%</td></tr></table>"
-    page = lambda body: f"<html><body><nav><table><tr><td>no</td></tr><tr><td>no</td></tr></table></nav>{body}</body></html>"
-    rows = [(1, "https://www.paisabazaar.com/p", page("<p>" + "x " * 2000 + "</p>" + lenders)), (2, "https://h.org/p", page(named)), (3, "https://h.org/q", page(spans)), (4, "https://h.org/r", page("<p>none</p><table><tr><td>alone</td></tr></table>")), (5, "https://h.org/s", None)]
-    got = {r.page_id: r for r in H.page_records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[1].key_facts == [f"Bank: B{k}, Interest Rate: {10 + k}.5% - {20 + k}%" + (", Fee: 2%" if k else "") for k in range(12)]
-    assert got[1].rates is not None
-    assert got[2].key_facts == ["Tenure: 5 years, Fee: 1%"]
-    assert got[3].key_facts == ["Rate: 9%, Rate: 8%, Age: 21", "Rate: 7%, Rate: 6%, Age: 21"]
-    assert got[4].key_facts == [] and not got[5].key_facts
+    assert p.select(P.sections("html")).first()[0][0].asDict() == {"heading": "Eligibility", "text": "age 21 one x y z o", "items": ["one"]}
+
+
+def test_page_records_of_odd_pages(spark):
+    compared = "<table><thead><tr><th>Bank</th><th>Interest Rate</th><th>Fee</th></tr></thead>" + "".join(f"<tr><td>B{k}<td>{10 + k}.5% - {20 + k}%<td>{'2%' if k else ''}</tr>" for k in range(12)) + "</table>"
+    structured = '<script type="application/ld+json">{"a": {"b": ["Interest rate 9% to 11% for a personal loan", 5]}, "c": "short"}</script><script type="application/ld+json">{broken</script>'
+    page = lambda body: f"<html><body><nav><table><tr><td>no</td></tr></table></nav>{body}</body></html>"
+    rows = [(1, "https://www.paisabazaar.com/p", page("<p>" + "x " * 2000 + "</p>" + compared)), (2, "https://h.org/p", page(structured + "<p>13%</p>")), (3, "https://h.org/q", "<p>un<b>closed <li>a<li>b<table><tr><td>1<td>2<tr><td>3"), (4, "https://h.org/s", None), (5, None, ""), (6, "https://www.icicibank.com/x", page("<h1>Only</h1>" + "<div>" * 300 + "deep"))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in P.page_records(frame).collect()}
+    assert len(got) == 6
+    assert got[1].key_facts[-12:] == [f"Bank: B{k} | Interest Rate: {10 + k}.5% - {20 + k}%" + (" | Fee: 2%" if k else "") for k in range(12)] and got[1].content.startswith("Bank | Interest Rate | Fee\nB0")
+    assert got[2].interest_rate == [9.0, 11.0] and got[2].extraction_method == "jsonld,body"
+    assert {r.page_id: r.interest_rate for r in P.page_records(frame, structured=False).collect()}[2] == [13.0, 13.0]
+    assert got[3].content.split() == "un closed a b 1 2 3".split() and got[4].content == "" and got[5].bank == "Unknown" and "deep" in got[6].content
+
+
+def test_updates_of_several_batches_hold_the_last(spark, tmp_path):
+    from ledgerlight.streaming import state
+
+    for k in range(3):
+        spark.createDataFrame([(u, k * 10 + u, f"2024-01-01 0{k}:00:00", "view") for u in ((1, 2) if k < 2 else (1,))], "user_id long, event_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = {r.user_id: (r.n, r.last_id) for r in state.stream_memory(spark, str(tmp_path / "events.parquet"), files=1).collect()}
+    assert got == {1: (3, 21), 2: (2, 12)}
+    cache = {r.key: (r.hits, r.misses) for r in state.stream_cache(spark, str(tmp_path / "events.parquet"), ttl=5400, files=1).collect()}
+    assert cache == {"v3.4:view:1": (1, 2), "v3.4:view:2": (1, 1)}
 
 
 def test_pack_stops_at_the_first_overflow(spark):
