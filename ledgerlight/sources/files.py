@@ -79,6 +79,41 @@ def pages_of(files: DataFrame, decode: Callable[[bytes], list[str]], fallback: C
     return files.select("path", "content").mapInPandas(run, PAGES)
 
 
+def with_unseen(pages: DataFrame, more: DataFrame) -> DataFrame:
+    """pages, and of a second decoder's pages those of a file whose text is in none of the first one's."""
+    told = more.withColumn("_text", F.trim("text")).filter("_text <> ''")
+    new = told.join(pages.select("path", F.trim("text").alias("_text")), ["path", "_text"], "left_anti")
+    return pages.unionByName(new.select(pages.columns))
+
+
+def recognised(primary: Column, sure: Column, secondary: Column, least: float = 0.5) -> Column:
+    """The first engine's text where it is sure enough, else the second's, else whatever the first has."""
+    return F.coalesce(F.when((sure > least) & (F.trim(primary) != ""), primary), F.nullif(F.trim(secondary), F.lit("")), primary)
+
+
+def first_tables(*found: Column, least: float = 50.0) -> Column:
+    """Of several extractors' tables (accuracy, headers, rows) those of the first that has any good enough."""
+    good = [F.filter(t, lambda x: F.coalesce(x["accuracy"], F.lit(100.0)) >= least) for t in found]
+    return F.coalesce(*[F.when(F.size(g) > 0, g) for g in good], F.slice(found[0], 1, 0))
+
+
+#: Folders with the lender and the kind of what they hold.
+FOLDERS = {"axis": ("Axis", "eligibility"), "hdfc_pdfs": ("HDFC", "eligibility"), "icici": ("ICICI", "eligibility"), "sbi_pdfs": ("SBI", "eligibility"), "bankbazaar": ("BankBazaar", "comparison"), "paisabazaar": ("Paisabazaar", "comparison"), "rbi": ("RBI", "regulatory"), "misc": ("Unknown", "pdf")}
+
+
+def folder_kinds(files: DataFrame) -> DataFrame:
+    """files (path) with bank and doc_type by the folder they stand in; others are Unknown pdf."""
+    folder = F.lower(F.regexp_extract("path", "([^/]+)/[^/]*$", 1))
+    pick = lambda k, other: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for f, v in FOLDERS.items() for x in (f, v[k])]), folder), F.lit(other))
+    return files.withColumns({"bank": pick(0, "Unknown"), "doc_type": pick(1, "pdf")})
+
+
+def load_cache(spark: SparkSession, folder: str, now: Column, ttl: str = "6 hours", version: str = "v3.4:") -> DataFrame:
+    """Cached answers (key, first_ts, ...) of this version that have not expired."""
+    c = spark.read.parquet(folder)
+    return c.filter(F.startswith("key", F.lit(version)) & (F.col("first_ts") > now - F.expr(f"interval {ttl}")))
+
+
 def is_scanned(pages: DataFrame) -> DataFrame:
     """path, is_scanned: fewer than half of the first five pages hold 50 characters."""
     full = F.avg((F.length(F.trim("text")) >= 50).cast("int"))

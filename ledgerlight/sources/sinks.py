@@ -48,3 +48,24 @@ def memoised(uploads: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFra
     """Uploads split into those with a stored result for their content and query, and new ones."""
     key = ["file_hash", "query"]
     return uploads.join(results, key), uploads.join(results.select(*key), key, "left_anti")
+
+
+def save_artefacts(analysed: DataFrame, folder: str) -> None:
+    """What was made of uploads (file_hash, raw_text, structured, result), each kind under its content's hash."""
+    for kind in ("raw_text", "structured", "result"):
+        analysed.select("file_hash", F.col(kind).cast("string").alias("value")).filter("value is not null").write.mode("append").partitionBy("file_hash").text(f"{folder}/{kind}")
+
+
+def save_cache(entries: DataFrame, folder: str) -> None:
+    """Cached answers; the newest entry of a key stays."""
+    newest = entries.groupBy("key").agg(F.max_by(F.struct(*entries.columns), "first_ts").alias("_e"))
+    newest.select("_e.*").write.mode("overwrite").parquet(folder)
+
+
+def save_apart(records: DataFrame, folder: str) -> tuple[int, int]:
+    """Records as JSON texts, those that can't be told (no address, no lender) under `failed`, so that one bad record
+    stops no other. How many of each."""
+    named = records.withColumn("failed", (F.coalesce(F.col("source_url"), F.lit("")) == "") | (F.coalesce(F.col("bank"), F.lit("")) == ""))
+    named.select("failed", F.to_json(F.struct(*records.columns)).alias("value")).write.mode("overwrite").partitionBy("failed").text(folder)
+    counts = {r.failed: r["count"] for r in named.groupBy("failed").count().collect()}
+    return counts.get(False, 0), counts.get(True, 0)

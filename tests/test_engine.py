@@ -18,7 +18,7 @@ from ledgerlight.operators import pages as P
 from ledgerlight.operators import records as R
 from ledgerlight.operators import retrieval
 from ledgerlight.operators import rules
-from ledgerlight.sources import files, sinks
+from ledgerlight.sources import fetch, files, sinks
 from ledgerlight.sources.rules import default_rules, read_rules
 
 SF = "/root/testdata/sf0.001"
@@ -118,8 +118,78 @@ def test_plugged_encoder_and_rerank(spark):
     enc = plug.encoder(lambda texts: np.array([[len(t), 1.0] for t in texts]))
     assert abs(np.linalg.norm(d.select(enc("text")).first()[0]) - 1) < 1e-6
     assert abs(np.linalg.norm(d.select(plug.hashed(F.col("text"))).first()[0]) - 1) < 1e-5
-    assert [r.id for r in plug.rerank(d, lambda q, t: F.length(t).cast("double"), "query_id", "text", 1).collect()] == [2]
-    assert [r.id for r in plug.rerank(d, None, "query_id", "text", 1).collect()] == [1]
+    d = d.withColumn("q", F.lit("which of these is longer"))
+    got = plug.rerank(d, lambda q, t: F.length(t).cast("double"), "q", "text", 1).collect()
+    assert [(r.id, r.score) for r in got] == [(2, 1.0)]
+    assert [r.id for r in plug.rerank(d, lambda q, t: F.length(t).cast("double"), "text", "text", 1).collect()] == [1]  # too few words
+    assert [r.id for r in plug.rerank(d, None, "q", "text", 1).collect()] == [1]
+
+
+def test_patient_and_first_encoders(spark):
+    calls, waits = [], []
+
+    def flaky(texts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return np.ones((len(texts), 4))
+
+    assert plug.patient(flaky, wait=waits.append)(["a"]).shape == (1, 4) and waits == [2.0, 4.0]
+
+    def broken(texts):
+        raise plug.Fatal
+
+    with pytest.raises(plug.Fatal):
+        plug.patient(broken, wait=waits.append)(["a"])
+    assert len(waits) == 2
+    assert plug.first_working({"x": broken, "y": lambda t: np.ones((len(t), 7))})[:2] == ("y", 7)
+    assert {r.name: r.available for r in plug.availability(spark, ("numpy", "nothing_of_that_name")).collect()} == {"numpy": True, "nothing_of_that_name": False}
+
+
+def test_fetching_and_new_records(spark):
+    page = "<html><body><main><h1>Loan</h1><p>" + "Interest rate 9% to 11% for a loan. " * 20 + "{}</p></main></body></html>"
+
+    def plain(url):
+        if "down" in url:
+            raise OSError
+        return (404, "") if "gone" in url else (503, "") if "busy" in url else (200, page.format(url) if "same" not in url else page)
+
+    archive = lambda url: (200, page.format(url)) if "gone" in url else (200, "short")
+    urls = spark.createDataFrame([(f"https://{h}.org/{k}",) for k, h in enumerate(("a", "gone", "busy", "down", "same1", "same2"))], "url string")
+    got = {r.url.split("//")[1].split(".")[0]: r for r in fetch.fetched(urls, {"plain": plain, "archive": archive}, fetch.Patience(pause=(0, 0), backoff=0, wait=lambda s: None)).collect()}
+    assert [(got[k].method, got[k].tries) for k in ("a", "gone", "busy", "down")] == [("plain", 1), ("archive", 2), ("failed", 4), ("failed", 4)]
+    pages = spark.createDataFrame([(k, r.url, r.html) for k, r in enumerate(sorted(got.values()))], "page_id long, url string, html string")
+    new, rejected = fetch.new_records(pages)
+    assert sorted(r.source_url.split("//")[1][:4] for r in new.collect()) == ["a.or", "gone", "same"] and rejected.count() == 2
+    seen = new.select("content_hash", "source_url")
+    assert fetch.new_records(pages, seen)[0].count() == 0
+    q = spark.createDataFrame([("1", "rates"), ("2", "fees")], "query_id string, query string")
+    assert [len(r.results) for r in fetch.searched(q).collect()] == [0, 0]
+    found = fetch.searched(q, [lambda x: [], lambda x: [{"title": x, "snippet": "s", "url": "u"}] * 9]).collect()
+    assert all(len(r.results) == 5 and r.results[0].title.endswith("India personal loan") for r in found)
+    told = spark.createDataFrame(found).select(X.search_context(F.col("results"))).first()[0]
+    assert told.startswith("[Web Search Results]\n\n1. rates India personal loan\n   s\n   Source: u\n\n2.")
+    hits = spark.createDataFrame([("1", 7), ("1", 8), ("2", 9)], "query_id string, id long")
+    assert [r.query_id for r in fetch.to_search(q, hits).collect()] == ["2"]
+    assert fetch.chosen_seeds(urls, "SAME").count() == 2 and fetch.chosen_seeds(urls, dry=3).count() == 3
+
+
+def test_decoders_tables_cache_and_artefacts(spark, tmp_path):
+    pages = spark.createDataFrame([("f", 1, "one", "text")], files.PAGES)
+    more = spark.createDataFrame([("f", 1, " one ", "other"), ("f", 2, "two", "other"), ("f", 3, "", "other")], files.PAGES)
+    assert [r.text for r in files.with_unseen(pages, more).orderBy("page_number").collect()] == ["one", "two"]
+    got = spark.createDataFrame([("a", 0.9, "b"), ("a", 0.1, "b"), ("a", 0.1, "")], "p string, c double, s string").select(files.recognised(F.col("p"), F.col("c"), F.col("s"))).collect()
+    assert [r[0] for r in got] == ["a", "b", "a"]
+    t = spark.createDataFrame([([(40.0, ["x"])], [(90.0, ["y"]), (10.0, ["z"])])], "a array<struct<accuracy:double,headers:array<string>>>, b array<struct<accuracy:double,headers:array<string>>>")
+    assert [x.headers for x in t.select(files.first_tables(F.col("a"), F.col("b"))).first()[0]] == [["y"]]
+    kinds = files.folder_kinds(spark.createDataFrame([("/d/rbi/x.pdf",), ("/d/else/y.pdf",)], "path string")).collect()
+    assert [(r.bank, r.doc_type) for r in kinds] == [("RBI", "regulatory"), ("Unknown", "pdf")]
+    c = spark.sql("select * from values ('v3.4:a', timestamp '2024-01-01 00:00:00', 1), ('v3.4:a', timestamp '2024-01-01 05:00:00', 2), ('v3.4:b', timestamp '2023-01-01 00:00:00', 3), ('v1:c', timestamp '2024-01-01 05:00:00', 4) as t(key, first_ts, answer)")
+    sinks.save_cache(c, str(tmp_path / "cache"))
+    assert [r.answer for r in files.load_cache(spark, str(tmp_path / "cache"), F.lit("2024-01-01 06:00:00").cast("timestamp")).collect()] == [2]
+    sinks.save_artefacts(spark.createDataFrame([("h1", "raw", "{}", None)], "file_hash string, raw_text string, structured string, result string"), str(tmp_path / "up"))
+    assert (tmp_path / "up/raw_text/file_hash=h1").exists() and not (tmp_path / "up/result/file_hash=h1").exists()
+    assert sinks.save_apart(spark.createDataFrame([("Axis", "u"), ("", "u"), ("SBI", None)], "bank string, source_url string"), str(tmp_path / "apart")) == (1, 2)
 
 
 def test_html(spark):
