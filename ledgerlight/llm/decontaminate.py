@@ -8,7 +8,9 @@ matches use the same lists, nearest postings instead of equal ones.
 
 Nulls and empty texts have no words, no items and no hits. Items without words, or null items, match nothing;
 an item without id takes part under the id "null". Repeated items count once; repeated documents give a row
-each. Columns besides those named are not read.
+each. An empty table of documents gives no rows, one of items no hits. Long texts are read whole, a segment each. Words
+count as equal if their 64-bit hashes are: sums of unrelated weights by place, which no regular build of words defeats.
+Columns besides those named are not read.
 """
 
 from __future__ import annotations
@@ -165,12 +167,14 @@ def find_phrases(index: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 
         return index.mapInArrow(run, HITS)
 
-    found = [search(b) for b in _blocks(items, id_col, text_col, block_bytes)]
-    if len(found) == 1:
-        return found[0].drop("seg", "at")
-    hits = durable(found[0], "hits")
-    for more in found[1:]:
-        hits = hits.unionByName(durable(more, "hits"))
+    blocks = _blocks(items, id_col, text_col, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return search(block).drop("seg", "at")
+    hits = durable(search(block), "hits")
+    while following is not None:  # the driver holds two blocks at most; but for the first, only documents with hits are written
+        hits = hits.unionByName(durable(search(following).filter(F.size("items") > 0), "hits"))
+        following = next(blocks, None)
     pairs = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(2)), lambda i: F.struct(F.get("all", i).alias("a"), F.get("all", i + 1).alias("b")))
     start = F.expr("array()").cast("array<bigint>")
     join = lambda acc, s: F.when((F.size(acc) > 0) & (s["a"] <= F.element_at(acc, -1)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), s["b"])))).otherwise(F.concat(acc, F.array(s["a"], s["b"])))
@@ -226,8 +230,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without those that hold a window of an item. Rows are told apart by id and text; all columns pass through."""
+    """docs without those that hold a window of an item. Rows are told apart by a hash of id and text; all columns pass
+    through, under any names."""
     row = F.xxhash64("doc_id", "text")
+    name = "_leak_row"
+    while name in docs.columns:
+        name += "_"
     hits = find_phrases(build_index(docs.select(row.alias("row"), "text"), "row"), items, window)
-    found = durable(hits.filter(F.size("items") > 0).select(F.col("doc_id").alias("_leak_row")).distinct(), "leaks")
-    return docs.withColumn("_leak_row", row).join(found, "_leak_row", "left_anti").drop("_leak_row")
+    found = durable(hits.filter(F.size("items") > 0).select(F.col("doc_id").alias(name)).distinct(), "leaks")
+    return docs.withColumn(name, row).join(found, name, "left_anti").drop(name)

@@ -9,7 +9,8 @@ verified by exact Jaccard; one of more than BLOCK classes is verified by pairs o
 than two blocks.
 
 A document without words (null, empty, marks only) is a class of its own without links. A null id takes part as every
-other document. Repeated rows are copies of each other. Extra columns are not read.
+other document. Repeated rows are copies of each other; the least id of a class names it. A long text is a long set,
+never cut. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -237,20 +238,23 @@ def classes(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class, that of the least id. All columns pass through."""
+    """docs with one document of each class, that of the least id. All columns pass through, under any names."""
+    anon, key, cls = "_similar_anon", "_similar_key", "_similar_cls"
+    while {anon, key, cls} & {c.lower() for c in docs.columns}:
+        anon, key, cls = (f"{c}_" for c in (anon, key, cls))
     j = join(docs, **options)
     kept = durable(j.filter("cls is null or (anon = first.anon and key = first.key)").select("anon", "key", "cls").distinct(), "kept")
     repeated = not j.groupBy("anon", "key").count().filter("count > 1").isEmpty()
-    mine = docs.withColumn("_similar_anon", F.col("doc_id").isNull()).withColumn("_similar_key", F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string"))))
-    on = kept.select(F.col("anon").alias("_similar_anon"), F.col("key").alias("_similar_key"), F.col("cls").alias("_similar_cls"))
+    mine = docs.withColumn(anon, F.col("doc_id").isNull()).withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string"))))
+    on = kept.select(F.col("anon").alias(anon), F.col("key").alias(key), F.col("cls").alias(cls))
     if not repeated:
-        return mine.join(on, ["_similar_anon", "_similar_key"], "left_semi").drop("_similar_anon", "_similar_key")
+        return mine.join(on, [anon, key], "left_semi").drop(anon, key)
     # several rows under one id: those of a kept class stay, one of each class and id
     digested = F.pandas_udf(_digests(options.get("words", WORDS)), "string")
-    mine = mine.withColumn("_similar_cls", digested(F.col("text").cast("string")))
-    wordless = mine.filter("_similar_cls is null").drop("_similar_anon", "_similar_key", "_similar_cls")
-    rest = mine.join(on.filter("_similar_cls is not null"), ["_similar_anon", "_similar_key", "_similar_cls"], "left_semi")
-    return rest.dropDuplicates(["_similar_anon", "_similar_key", "_similar_cls"]).drop("_similar_anon", "_similar_key", "_similar_cls").unionByName(wordless)
+    mine = mine.withColumn(cls, digested(F.col("text").cast("string")))
+    wordless = mine.filter(F.col(cls).isNull()).drop(anon, key, cls)
+    rest = mine.join(on.filter(F.col(cls).isNotNull()), [anon, key, cls], "left_semi")
+    return rest.dropDuplicates([anon, key, cls]).drop(anon, key, cls).unionByName(wordless)
 
 
 def _digests(words: int):

@@ -218,9 +218,71 @@ def test_neighbours_with_production_parameters(spark):
     assert set(got) == set(want) and np.mean([len(got[q] & want[q]) / 5 for q in want]) >= 0.97
 
 
+def test_neighbours_of_any_size_and_length(spark):
+    rows = [(0, [1e-200, 1e-200]), (1, [2e-200, 1e-200]), (50, [1e200, 0.0]), (51, [1e200, 1e200]), (52, [-3.0, 1e-300]), (100, [1.0, 2.0, 3.0]), (101, [3.0, 2.0, 1.0]), (150, [5.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [5e-324, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(frame, frame.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    assert got[0] == [(2, 1.0), (2, 1.0), (51, 1.0), (1, round(3 / np.sqrt(10), 9)), (3, round(1 / np.sqrt(2), 9))]  # a repeated row counts twice
+    assert got[50][:2] == [(3, 1.0), (1, round(2 / np.sqrt(5), 9))] and (52, -1.0) not in got[50]
+    assert got[100] == [(101, round(10 / 14, 9))] and 150 not in got
+
+
 # ---- pipeline
 
 
+ODD = ("mix_words", "mix_shards", "_mix_id", "_leak_row", "_similar_key", "_similar_cls", "_redacted")
+
+
+def test_stages_on_odd_rows(spark, docs, rows):
+    """Each stage against what its operator says of every row, with nulls, repeated rows and clashing names."""
+    from ledgerlight.llm import decontaminate, pii, similar
+
+    frame = docs.select("*", *[docs["key"].alias(c) for c in ODD])
+    texts = [(r[0], r[1]) for r in rows]
+    model = quality.fit([b"aa bb cc"] * 9 + [b"$$$ %%% &&&"] * 9, [1] * 9 + [0] * 9, 0.5)
+    import pyarrow as pa
+
+    kept = Counter(x for x, s in zip(texts, quality.scores_of(pa.array([(t or "").encode() for _, t in texts]), model)) if s >= quality.THRESHOLD)
+    good = quality.keep_good(frame, model)
+    assert good.columns == frame.columns and Counter((r.doc_id, r.text) for r in good.collect()) == kept
+    private = pii.redact(frame)
+    finder = pii.model()
+    assert private.columns == frame.columns and Counter((r.doc_id, r.text) for r in private.collect()) == Counter((i, None if t is None else pii.redacted(t, finder.spans(t)[1])) for i, t in texts)
+    one = similar.keep_one(frame)
+    assert one.columns == frame.columns and 0 < one.count() < len(rows)
+    assert decontaminate.keep_clean(frame, spark.createDataFrame([(1, "no such words at all")], "item_id long, text string")).columns == frame.columns
+    mixed = mixing.mix(frame)
+    assert mixed.columns == [*frame.columns, "mix_words_", "mix_shards_"]
+    words = Counter()
+    for r in mixing.taken(frame).collect():
+        words[r.doc_id, r["size"]] += r.taken
+    got = Counter()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for r in {(r.doc_id, r.text): r for r in mixed.collect()}.values():
+        got[r.doc_id, size(r.text)] += r["mix_words_"]
+    assert got == +words
+
+
+def test_the_tree_decides_the_shards(docs, monkeypatch):
+    shards = lambda: Counter((r.doc_id, r.shards) for r in mixing.taken(docs).collect())
+    one = shards()
+    assert one == shards()
+    monkeypatch.setattr(mixing, "_drawn", lambda balls, n, rest, unit: (mixing.F.least(balls, n)).cast("bigint"))  # another tree
+    assert shards() != one
+
+
+def test_hypergeometric_numbers(spark):
+    from pyspark.sql import functions as F
+
+    units = spark.range(2000).select(((F.col("id") + 0.5) / 2000).alias("u"))
+    drawn = [r[0] for r in units.select(mixing._drawn(F.lit(30), F.lit(40), F.lit(100), F.col("u"))).collect()]
+    assert abs(np.mean(drawn) - 12) < 0.05 and abs(np.var(drawn) - 40 * 0.3 * 0.7 * 60 / 99) < 0.1
+    edge = units.limit(3).select(mixing._drawn(F.lit(5), F.lit(9), F.lit(9), F.col("u")), mixing._drawn(F.lit(0), F.lit(4), F.lit(9), F.col("u")), mixing._drawn(F.lit(0), F.lit(0), F.lit(0), F.col("u"))).collect()
+    assert {tuple(r) for r in edge} == {(5, 0, 0)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -219,6 +219,21 @@ def test_chunk_dedup(docs, rows, empty):
     got = chunks.chunk_dedup(docs)
     assert many(got.select("doc_id", "n_bytes", "n_chunks", "n_repeats")) == want
     assert all(r.n_removed == sum(z - a for a, z in zip(r.spans[::2], r.spans[1::2])) and 2 * r.n_spans == len(r.spans) for r in got.collect())
+    # what is removed, byte by byte: runs of repeated chunks from MIN_RUN bytes on, or of a whole text
+    removed = Counter()
+    for r in rows:
+        b, at, gone = (r[1] or "").encode(), 0, []
+        for c in cut[id(r)]:
+            if first[c] < (math.inf if r[0] is None else r[0]):
+                if gone and gone[-1][1] == at:
+                    gone[-1][1] += len(c)
+                else:
+                    gone.append([at, at + len(c)])
+            at += len(c)
+        gone = [x for x in gone if x[1] - x[0] >= chunks.MIN_RUN or x[1] - x[0] == len(b)]
+        kept = b"".join(b[z:a] for (_, z), (a, _) in zip([[0, 0], *gone], [*gone, [len(b), 0]]))
+        removed[r[0], sum(z - a for a, z in gone), len(gone), hashlib.sha256(kept).hexdigest()] += 1
+    assert many(got.select("doc_id", "n_removed", "n_spans", "kept_sha256")) == removed
     copies = [r for r in got.collect() if r.doc_id is not None and r.n_bytes and r.n_removed == r.n_bytes]
     assert copies  # whole copies go entirely
     assert chunks.chunk_dedup(empty).count() == 0
@@ -344,6 +359,29 @@ def test_personal_data(spark, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_overlaps_by_bisection():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        base = sorted((int(a), int(a + n)) for a, n in zip(rng.integers(0, 200, 12), rng.integers(1, 20, 12)))
+        taken = pii.Taken()
+        for a, z in base:
+            taken.add(a, z)
+        for a, n in zip(rng.integers(0, 220, 50).tolist(), rng.integers(1, 15, 50).tolist()):
+            assert taken.free(a, a + n) == (not any(a < e and s < a + n for s, e in base))
+
+
+def test_time_grows_with_the_text_alone():
+    import time
+
+    text = "call (555) 123-4567 or a.b@c.org, " * 3000
+    took = []
+    for k in (1, 4):
+        began = time.thread_time()
+        pii.model().spans(text * k)
+        took.append(time.thread_time() - began)
+    assert took[1] < 10 * took[0]
+
+
 def test_added_spans_and_redaction(spark):
     yes = ["call me at (555) 123-4567 please", "write bob (at) foo dot com now", "card 4111.1111.1111.1111 ok"]
     no = ["order 123-45-678 and 2020-01-02 12", "the cat sat at home. dot", "version 10.20.30 of 1999"]
