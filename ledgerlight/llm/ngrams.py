@@ -4,8 +4,8 @@ The model is counted over all documents that are not held out. Words get ids fro
 brings their counts; each further level of the trie is cut into shards by a hash of (context, word), so that a
 context with very many words spreads over all shards. A shard sums the counts of its entries, stores smoothed
 probabilities in a memory-mapped trie level, and answers the segments that asked; the place of an entry in its level
-is the id that the level below has as its children's parent. A context that occurs in one segment alone needs no
-shard: the segment holds all its children. Smoothing is Dirichlet's: the probability of w after a context h is
+is the id that the level below has as its children's parent. Smoothing is Dirichlet's: the probability of w after a
+context h is
 
     count(h w) / (count(h) + strength)  +  strength / (count(h) + strength) * probability of w after the shorter context
 
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codec import dec, dec_sorted, enc, enc_sorted, expand, squeeze
+from .codec import dec, dec_sorted, enc, enc_sorted
 from .eliasfano import Level
 from .segments import Seg, Segments, by_bucket, split
 from .tokens import SOLID, U64, Words, mix, order_by, uniques
@@ -86,14 +86,6 @@ def _placed(raw: bytes, there: np.ndarray, first: int, none: int) -> np.ndarray:
     return out
 
 
-def _bits(x: np.ndarray) -> bytes:
-    return squeeze(np.packbits(x).tobytes())
-
-
-def _unbits(raw: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(expand(raw), np.uint8), count=n).astype(bool)
-
-
 def _count_words(rows: list[dict]):
     keys = [dec_sorted(r["keys"]) for r in rows]
     size = np.cumsum([0, *map(len, keys)])
@@ -101,12 +93,11 @@ def _count_words(rows: list[dict]):
     total = np.bincount(place, np.concatenate([dec(r["counts"], np.int64) for r in rows])).astype(np.int64)
     known = total > 0
     rank = np.where(known, np.cumsum(known) - 1, -1)
-    shared = (np.bincount(place) > 1)[place]
     for r, a, z in zip(rows, size[:-1], size[1:], strict=True):
-        yield {"seg": r["seg"], "bucket": r["bucket"], "counts": enc(total[place[a:z]]), "ranks": _gaps(rank[place[a:z]]), "shared": _bits(shared[a:z]), "known": int(known.sum()), "tokens": int(total.sum())}
+        yield {"seg": r["seg"], "bucket": r["bucket"], "counts": enc(total[place[a:z]]), "ranks": _gaps(rank[place[a:z]]), "known": int(known.sum()), "tokens": int(total.sum())}
 
 
-WORDS = "seg long, bucket int, counts binary, ranks binary, shared binary, known long, tokens long"
+WORDS = "seg long, bucket int, counts binary, ranks binary, known long, tokens long"
 
 
 #: The probability of each code.
@@ -140,9 +131,8 @@ class _Walk:
     """The tokens of a segment on their way down the trie.
 
     At each level a token has a context: the entry of the level above that ends in the token before it. Of contexts
-    the segment knows the id, the count (as a context, in all training texts), and whether other segments have them
-    too. Those that none has are settled here; words and contexts that no training text holds have count 0. Only the
-    other entries are asked for, by the ids of context and word."""
+    the segment knows the id and the count (as a context, in all training texts). Entries whose context or word no
+    training text holds have count 0; the others are asked for, by the ids of context and word."""
 
     def __init__(self, s: Seg, answers: list[dict], v: _Vocabulary, scoring: bool):
         """scoring: whether probabilities are wanted, or only what leads to the next level."""
@@ -150,7 +140,6 @@ class _Walk:
         self.v, self.scoring = v, scoring
         each = [dec(r["counts"], np.int64) for r in answers]
         counts = np.concatenate(each)
-        shared = np.concatenate([_unbits(r["shared"], len(x)) for r, x in zip(answers, each, strict=True)])
         ids = np.concatenate([_placed(r["ranks"], x > 0, v.offset[r["bucket"]], 0) for r, x in zip(answers, each, strict=True)])
         self.word_id = ids
         self.count = counts[t.word]
@@ -162,7 +151,7 @@ class _Walk:
         self.context = np.roll(t.word, 1)
         self.context[t.first] = len(t.keys)
         self.context_id = np.append(np.where(ids > 0, ids, -1), v.begin)
-        self.total, self.shared = np.append(counts, ends), np.append(shared, True)
+        self.total = np.append(counts, ends)
 
     def entries(self) -> None:
         """The distinct (context, word), by ids ascending, and which of them are asked for."""
@@ -175,7 +164,7 @@ class _Walk:
         self.place[order] = np.cumsum(new) - 1
         self.c, self.w = c[new], w[new]
         self.sums = np.bincount(self.place[t.train], minlength=len(self.c))
-        self.asked = np.flatnonzero((self.context_id[self.c] >= 0) & (self.word_id[self.w] > 0) & self.shared[self.c])
+        self.asked = np.flatnonzero((self.context_id[self.c] >= 0) & (self.word_id[self.w] > 0))
 
     def by_shard(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """The asked entries, shard by shard, and the bounds of the shards."""
@@ -188,22 +177,15 @@ class _Walk:
         """Takes what the shards answered for this level; unless it is the last, moves to the next one."""
         asked, at = self.by_shard(buckets)
         total, strength = self.total[self.c], self.v.strength
-        count = self.sums  # not asked: no other segment has any
-        code = np.full(len(count), Level.NONE, np.uint16)
-        codes = [dec(r["codes"], np.uint16) for r in answers]
-        if self.scoring:
-            some = count > 0
-            code[some] = Level.coded(np.log10(count[some] / (total[some] + strength)))
-        ids, shared = np.full(len(count), -1), np.zeros(len(count), bool)
-        if len(asked):
-            code[asked] = np.concatenate(codes)
-            if not last:
-                count = count.copy()
-                each = [dec(r["counts"], np.int64) for r in answers]
-                count[asked] = np.concatenate(each)
-                shared[asked] = np.concatenate([_unbits(r["shared"], len(x)) for r, x in zip(answers, each, strict=True)])
-                ids[asked] = np.concatenate([_placed(r["ranks"], x < Level.NONE, self.v.levels[level].offset[r["bucket"]], -1) for r, x in zip(answers, codes, strict=True)])
+        count, ids = np.zeros(len(self.c), np.int64), np.full(len(self.c), -1)
+        if len(asked) and not last:
+            each = [dec(r["counts"], np.int64) for r in answers]
+            count[asked] = np.concatenate(each)
+            ids[asked] = np.concatenate([_placed(r["ranks"], x > 0, self.v.levels[level].offset[r["bucket"]], -1) for r, x in zip(answers, each, strict=True)])
         if self.scoring:
+            code = np.full(len(count), Level.NONE, np.uint16)
+            if len(asked):
+                code[asked] = np.concatenate([dec(r["codes"], np.uint16) for r in answers])
             direct, rest = _POWERS[code], strength / (total + strength)
             longer = direct[self.place] + rest[self.place] * self.p
             self.p = np.where(self.depth >= level - 2, longer, self.p)  # near the beginning the shorter context is all there is
@@ -216,7 +198,7 @@ class _Walk:
         self.context = np.roll(rank[self.place], 1)
         self.context[self.t.first] = len(ids)
         self.context_id = np.append(np.where(count[order] > 0, ids[order], -1), -1)
-        self.total, self.shared = np.append(count[order], 0), np.append(shared[order], False)
+        self.total = np.append(count[order], 0)
 
 
 def _descend(s: Seg, answers: list[dict], v: _Vocabulary, buckets: int, level: int, last: bool) -> _Walk:
@@ -243,8 +225,6 @@ def _build(rows: list[dict], strength: float, last: bool):
     a, b = context[order], word[order]
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
     at = np.flatnonzero(new)
-    shared = np.empty(len(a), bool)
-    shared[order] = (np.diff(at, append=len(a)) > 1)[np.cumsum(new) - 1]
     place = np.empty(len(a), np.int64)
     place[order] = np.cumsum(new) - 1
     asked, words = a[at], b[at].astype(U64)
@@ -257,14 +237,14 @@ def _build(rows: list[dict], strength: float, last: bool):
         found = looked_up[place[i:j]]
         hit, safe = found >= 0, np.maximum(found, 0)
         pick = lambda x, none: np.where(hit, x[safe], none) if len(x) else np.full(len(hit), none, x.dtype)  # noqa: B023, E731
-        row = {"seg": r["seg"], "bucket": r["bucket"], "codes": enc(pick(level.codes, np.uint16(Level.NONE))), "known": len(sums), "ranks": None, "counts": None, "shared": None}
+        row = {"seg": r["seg"], "bucket": r["bucket"], "codes": enc(pick(level.codes, np.uint16(Level.NONE))), "known": len(sums), "ranks": None, "counts": None}
         if not last:
-            row |= {"ranks": _gaps(found), "counts": enc(pick(sums, 0)), "shared": _bits(shared[i:j])}
+            row |= {"ranks": _gaps(found), "counts": enc(pick(sums, 0))}
         yield row
 
 
 ASKED = "bucket int, seg long, contexts binary, words binary, counts binary, totals binary"
-ANSWER = "seg long, bucket int, codes binary, known long, ranks binary, counts binary, shared binary"
+ANSWER = "seg long, bucket int, codes binary, known long, ranks binary, counts binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -273,7 +253,7 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, id_co
     segs = Segments(docs, id_col, text_col)
     words = by_bucket(segs.emit(_emit_words, "bucket int, seg long, keys binary, counts binary"), _count_words, WORDS, "words", segs.buckets)
     v = _Vocabulary(words, strength)
-    answers = words.select("seg", "bucket", F.lit(1).alias("level"), F.lit(None).cast("binary").alias("codes"), "ranks", "counts", "shared")
+    answers = words.select("seg", "bucket", F.lit(1).alias("level"), F.lit(None).cast("binary").alias("codes"), "ranks", "counts")
 
     for level in range(2, order + 1):
 
@@ -288,11 +268,12 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, id_co
                     yield {"bucket": b, "seg": s.seg, "contexts": enc_sorted(x.context_id[c].astype(U64)), "words": enc(x.word_id[x.w[i]].astype(np.uint32)), "counts": enc(x.sums[i]), "totals": enc(x.total[each])}
 
         last = level == order
-        asked = segs.with_answers(answers, ask, ASKED)
+        led = answers.withColumn("codes", F.lit(None).cast("binary"))  # probabilities lead to no context
+        asked = segs.with_answers(led, ask, ASKED)
         found = by_bucket(asked, lambda rows, last=last: _build(rows, strength, last), ANSWER, "trie", segs.buckets)
         if not last:
             v.levels[level] = _Ids(found, 0)
-        answers = answers.unionByName(found.select("seg", "bucket", F.lit(level).alias("level"), "codes", "ranks", "counts", "shared"))
+        answers = answers.unionByName(found.select("seg", "bucket", F.lit(level).alias("level"), "codes", "ranks", "counts"))
 
     def finish(s: Seg, got: list[dict], buckets: int):
         x = _descend(s, got, v, buckets, order, True)
