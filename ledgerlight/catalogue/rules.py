@@ -152,3 +152,8 @@ def q14_best_sentence(spark, sf_dir):
 select h.profile_id, 'FINAL DECISION (must appear verbatim in summary): ' || decision || chr(10) || chr(10) || 'PER-BANK RULE RESULTS:' || chr(10) || string_agg(line, chr(10) order by bank_ord) as prompt from h join l using (profile_id) group by h.profile_id, decision""")
 def q15_prompt(spark, sf_dir):
     return R.prompt(_evaluated(spark, sf_dir))
+
+
+@query(_BASE + "select profile_id, cast(row_number() over (partition by profile_id order by rule_score desc, bank_ord) as int) as position, bank, rule_score from f")
+def q16_rule_standing(spark, sf_dir):
+    return R.standing(_evaluated(spark, sf_dir))

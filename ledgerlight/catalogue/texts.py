@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
+from ..operators.rules import answer_without_data
 from . import cases
 from .registry import query, table
 
@@ -173,6 +174,11 @@ def q46_query_route(spark, sf_dir):
     return _asked(spark, sf_dir).select("id", ((F.regexp_count("s", F.lit("[^ ]+")) <= 3) & (kind == "eligibility") & known).alias("direct"), (kind.isin("eligibility", "comparison") & known).alias("by_rules"))
 
 
+@query(_INTENT + "select id, case when id % 3 > 0 or id % 2 > 0 then 'explain' when intent in ('interest_rate', 'fees', 'document', 'comparison') then 'explain without context' else 'Please provide your profile details to check eligibility.' end as answer from k")
+def q17_answer_route(spark, sf_dir):
+    return _asked(spark, sf_dir).select("id", answer_without_data(X.intent(F.col("t")), F.col("id") % 3, F.col("id") % 2).alias("answer"))
+
+
 _PI = r"(?:earn|salary|income|pay)\s*(?:of|is|=|:)?\s*₹?\s*(\d[\d,]*)\s*(k|thousand|lakh|lpa)?"
 _PB = r"₹?\s*(\d[\d,]+)\s*(k\b|thousand\b)?"
 _PX = f"({_num('s', _PI)} * case lower({_got('s', _PI, 2)}) when 'k' then 1e3 when 'thousand' then 1e3 when 'lakh' then 1e5 when 'lpa' then 1e5 / 12 else 1 end)"

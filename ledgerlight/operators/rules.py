@@ -246,6 +246,13 @@ def ranked(evaluated: DataFrame) -> DataFrame:
     return r.select("profile_id", (F.col("i") + 1).alias("rank"), F.col("b.bank").alias("bank"), (-F.col("b.s")).cast("int").alias("score"), F.col("b.eligible").alias("eligible"), F.coalesce(F.try_element_at(rates, F.lower("b.bank")), F.lit("N/A")).alias("rate"))
 
 
+def standing(evaluated: DataFrame) -> DataFrame:
+    """Lenders of each profile by rule score, then in order: profile_id, position, bank, rule_score."""
+    order = F.array_sort(F.transform("banks", lambda b: F.struct((-b["rule_score"]).alias("s"), b["bank_ord"].alias("o"), b["bank"].alias("bank"))))
+    r = evaluated.select("profile_id", F.posexplode(order).alias("i", "b"))
+    return r.select("profile_id", (F.col("i") + 1).alias("position"), F.col("b.bank").alias("bank"), (-F.col("b.s")).alias("rule_score"))
+
+
 def partial_report(reasoned: DataFrame) -> DataFrame:
     """The alternative report: lenders with any missing field are partial, the closest lender may have no score at all,
     the decision is more careful, and confidence is simpler."""
