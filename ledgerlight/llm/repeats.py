@@ -5,11 +5,13 @@ a window is its GRAM bytes of the least hash (the leftmost of equals); equal win
 neighbouring windows mostly share theirs, so they travel as one string of at most 2 * LENGTH - GRAM bytes. A first
 exchange finds the anchors that occur in more than one document; only strings around those are dealt. A shard sorts
 the suffixes of its distinct strings by induced sorting, reads equal windows off the permuted common prefixes, and
-answers for each string and document which windows also start in a document with a smaller id. Anchors and hashes
-only choose what is compared; equality is decided by the suffix arrays.
+answers for each string and segment which windows also start in a document of a smaller id than the least that has the
+string there; so a line that every document holds costs an entry a segment. Anchors and hashes only choose what is
+compared; equality is decided by the suffix arrays.
 
 Null and empty texts have no bytes. Documents with equal ids do not remove each other's bytes; a null id counts as
-larger than every other. Repeated rows give a row each; extra columns are not read.
+larger than every other. Repeated rows give a row each; extra columns are not read. An empty table gives no rows; a
+long text is a segment of its own, and is compared whole.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .suffixes import permuted_lcp, suffix_array
 from .tokens import U64, find, mix, uniques
 
 LENGTH, GRAM = 50, 20
+LOW = U64(0xFFFFFFFF)
 #: Bytes of strings in one suffix array, about; sorting takes some hundred times as much memory.
 SHARD_BYTES = 1 << 20
 #: Bytes whose windows are hashed at once, so that the arrays stay in the processor's cache.
@@ -117,7 +120,7 @@ def _shared(rows: list[dict]):
 
 
 class _Wanted:
-    """The strings of a segment around shared anchors, each once: text, and its documents."""
+    """The strings of a segment around shared anchors, each text once, and where they stand."""
 
     def __init__(self, s: Seg, answers: list[dict], buckets: int):
         t = Strings(s)
@@ -133,18 +136,16 @@ class _Wanted:
         seen: dict[bytes, int] = {}
         text = [seen.setdefault(raw[a:z], len(seen)) for a, z in zip(self.first.tolist(), (self.last + LENGTH).tolist(), strict=True)]
         self.texts = list(seen)
-        text = np.array(text, np.int64)
-        # one question for each text and document id
+        # one question for each text, with the least id that has it here: in documents of larger ids all its windows
+        # repeat that one's, wherever else they are
+        self.text = np.array(text, np.int64)
         ids = s.order[self.doc]
-        order = np.lexsort((ids, text))
-        new = np.ones(len(order), bool)
-        new[1:] = (text[order][1:] != text[order][:-1]) | (ids[order][1:] != ids[order][:-1])
-        self.question = np.empty(len(order), np.int64)
-        self.question[order] = np.cumsum(new) - 1
-        self.text, self.id = text[order][new], ids[order][new]
-        bucket_of = (anchor >> U64(32)) * U64(buckets) >> U64(32)
-        self.bucket = bucket_of[order][new].astype(np.int64)
-        self.part = (anchor & U64(255)).astype(np.uint8)[order][new]
+        self.id = np.full(len(self.texts), np.iinfo(np.int64).max)
+        np.minimum.at(self.id, self.text, ids)
+        self.later = ids > self.id[self.text]
+        self.bucket, self.part = np.zeros(len(self.texts), np.int64), np.zeros(len(self.texts), np.uint64)
+        self.bucket[self.text] = ((anchor >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+        self.part[self.text] = anchor & LOW
 
 
 def _deal(s: Seg, answers: list[dict], buckets: int):
@@ -154,11 +155,8 @@ def _deal(s: Seg, answers: list[dict], buckets: int):
     for b in range(buckets):
         q = order[at[b] : at[b + 1]]
         if len(q):
-            text = w.text[q]
-            new = np.ones(len(q), bool)
-            new[1:] = text[1:] != text[:-1]
-            own = [w.texts[k] for k in text[new].tolist()]
-            yield {"bucket": b, "seg": s.seg, "texts": squeeze(b"".join(own)), "lens": enc(np.array([len(x) for x in own], np.int32)), "parts": enc(w.part[q][new]), "per": enc(np.diff(np.flatnonzero(new), append=len(q)).astype(np.int32)), "ids": enc(w.id[q])}
+            own = [w.texts[k] for k in q.tolist()]
+            yield {"bucket": b, "seg": s.seg, "texts": squeeze(b"".join(own)), "lens": enc(np.array([len(x) for x in own], np.int32)), "parts": enc(w.part[q]), "ids": enc(w.id[q])}
 
 
 def _least_ids(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]:
@@ -187,17 +185,17 @@ def _answer(rows: list[dict]):
     asked = []
     for r in rows:
         raw, at, k = expand(r["texts"]), 0, []
-        for n, p in zip(dec(r["lens"], np.int32).tolist(), dec(r["parts"], np.uint8).tolist(), strict=True):
+        for n, p in zip(dec(r["lens"], np.int32).tolist(), dec(r["parts"], np.uint64).tolist(), strict=True):
             k.append(seen.setdefault(raw[at : at + n], len(seen)))
             at += n
             if len(part) < len(seen):
                 part.append(p)
-        asked.append((np.repeat(np.array(k, np.int64), dec(r["per"], np.int32)), dec(r["ids"], np.int64)))
+        asked.append((np.array(k, np.int64), dec(r["ids"], np.int64)))
     text, ids = np.concatenate([a for a, _ in asked]), np.concatenate([b for _, b in asked])
     least = np.full(len(seen), np.iinfo(np.int64).max)
     np.minimum.at(least, text, ids)
-    shards = min(256, -(-sum(map(len, seen)) // SHARD_BYTES))
-    shard_of = np.array(part) % shards
+    shards = -(-sum(map(len, seen)) // SHARD_BYTES)
+    shard_of = (np.array(part, np.uint64) % U64(shards)).astype(np.int64)
     strings = list(seen)
     del seen, part
     masks = np.zeros(len(text), U64)
@@ -226,13 +224,13 @@ SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 st
 
 def _apply(s: Seg, answers: list[dict], buckets: int):
     w = _Wanted(s, [r for r in answers if r["shared"]], buckets)
-    masks = np.zeros(len(w.text), U64)
+    masks = np.zeros(len(w.texts), U64)
     order = np.argsort(w.bucket, kind="stable")
     got = [dec(r["masks"], U64) for r in answers if r["masks"]]
     if got:
         masks[order] = np.concatenate(got)
     edge = np.zeros(len(s.blob) + LENGTH + 1, np.int32)
-    mine = masks[w.question]
+    mine = np.where(w.later, (U64(1) << (w.last - w.first + 1).astype(U64)) - U64(1), masks[w.text])
     for bit in range(LENGTH - GRAM + 1):
         at = w.first[(mine >> U64(bit)) & U64(1) == 1] + bit
         np.add.at(edge, at, 1)
@@ -261,6 +259,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row for each document with the byte spans that are covered by repeats: SPANS holds the columns."""
     segs = Segments(docs, id_col, text_col, spread=4)
     shared = by_bucket(segs.emit(_emit, "bucket int, seg long, keys binary, many binary"), _shared, ANSWER, "anchors", segs.buckets)
-    dealt = segs.with_answers(shared, _deal, "bucket int, seg long, texts binary, lens binary, parts binary, per binary, ids binary")
+    dealt = segs.with_answers(shared, _deal, "bucket int, seg long, texts binary, lens binary, parts binary, ids binary")
     masks = by_bucket(dealt, _answer, ANSWER, "masks", segs.buckets)
     return segs.with_answers(shared.unionByName(masks), _apply, SPANS)
