@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlight.llm import decontaminate, mixing, pii, quality, similar
-from ledgerlight.llm.store import durable
+from ledgerlight.llm.store import durable, mark, release
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, began, keep=1)  # what the stage needed on its way, and its predecessor's table
     return docs

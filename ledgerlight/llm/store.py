@@ -64,14 +64,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def release(spark: SparkSession) -> None:
-    """Removes what this process has written to the shared folder. Results that still read it are gone with it, so
-    call this when they have been saved."""
+def mark() -> tuple[int, int]:
+    """How much this process has written so far; see release()."""
+    return len(_WRITTEN), len(_TABLES)
+
+
+def release(spark: SparkSession, since: tuple[int, int] = (0, 0), keep: int = 0) -> None:
+    """Removes what this process has written to the shared folder since a mark, but for the last keep folders. Results
+    that still read it are gone with it, so call this when they have been saved."""
     jvm = spark.sparkContext._jvm
-    for name in _TABLES:
+    paths, names = _WRITTEN[since[0] :], _TABLES[since[1] :]
+    kept = paths[len(paths) - keep :] if keep else []
+    for name in names:
         spark.sql(f"drop table if exists {name}")
-    for path in _WRITTEN:
+    for path in paths[: len(paths) - keep]:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _TABLES.clear()
-    _WRITTEN.clear()
+    _WRITTEN[since[0] :] = kept
+    del _TABLES[since[1] :]

@@ -298,6 +298,20 @@ def test_pipeline(spark, tmp_path):
     assert "mix_words" in docs.columns and docs.count() > 0
 
 
+def test_pipeline_leaves_its_result_alone(spark):
+    import glob
+
+    import corpus_pipeline
+
+    from ledgerlight.llm import store
+
+    base = store.shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{base}/*"))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = set(glob.glob(f"{base}/*")) - before
+    assert out.count() > 0 and len(left) == 1 and "stage-mix" in left.pop()
+
+
 def test_pipeline_on_nothing(spark, empty, tmp_path):
     import corpus_pipeline
 
