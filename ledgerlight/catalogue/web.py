@@ -89,3 +89,18 @@ def q72_site_records(spark, sf_dir):
     at = lambda c, k: F.get(c, F.lit(k))
     return r.select(F.col("page_id").alias("id"), "bank", at("interest_rate", 0).alias("rate_from"), at("interest_rate", 1).alias("rate_to"), F.col("min_income").alias("income"), at("age_range", 0).alias("age_from"), at("age_range", 1).alias("age_to"), F.col("processing_fee_pct").alias("fee"), F.col("foreclosure_fee").alias("foreclosure"),
         F.size("features").alias("n_features"), F.size("key_facts").alias("n_facts"), at("linked_urls", 0).alias("link"), "confidence", F.col("extraction_method").alias("layers"), F.regexp_extract("content", "^(Bank \\| Rate|Loan)", 1).alias("begins"))
+
+
+def _written(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_HTML).alias("html"))
+
+
+@query("select p_partkey as page_id, 'Loan' as title, 'Loan ' || p_partkey || ' for all' as description from part")
+def q73_site_heads(spark, sf_dir):
+    return _written(spark, sf_dir).select("page_id", H.title(F.col("html")).alias("title"), H.meta(F.col("html"), "description").alias("description"))
+
+
+@query("""select p_partkey as page_id, pos, heading, n_items, case pos when 4 then 'Everyone who likes to, number ' || p_partkey || '.' when 1 then 'Starting from ' || (8 + p_partkey % 9) || '.5% to 24% a year and more words to fill.' end as text from part, (values (0, 'Loan', 0), (1, 'Interest rate', 0), (2, 'Eligibility', 3), (3, 'Fees', 0), (4, 'Who can ask for this loan?', 0)) as h(pos, heading, n_items)""")
+def q74_site_sections(spark, sf_dir):
+    s = _written(spark, sf_dir).select("page_id", F.posexplode(P.sections("html")).alias("pos", "s"))
+    return s.select("page_id", "pos", "s.heading", F.size("s.items").alias("n_items"), F.when(F.col("pos").isin(1, 4), F.col("s.text")).alias("text"))
