@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..plans.spread import small, spread
+from ..plans.spread import SMALL_ROWS, small, spread
 
 K1, B, RRF_K = 1.5, 0.75, 60
 TOKEN = "([a-z0-9₹%.,\\-]+)"
@@ -34,27 +34,30 @@ class Bm25:
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """term, id, dl, tf; of the terms given alone."""
-        found = self.words.select("id", "dl", F.explode("w").alias("term"))
+        # an outer explode: for a plain one Spark would test each text for words below the spreading, that is twice
+        found = self.words.select("id", "dl", F.explode_outer("w").alias("term")).filter("term is not null")
         found = found if terms is None else found.join(terms, "term", "left_semi")
         return found.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
     @property
     def idf(self) -> DataFrame:
         """term, df, idf of every term."""
-        df = self.words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        df = self.words.select(F.explode_outer(F.array_distinct("w")).alias("term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
         return df.crossJoin(F.broadcast(self.totals)).withColumn("idf", self._weight(F.col("n_docs"), F.col("df")))  # totals: one row
 
     def scores(self, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
         """query_id, id, score for every document that holds a query term; repeated query terms count repeatedly."""
         asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        postings = self.postings(small(asked.select("term").distinct()))
+        few = asked.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+        sent = F.broadcast if few else (lambda side: side)
+        postings = self.postings(sent(asked.select("term").distinct()))
         # reads the same columns as the postings themselves, so that Spark makes and shuffles them once
         df = postings.groupBy("term").agg(F.sum(F.when((F.col("tf") > 0) & (F.col("dl") > 0), 1)).alias("df"))
         totals = F.broadcast(self.totals)  # one row
         weight = self._weight(F.col("n_docs"), F.col("df"))
-        asking = asked.join(df, "term").crossJoin(totals).select("query_id", "term", (F.col("times") * weight * (K1 + 1)).alias("weight"), "avg_dl")
+        asking = df.join(sent(asked), "term").crossJoin(totals).select("query_id", "term", (F.col("times") * weight * (K1 + 1)).alias("weight"), "avg_dl")
         part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-        return postings.join(asking, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+        return postings.join(sent(asking), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
