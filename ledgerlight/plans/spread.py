@@ -12,8 +12,10 @@ SMALL_BYTES, SMALL_ROWS = 64 << 20, 100_000
 def spread(rows: DataFrame) -> DataFrame:
     """rows over all cores, if they are few bytes: a small file has one row group or two, so that its scan would leave
     most cores idle. Larger inputs have row groups enough and are not shuffled."""
+    spark = rows.sparkSession
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else rows
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts) if size <= SMALL_BYTES else rows
 
 
 def small(side: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
