@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.spread import spread
+
 
 #: Bytes of rows that go to a Python worker at once.
 BATCH_BYTES = 4 << 20
@@ -53,11 +55,11 @@ def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
 
 
 def by_bytes(df: DataFrame) -> DataFrame:
-    """df, whose rows shall go to Python in batches of BATCH_BYTES. Spark's own limit is far above what a worker
-    should hold; a limit that the session sets is kept."""
+    """df, whose rows shall go to Python in batches of BATCH_BYTES; a small table is dealt over all cores first. Spark's
+    own limit is far above what a worker should hold; a limit that the session sets is kept."""
     if df.sparkSession.conf.get(_LIMIT) == _UNSET:
         df.sparkSession.conf.set(_LIMIT, f"{BATCH_BYTES}b")
-    return df
+    return spread(df)
 
 
 def partitions(spark: SparkSession) -> int:
