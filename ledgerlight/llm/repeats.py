@@ -91,7 +91,8 @@ class Strings:
         end = valid.copy()
         end[:-1] &= ~valid[1:] | new[1:]
         first, last = np.flatnonzero(new), np.flatnonzero(end)
-        return first + base, last + base, a + full[np.searchsorted(begin, first, "right") - 1], h[at[first]]
+        # hashed once more: the least of many hashes is small, and would meet the others of its kind in the first buckets
+        return first + base, last + base, a + full[np.searchsorted(begin, first, "right") - 1], mix(h[at[first]])
 
 
 def _emit(s: Seg, buckets: int):
