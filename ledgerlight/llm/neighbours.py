@@ -3,8 +3,10 @@
 Each tree halves a bounded sample again and again by the plane between two of its vectors; vectors of different
 lengths have forests of their own. Every row is filed under its leaf in every tree. A query walks all trees at once through a queue ordered by how near it stands to the planes
 that it would have to cross, until it has opened leaves enough; the rows filed there are ranked by exact cosine in
-double precision. Leaves with many rows (a vector that repeats, say) are dealt out by a hash over several groups, each
-of which ranks its own rows.
+double precision. Leaves with many rows (a vector that repeats, say) are dealt out by a hash over several groups, and
+the queries that open a leaf over several blocks: each group meets each block in a cell of its own, so that neither many
+rows nor many queries fill a task. Trees are asked one after the other where the table is large, which bounds what is
+shuffled at once.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids. Vectors are
 first divided by a power of two near their largest component, so that the squares of very large and very small ones
@@ -16,6 +18,7 @@ whatever a table holds: long ones mean fewer rows a group.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from dataclasses import dataclass, field
 
@@ -26,18 +29,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import every_class
+from .sampling import every_class, fair_share
 from .segments import trim
-from .store import by_bytes, durable
+from .store import BATCH_BYTES, by_bytes, durable
 
-#: Vectors that the planes are drawn from, at most (up to the chance of a hash).
-SAMPLE = 16384
+#: Vectors that the planes are drawn from, at most (up to the chance of a hash), and bytes that these take; the planes,
+#: which every worker holds, take about as many.
+SAMPLE, SAMPLE_BYTES = 16384, 32 << 20
 TREES, LEAF_ROWS, NEAREST = 4, 256, 5
 #: Share of the sample's own nearest neighbours that its queries must meet in the leaves they open, and how many
 #: sampled queries measure it. The queue then opens as many leaves as that took.
 RECALL, MEASURED = 0.97, 128
-#: Fewest sampled vectors of a leaf, and most rows that one group ranks; their vectors take GROUP_BYTES at most.
-LEAF_SAMPLE, GROUP_ROWS, GROUP_BYTES = 4, 4096, 32 << 20
+#: Fewest sampled vectors of a leaf, and rows of a group and queries of a block, about; the vectors of either take
+#: GROUP_BYTES. TOGETHER queries are ranked at once.
+LEAF_SAMPLE, GROUP_ROWS, GROUP_BYTES, TOGETHER = 4, 4096, 32 << 20, 32
+#: Bytes of vectors, each counted once a tree, up to which all trees are asked at once.
+AT_ONCE_BYTES = 256 << 20
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -151,21 +158,45 @@ class Forest:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and v, an array of doubles, of the rows that take part."""
-    v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("vec_id is not null and size(v) > 0")
+    """vec_id and v, an array of floats if the column is one and else of doubles, of the rows that take part."""
+    kind = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"
+    v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).filter("vec_id is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return v.filter(F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length, in double precision."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(float, copy=False) if len(flat) else np.zeros((0, 1))
+
+
+def deal(batches, first: np.ndarray, groups: np.ndarray, blocks: np.ndarray, asking: bool, most: int = BATCH_BYTES):
+    """Rows or, if asking, queries, once for each cell that they go to. The cells of a leaf begin at first[leaf], a cell
+    for each of its groups and blocks: a row goes to one group and all blocks, a query to one block and all groups. What
+    is handed on at once has about most bytes, whatever a batch and a leaf hold."""
+    own, across = (blocks, groups) if asking else (groups, blocks)
+    for b in batches:
+        row, leaf = b.column(0).to_numpy(), b.column(3).flatten().to_numpy()
+        at = np.repeat(np.arange(len(row)), pc.list_value_length(b.column(3)).to_numpy())
+        some = np.flatnonzero(across[leaf])
+        if not len(some):
+            continue
+        leaf, at = leaf[some], at[some]
+        salt = (row[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % own[leaf]
+        upto = np.cumsum(across[leaf])
+        step = max(1, most // (24 + 8 * pc.max(pc.list_value_length(b.column(2))).as_py()))
+        for a in range(0, int(upto[-1]), step):
+            nth = np.arange(a, min(a + step, int(upto[-1])))
+            entry = np.searchsorted(upto, nth, side="right")
+            nth += across[leaf[entry]] - upto[entry]
+            group, block = (nth, salt[entry]) if asking else (salt[entry], nth)
+            rest = pa.array(at[entry])
+            yield pa.RecordBatch.from_arrays([pa.array(first[leaf[entry]] + group * blocks[leaf[entry]] + block), *(b.column(c).take(rest) for c in range(3))], names=["cell", "row", "vec_id", "v"])
 
 
 #: A found row: how far (minus the cosine), its id, its number.
 _HIT = np.dtype([("far", "<f8"), ("vec_id", "<i8"), ("row", "<i8")])
-_FILED = "row bigint, vec_id bigint, v array<double>, leaves array<bigint>"
-_DEALT = "cell bigint, row bigint, vec_id bigint, v array<double>"
 FOUND = "query_id bigint, rank int, vec_id bigint, score double"
 
 
@@ -195,6 +226,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, trees: int
     counts = {r.d: r["count"] for r in rows.groupBy(F.size("v").alias("d")).count().collect()}
     if not counts:
         return vectors.sparkSession.createDataFrame([], FOUND)
+    each = fair_share(list(counts.values()), sample, sample)
+    sample = max(1, min(sample, sample * SAMPLE_BYTES // sum(8 * d * min(n, each) for d, n in counts.items())))
     drawn = every_class(rows.withColumn("d", F.size("v")), "d", "vec_id", sample, sample).orderBy("d", "vec_id").toArrow()
     lens = drawn["d"].to_numpy()
     planes = [np.unique(_matrix(drawn["v"].take(pa.array(np.flatnonzero(lens == d)))), axis=0) for d in np.unique(lens).tolist()]
@@ -209,57 +242,63 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, trees: int
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), b.column(0), b.column(1), pa.array(list(leaves), pa.list_(pa.int64()))], names=["row", "vec_id", "v", "leaves"])
             row += b.num_rows
 
-    filed = durable(rows.mapInArrow(file, _FILED), "filed")
-    # at most as many rows as the forests have leaves, which the sample bounds
-    held = {r.leaf: r["count"] for r in filed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
-    most = np.full(forests.leaves, GROUP_ROWS)
-    for d, (forest, first, _) in forests.of.items():
-        most[first : first + int(forest.first[-1])] = max(1, min(GROUP_ROWS, GROUP_BYTES // (8 * d)))
-    groups = np.array([-(-held.get(x, 0) // int(m)) for x, m in enumerate(most)], np.int64)
-    cell = np.cumsum(groups) - groups
-
-    def deal(batches):
-        for b in batches:
-            row = b.column(0).to_numpy()
-            leaves = _matrix(b.column(3))
-            salt = (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)[:, None] % groups[leaves]
-            at = pa.array(np.repeat(np.arange(len(row)), leaves.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array((cell[leaves] + salt).ravel()), *(b.column(c).take(at) for c in range(3))], names=["cell", "row", "vec_id", "v"])
-
     def ask(batches):
-        number = TaskContext.get().partitionId() << 40
+        """Like file(), with the leaves that a query opens, a part of a batch at a time: it may open very many."""
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            cells, at = [], []
             for some, x, forest, first, probes in forests.by_length(b, 1):
-                for i, q in zip(some.tolist(), units(x), strict=True):
-                    for leaf in forest.probe(q, probes):
-                        leaf += first
-                        cells += range(cell[leaf], cell[leaf] + groups[leaf])
-                        at += [i] * int(groups[leaf])
-            at = np.array(at, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(at + number), *(b.column(c).take(pa.array(at)) for c in range(2))], names=["cell", "row", "vec_id", "v"])
-            number += b.num_rows
+                step = max(1, BATCH_BYTES // (8 * (probes + x.shape[1])))
+                for i in range(0, len(x), step):
+                    opened = [np.array(forest.probe(q, probes), np.int64) + first for q in units(x[i : i + step])]
+                    at = pa.array(some[i : i + step])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(opened))), b.column(0).take(at), b.column(1).take(at), pa.array(opened, pa.list_(pa.int64()))], names=["row", "vec_id", "v", "leaves"])
+                    row += len(opened)
+
+    def kept(df, fn, tag):
+        """The rows with their leaves, and how many each leaf has; the sample bounds the number of leaves."""
+        out = durable(df.mapInArrow(fn, f"row bigint, vec_id bigint, v {dict(df.dtypes)['v']}, leaves array<bigint>"), tag)
+        held = np.zeros(forests.leaves, np.int64)
+        for r in out.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
+            held[r.leaf] = r["count"]
+        return out, held
+
+    filed, held = kept(rows, file, "filed")
+    asked, opened = kept(asks, ask, "asked")
+    most, tree = np.empty((2, forests.leaves), np.int64)
+    for d, (forest, first, _) in forests.of.items():
+        own = slice(first, first + int(forest.first[-1]))
+        most[own] = max(1, min(GROUP_ROWS, GROUP_BYTES // (8 * d)))
+        tree[own] = np.repeat(np.arange(trees), np.diff(forest.first))
+    groups, blocks = (np.where((held > 0) & (opened > 0), -(-n // most), 0) for n in (held, opened))
+    cell = np.cumsum(groups * blocks) - groups * blocks
 
     def rank(left, right):
-        out = {"query": [], "query_id": [], "best": []}
+        parts = [np.empty(0, _HIT)]
+        ends = [np.zeros(1, np.int64)]
         if left.num_rows and right.num_rows:
             r, q = scaled(_matrix(left["v"])), scaled(_matrix(right["v"]))
-            ids, row = left["vec_id"].to_numpy(), left["row"].to_numpy()
+            ids, row, own = left["vec_id"].to_numpy(), left["row"].to_numpy(), right["vec_id"].to_numpy()
             norm, norm_q = np.sqrt((r * r).sum(1)), np.sqrt((q * q).sum(1))
-            unit = r / norm[:, None]
-            for i, (number, own) in enumerate(zip(right["row"].to_pylist(), right["vec_id"].to_pylist(), strict=True)):
-                near = unit @ (q[i] / norm_q[i])
-                near[ids == own] = -2
-                m = min(k, len(near))
-                at = np.flatnonzero((near >= np.partition(near, len(near) - m)[len(near) - m] - 1e-9) & (near > -2))
+            unit, m = r / norm[:, None], min(k, len(r))
+            for i in range(0, len(q), TOGETHER):
+                near = q[i : i + TOGETHER] / norm_q[i : i + TOGETHER, None] @ unit.T
+                near[own[i : i + TOGETHER, None] == ids] = -2
+                least = np.partition(near, len(r) - m, axis=1)[:, len(r) - m, None] - 1e-9
+                of, at = np.nonzero((near >= least) & (near > -2))
                 hits = np.empty(len(at), _HIT)
-                hits["far"] = -((r[at] * q[i]).sum(1) / (norm[at] * norm_q[i]))  # one order of summation for all, so that copies tie
+                for j in range(0, len(at), step := max(1, BATCH_BYTES // (8 * r.shape[1]))):
+                    x, y = at[j : j + step], of[j : j + step] + i
+                    hits["far"][j : j + step] = -((r[x] * q[y]).sum(1) / (norm[x] * norm_q[y]))  # one order of summation for all, so that copies tie
                 hits["vec_id"], hits["row"] = ids[at], row[at]
-                out["query"].append(number)
-                out["query_id"].append(own)
-                out["best"].append(np.sort(hits, order=("far", "vec_id", "row"))[:k].tobytes())
+                count = np.bincount(of, minlength=len(near))
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+                parts.append(hits[np.lexsort((hits["row"], hits["vec_id"], hits["far"], of))][nth < k])
+                ends.append(ends[-1][-1] + np.cumsum(np.minimum(count, k)))
+        best = np.concatenate(parts)
+        at = np.concatenate(ends).astype(np.int32) * _HIT.itemsize
+        lists = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(best.tobytes())])
         trim()
-        return pa.table({"query": pa.array(out["query"], pa.int64()), "query_id": pa.array(out["query_id"], pa.int64()), "best": pa.array(out["best"], pa.binary())})
+        return pa.table({"query": right["row"][: len(lists)], "query_id": right["vec_id"][: len(lists)], "best": lists})
 
     def merge(batches):
         """The k best of the lists of each query; a row that stands in several trees counts once."""
@@ -271,8 +310,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, trees: int
                 n = len(hits)
                 yield pa.RecordBatch.from_arrays([pa.array([own] * n, pa.int64()), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(hits["vec_id"]), pa.array(-hits["far"])], names=["query_id", "rank", "vec_id", "score"])
 
-    dealt = filed.mapInArrow(deal, _DEALT)
-    asking = durable(asks.mapInArrow(ask, _DEALT), "probes")
-    found = dealt.groupBy("cell").cogroup(asking.groupBy("cell")).applyInArrow(rank, "query bigint, query_id bigint, best binary")
+    def meet(among):
+        """The k best of each cell of some leaves, for each query that goes there."""
+        here, there = np.where(among, groups, 0), np.where(among, blocks, 0)
+
+        def dealt(df, asking):
+            return df.mapInArrow(lambda b: deal(b, cell, here, there, asking), f"cell bigint, row bigint, vec_id bigint, v {dict(df.dtypes)['v']}").groupBy("cell")
+
+        return dealt(filed, False).cogroup(dealt(asked, True)).applyInArrow(rank, "query bigint, query_id bigint, best binary")
+
+    if sum(8 * d * n * trees for d, n in counts.items()) <= AT_ONCE_BYTES:
+        found = meet(np.ones(forests.leaves, bool))
+    else:
+        found = functools.reduce(DataFrame.unionAll, [durable(meet(tree == t), "found") for t in range(trees)])
     # each list has k entries at most, and a query as many lists as cells that it opens
     return found.groupBy("query").agg(F.first("query_id").alias("query_id"), F.collect_list("best").alias("best")).select("query_id", "best").mapInArrow(merge, FOUND)

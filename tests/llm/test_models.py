@@ -229,6 +229,40 @@ def test_neighbours_of_any_size_and_length(spark):
     assert got[100] == [(101, round(10 / 14, 9))] and 150 not in got
 
 
+def test_neighbours_in_bounded_batches_and_cells(spark, monkeypatch):
+    """Many queries in one batch and in one leaf: what Python hands on at once, and both sides of a cell, stay bounded."""
+    x = np.random.default_rng(8).normal(size=(6000, 64)).astype(np.float32)
+    x[1000:3000] = x[1000]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    asks = frame.filter("vec_id % 2 = 0")
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 512)
+    frames, cells = type(frame), type(frame.groupBy("vec_id").cogroup(frame.groupBy("vec_id")))
+    hand_on, meet = frames.mapInArrow, cells.applyInArrow
+
+    def watched(batches):
+        for b in batches:
+            assert b.nbytes <= 8 << 20, b.nbytes
+            yield b
+
+    def few(left, right):
+        assert max(left.num_rows, right.num_rows) <= 1024, (left.num_rows, right.num_rows)
+
+    monkeypatch.setattr(frames, "mapInArrow", lambda self, fn, schema: hand_on(self, lambda b: watched(fn(b)), schema))
+    monkeypatch.setattr(cells, "applyInArrow", lambda self, fn, schema: meet(self, lambda a, b: few(a, b) or fn(a, b), schema))
+    got = sorted(map(tuple, neighbours.nearest(frame, asks).collect()))
+    monkeypatch.setattr(neighbours, "AT_ONCE_BYTES", 0)
+    assert got == sorted(map(tuple, neighbours.nearest(frame, asks).collect()))  # tree by tree
+    assert len(got) == 5 * 3000 and [v for q, _, v, _ in got if q == 1002] == [1000, 1001, 1003, 1004, 1005]
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1))[:, None]
+    near = np.round(unit[::50] @ unit.T, 12)
+    near[np.arange(120), np.arange(0, 6000, 50)] = -2
+    want = {50 * i: set(np.lexsort((np.arange(6000), -near[i]))[:5].tolist()) for i in range(120)}
+    found = defaultdict(set)
+    for q, _, v, _ in got:
+        found[q].add(v)
+    assert np.mean([len(found[q] & want[q]) / 5 for q in want]) >= 0.9
+
+
 # ---- pipeline
 
 
