@@ -197,6 +197,7 @@ def deal(batches, first: np.ndarray, groups: np.ndarray, blocks: np.ndarray, ask
 
 #: A found row: how far (minus the cosine), its id, its number.
 _HIT = np.dtype([("far", "<f8"), ("vec_id", "<i8"), ("row", "<i8")])
+_BEST = "query bigint, query_id bigint, best binary"
 FOUND = "query_id bigint, rank int, vec_id bigint, score double"
 
 
@@ -301,14 +302,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, trees: int
         return pa.table({"query": right["row"][: len(lists)], "query_id": right["vec_id"][: len(lists)], "best": lists})
 
     def merge(batches):
-        """The k best of the lists of each query; a row that stands in several trees counts once."""
+        """The k best of the lists of each query, as one list; a row that stands in several trees counts once."""
         for b in batches:
-            for own, lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            best = []
+            for lists in b.column(2).to_pylist():
                 hits = np.frombuffer(b"".join(lists), _HIT)
                 hits = hits[np.unique(hits["row"], return_index=True)[1]]
-                hits = np.sort(hits, order=("far", "vec_id", "row"))[:k]
-                n = len(hits)
-                yield pa.RecordBatch.from_arrays([pa.array([own] * n, pa.int64()), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(hits["vec_id"]), pa.array(-hits["far"])], names=["query_id", "rank", "vec_id", "score"])
+                best.append(np.sort(hits, order=("far", "vec_id", "row"))[:k].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.binary())], names=["query", "query_id", "best"])
+
+    def tell(batches):
+        for b in batches:
+            lists = b.column(2).to_pylist()
+            n = np.array([len(x) // _HIT.itemsize for x in lists], np.int64)
+            hits = np.frombuffer(b"".join(lists), _HIT)
+            rank = np.arange(len(hits)) - np.repeat(np.cumsum(n) - n, n) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(rank.astype(np.int32)), pa.array(hits["vec_id"]), pa.array(-hits["far"])], names=["query_id", "rank", "vec_id", "score"])
+
+    def merged(found):
+        # each list has k entries at most, and a query as many lists as cells that it opens
+        return found.groupBy("query").agg(F.first("query_id").alias("query_id"), F.collect_list("best").alias("best")).mapInArrow(merge, _BEST)
 
     def meet(among):
         """The k best of each cell of some leaves, for each query that goes there."""
@@ -317,11 +330,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, trees: int
         def dealt(df, asking):
             return df.mapInArrow(lambda b: deal(b, cell, here, there, asking), f"cell bigint, row bigint, vec_id bigint, v {dict(df.dtypes)['v']}").groupBy("cell")
 
-        return dealt(filed, False).cogroup(dealt(asked, True)).applyInArrow(rank, "query bigint, query_id bigint, best binary")
+        return dealt(filed, False).cogroup(dealt(asked, True)).applyInArrow(rank, _BEST)
 
     if sum(8 * d * n * trees for d, n in counts.items()) <= AT_ONCE_BYTES:
-        found = meet(np.ones(forests.leaves, bool))
-    else:
-        found = functools.reduce(DataFrame.unionAll, [durable(meet(tree == t), "found") for t in range(trees)])
-    # each list has k entries at most, and a query as many lists as cells that it opens
-    return found.groupBy("query").agg(F.first("query_id").alias("query_id"), F.collect_list("best").alias("best")).select("query_id", "best").mapInArrow(merge, FOUND)
+        return merged(meet(np.ones(forests.leaves, bool))).mapInArrow(tell, FOUND)
+    found = [durable(merged(meet(tree == t)), "found") for t in range(trees)]
+    return merged(functools.reduce(DataFrame.unionAll, found)).mapInArrow(tell, FOUND)
