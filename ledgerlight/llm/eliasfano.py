@@ -1,4 +1,5 @@
-"""Elias-Fano sequences and n-gram trie levels in one mapped block of memory, read in place by arrays of queries."""
+"""Elias-Fano sequences and n-gram trie levels in one mapped block of memory, read in place by arrays of queries. Where
+queries are about as many as values, the unary bits are scanned once instead of a search for each query."""
 
 from __future__ import annotations
 
@@ -10,6 +11,8 @@ from .tokens import U64
 
 #: 64-bit words of unary bits for which one running count is kept.
 BLOCK = 8
+#: Values for each query up to which the unary bits are scanned.
+SCAN = 8
 
 
 class Sequence:
@@ -20,9 +23,19 @@ class Sequence:
         """low: bytes, with eight to spare; high: whole blocks of 64-bit words."""
         self.n, self.width, self._high = n, width, high
         self._low = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
-        ones = np.bitwise_count(high).reshape(-1, BLOCK).sum(1, dtype=np.int64)
-        self._ones = np.cumsum(ones) - ones
-        self._zeros = np.arange(len(ones)) * (64 * BLOCK) - self._ones
+        self._before = None
+
+    def _counts(self, ones: bool) -> np.ndarray:
+        """The ones, or zeros, before each block."""
+        if self._before is None:
+            n = np.bitwise_count(self._high).reshape(-1, BLOCK).sum(1, dtype=np.int64)
+            self._before = np.cumsum(n) - n
+        return self._before if ones else np.arange(len(self._before)) * (64 * BLOCK) - self._before
+
+    def _scan(self, ones: bool) -> np.ndarray:
+        """The places of all ones, or zeros, of the high bits."""
+        bits = np.unpackbits(self._high.view(np.uint8), bitorder="little").view(bool)
+        return np.flatnonzero(bits if ones else ~bits)
 
     @staticmethod
     def parts(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -30,7 +43,7 @@ class Sequence:
         n = len(values)
         width = max(0, int(int(values[-1]) // n).bit_length() - 1) if n else 0
         width = min(width, 56)  # a value is read from one unaligned word
-        bits = ((values & U64((1 << width) - 1))[:, None] >> np.arange(width, dtype=U64) & U64(1)).astype(np.uint8)
+        bits = np.unpackbits(np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(n, 8), axis=1, count=width, bitorder="little") if width else np.zeros(0, np.uint8)
         low = np.concatenate([np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, np.uint8)])
         at = (values >> U64(width)).astype(np.int64) + np.arange(n)
         size = int(at[-1]) + 2 if n else 1  # a zero ends the last high part
@@ -44,7 +57,9 @@ class Sequence:
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """The place of the k-th one, or zero, of the high bits."""
-        before = self._ones if ones else self._zeros
+        if len(k) * SCAN >= self.n:
+            return self._scan(ones)[k]
+        before = self._counts(ones)
         block = np.searchsorted(before, k, "right") - 1
         left, word = k - before[block], block * BLOCK
         flip = U64(0) if ones else ~U64(0)
@@ -66,35 +81,48 @@ class Sequence:
         i = i.astype(np.int64)
         return ((self._select(i, True) - i).astype(U64) << U64(self.width)) | self.low(i)
 
-    def _upto(self, top: np.ndarray) -> np.ndarray:
-        """How many values have high parts of top at most."""
+    def _run(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bounds of the values with each high part."""
         most = len(self._high) * 64 - self.n  # zeros
-        return np.where(top < 0, 0, np.where(top >= most, self.n, self._select(np.clip(top, 0, most - 1), False) - top))
-
-    def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """The first place in [lo, hi) whose value is x at least; hi if there is none. Defaults: the whole sequence."""
+        if len(top) * SCAN >= self.n:
+            upto = np.zeros(most + 1, np.int64)
+            upto[1:] = self._scan(False) - np.arange(most)
+            at = np.minimum(top, most)
+            return upto[at], upto[np.minimum(at + 1, most)]
+        a, z = (np.where(t < 0, 0, np.where(t >= most, self.n, self._select(np.clip(t, 0, most - 1), False) - t)) for t in (top - 1, top))
+        return a, z
+
+    def _search(self, x: np.ndarray, lo: np.ndarray | None, hi: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """successor(), and whether it is x."""
         top = np.minimum(x >> U64(self.width), U64(1 << 62)).astype(np.int64)
-        a, z = self._upto(top - 1), self._upto(top)
+        a, z = self._run(top)
         if lo is not None:
             a, z = np.clip(a, lo, hi), np.clip(z, lo, hi)
         target = x & U64((1 << self.width) - 1)
-        live = np.flatnonzero(a < z)
+        end, live = z, np.flatnonzero(a < z)
+        z = z.copy()
         while len(live):
-            mid = (a[live] + z[live]) >> 1
+            p, q = a[live], z[live]
+            mid = (p + q) >> 1
             less = self.low(mid) < target[live]
-            a[live] = np.where(less, mid + 1, a[live])
-            z[live] = np.where(less, z[live], mid)
-            live = live[a[live] < z[live]]
-        return a
+            a[live] = p = np.where(less, mid + 1, p)
+            z[live] = q = np.where(less, q, mid)
+            live = live[p < q]
+        here = np.flatnonzero(a < end)  # inside the run, so that its high part is that of x
+        equal = np.zeros(len(x), bool)
+        equal[here] = self.low(a[here]) == target[here]
+        return a, equal
+
+    def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """The first place in [lo, hi) whose value is x at least; hi if there is none. Defaults: the whole sequence."""
+        return self._search(x, lo, hi)[0]
 
     def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """The place of x in [lo, hi), -1 where it isn't."""
         if not self.n:
             return np.full(len(x), -1)
-        at = self.successor(x, lo, hi)
-        inside = at < (self.n if hi is None else hi)
-        safe = np.where(inside, at, 0)
-        return np.where(inside & (self.get(safe) == x), at, -1)
+        at, equal = self._search(x, lo, hi)
+        return np.where(equal, at, -1)
 
 
 class Level:
@@ -156,7 +184,7 @@ class Level:
         run = np.cumsum(new) - 1
         rank = self.contexts.find(context[new])
         there = np.maximum(rank, 0)
-        lo, hi = (self.pointers.get(x).astype(np.int64) for x in (there, there + 1))
+        lo, hi = self.pointers.get(np.append(there, there + 1)).astype(np.int64).reshape(2, -1)
         known = np.flatnonzero((rank[run] >= 0) & (child < self.span))
         run = run[known]
         out[known] = self.children.find(rank[run].astype(U64) * U64(self.span) + child[known].astype(U64), lo[run], hi[run])

@@ -1,6 +1,7 @@
 """Scoring texts with an n-gram language model in Elias-Fano tries.
 
-The model is counted over all documents that are not held out. Words get ids from a first exchange, which also
+The model is counted over all documents that are not held out. Texts are tokenised once; segments hold their tokens
+instead of the texts. Words get ids from a first exchange, which also
 brings their counts; each further level of the trie is cut into shards by a hash of (context, word), so that a
 context with very many words spreads over all shards. A shard sums the counts of its entries, stores smoothed
 probabilities in a memory-mapped trie level, and answers the segments that asked; the place of an entry in its level
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .codec import dec, dec_sorted, enc, enc_sorted
 from .eliasfano import Level
-from .segments import Seg, Segments, by_bucket, split
-from .tokens import SOLID, U64, Words, mix, order_by, uniques
+from .segments import Seg, Segments, by_bucket, split, trim
+from .tokens import SOLID, U64, Words, distinct, mix, order_by, uniques
 
 #: Words of an n-gram.
 ORDER = 3
@@ -43,35 +44,59 @@ def held_out(ids: list) -> np.ndarray:
     return np.array([i is None or zlib.crc32(str(i).encode()) % 7 == 2 for i in ids], bool)
 
 
+def _tokenised(lens: list, blob: bytes) -> bytes:
+    """The tokens of a segment's texts with their ends: the tokens of each text, the distinct ones, ascending, which of
+    them are how frequent, and each token's place in that order, where small numbers are many."""
+    w = Words(np.frombuffer(blob, np.uint8), np.array([x or 0 for x in lens], np.int64), SOLID)
+    n = w.counts + 1
+    total = int(n.sum())
+    key = np.empty(total, U64)
+    last = np.cumsum(n) - 1
+    key[last] = END
+    word = np.ones(total, bool)
+    word[last] = False
+    key[word] = w.hash
+    del w, word
+    keys, counts, place = uniques(key)
+    del key
+    by_count = order_by(counts.max() - counts)
+    rank = np.empty(len(keys), np.uint32)
+    rank[by_count] = np.arange(len(keys))
+    parts = [enc(n), enc_sorted(keys), enc(by_count.astype(np.uint32)), enc(rank[place])]
+    del keys, counts, place, by_count, rank, last, n
+    trim()
+    return np.array([len(x) for x in parts], np.int64).tobytes() + b"".join(parts)
+
+
 class _Tokens:
     """Tokens of a segment with their ends: doc, word (place among the segment's distinct words), first (of a text)."""
 
     def __init__(self, s: Seg):
-        w = Words(s.blob, s.lens, SOLID)
-        n = w.counts + 1
-        total = int(n.sum())
-        last = np.cumsum(n) - 1
-        key = np.empty(total, U64)
-        key[last] = END
-        word = np.ones(total, bool)
-        word[last] = False
-        key[word] = w.hash
-        self.doc = np.repeat(np.arange(len(n)), n)
-        self.first = last - n + 1
-        self.n = n
+        head = 8 * 4
+        at = head + np.cumsum([0, *np.frombuffer(s.stored[:head], np.int64)])
+        n, self._keys, by_count, rank = (s.stored[a:z] for a, z in zip(at[:-1], at[1:], strict=True))
+        self.n = dec(n, np.int64)
+        self.word = dec(by_count, np.uint32).astype(np.int64)[dec(rank, np.uint32)]
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.first = np.cumsum(self.n) - self.n
         self.held = held_out(s.ids)
-        self.keys, _, self.word = uniques(key)
-        self.train = ~self.held[self.doc]
-        self.counts = np.bincount(self.word[self.train], minlength=len(self.keys))
+        self.train = np.repeat(~self.held, self.n)
+        self.end = self.word[self.n[0] - 1]
+
+    def keys(self) -> np.ndarray:
+        """The distinct words, by place."""
+        return dec_sorted(self._keys)
 
 
 def _emit_words(s: Seg, buckets: int):
     t = _Tokens(s)
-    at = split(t.keys, buckets)
+    keys = t.keys()
+    counts = np.bincount(t.word[t.train], minlength=len(keys))
+    at = split(keys, buckets)
     for b in range(buckets):
         x = slice(at[b], at[b + 1])
         if x.stop > x.start:
-            yield {"bucket": b, "seg": s.seg, "keys": enc_sorted(t.keys[x]), "counts": enc(t.counts[x])}
+            yield {"bucket": b, "seg": s.seg, "keys": enc_sorted(keys[x]), "counts": enc(counts[x])}
 
 
 def _gaps(places: np.ndarray) -> bytes:
@@ -142,63 +167,57 @@ class _Walk:
         counts = np.concatenate(each)
         ids = np.concatenate([_placed(r["ranks"], x > 0, v.offset[r["bucket"]], 0) for r, x in zip(answers, each, strict=True)])
         self.word_id = ids
-        self.count = counts[t.word]
-        self.known = self.count > 0
-        self.p = self.bottom = (self.count + 1.0) / (v.tokens + v.types + 1.0) if scoring else None
-        self.depth = np.arange(len(t.word)) - t.first[t.doc]
+        if scoring:
+            bottom = (counts + 1.0) / (v.tokens + v.types + 1.0)
+            self.p, self.base, self.known = bottom[t.word], np.log10(bottom)[t.word], (counts > 0)[t.word]
+            self.depth = np.arange(len(t.word)) - np.repeat(t.first, t.n)
         # level 2: the context is the word before, or the beginning, which occurs once a text
-        ends = int(counts[np.searchsorted(t.keys, END)])
         self.context = np.roll(t.word, 1)
-        self.context[t.first] = len(t.keys)
+        self.context[t.first] = len(counts)
         self.context_id = np.append(np.where(ids > 0, ids, -1), v.begin)
-        self.total = np.append(counts, ends)
-
-    def entries(self) -> None:
-        """The distinct (context, word), by ids ascending, and which of them are asked for."""
-        t = self.t
-        order = order_by(self.context, t.word)
-        c, w = self.context[order], t.word[order]
-        new = np.ones(len(c), bool)
-        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        self.place = np.empty(len(c), np.int64)
-        self.place[order] = np.cumsum(new) - 1
-        self.c, self.w = c[new], w[new]
-        self.sums = np.bincount(self.place[t.train], minlength=len(self.c))
-        self.asked = np.flatnonzero((self.context_id[self.c] >= 0) & (self.word_id[self.w] > 0))
-
-    def by_shard(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """The asked entries, shard by shard, and the bounds of the shards."""
-        x = self.context_id[self.c[self.asked]].astype(U64) * _ODD + self.word_id[self.w[self.asked]].astype(U64)
-        shard = ((mix(x) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-        order = order_by(shard)
-        return self.asked[order], np.searchsorted(shard[order], np.arange(buckets + 1))
-
-    def settle(self, answers: list[dict], level: int, buckets: int, last: bool) -> None:
+        self.total = np.append(counts, counts[t.end])
+
+    def entries(self, buckets: int) -> None:
+        """The distinct (context, word), by ids ascending; those that are asked for, shard by shard, with the ids of
+        context and word, and the bounds of the shards."""
+        self.c, self.w, self.place = distinct(self.context, self.t.word)
+        context, word = self.context_id[self.c], self.word_id[self.w]
+        ask = (context >= 0) & (word > 0)
+        context, word = context[ask].astype(U64), word[ask].astype(np.uint32)
+        shard = ((mix(context * _ODD + word) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        order = np.argsort(shard, kind="stable")  # by radix where shards are few
+        self.asked, self.asked_context, self.asked_word = np.flatnonzero(ask)[order], context[order], word[order]
+        self.bounds = np.cumsum([0, *np.bincount(shard, minlength=buckets)])
+
+    def settle(self, answers: list[dict], level: int, last: bool) -> None:
         """Takes what the shards answered for this level; unless it is the last, moves to the next one."""
-        asked, at = self.by_shard(buckets)
-        total, strength = self.total[self.c], self.v.strength
-        count, ids = np.zeros(len(self.c), np.int64), np.full(len(self.c), -1)
-        if len(asked) and not last:
-            each = [dec(r["counts"], np.int64) for r in answers]
-            count[asked] = np.concatenate(each)
-            ids[asked] = np.concatenate([_placed(r["ranks"], x > 0, self.v.levels[level].offset[r["bucket"]], -1) for r, x in zip(answers, each, strict=True)])
+        asked = self.asked
         if self.scoring:
-            code = np.full(len(count), Level.NONE, np.uint16)
+            code = np.full(len(self.c), Level.NONE, np.uint16)
             if len(asked):
                 code[asked] = np.concatenate([dec(r["codes"], np.uint16) for r in answers])
-            direct, rest = _POWERS[code], strength / (total + strength)
-            longer = direct[self.place] + rest[self.place] * self.p
+            rest = self.v.strength / (self.total + self.v.strength)
+            longer = _POWERS[code[self.place]] + rest[self.context] * self.p
             self.p = np.where(self.depth >= level - 2, longer, self.p)  # near the beginning the shorter context is all there is
         if last:
             return
-        # the context of a token is the entry of the token before it, numbered by id; the first of a text has none
-        order = order_by(ids + 1)
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
+        # the context of a token is the entry of the token before it, numbered by id; the first of a text has none.
+        # Shards and what they hold are in the order of ids, so the asked entries are, too
+        count = ids = np.zeros(0, np.int64)
+        if len(asked):
+            each = [dec(r["counts"], np.int64) for r in answers]
+            count = np.concatenate(each)
+            ids = np.concatenate([_placed(r["ranks"], x > 0, self.v.levels[level].offset[r["bucket"]], -1) for r, x in zip(answers, each, strict=True)])
+        there = ids >= 0
+        found = asked[there]
+        rank, none = np.ones(len(self.c), bool), len(self.c) - len(found)
+        rank[found] = False
+        rank = np.cumsum(rank) - 1
+        rank[found] = np.arange(none, len(self.c))
         self.context = np.roll(rank[self.place], 1)
-        self.context[self.t.first] = len(ids)
-        self.context_id = np.append(np.where(count[order] > 0, ids[order], -1), -1)
-        self.total = np.append(count[order], 0)
+        self.context[self.t.first] = len(self.c)
+        self.context_id = np.concatenate([np.full(none, -1), ids[there], [-1]])
+        self.total = np.concatenate([np.zeros(none, np.int64), count[there], [0]])
 
 
 def _descend(s: Seg, answers: list[dict], v: _Vocabulary, buckets: int, level: int, last: bool) -> _Walk:
@@ -208,12 +227,30 @@ def _descend(s: Seg, answers: list[dict], v: _Vocabulary, buckets: int, level: i
         by_level.setdefault(r["level"], []).append(r)
     x = _Walk(s, by_level[1], v, last)
     for k in range(2, level + 1):
-        x.entries()
+        x.entries(buckets)
         if k < level or last:
-            x.settle(by_level.get(k, []), k, buckets, last and k == level)
+            x.settle(by_level.get(k, []), k, last and k == level)
     return x
 
 
+def _ask(s: Seg, answers: list[dict], v: _Vocabulary, buckets: int, level: int):
+    x = _descend(s, answers, v, buckets, level, False)
+    sums = np.bincount(x.place[x.t.train], minlength=len(x.c))[x.asked]
+    context = x.c[x.asked]
+    total = x.total[context]
+    for b, (i, j) in enumerate(zip(x.bounds[:-1], x.bounds[1:], strict=True)):
+        if i < j:
+            new = np.append(True, context[i + 1 : j] != context[i : j - 1])
+            yield {"bucket": b, "seg": s.seg, "contexts": enc_sorted(x.asked_context[i:j]), "words": enc(x.asked_word[i:j]), "counts": enc(sums[i:j]), "totals": enc(total[i:j][new])}
+
+
+def _finish(s: Seg, answers: list[dict], v: _Vocabulary, buckets: int, order: int):
+    x = _descend(s, answers, v, buckets, order, True)
+    t, n = x.t, len(s.ids)
+    sums = lambda a: np.bincount(t.doc, a, n)
+    yield {"doc_id": s.ids, "held_out": t.held, "n_tokens": t.n, "n_known": sums(x.known).astype(np.int64), "train_tokens": np.full(n, v.tokens), "base_score": sums(x.base), "score": sums(np.log10(x.p))}
+
+
 def _build(rows: list[dict], strength: float, last: bool):
     """Counts a shard's entries, stores them as a level of the trie, and looks up in it what each segment asked for."""
     c, w = [dec_sorted(r["contexts"]) for r in rows], [dec(r["words"], np.uint32) for r in rows]
@@ -250,35 +287,18 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCORED: for each document the log10 probability under the model, and under its bottom alone."""
-    segs = Segments(docs, id_col, text_col)
+    segs = Segments(docs, id_col, text_col, form=_tokenised)
     words = by_bucket(segs.emit(_emit_words, "bucket int, seg long, keys binary, counts binary"), _count_words, WORDS, "words", segs.buckets)
     v = _Vocabulary(words, strength)
     answers = words.select("seg", "bucket", F.lit(1).alias("level"), F.lit(None).cast("binary").alias("codes"), "ranks", "counts")
 
     for level in range(2, order + 1):
-
-        def ask(s: Seg, got: list[dict], buckets: int, level=level):
-            x = _descend(s, got, v, buckets, level, False)
-            asked, at = x.by_shard(buckets)
-            for b in range(buckets):
-                i = asked[at[b] : at[b + 1]]
-                if len(i):
-                    c = x.c[i]
-                    each = c[np.append(True, c[1:] != c[:-1])]
-                    yield {"bucket": b, "seg": s.seg, "contexts": enc_sorted(x.context_id[c].astype(U64)), "words": enc(x.word_id[x.w[i]].astype(np.uint32)), "counts": enc(x.sums[i]), "totals": enc(x.total[each])}
-
         last = level == order
         led = answers.withColumn("codes", F.lit(None).cast("binary"))  # probabilities lead to no context
-        asked = segs.with_answers(led, ask, ASKED)
+        asked = segs.with_answers(led, lambda s, got, buckets, level=level: _ask(s, got, v, buckets, level), ASKED)
         found = by_bucket(asked, lambda rows, last=last: _build(rows, strength, last), ANSWER, "trie", segs.buckets)
         if not last:
             v.levels[level] = _Ids(found, 0)
         answers = answers.unionByName(found.select("seg", "bucket", F.lit(level).alias("level"), "codes", "ranks", "counts"))
 
-    def finish(s: Seg, got: list[dict], buckets: int):
-        x = _descend(s, got, v, buckets, order, True)
-        t, n = x.t, len(s.ids)
-        sums = lambda a: np.bincount(t.doc, a, n)
-        yield {"doc_id": s.ids, "held_out": t.held, "n_tokens": t.n, "n_known": sums(x.known).astype(np.int64), "train_tokens": np.full(n, v.tokens), "base_score": sums(np.log10(x.bottom)), "score": sums(np.log10(x.p))}
-
-    return segs.with_answers(answers, finish, SCORED)
+    return segs.with_answers(answers, lambda s, got, buckets: _finish(s, got, v, buckets, order), SCORED)

@@ -9,6 +9,7 @@ one entry per segment, however often it occurs, so no key can fill a task.
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,20 +77,25 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return by_bytes(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
-def _pack(batches, cap):
+def _squeezed(lens: list, blob: bytes) -> bytes:
+    return squeeze(blob)
+
+
+def _pack(batches, cap, form):
     base = TaskContext.get().partitionId() << 32
     for k, (ids, lens, blob) in enumerate(packs(batches, cap)):
-        yield pa.RecordBatch.from_pydict({"seg": [base + k], "ids": pa.array([ids], pa.list_(pa.int64())), "lens": pa.array([lens], pa.list_(pa.int32())), "raw": [len(blob)], "blob": pa.array([squeeze(blob)], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"seg": [base + k], "ids": pa.array([ids], pa.list_(pa.int64())), "lens": pa.array([lens], pa.list_(pa.int32())), "raw": [len(blob)], "blob": pa.array([form(lens, blob)], pa.binary())})
 
 
 class Segments:
     """Packed documents in the shared folder, bucketed by segment, with the number of key buckets that suits them."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = 2):
-        """spread: least buckets for each partition of a shuffle; more of them are smaller."""
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = 2, form: Callable[[list, bytes], bytes] = _squeezed):
+        """spread: least buckets for each partition of a shuffle; more of them are smaller. form: what is stored of the
+        byte lengths and texts of a segment, if not the texts."""
         spark = docs.sparkSession
         cap, each = (int(spark.conf.get(f"spark.ledgerlight.{k}Bytes", str(v))) for k, v in (("segment", SEGMENT_BYTES), ("bucket", BUCKET_BYTES)))
-        self.df = bucketed(texts_of(docs, id_col, text_col).mapInArrow(lambda b: _pack(b, cap), SCHEMA), "segments", "seg", partitions(spark))
+        self.df = bucketed(texts_of(docs, id_col, text_col).mapInArrow(lambda b: _pack(b, cap, form), SCHEMA), "segments", "seg", partitions(spark))
         total = self.df.agg(F.sum("raw")).first()[0] or 0
         self.buckets = max(spread * partitions(spark), -(-total * spread // (2 * each)))
 
@@ -131,9 +137,13 @@ class Seg:
         self.null = np.array([x is None for x in row["lens"]])
         self.lens = np.array([x or 0 for x in row["lens"]], np.int64)
         self.order = np.array([NO_ID if x is None else x for x in self.ids], np.int64)
-        self.blob = np.frombuffer(expand(row["blob"]), np.uint8)
+        self.stored = row["blob"]
         self.starts = np.cumsum(self.lens + 1) - self.lens - 1
 
+    @functools.cached_property
+    def blob(self) -> np.ndarray:
+        return np.frombuffer(expand(self.stored), np.uint8)
+
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "float": pa.float32()}
 

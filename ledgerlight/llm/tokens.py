@@ -129,6 +129,34 @@ def order_by(*keys: np.ndarray) -> np.ndarray:
     return (np.sort((head << place) | spot) & ((U64(1) << place) - U64(1))).astype(np.int64)
 
 
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of two arrays of numbers from 0 on, ascending, and for each pair the place of its value."""
+    n = len(a)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low, mid = U64(max(n - 1, 1).bit_length()), U64(int(b.max()).bit_length())
+    new = np.ones(n, bool)
+    if int(a.max()).bit_length() + int(mid) + int(low) <= 64:
+        packed = a.astype(U64) << mid
+        packed |= b.astype(U64)
+        packed <<= low
+        packed |= np.arange(n, dtype=U64)
+        packed.sort()
+        order = (packed & ((U64(1) << low) - U64(1))).astype(np.int64)
+        packed >>= low
+        np.not_equal(packed[1:], packed[:-1], out=new[1:])
+        pairs = packed[new]
+        out = (pairs >> mid).astype(np.int64), (pairs & ((U64(1) << mid) - U64(1))).astype(np.int64)
+    else:
+        order = order_by(a, b)
+        x, y = a[order], b[order]
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        out = x[new].astype(np.int64), y[new].astype(np.int64)
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    return *out, place
+
+
 def _hash_order(keys: np.ndarray) -> np.ndarray:
     """The order of hashes: by their upper bits, with places in the lower ones, unless those decide."""
     mask = (U64(1) << U64(max(len(keys) - 1, 1).bit_length())) - U64(1)

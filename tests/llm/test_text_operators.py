@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from ledgerlight.llm import chunks, decontaminate, eliasfano, graph, ngrams, pii, repeats, similar, suffixes, tokens
+from ledgerlight.llm.segments import Seg
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -161,6 +162,23 @@ def test_language_model(docs, rows, empty, order):
     assert ngrams.score(empty, order=order).count() == 0
 
 
+def test_texts_are_tokenised_once(monkeypatch):
+    texts = [None, "b a  B c\n", "", "É " * 70000, "a"]
+    blob = "".join((t or "") + "\n" for t in texts).encode()
+    lens = [None if t is None else len(t.encode()) for t in texts]
+    row = {"seg": 3, "ids": [4, 5, 6, None, 8], "lens": lens, "blob": ngrams._tokenised(lens, blob)}
+    monkeypatch.setattr(ngrams, "Words", None)
+    t = ngrams._Tokens(Seg(row))
+    words = [[*SOLID.findall((x or "").translate(LOW)), None] for x in texts]
+    assert t.n.tolist() == [len(w) for w in words] and t.first.tolist() == [0, 1, 6, 7, 70008]
+    names = {}
+    for place, w in zip(t.word.tolist(), sum(words, []), strict=True):
+        assert names.setdefault(place, w) == w
+    assert len(names) == len(set(names.values())) == len(t.keys()) and names[int(t.end)] is None
+    assert t.train.sum() == sum(len(w) for i, w in zip(row["ids"], words, strict=True) if i is not None and zlib.crc32(str(i).encode()) % 7 != 2)
+    assert sum(len(ngrams.dec(r["counts"], np.int64)) for r in ngrams._emit_words(Seg(row), 5)) == len(names)
+
+
 def test_orders_by_packed_numbers():
     rng = np.random.default_rng(9)
     for top in (3, 1000, 1 << 30, 1 << 62):
@@ -202,6 +220,32 @@ def test_trie_level_round_trip():
     assert (s.get(np.arange(n)) == values).all() and (s.successor(asked) == np.searchsorted(values, asked)).all()
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 700, 20000])
+def test_many_queries_of_a_trie_level_scan_its_bits_once(size, monkeypatch):
+    rng = np.random.default_rng(size)
+    pairs = np.unique(rng.integers(0, 1 << 16, (size, 2)) // np.array([1 << 8, 1]), axis=0).astype(np.uint64)
+    level = eliasfano.Level.mapped(eliasfano.Level.pack(pairs[:, 0], pairs[:, 1], -rng.random(len(pairs))))
+    asked = np.unique(np.concatenate([pairs, rng.integers(0, 1 << 17, (size, 2)).astype(np.uint64)]), axis=0)
+    place = {tuple(x): i for i, x in enumerate(pairs.tolist())}
+    want = np.array([place.get(tuple(x), -1) for x in asked.tolist()], int)
+    counted, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: counted.append(np.size(x)) or count(x))
+    assert (level.find(asked[:, 0], asked[:, 1]) == want).all()
+    assert sum(counted) <= 2 * size  # it was 100 words and more for each query
+    assert [level.find(*asked[i : i + 1].T)[0] for i in range(0, len(asked), 97)] == want[::97].tolist()
+
+
+def test_distinct_pairs():
+    rng = np.random.default_rng(4)
+    for top in (1, 50, 1 << 20, 1 << 30):  # the last ones don't fit one word with their places
+        a, b = rng.integers(0, top, (2, 3000))
+        a, b = np.append(a, a[:500]), np.append(b, b[:500])
+        x, y, place = tokens.distinct(a, b)
+        assert list(zip(x.tolist(), y.tolist(), strict=True)) == sorted(set(zip(a.tolist(), b.tolist(), strict=True)))
+        assert (x[place] == a).all() and (y[place] == b).all()
+    assert all(len(x) == 0 for x in tokens.distinct(a[:0], b[:0]))
+
+
 # ---- chunks
 
 
