@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import html as H
 from ..operators import pages as P
+from ..plans.spread import dealt
 from .registry import query, table
 
 _CLEAN = "html"
@@ -57,7 +58,7 @@ def q69_crawl(spark, sf_dir):
 
 @query()
 def q70_html_sections(spark, sf_dir):
-    s = table(spark, sf_dir, "pages").select("page_id", F.posexplode(P.sections("html")).alias("pos", "s"))
+    s = dealt(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.posexplode(P.sections("html")).alias("pos", "s"))
     return s.select("page_id", "pos", "s.heading", "s.text", F.size("s.items").alias("n_items"))
 
 
@@ -92,7 +93,7 @@ def q72_site_records(spark, sf_dir):
 
 
 def _written(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_HTML).alias("html"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey")).select(F.col("p_partkey").alias("page_id"), F.expr(_HTML).alias("html"))
 
 
 @query("select p_partkey as page_id, 'Loan' as title, 'Loan ' || p_partkey || ' for all' as description from part")
