@@ -1,5 +1,7 @@
 """Queries whose work a large table would put into one task, or into one key's aggregates."""
 
+import re
+
 import pytest
 
 from ledgerlight.catalogue import QUERIES
@@ -23,3 +25,12 @@ def test_dealt_knows_no_size_but_that_of_many_splits_a_core(spark, monkeypatch):
     assert spread.dealt(rows).rdd.getNumPartitions() == 25
     monkeypatch.setattr(spread, "_size", lambda _: 1 << 50)
     assert "Exchange" not in _plan(spread.dealt(rows))
+
+
+def test_sketches_are_not_held_for_each_part(spark, tmp_path):
+    held = [x for x in _plan(QUERIES["q93_approximate"](spark, SF)).splitlines() if "Aggregate(" in x and "percentile" in x]
+    assert held and not any("l_partkey" in re.search(r"keys?=\[(.*?)\]", x)[1] for x in held)
+    li = spark.createDataFrame([(f, k, float(q)) for f in ("A", None) for k, q in ((1, 1), (2, 5), (2, 9), (None, 5))], "l_returnflag string, l_partkey long, l_quantity double")
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["q93_approximate"](spark, str(tmp_path)).collect()
+    assert {r.l_returnflag for r in got} == {"A", None} and all(r.parts_near and r.median_near for r in got)
