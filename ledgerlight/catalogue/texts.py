@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..operators.rules import answer_without_data
+from ..plans.spread import dealt
 from . import cases
 from .registry import query, table
 
@@ -64,7 +65,7 @@ _Q = f"with a as (select c_custkey as id, {_SAID} as s from customer), q as (sel
 
 
 def _asked(spark, sf_dir):
-    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(F.array(F.expr(_SAID))).alias("s"))
+    s = dealt(table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("id"), F.explode(F.array(F.expr(_SAID))).alias("s"))
     return X.computed(s, "t", X.normalise(F.col("s")))
 
 
@@ -202,7 +203,7 @@ _N = f"with q as (select p_partkey as id, {_VALUE} as s, lower({_VALUE}) as t fr
 
 
 def _written(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(F.array(F.expr(_VALUE))).alias("s"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey")).select(F.col("p_partkey").alias("id"), F.explode(F.array(F.expr(_VALUE))).alias("s"))
 
 
 def _money(x: str) -> str:
@@ -306,7 +307,7 @@ _MONTHLY = _monthly(_money(_AS_MEANT))
     + " select id, coalesce(nullif(n0, 0), nullif(n1, 0), nullif(n2, 0)) as income, coalesce(r0, r1)[1] as age_from, coalesce(r0, r1)[2] as age_to, case when low > 0 and high > 0 and low <= high then low end as amount_from, case when low > 0 and high > 0 and low <= high then high end as amount_to, score, case when fee > 0 and fee < 10 then fee end as fee from f"
 )
 def q52_page_terms(spark, sf_dir):
-    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.explode(F.array(F.expr(_PAGE))).alias("page"))
+    t = dealt(table(spark, sf_dir, "orders").select("o_orderkey")).select(F.col("o_orderkey").alias("id"), F.explode(F.array(F.expr(_PAGE))).alias("page"))
     x = X.loan_terms(F.col("page"))
     pair = lambda k, i: F.get(x[k], F.lit(i))
     return t.select("id", x["min_income"].alias("income"), pair("age_range", 0).alias("age_from"), pair("age_range", 1).alias("age_to"), pair("loan_amount", 0).alias("amount_from"), pair("loan_amount", 1).alias("amount_to"), x["min_cibil"].alias("score"), x["processing_fee_pct"].alias("fee"))

@@ -24,21 +24,27 @@ def bound(value: Column, fn) -> Column:
 
 def whole(x: Column) -> Column:
     """A number without decimals, as text; halves to even."""
-    return F.when(x.isNotNull(), F.format_string("%.0f", F.rint(x)))
+    return bound(x, lambda v: F.when(v.isNotNull(), F.format_string("%.0f", F.rint(v))))
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match; null without one."""
-    return F.nullif(F.regexp_extract(text, "(?i)" + pattern, group), F.lit(""))
+    """The group of the first match; null without one. Bound, as a value that is named twice in a branch is read twice,
+    and values are found in what was found: without it a row would cost some power of two of searches."""
+    return bound(F.regexp_extract(text, "(?i)" + pattern, group), lambda x: F.when(x != "", x))
 
 
 def number(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match as a number; commas are ignored."""
-    return F.regexp_replace(found(text, pattern, group), ",", "").try_cast("double")
+    return F.replace(found(text, pattern, group), F.lit(","), F.lit("")).try_cast("double")
+
+
+def told(text: Column, pattern: str, read, group: int = 1) -> Column:
+    """What read makes of the group of the first match; null without one."""
+    return bound(found(text, pattern, group), lambda x: F.when(x.isNotNull(), read(x)))
 
 
 def between(x: Column, low: float, high: float) -> Column:
-    return F.when((x >= low) & (x <= high), x)
+    return bound(x, lambda v: F.when((v >= low) & (v <= high), v))
 
 
 def says(text: Column, pattern: str) -> Column:
@@ -55,17 +61,21 @@ def first_pattern(text: Column, table, default: str | None = None) -> Column:
 
 def first_phrase(text: Column, table, default: str | None = None) -> Column:
     """The name of the first phrase of (phrase, name) that lower-cased text contains."""
-    out = F.lit(default)
-    for phrase, name in reversed(table):
-        out = F.when(F.contains(F.lower(text), F.lit(phrase)), F.lit(name)).otherwise(out)
-    return out
+
+    def first(t: Column) -> Column:
+        out = F.lit(default)
+        for phrase, name in reversed(table):
+            out = F.when(F.contains(t, F.lit(phrase)), F.lit(name)).otherwise(out)
+        return out
+
+    return bound(F.lower(text), first)
 
 
 def distinct_words(text: Column) -> Column:
     """Words in order, each once up to case, in its first spelling."""
     words = F.filter(F.split(text, "\\s+"), lambda x: x != "")
-    both = F.struct(words.alias("w"), F.transform(words, F.lower).alias("l"))
-    return bound(both, lambda b: F.array_join(F.filter(b["w"], lambda x, i: F.array_position(b["l"], F.lower(x)) == i + 1), " "))
+    first = lambda w, lower: F.array_join(F.filter(w, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1), " ")
+    return bound(words, lambda w: bound(F.transform(w, F.lower), lambda lower: first(w, lower)))
 
 
 # Informal words and what stands in for them, in the order in which they are replaced.
@@ -152,7 +162,7 @@ def normalise(q: Column, for_models: bool = False) -> Column:
 
 
 def lenders(q: Column) -> Column:
-    return F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(F.lower(q), F.lit(k)), F.lit(v)) for k, v in LENDERS])))
+    return bound(F.lower(q), lambda x: F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(x, F.lit(k)), F.lit(v)) for k, v in LENDERS]))))
 
 
 def income(q: Column) -> Column:
@@ -177,14 +187,12 @@ def age(q: Column) -> Column:
 
 
 def experience_months(q: Column) -> Column:
-    y = found(q, EXPERIENCE).try_cast("int")
-    return F.when((y > 0) & (y < 50), y * 12)
+    return bound(found(q, EXPERIENCE).try_cast("int"), lambda y: F.when((y > 0) & (y < 50), y * 12))
 
 
 def dti(q: Column) -> Column:
-    x = number(q, "\\bdti\\s*(?:of|is|=)?\\s*(\\d+)%?")
-    x = F.when(x > 1.5, x / 100).otherwise(x)
-    return F.when((x > 0) & (x < 1), F.round(x, 3))
+    x = bound(number(q, "\\bdti\\s*(?:of|is|=)?\\s*(\\d+)%?"), lambda v: F.when(v > 1.5, v / 100).otherwise(v))
+    return bound(x, lambda v: F.when((v > 0) & (v < 1), F.round(v, 3)))
 
 
 def employment(q: Column) -> Column:
@@ -277,63 +285,78 @@ def money(t: Column, as_coded: bool = False) -> Column:
     words for factors are never read."""
     x = F.lower(F.trim(t))
     x = F.trim(F.regexp_replace(x, "[₹,\\s/month/year]", " ")) if as_coded else F.regexp_replace(x, "[₹,]", "")
-    plain = number(F.replace(x, F.lit(" "), F.lit("")), "([\\d,]+(?:\\.\\d+)?)")
-    scaled = [number(x, p) * by for p, by in (("([\\d.]+)\\s*cr(?:ore)?", 1e7), ("([\\d.]+)\\s*la(?:kh|c|cs)?", 1e5), ("([\\d.]+)\\s*(?:thousand|k)\\b", 1e3))]
-    return F.coalesce(*scaled, plain)
+
+    def read(x: Column) -> Column:
+        plain = number(F.replace(x, F.lit(" "), F.lit("")), "([\\d,]+(?:\\.\\d+)?)")
+        scaled = [number(x, p) * by for p, by in (("([\\d.]+)\\s*cr(?:ore)?", 1e7), ("([\\d.]+)\\s*la(?:kh|c|cs)?", 1e5), ("([\\d.]+)\\s*(?:thousand|k)\\b", 1e3))]
+        return F.coalesce(*scaled, plain)
+
+    return bound(x, read)
 
 
 def percent(t: Column) -> Column:
-    x = number(t, "(\\d+(?:\\.\\d+)?)\\s*%")
-    return F.when((x > 0) & (x < 100), x)
+    return bound(number(t, "(\\d+(?:\\.\\d+)?)\\s*%"), lambda x: F.when((x > 0) & (x < 100), x))
 
 
 def rate_range(t: Column) -> Column:
     """[low, high]: an explicit range, else least and greatest of all percentages."""
     pattern = "(\\d+(?:\\.\\d+)?)\\s*%?\\s*(?:to|–|—|-|upto|up\\s*to)\\s*(\\d+(?:\\.\\d+)?)\\s*%"
-    a, b = (number(t, pattern, g) for g in (1, 2))
+    pair = F.struct(*[number(t, pattern, g).alias(n) for g, n in ((1, "a"), (2, "b"))])
     every = F.filter(F.transform(F.regexp_extract_all(t, F.lit("(\\d+(?:\\.\\d+)?)\\s*%"), F.lit(1)), lambda s: s.cast("double")), lambda x: (x > 0) & (x < 100))
-    return F.when((F.least(a, b) > 0) & (F.greatest(a, b) < 100), F.array(F.least(a, b), F.greatest(a, b))).when(F.size(every) > 0, F.array(F.array_min(every), F.array_max(every)))
+    explicit = bound(pair, lambda r: F.when((F.least(r["a"], r["b"]) > 0) & (F.greatest(r["a"], r["b"]) < 100), F.array(F.least(r["a"], r["b"]), F.greatest(r["a"], r["b"]))))
+    return F.coalesce(explicit, bound(every, lambda x: F.when(F.size(x) > 0, F.array(F.array_min(x), F.array_max(x)))))
 
 
 def tenure_months(t: Column) -> Column:
-    x = F.lower(F.trim(t))
-    years, months, bare = number(x, "(\\d+(?:\\.\\d+)?)\\s*(?:year|yr)"), number(x, "(\\d+)\\s*(?:month|mo\\b)"), number(x, "^\\s*(\\d+)\\s*$")
-    return F.coalesce(years * 12, months, F.when(bare <= 30, bare * 12).otherwise(bare)).cast("int")
+
+    def read(x: Column) -> Column:
+        years, months = number(x, "(\\d+(?:\\.\\d+)?)\\s*(?:year|yr)"), number(x, "(\\d+)\\s*(?:month|mo\\b)")
+        bare = bound(number(x, "^\\s*(\\d+)\\s*$"), lambda n: F.when(n <= 30, n * 12).otherwise(n))
+        return F.coalesce(years * 12, months, bare).cast("int")
+
+    return bound(F.lower(F.trim(t)), read)
 
 
 def tenure_range(t: Column, as_coded: bool = False) -> Column:
     """[low, high] months. Documented reading: a bare number takes the unit of the part on its right; as coded it is
     read by itself, small numbers as years. Zero months are none."""
-    parts = F.split(F.lower(t), "\\s*(?:to|–|—|-)\\s*")
-    left, right = F.get(parts, 0), F.get(parts, 1)
-    if not as_coded:
-        unit = F.regexp_extract(right, "(year|yr|month|mo\\b)", 1)
-        left = F.when(left.rlike("^\\s*\\d+\\s*$") & (unit != ""), F.concat(F.trim(left), F.lit(" "), unit)).otherwise(left)
-    read = F.struct((F.size(parts) == 2).alias("two"), tenure_months(left).alias("lo"), tenure_months(right).alias("hi"), tenure_months(t).alias("one"))
-    ordered = lambda r: F.array(F.least(r["lo"], r["hi"]), F.greatest(r["lo"], r["hi"]))
-    return bound(read, lambda r: F.when(r["two"] & (r["lo"] != 0) & (r["hi"] != 0), ordered(r)).when(r["one"] != 0, F.array(r["one"], r["one"])))
+
+    def pair(parts: Column) -> Column:
+        left, right = F.get(parts, 0), F.get(parts, 1)
+        if not as_coded:
+            unit = F.regexp_extract(right, "(year|yr|month|mo\\b)", 1)
+            left = F.when(left.rlike("^\\s*\\d+\\s*$") & (unit != ""), F.concat(F.trim(left), F.lit(" "), unit)).otherwise(left)
+        both = F.struct(tenure_months(left).alias("lo"), tenure_months(right).alias("hi"))
+        ordered = lambda r: F.array(F.least(r["lo"], r["hi"]), F.greatest(r["lo"], r["hi"]))
+        return F.when(F.size(parts) == 2, bound(both, lambda r: F.when((r["lo"] != 0) & (r["hi"] != 0), ordered(r))))
+
+    one = bound(tenure_months(t), lambda m: F.when(m != 0, F.array(m, m)))
+    return F.coalesce(bound(F.split(F.lower(t), "\\s*(?:to|–|—|-)\\s*"), pair), one)
 
 
 def age_range(t: Column) -> Column:
     """[low, high]: a range, a least age (up to 65), else least and greatest of several two-digit ages."""
-    lo, hi = (found(t, "(\\d+)\\s*(?:to|–|—|-)\\s*(\\d+)", g).try_cast("int") for g in (1, 2))
+    pair = F.struct(*[found(t, "(\\d+)\\s*(?:to|–|—|-)\\s*(\\d+)", g).try_cast("int").alias(n) for g, n in ((1, "lo"), (2, "hi"))])
     least = found(t, "(?:min(?:imum)?|at\\s*least)\\s*(\\d+)").try_cast("int")
     ages = F.filter(F.transform(F.regexp_extract_all(t, F.lit("\\b(\\d{2})\\b"), F.lit(1)), lambda x: x.cast("int")), lambda x: (x >= 18) & (x <= 80))
-    return (
-        F.when((lo >= 18) & (lo <= hi) & (hi <= 80), F.array(lo, hi))
-        .when((least >= 18) & (least <= 40), F.array(least, F.lit(65)))
-        .when(F.size(ages) > 1, F.array(F.array_min(ages), F.array_max(ages)))
+    return F.coalesce(
+        bound(pair, lambda r: F.when((r["lo"] >= 18) & (r["lo"] <= r["hi"]) & (r["hi"] <= 80), F.array(r["lo"], r["hi"]))),
+        bound(least, lambda x: F.when((x >= 18) & (x <= 40), F.array(x, F.lit(65)))),
+        bound(ages, lambda x: F.when(F.size(x) > 1, F.array(F.array_min(x), F.array_max(x)))),
     )
 
 
 def monthly_income(t: Column, as_coded: bool = False) -> Column:
     """Lakhs a year, an amount a month, else a bare amount: yearly if large, none if small."""
-    x = F.lower(t)
-    lakhs = F.coalesce(number(x, "([\\d.]+)\\s*lpa\\b"), number(x, "([\\d.]+)\\s*lakh.*?(?:per\\s*annum|pa\\b|annually)"))
-    pattern = "(?:₹|rs\\.?)?\\s*([\\d,]+(?:\\.\\d+)?)\\s*(k\\b|thousand)?\\s*(?:per\\s*month|monthly|pm\\b|/month)"
-    named = number(x, pattern) * F.when(found(x, pattern, 2).isNotNull(), 1e3).otherwise(1.0)
+
+    def read(x: Column) -> Column:
+        lakhs = F.coalesce(number(x, "([\\d.]+)\\s*lpa\\b"), number(x, "([\\d.]+)\\s*lakh.*?(?:per\\s*annum|pa\\b|annually)"))
+        pattern = "(?:₹|rs\\.?)?\\s*([\\d,]+(?:\\.\\d+)?)\\s*(k\\b|thousand)?\\s*(?:per\\s*month|monthly|pm\\b|/month)"
+        named = number(x, pattern) * F.when(found(x, pattern, 2).isNotNull(), 1e3).otherwise(1.0)
+        return F.coalesce(F.round(lakhs * 1e5 / 12, 2), named)
+
     bare = bound(money(t, as_coded), lambda v: F.when(v > 5e5, F.round(v / 12, 2)).when(v >= 5e3, v))
-    return F.coalesce(F.round(lakhs * 1e5 / 12, 2), named, bare)
+    return F.coalesce(bound(F.lower(t), read), bare)
 
 
 def least_score(t: Column) -> Column:
@@ -351,7 +374,7 @@ EMPLOYMENT_KINDS = (
 
 
 def employment_kinds(t: Column) -> Column:
-    return F.array_distinct(F.array_compact(F.array(*[F.when(F.lower(t).rlike(p), F.lit(v)) for p, v in EMPLOYMENT_KINDS])))
+    return bound(F.lower(t), lambda x: F.array_distinct(F.array_compact(F.array(*[F.when(x.rlike(p), F.lit(v)) for p, v in EMPLOYMENT_KINDS]))))
 
 
 # Names of lenders in records, and in addresses, in order.
@@ -386,20 +409,18 @@ PAGE_FEE = "processing\\s*(?:fee|charge)\\s*(?:of|:)?\\s*([\\d.]+)\\s*%"
 
 def loan_terms(t: Column, as_coded: bool = False) -> dict[str, Column]:
     """The eight fields that a page's text may tell: each by the first pattern that gives a value, else null."""
-    low, high = (money(found(t, PAGE_AMOUNT, g), as_coded) for g in (1, 2))
-    high = F.when(found(t, PAGE_AMOUNT, 2).isNull(), low).otherwise(high)
-    fee = number(t, PAGE_FEE)
-    kinds = employment_kinds(t)
-    some = lambda x: F.when(x != 0, x)
+    some = lambda x: bound(x, lambda v: F.when(v != 0, v))
+    amounts = lambda low: F.struct(low.alias("low"), F.coalesce(told(t, PAGE_AMOUNT, lambda x: F.struct(money(x, as_coded).alias("x")), 2), F.struct(low.alias("x")))["x"].alias("high"))
+    ordered = lambda r: F.when((r["low"] > 0) & (r["high"] > 0) & (r["low"] <= r["high"]), F.array(r["low"], r["high"]))
     return {
         "interest_rate": rate_range(t),
-        "min_income": F.coalesce(*[some(monthly_income(found(t, p), as_coded)) for p in PAGE_INCOMES]),
-        "age_range": F.coalesce(*[age_range(found(t, p)) for p in PAGE_AGES]),
-        "loan_amount": F.when((low > 0) & (high > 0) & (low <= high), F.array(low, high)),
-        "tenure": tenure_range(found(t, PAGE_TENURE), as_coded),
-        "min_cibil": least_score(found(t, PAGE_SCORE)),
-        "processing_fee_pct": F.when((fee > 0) & (fee < 10), fee),
-        "employment_type": F.when(F.size(kinds) > 0, kinds),
+        "min_income": F.coalesce(*[told(t, p, lambda x: some(monthly_income(x, as_coded))) for p in PAGE_INCOMES]),
+        "age_range": F.coalesce(*[told(t, p, age_range) for p in PAGE_AGES]),
+        "loan_amount": told(t, PAGE_AMOUNT, lambda x: bound(money(x, as_coded), lambda low: bound(amounts(low), ordered))),
+        "tenure": told(t, PAGE_TENURE, lambda x: tenure_range(x, as_coded)),
+        "min_cibil": told(t, PAGE_SCORE, least_score),
+        "processing_fee_pct": bound(number(t, PAGE_FEE), lambda x: F.when((x > 0) & (x < 10), x)),
+        "employment_type": bound(employment_kinds(t), lambda x: F.when(F.size(x) > 0, x)),
     }
 
 

@@ -4,7 +4,10 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from ledgerlight.catalogue import QUERIES
+from ledgerlight.functions import extract as X
 from ledgerlight.plans import spread
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +37,14 @@ def test_sketches_are_not_held_for_each_part(spark, tmp_path):
     li.write.parquet(f"{tmp_path}/lineitem.parquet")
     got = QUERIES["q93_approximate"](spark, str(tmp_path)).collect()
     assert {r.l_returnflag for r in got} == {"A", None} and all(r.parts_near and r.median_near for r in got)
+
+
+@pytest.mark.parametrize("name", ["q45_query_reformulated", "q52_page_terms"])
+def test_texts_are_dealt_before_they_are_written(spark, name):
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_what_was_found_is_searched_once(spark):
+    """A search within what was found names it once: else a text would be searched again for each of its readings."""
+    plan = spark.createDataFrame([("t",)], "t string").select(X.loan_terms(F.col("t"))["min_income"].alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("earning))") == 1
