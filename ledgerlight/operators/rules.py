@@ -145,14 +145,22 @@ _EVALS = "array<struct<bank:string,bank_ord:int,ord:int,rule_id:string,field:str
 _TEXTS = "array<struct<passed:array<string>,failed:array<string>,missing:array<string>,summary:string,plain_summary:string>>"
 
 
+def _each(rows: DataFrame, values: Column | str, place: bool = False) -> DataFrame:
+    """profile_id and e, a row for each value, with its place i. Outer explodes: for a plain one Spark would first test
+    where rows are read whether there is a value, for which it would compute all of them there, twice in all."""
+    if place:
+        return rows.select("profile_id", F.posexplode_outer(values).alias("i", "e")).filter("i is not null")
+    return rows.select("profile_id", F.explode_outer(values).alias("e")).filter("e is not null")
+
+
 def long(evaluated: DataFrame) -> DataFrame:
     """A row for each profile, lender and rule."""
-    return evaluated.select("profile_id", F.explode("evals").alias("e")).select("profile_id", "e.*")
+    return _each(evaluated, "evals").select("profile_id", "e.*")
 
 
 def by_bank(evaluated: DataFrame) -> DataFrame:
     """A row for each profile and lender: counts, scores, eligibility, messages and a summary sentence."""
-    b = evaluated.select("profile_id", F.explode(F.arrays_zip("banks", "texts")).alias("x")).select("profile_id", "x.banks.*", "x.texts.*")
+    b = _each(evaluated, F.arrays_zip("banks", "texts")).select("profile_id", "e.banks.*", "e.texts.*")
     joined = {c: F.array_join(c, "; ") for c in ("passed", "failed", "missing")}
     return b.withColumns(joined).select("profile_id", "bank", "bank_ord", "n_pass", "n_fail", "n_missing", "critical_missing", "eligible", "rule_score", "final_score", "passed", "failed", "missing", "summary", "plain_summary")
 
@@ -207,7 +215,7 @@ def retrieval_confidence(scores: Column, count: Column) -> Column:
 
 def failure_summary(reasoned: DataFrame) -> DataFrame:
     """How often each category failed for a profile, over lenders."""
-    f = reasoned.select("profile_id", F.explode("fails").alias("e"))
+    f = _each(reasoned, "fails")
     return f.groupBy("profile_id", F.col("e.category").alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -216,7 +224,7 @@ def top_failures(reasoned: DataFrame, most: int = 5) -> DataFrame:
     key = lambda e: F.struct(e["priority"].alias("priority"), e["bank_ord"].alias("bank_ord"), e["ord"].alias("ord"), e["bank"].alias("bank"), e["field"].alias("field"), e["message"].alias("message"))
     ordered = F.array_sort(F.transform("fails", key))
     first = F.filter(ordered, lambda e: F.element_at(F.filter(ordered, lambda x: x["field"] == e["field"]), 1) == e)
-    e = reasoned.select("profile_id", F.posexplode(F.slice(first, 1, most)).alias("i", "e"))
+    e = _each(reasoned, F.slice(first, 1, most), place=True)
     return e.select("profile_id", (F.col("i") + 1).alias("rank"), "e.field", "e.bank", "e.message")
 
 
@@ -235,22 +243,22 @@ def validate(reasoned: DataFrame) -> DataFrame:
         issue(F.col("best_bank").isNotNull() & ~F.array_contains(F.split("eligible_banks", ","), F.col("best_bank")), "error", "best lender is not eligible", F.col("best_bank")),
         issue(F.col("critical_fail") & (F.col("decision") == "Eligible") & (F.col("n_eligible") == F.col("n_total")), "warning", "critical failures, all eligible"),
     )
-    return reasoned.select("profile_id", F.explode(F.array_compact(F.concat(each, whole))).alias("x")).select("profile_id", "x.*")
+    return _each(reasoned, F.array_compact(F.concat(each, whole))).select("profile_id", "e.*")
 
 
 def ranked(evaluated: DataFrame) -> DataFrame:
     """Lenders of each profile by whole percent of the final score, then in order; with their rates."""
     order = F.array_sort(F.transform("banks", lambda b: F.struct((-F.floor(b["final_score"] * 100 + 1e-9)).alias("s"), b["bank_ord"].alias("o"), b["bank"].alias("bank"), b["eligible"].alias("eligible"))))
-    r = evaluated.select("profile_id", F.posexplode(order).alias("i", "b"))
+    r = _each(evaluated, order, place=True)
     rates = F.create_map(*[F.lit(x) for kv in RATES.items() for x in kv])
-    return r.select("profile_id", (F.col("i") + 1).alias("rank"), F.col("b.bank").alias("bank"), (-F.col("b.s")).cast("int").alias("score"), F.col("b.eligible").alias("eligible"), F.coalesce(F.try_element_at(rates, F.lower("b.bank")), F.lit("N/A")).alias("rate"))
+    return r.select("profile_id", (F.col("i") + 1).alias("rank"), F.col("e.bank").alias("bank"), (-F.col("e.s")).cast("int").alias("score"), F.col("e.eligible").alias("eligible"), F.coalesce(F.try_element_at(rates, F.lower("e.bank")), F.lit("N/A")).alias("rate"))
 
 
 def standing(evaluated: DataFrame) -> DataFrame:
     """Lenders of each profile by rule score, then in order: profile_id, position, bank, rule_score."""
     order = F.array_sort(F.transform("banks", lambda b: F.struct((-b["rule_score"]).alias("s"), b["bank_ord"].alias("o"), b["bank"].alias("bank"))))
-    r = evaluated.select("profile_id", F.posexplode(order).alias("i", "b"))
-    return r.select("profile_id", (F.col("i") + 1).alias("position"), F.col("b.bank").alias("bank"), (-F.col("b.s")).alias("rule_score"))
+    r = _each(evaluated, order, place=True)
+    return r.select("profile_id", (F.col("i") + 1).alias("position"), F.col("e.bank").alias("bank"), (-F.col("e.s")).alias("rule_score"))
 
 
 def partial_report(reasoned: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .spread import dealt
+
 #: Portable between SQL engines.
 SQL = """select cast(c_custkey as bigint) as profile_id,
   cast(18 + c_custkey % 60 as double) as age,
@@ -16,4 +18,4 @@ from {customer}"""
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SQL, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return spark.sql(SQL, customer=dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal", "c_mktsegment")))

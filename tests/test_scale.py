@@ -48,3 +48,10 @@ def test_what_was_found_is_searched_once(spark):
     """A search within what was found names it once: else a text would be searched again for each of its readings."""
     plan = spark.createDataFrame([("t",)], "t string").select(X.loan_terms(F.col("t"))["min_income"].alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("earning))") == 1
+
+
+@pytest.mark.parametrize("name", ["q05_rule_failure_summary", "q06_rule_top_failures", "q08_rule_validation"])
+def test_customers_are_dealt_before_anything_is_computed(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Repartition") :]
+    assert "Filter" not in below and "named_struct" not in below
