@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from ..functions import uploads as U
 from ..operators import records as R
+from ..plans.spread import dealt
 from . import cases
 from .registry import query, table
 from .texts import _first, _got, _int, _num, _once, _within
@@ -19,7 +20,7 @@ AS_OF = "2026-01-01"
 
 
 def _uploaded(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(F.array(F.expr(_TEXT))).alias("s"))
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("id"), F.explode(F.array(F.expr(_TEXT))).alias("s"))
 
 
 _TYPE = _first("s", {

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .extract import between, distinct_words, first_pattern, found, number, whole
+from .extract import between, bound, distinct_words, first_pattern, found, number, whole
 
 # What a document is, in order.
 DOCUMENT_TYPES = (
@@ -104,7 +104,8 @@ def experience_months(t: Column, as_of: str) -> Column:
     """Years and months of service that are told, else months since joining (days by 30)."""
     years, months = found(t, SERVICE).try_cast("int"), F.coalesce(found(t, SERVICE, 2).try_cast("int"), F.lit(0))
     joined = F.floor(_days(t, JOINED, as_of) / 30).cast("int")
-    return F.coalesce(*[F.when((x > 0) & (x < 600), x) for x in (years * 12 + months, found(t, SERVICE_YEARS).try_cast("int") * 12, joined)])
+    plausible = lambda v: F.when((v > 0) & (v < 600), v)
+    return F.coalesce(*[bound(x, plausible) for x in (years * 12 + months, found(t, SERVICE_YEARS).try_cast("int") * 12, joined)])
 
 
 def _stripped(x: Column) -> Column:
@@ -113,17 +114,19 @@ def _stripped(x: Column) -> Column:
 
 def name(t: Column) -> Column:
     """Two words at least; the pattern reads any case, so that other words may pass for a name."""
-    return F.coalesce(*[F.when((F.regexp_count(x, F.lit("\\S+")) >= 2) & (F.length(x) <= 50), x) for x in (_stripped(found(t, p)) for p in NAMES)])
+    fits = lambda x: F.when((F.regexp_count(x, F.lit("\\S+")) >= 2) & (F.length(x) <= 50), x)
+    return F.coalesce(*[bound(_stripped(found(t, p)), fits) for p in NAMES])
 
 
 def employer(t: Column) -> Column:
-    sensitive = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
-    return F.coalesce(*[F.when(F.length(x).between(3, 60), x) for x in (F.regexp_replace(_stripped(sensitive(p)), "[.,]+$", "") for p in EMPLOYERS)])
+    sensitive = lambda p: bound(F.regexp_extract(t, p, 1), lambda x: F.when(x != "", x))
+    fits = lambda x: F.when((F.length(x) >= 3) & (F.length(x) <= 60), x)
+    return F.coalesce(*[bound(F.regexp_replace(_stripped(sensitive(p)), "[.,]+$", ""), fits) for p in EMPLOYERS])
 
 
 def pan_masked(t: Column) -> Column:
-    pan = F.nullif(F.regexp_extract(t, "\\b([A-Z]{5}[0-9]{4}[A-Z])\\b", 1), F.lit(""))
-    return F.concat(F.substring(pan, 1, 5), F.lit("****"), F.substring(pan, 10, 1))
+    pan = F.regexp_extract(t, "\\b([A-Z]{5}[0-9]{4}[A-Z])\\b", 1)
+    return bound(pan, lambda x: F.when(x != "", F.concat(F.substring(x, 1, 5), F.lit("****"), F.substring(x, 10, 1))))
 
 
 def loan_amount(t: Column) -> Column:
@@ -135,9 +138,8 @@ def balance(t: Column) -> Column:
 
 
 def ratio(t: Column) -> Column:
-    x = found(t, RATIO).try_cast("double")
-    x = F.when(x > 1.5, x / 100).otherwise(x)
-    return F.when((x > 0) & (x < 1), x)
+    x = bound(found(t, RATIO).try_cast("double"), lambda v: F.when(v > 1.5, v / 100).otherwise(v))
+    return bound(x, lambda v: F.when((v > 0) & (v < 1), v))
 
 
 def fields(t: Column, as_of: str) -> dict[str, Column]:
@@ -164,7 +166,7 @@ def with_tables(text: Column, told: Column) -> Column:
 def retrieval_query(asked: Column, profile: dict[str, Column], kind: Column) -> Column:
     """The applicant's own words with what the document adds, without repeats."""
     parts = [
-        F.nullif(F.trim(asked), F.lit("")),
+        bound(F.trim(asked), lambda x: F.when(x != "", x)),
         F.when(kind != "unknown", F.concat(F.lit("document: "), F.replace(kind, F.lit("_"), F.lit(" ")))),
         F.concat(F.lit("salary "), whole(profile["monthly_income"]), F.lit(" monthly income")),
         F.concat(F.lit("CIBIL credit score "), profile["credit_score"].cast("string")),

@@ -50,7 +50,7 @@ def test_what_was_found_is_searched_once(spark):
     assert plan.count("earning))") == 1
 
 
-@pytest.mark.parametrize("name", ["q05_rule_failure_summary", "q06_rule_top_failures", "q08_rule_validation"])
+@pytest.mark.parametrize("name", ["q05_rule_failure_summary", "q06_rule_top_failures", "q08_rule_validation", "q55_document_fields", "q5a_document_query"])
 def test_customers_are_dealt_before_anything_is_computed(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Repartition") :]
