@@ -21,15 +21,15 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(_parts(rows.sparkSession)) if _size(rows) <= SMALL_BYTES else rows
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """rows over all cores, for steps in which a row takes much more work than reading it: a file of hundreds of
+def dealt(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """rows over all cores, or so many parts, for steps in which a row takes much more work than reading it: a file of hundreds of
     megabytes can still have one row group or two. Only inputs of many splits a core are left as they are read. Rows
     should be narrow here: what can be made of them is made after they are dealt."""
     spark, size = rows.sparkSession, _size(rows)
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     if size > ENOUGH_SPLITS * spark.sparkContext.defaultParallelism * split:
         return rows
-    return rows.repartition(max(_parts(spark), -(-size // PART_BYTES)))
+    return rows.repartition(parts or max(_parts(spark), -(-size // PART_BYTES)))
 
 
 def _parts(spark: SparkSession) -> int:
