@@ -49,7 +49,7 @@ def q20_bm25_stats(spark, sf_dir):
 @query(_BM25 + "select query_id, id, score, rank from k where rank <= 10")
 def q21_bm25_topk(spark, sf_dir):
     index, asked = _bm25(spark, sf_dir)
-    return R.top(index.scores(asked, "item_id", "text"), 10).select("query_id", "id", "score", "rank")
+    return index.best(asked, "item_id", "text", 10).select("query_id", "id", "score", "rank")
 
 
 @query(_DENSE + "select * from (select query_id, id, score, cast(row_number() over (partition by query_id order by score desc, id) as int) as rank from s where score > 0) where rank <= 10")
@@ -80,7 +80,7 @@ u as (select query_id, id, 1.2e0/(60+rank) as s from dr where rank <= 20 union a
 def _rankings(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
     index, asked = _bm25(spark, sf_dir)
-    return R.dense_top(v, q.withColumn("query_id", F.expr("query_id div 100")), 20), R.top(index.scores(asked, "item_id", "text"), 20)
+    return R.dense_top(v, q.withColumn("query_id", F.expr("query_id div 100")), 20), index.best(asked, "item_id", "text", 20)
 
 
 @query(_RRF + "select query_id, id, score from f")
@@ -215,5 +215,5 @@ def q38_union_renumber(spark, sf_dir):
 @query(_BM25 + "select query_id, round_even(case when count(*) = 0 then 0.1e0 else least(0.60e0 + round_even(least(sum(score order by rank) / count(*), 1e0), 3) * 0.20e0, 0.84e0) end, 2) as confidence from k where rank <= 5 group by 1")
 def q39_retrieval_confidence(spark, sf_dir):
     index, asked = _bm25(spark, sf_dir)
-    best = R.top(index.scores(asked, "item_id", "text"), 5).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("scores"))
+    best = index.best(asked, "item_id", "text", 5).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("scores"))
     return best.select("query_id", retrieval_confidence(F.col("scores"), F.size("scores")).alias("confidence"))

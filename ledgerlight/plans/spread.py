@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 SMALL_BYTES, SMALL_ROWS = 64 << 20, 100_000
 #: For rows that take much work: splits a core that a scan must have to be left alone, and bytes a part that is dealt.
 ENOUGH_SPLITS, PART_BYTES = 4, 8 << 20
+_LIMIT, _UNSET, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 
 
 def _size(rows: DataFrame) -> int:
@@ -32,6 +33,13 @@ def dealt(rows: DataFrame, parts: int | None = None) -> DataFrame:
     return rows.repartition(parts or max(_parts(spark), -(-size // PART_BYTES)))
 
 
+def batches_by_bytes(spark: SparkSession) -> None:
+    """Bounds what goes to Python at once; Spark's own limit is far above what a worker should hold. A limit that the
+    session sets is kept."""
+    if spark.conf.get(_LIMIT) == _UNSET:
+        spark.conf.set(_LIMIT, f"{BATCH_BYTES}b")
+
+
 def _parts(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
