@@ -7,6 +7,8 @@ are the pattern tables and bounds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -409,18 +411,27 @@ PAGE_FEE = "processing\\s*(?:fee|charge)\\s*(?:of|:)?\\s*([\\d.]+)\\s*%"
 
 def loan_terms(t: Column, as_coded: bool = False) -> dict[str, Column]:
     """The eight fields that a page's text may tell: each by the first pattern that gives a value, else null."""
+    return {name: read() for name, read in _loan_terms(t, as_coded).items()}
+
+
+def loan_term(t: Column, name: str, as_coded: bool = False) -> Column:
+    """One of loan_terms(), without making the others."""
+    return _loan_terms(t, as_coded)[name]()
+
+
+def _loan_terms(t: Column, as_coded: bool) -> dict[str, Callable[[], Column]]:
     some = lambda x: bound(x, lambda v: F.when(v != 0, v))
     amounts = lambda low: F.struct(low.alias("low"), F.coalesce(told(t, PAGE_AMOUNT, lambda x: F.struct(money(x, as_coded).alias("x")), 2), F.struct(low.alias("x")))["x"].alias("high"))
     ordered = lambda r: F.when((r["low"] > 0) & (r["high"] > 0) & (r["low"] <= r["high"]), F.array(r["low"], r["high"]))
     return {
-        "interest_rate": rate_range(t),
-        "min_income": F.coalesce(*[told(t, p, lambda x: some(monthly_income(x, as_coded))) for p in PAGE_INCOMES]),
-        "age_range": F.coalesce(*[told(t, p, age_range) for p in PAGE_AGES]),
-        "loan_amount": told(t, PAGE_AMOUNT, lambda x: bound(money(x, as_coded), lambda low: bound(amounts(low), ordered))),
-        "tenure": told(t, PAGE_TENURE, lambda x: tenure_range(x, as_coded)),
-        "min_cibil": told(t, PAGE_SCORE, least_score),
-        "processing_fee_pct": bound(number(t, PAGE_FEE), lambda x: F.when((x > 0) & (x < 10), x)),
-        "employment_type": bound(employment_kinds(t), lambda x: F.when(F.size(x) > 0, x)),
+        "interest_rate": lambda: rate_range(t),
+        "min_income": lambda: F.coalesce(*[told(t, p, lambda x: some(monthly_income(x, as_coded))) for p in PAGE_INCOMES]),
+        "age_range": lambda: F.coalesce(*[told(t, p, age_range) for p in PAGE_AGES]),
+        "loan_amount": lambda: told(t, PAGE_AMOUNT, lambda x: bound(money(x, as_coded), lambda low: bound(amounts(low), ordered))),
+        "tenure": lambda: told(t, PAGE_TENURE, lambda x: tenure_range(x, as_coded)),
+        "min_cibil": lambda: told(t, PAGE_SCORE, least_score),
+        "processing_fee_pct": lambda: bound(number(t, PAGE_FEE), lambda x: F.when((x > 0) & (x < 10), x)),
+        "employment_type": lambda: bound(employment_kinds(t), lambda x: F.when(F.size(x) > 0, x)),
     }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.extract import bound, first_pattern, says
-from ..plans.spread import spread
+from ..plans.spread import dealt
 from .retrieval import first_rows, words
 
 SIZE, OVERLAP = 400, 75
@@ -43,7 +43,7 @@ def chunk(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST["page"]) -> DataFrame:
     """doc, chunk_id, text, n_words, hash of every chunk of least words."""
-    c = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc"), F.posexplode(chunk(F.col(text_col))).alias("chunk_id", "text"))
+    c = dealt(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc"), F.posexplode(chunk(F.col(text_col))).alias("chunk_id", "text"))
     return c.withColumn("n_words", words(F.col("text"))).filter(F.col("n_words") >= least).withColumn("hash", F.substring(F.md5("text"), 1, 12))
 
 

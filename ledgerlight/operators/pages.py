@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..functions.tables import page_sentences
-from ..plans.spread import spread
+from ..plans.spread import dealt
 from . import dom
 from .html import absolute, host
 from .records import confidence
@@ -57,9 +57,11 @@ def _site(name: str, value: Column) -> Column:
 _KIND = {"interest_rate": "array<double>", "min_income": "double", "age_range": "array<int>", "loan_amount": "array<double>", "tenure": "array<int>", "min_cibil": "int", "processing_fee_pct": "double", "employment_type": "array<string>"}
 
 
-def page_records(pages: DataFrame, as_coded: bool = False, structured: bool = True) -> DataFrame:
-    """A record for each page (page_id, url, html). structured: also read what pages state for search engines."""
-    p = spread(pages.select("page_id", "url", "html"))
+def page_records(pages: DataFrame, as_coded: bool = False, structured: bool = True, deal: bool = True) -> DataFrame:
+    """A record for each page (page_id, url, html). structured: also read what pages state for search engines. deal:
+    deal pages over all cores first; without it they should be so already."""
+    p = pages.select("page_id", "url", "html")
+    p = dealt(p) if deal else p
     p = p.select("page_id", "url", F.pandas_udf(dom.pieces_of, PIECES)("html", host(F.col("url"))).alias("p"))
     p = p.select("page_id", "url", *[F.col(f"p.{c}").alias(f"p_{c}") for c in p.schema["p"].dataType.names])
     finance = F.filter("p_sections", lambda s: X.says(s["heading"], dom.FINANCE))
@@ -72,7 +74,7 @@ def page_records(pages: DataFrame, as_coded: bool = False, structured: bool = Tr
         "stated": F.concat(F.col("p_json") if structured else F.array().cast(_TEXTS), F.col("told"), F.col("tabled")),
         "texts": F.concat(F.col("stated"), F.array("p_full"), metas),
         "early": _first(F.col("stated"), X.rate_range, "array<double>"),
-        **{f: _first(F.col("texts"), lambda t, f=f: X.loan_terms(t, as_coded)[f], kind) for f, kind in _KIND.items()},
+        **{f: _first(F.col("texts"), lambda t, f=f: X.loan_term(t, f, as_coded), kind) for f, kind in _KIND.items()},
         "features": F.slice(F.array_distinct(items), 1, 20),
         "facts": F.slice(F.concat(F.transform("told", lambda t: F.substring(t, 1, SECTION)), F.transform("p_metas", lambda m: F.substring(m, 1, META))), 1, 10),
         "content": F.substring("p_main", 1, MAIN),

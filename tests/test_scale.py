@@ -55,3 +55,8 @@ def test_customers_are_dealt_before_anything_is_computed(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Repartition") :]
     assert "Filter" not in below and "named_struct" not in below
+
+
+def test_pages_are_dealt_whatever_their_size(spark, monkeypatch):
+    monkeypatch.setattr(spread, "_size", lambda _: 80 << 20)  # more than spread() deals
+    assert QUERIES["q71_page_records"](spark, SF).rdd.getNumPartitions() == 10
