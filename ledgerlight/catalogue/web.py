@@ -85,8 +85,8 @@ _HTML = f"""concat('<html><head><title>Loan</title><meta name="description" cont
  case when p_partkey % 6 = 1 then 4e0 end as foreclosure, case p_partkey % 6 when 4 then 4 else 3 end as n_features, case p_partkey % 6 when 1 then 6 when 2 then 7 when 3 then 7 when 4 then 8 else 5 end as n_facts, 'https://' || case p_partkey % 6 when 0 then 'www.icicibank.com' when 1 then 'www.axisbank.com' when 2 then 'sbi.co.in' when 3 then 'www.paisabazaar.com' when 4 then 'www.bankbazaar.com' else 'example.org' end || '/fees#' || p_partkey as link,
  case when p_partkey = 0 then 0.5e0 else 0.62e0 end as confidence, 'sections,tables,meta,body,links' as layers, case p_partkey % 6 when 3 then 'Bank | Rate' else 'Loan' end as begins from part""")
 def q72_site_records(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_URL).alias("url"), F.expr(_HTML).alias("html"))
-    r = P.page_records(p)
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey")).select(F.col("p_partkey").alias("page_id"), F.expr(_URL).alias("url"), F.expr(_HTML).alias("html"))
+    r = P.page_records(p, deal=False)
     at = lambda c, k: F.get(c, F.lit(k))
     return r.select(F.col("page_id").alias("id"), "bank", at("interest_rate", 0).alias("rate_from"), at("interest_rate", 1).alias("rate_to"), F.col("min_income").alias("income"), at("age_range", 0).alias("age_from"), at("age_range", 1).alias("age_to"), F.col("processing_fee_pct").alias("fee"), F.col("foreclosure_fee").alias("foreclosure"),
         F.size("features").alias("n_features"), F.size("key_facts").alias("n_facts"), at("linked_urls", 0).alias("link"), "confidence", F.col("extraction_method").alias("layers"), F.regexp_extract("content", "^(Bank \\| Rate|Loan)", 1).alias("begins"))

@@ -60,3 +60,8 @@ def test_customers_are_dealt_before_anything_is_computed(spark, name):
 def test_pages_are_dealt_whatever_their_size(spark, monkeypatch):
     monkeypatch.setattr(spread, "_size", lambda _: 80 << 20)  # more than spread() deals
     assert QUERIES["q71_page_records"](spark, SF).rdd.getNumPartitions() == 10
+
+
+def test_keys_of_pages_are_dealt_not_their_markup(spark):
+    plan = QUERIES["q72_site_records"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "<html>" not in plan[plan.index("Repartition") :]
